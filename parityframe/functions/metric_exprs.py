@@ -91,10 +91,21 @@ def balanced_accuracy(y: Column, p: Column) -> Column:
             + F.coalesce(F.try_divide(tn.cast("double"), neg.cast("double")), F.lit(0.0))) / F.lit(2.0)
 
 
+def round_half_away(c: Column, digits: int = 6) -> Column:
+    """Round in binary floating point, half away from zero:
+    ``round(x * 10^d) / 10^d``. Spark's ``round`` rounds the decimal text of
+    the double instead, which differs from other engines on exact ties."""
+    m = float(10 ** digits)
+    y = c.cast("double") * F.lit(m)
+    r = F.when(y >= 0, F.floor(y + F.lit(0.5))).otherwise(F.ceil(y - F.lit(0.5))).cast("double") / F.lit(m)
+    # NaN/inf pass through unchanged.
+    return F.when(F.isnan(y) | (F.abs(y) == F.lit(float("inf"))), c.cast("double")).otherwise(r)
+
+
 def round_doubles(df, digits: int = 6):
     """Round every double column (sum order differs across engines)."""
     from pyspark.sql.types import DoubleType, FloatType
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name)
-        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+        round_half_away(F.col(f"`{f.name}`"), digits).alias(f.name)
+        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields])

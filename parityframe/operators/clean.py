@@ -107,7 +107,7 @@ def _order_stat_refine(df: DataFrame, col: str, ranks: list[int], buckets: int =
 
 
 def column_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
-                     accuracy: int = 10000) -> list[float | None]:
+                     accuracy: int = 10000, max_collect: int = 200_000) -> list[float | None]:
     """Linear-interpolated quantiles of one column (NaN treated as NULL)."""
     if method == "exact":
         arr = df.agg(F.percentile(_clean_value(col), F.array(*[F.lit(float(q)) for q in probs])).alias("q")).first()["q"]
@@ -124,13 +124,13 @@ def column_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: st
             pos = (n - 1) * float(q)
             lo = int(math.floor(pos))
             plan.append((lo, min(lo + 1, n - 1), pos - lo))
-        stats = _order_stat_refine(df, col, [r for p in plan for r in p[:2]])
+        stats = _order_stat_refine(df, col, [r for p in plan for r in p[:2]], max_collect=max_collect)
         return [stats[a] + f * (stats[b] - stats[a]) for a, b, f in plan]
     raise ValueError("method must be 'exact', 'refine' or 'approx'")
 
 
-def fit_fence(df: DataFrame, col: str, method: str = "exact") -> Fence:
-    q1, q3 = column_quantiles(df, col, [0.25, 0.75], method)
+def fit_fence(df: DataFrame, col: str, method: str = "exact", **kw) -> Fence:
+    q1, q3 = column_quantiles(df, col, [0.25, 0.75], method, **kw)
     return Fence(col, q1, q3)
 
 
@@ -155,14 +155,15 @@ def default_iqr_columns(df: DataFrame, id_cols: Sequence[str] = (), label_col: s
     return [c for c in cand if d[c] > 2]
 
 
-def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "exact") -> tuple[DataFrame, list[Fence]]:
+def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "exact",
+                   **kw) -> tuple[DataFrame, list[Fence]]:
     """Fences in order, each fitted on the survivors of the previous
     ones. A repeated column (the reference's second pass) gets a new fence.
     Returns the lazily filtered frame and the fences (one small job each)."""
     fences: list[Fence] = []
     cur = df
     for c in columns:
-        f = fit_fence(cur, c, method)
+        f = fit_fence(cur, c, method, **kw)
         fences.append(f)
         cur = cur.where(f.predicate())
     return cur, fences
