@@ -56,3 +56,36 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], hash_col: str,
     from parityframe.operators.joins import keyed_join
     joined = keyed_join(local, offsets, part + [bcol])
     return joined.select(*df.columns, (F.col("__pf_off") + F.col("__pf_local")).alias(rank_col))
+
+
+def ordered_rank(df: DataFrame, partition_cols: Sequence[str], bucket: Column,
+                 order_cols: Sequence[str], rank_col: str = "rn") -> DataFrame:
+    """Like :func:`exact_rank` for any order: ``bucket`` must be a BIGINT
+    that is non-decreasing in ``order_cols`` (e.g. the index of an
+    approximate-quantile range of the first order column). The window then
+    runs inside (partition, bucket) only."""
+    part = list(partition_cols)
+    bcol = "__pf_bucket"
+    with_b = df.withColumn(bcol, bucket.cast("long"))
+    counts = with_b.groupBy(*part, bcol).agg(F.count(F.lit(1)).alias("__pf_cnt"))
+    w_off = (Window.partitionBy(*part).orderBy(bcol) if part else Window.orderBy(bcol))
+    offsets = counts.select(*part, bcol, F.coalesce(
+        F.sum("__pf_cnt").over(w_off.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__pf_off"))
+    w_local = Window.partitionBy(*part, bcol).orderBy(*[F.col(c) for c in order_cols])
+    local = with_b.withColumn("__pf_local", F.row_number().over(w_local))
+    from parityframe.operators.joins import keyed_join
+    joined = keyed_join(local, offsets, part + [bcol])
+    return joined.select(*df.columns, (F.col("__pf_off") + F.col("__pf_local")).alias(rank_col))
+
+
+def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 1024, accuracy: int = 10000) -> Column:
+    """BIGINT bucket of ``col``: the number of approximate-quantile
+    boundaries strictly below the value (one small job; <= n_buckets
+    numbers reach the driver). Non-decreasing in ``col``."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    b = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b")).first()["b"] or []
+    bounds = sorted(set(float(x) for x in b if x is not None))
+    if not bounds:
+        return F.lit(0).cast("long")
+    arr = F.array(*[F.lit(x) for x in bounds])
+    return F.size(F.filter(arr, lambda x: x < F.col(col).cast("double"))).cast("long")
