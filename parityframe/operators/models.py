@@ -1,0 +1,266 @@
+"""Models, search and curves on Spark ML.
+
+Fits are Spark ML estimators (distributed over the rows); the driver only
+loops over folds, grid points and feature subsets, as CrossValidator does.
+Every result is a table: prediction tables ``(id, groups..., y_true,
+y_pred, score)``, scores per (param, fold, split), importances per feature,
+evaluation history per (split, round, metric).
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml import Model
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parityframe.functions.hashing import uniform
+from parityframe.session import ensure_checkpoint_dir
+
+# Fixed hyper-parameter presets of the reference's two boosted models.
+PRESETS = {
+    "boost_a": {"maxIter": 400, "maxDepth": 7, "stepSize": 0.1, "subsamplingRate": 0.8},
+    "boost_b": {"maxIter": 1000, "maxDepth": 7, "stepSize": 0.05, "subsamplingRate": 1.0},
+}
+
+
+def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+
+
+def logistic(n_rows: int, C: float = 0.01, max_iter: int = 1000, label: str = "label") -> LogisticRegression:
+    """L2 logistic regression with the penalty of ``C * sum(loss) +
+    |w|^2 / 2``: dividing by ``C * n`` gives Spark's objective with
+    ``regParam = 1 / (C * n)`` (no standardization, intercept unpenalized)."""
+    return LogisticRegression(featuresCol="features", labelCol=label, regParam=1.0 / (C * max(1, n_rows)),
+                              elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
+
+
+def boosted(preset: str | None = None, seed: int = 42, label: str = "label", **params) -> GBTClassifier:
+    """Gradient-boosted trees; ``preset`` names one of PRESETS,
+    keyword arguments override (``maxIter``, ``maxDepth``, ...)."""
+    p = dict(PRESETS.get(preset, {})) if preset else {}
+    p.update(params)
+    return GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **p)
+
+
+def predictions(model: Model, df: DataFrame, id_col: str, label: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Prediction table ``(id, keep..., y_true, y_pred, score)``; score
+    is the positive-class probability, y_pred = score > 0.5."""
+    scored = model.transform(df)
+    score = vector_to_array("probability")[1]
+    return scored.select(F.col(id_col).alias("id"), *keep, F.col(label).cast("int").alias("y_true"),
+                         (score > 0.5).cast("int").alias("y_pred"), score.alias("score"))
+
+
+def coef_importance(model, features: Sequence[str]) -> DataFrame:
+    """``(feature, importance)`` = |coefficient|."""
+    spark = SparkSession.getActiveSession()
+    coefs = model.coefficients.toArray().tolist()
+    return spark.createDataFrame([(f, abs(float(c))) for f, c in zip(features, coefs)],
+                                 "feature string, importance double")
+
+
+def gain_importance(model, features: Sequence[str]) -> DataFrame:
+    """``(feature, importance)`` from the trees' normalised gains."""
+    spark = SparkSession.getActiveSession()
+    imp = model.featureImportances.toArray().tolist()
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double")
+
+
+def split_count_importance(model, features: Sequence[str]) -> DataFrame:
+    """``(feature, importance)`` = number of internal nodes splitting on
+    the feature (0 when unused), read from the saved model's node table in
+    the shared checkpoint folder."""
+    spark = SparkSession.getActiveSession()
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, f"model-{uuid.uuid4().hex}")
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(os.path.join(path, "data"))
+    counts = (nodes.where(F.col("nodeData.leftChild") >= 0)
+              .groupBy(F.col("nodeData.split.featureIndex").alias("idx")).agg(F.count(F.lit(1)).alias("n")))
+    names = spark.createDataFrame(list(enumerate(features)), "idx int, feature string")
+    return names.join(counts, "idx", "left").select(
+        "feature", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("importance"))
+
+
+# ------------------------------------------------------------------ N4
+def grid_search(estimator, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
+                parallelism: int = 2, seed: int = 42):
+    """K-fold grid search on a fold column (H2), accuracy, refit on all
+    training rows. Returns (best model, table ``(params, mean_accuracy)``)."""
+    builder = ParamGridBuilder()
+    for name, values in grid.items():
+        builder = builder.addGrid(estimator.getParam(name), list(values))
+    maps = builder.build()
+    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
+                        parallelism=parallelism, seed=seed)
+    fitted = cv.fit(train)
+    spark = train.sparkSession
+    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a))
+            for m, a in zip(maps, fitted.avgMetrics)]
+    return fitted.bestModel, spark.createDataFrame(rows, "params string, mean_accuracy double")
+
+
+def _accuracy(model, df: DataFrame, label: str) -> float:
+    return MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy").evaluate(model.transform(df))
+
+
+# ------------------------------------------------------------------ N5
+def depth_elbow(make_estimator, depths: Sequence[int], train: DataFrame, label: str = "label",
+                fold_col: str = "fold") -> DataFrame:
+    """Grid over tree depth with train and validation accuracy per fold:
+    ``(depth, fold, split, accuracy)`` (CrossValidator keeps no train score)."""
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+    rows = []
+    for d in depths:
+        for f in folds:
+            tr = train.where(F.col(fold_col) != f)
+            va = train.where(F.col(fold_col) == f)
+            m = make_estimator(d).fit(tr)
+            rows.append((int(d), int(f), "train", _accuracy(m, tr, label)))
+            rows.append((int(d), int(f), "validation", _accuracy(m, va, label)))
+    return train.sparkSession.createDataFrame(rows, "depth int, fold int, split string, accuracy double")
+
+
+# ------------------------------------------------------------------ N12
+def learning_curve(estimator, train: DataFrame, key_cols: Sequence[str], sizes: Sequence[float],
+                   label: str = "label", fold_col: str = "fold", seed: int = 42) -> DataFrame:
+    """For each size fraction and fold, fit on the nested hash prefix
+    ``u <= frac`` of the training folds; score on it and on the held-out
+    fold. Returns ``(frac, n_train, fold, split, accuracy)``."""
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+    t = train.withColumn("__u", uniform(f"{seed}|curve", *key_cols))
+    rows = []
+    for frac in sizes:
+        for f in folds:
+            tr = t.where((F.col(fold_col) != f) & (F.col("__u") <= frac))
+            va = t.where(F.col(fold_col) == f)
+            n = tr.count()
+            if n == 0:
+                continue
+            m = estimator.fit(tr)
+            rows.append((float(frac), int(n), int(f), "train", _accuracy(m, tr, label)))
+            rows.append((float(frac), int(n), int(f), "validation", _accuracy(m, va, label)))
+    return train.sparkSession.createDataFrame(
+        rows, "frac double, n_train bigint, fold int, split string, accuracy double")
+
+
+def curve_summary(curve: DataFrame) -> DataFrame:
+    """Mean accuracy per (frac, split) - the plotted curve."""
+    return curve.groupBy("frac", "split").agg(F.avg("accuracy").alias("mean_accuracy"),
+                                              F.avg("n_train").alias("mean_n_train"))
+
+
+# ------------------------------------------------------------------ F5
+@dataclass
+class RFECVResult:
+    scores: DataFrame     # (n_features, fold, accuracy)
+    ranking: DataFrame    # (feature, rank, support)
+    selected: list
+
+
+def _importances(model, n: int) -> list[float]:
+    if hasattr(model, "coefficients"):
+        return [abs(float(c)) for c in model.coefficients.toArray()]
+    return [float(v) for v in model.featureImportances.toArray()][:n]
+
+
+def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str = "label",
+          fold_col: str = "fold", min_features: int = 1, step: int = 1) -> RFECVResult:
+    """recursive feature elimination with cross-validation.
+
+    On each fold's training part, features are eliminated ``step`` at a time
+    by lowest importance; every subset is scored on the held-out fold. The
+    size with the best mean accuracy is chosen (ties: fewer features), then
+    elimination on all training rows fixes which features remain.
+    """
+    feats = list(features)
+    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+    rows = []
+
+    def path(data: DataFrame, evaluate: DataFrame | None):
+        cur = list(feats)
+        order = []
+        while True:
+            m = make_estimator().fit(assemble(data, cur))
+            if evaluate is not None:
+                rows.append((len(cur), -1, _accuracy(m, assemble(evaluate, cur), label)))
+            if len(cur) <= min_features:
+                order.extend(cur[::-1])
+                break
+            imp = _importances(m, len(cur))
+            k = min(step, len(cur) - min_features)
+            drop = [cur[i] for i in sorted(range(len(cur)), key=lambda i: (imp[i], -i))[:k]]
+            order.extend(drop)
+            cur = [c for c in cur if c not in drop]
+        return order
+
+    for f in folds:
+        start = len(rows)
+        path(train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f))
+        rows[start:] = [(n, int(f), a) for n, _, a in rows[start:]]
+    spark = train.sparkSession
+    scores = spark.createDataFrame(rows, "n_features int, fold int, accuracy double")
+    means: dict[int, list] = {}
+    for n, _, a in rows:
+        means.setdefault(n, []).append(a)
+    best_n = max(sorted(means), key=lambda n: (sum(means[n]) / len(means[n]), -n))
+    order = path(train, None)          # elimination order on all rows
+    kept = order[::-1][:best_n]
+    rank = {}
+    for i, ftr in enumerate(order[::-1]):
+        rank[ftr] = 1 if ftr in kept else i - best_n + 2
+    ranking = spark.createDataFrame([(ftr, int(rank[ftr]), ftr in kept) for ftr in feats],
+                                    "feature string, rank int, support boolean")
+    return RFECVResult(scores, ranking, [c for c in feats if c in kept])
+
+
+# ------------------------------------------------------------------ N10
+def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15) -> DataFrame:
+    """Per boosting round and split: log loss, error and AUC of the
+    staged model (first r trees). Every tree's prediction is added as a
+    column in one map-only pass, staged margins are running weighted sums,
+    and the metrics are one grouped aggregate per split (AUC by the exact
+    bucketed method). Probability = sigmoid(2 * margin), as Spark's GBT."""
+    from parityframe.operators.metrics import roc_auc
+    trees = model.trees
+    weights = list(model.treeWeights)
+    out = None
+    for split, df in parts.items():
+        cur = df.select(F.monotonically_increasing_id().alias("__rid"), F.col(label).cast("int").alias("y_true"),
+                        "features")
+        for t, tree in enumerate(trees):
+            tree = tree.copy()
+            tree.setPredictionCol(f"__p{t}")
+            cur = tree.transform(cur)
+        staged, acc = [], None
+        for t in range(len(trees)):
+            term = F.col(f"__p{t}") * F.lit(float(weights[t]))
+            acc = term if acc is None else acc + term
+            staged.append(acc)
+        long = cur.select("y_true", F.posexplode(F.array(*staged)).alias("pos", "margin"))
+        long = long.select("y_true", (F.col("pos") + 1).alias("round"),
+                           (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))).alias("score"))
+        pc = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1.0 - eps))
+        yv = F.col("y_true").cast("double")
+        m = long.groupBy("round").agg(
+            (-F.avg(yv * F.log(pc) + (F.lit(1.0) - yv) * F.log(F.lit(1.0) - pc))).alias("logloss"),
+            F.avg(((F.col("score") > 0.5).cast("int") != F.col("y_true")).cast("double")).alias("error"))
+        a = roc_auc(long, "y_true", "score", by=["round"]).select("round", "auc")
+        both = m.join(a, "round")
+        h = both.select(F.lit(split).alias("split"), "round", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("logloss", "auc", "error")]
+        )).alias("s")).select("split", "round", "s.metric", "s.value")
+        out = h if out is None else out.unionByName(h)
+    return out

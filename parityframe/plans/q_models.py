@@ -1 +1,169 @@
-"""Catalogue module."""
+"""Catalogue: trained-model operators (N1-N14, F5). Results depend on a
+fitted model, so these have no SQL oracle (rows-only check); the metric
+layer they feed is oracle-checked separately. Settings are small (few
+trees, 3 folds); the reference's presets are in ``models.PRESETS``."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from parityframe.functions.metric_exprs import round_doubles
+from parityframe.operators import fairness as fx
+from parityframe.operators import metrics as mx
+from parityframe.operators import models as ml
+from parityframe.operators.rebalance import group_bootstrap
+from parityframe.operators.split import fit_minmax, stratified_folds, train_test_split
+from parityframe.plans.catalog import register
+from parityframe.plans.tables import MODEL_FEATURES, model_table
+
+FEATS = [f + "_s" for f in MODEL_FEATURES]
+GROUPS = ["c_mktsegment", "o_orderpriority"]
+
+
+def prepared(spark, sf):
+    """Split (exact, by key hash), min-max scale fitted on train, stratified
+    3 folds on train; both parts checkpointed to cut lineage."""
+    t = model_table(spark, sf)
+    s = train_test_split(t, ["o_orderkey"], 0.2).checkpoint()
+    train0 = s.where(F.col("split") == "train")
+    mm = fit_minmax(train0, MODEL_FEATURES)
+    scaled = mm.apply(s, suffix="_s")
+    train = stratified_folds(scaled.where(F.col("split") == "train"), "label", ["o_orderkey"], k=3)
+    train = ml.assemble(train, FEATS).checkpoint()
+    test = ml.assemble(scaled.where(F.col("split") == "test"), FEATS).checkpoint()
+    return train, test
+
+
+def _gbt(**kw):
+    p = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8}
+    p.update(kw)
+    return ml.boosted(**p)
+
+
+@register("logreg_scores")
+def q_logreg_scores(spark, sf):
+    train, test = prepared(spark, sf)
+    m = ml.logistic(train.count()).fit(train)
+    return round_doubles(ml.predictions(m, test, "o_orderkey", "label", GROUPS))
+
+
+@register("gbt_scores")
+def q_gbt_scores(spark, sf):
+    train, test = prepared(spark, sf)
+    m = _gbt().fit(train)
+    return round_doubles(ml.predictions(m, test, "o_orderkey", "label", GROUPS))
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    train, _ = prepared(spark, sf)
+    _, table = ml.grid_search(_gbt(maxIter=5), {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, train)
+    return round_doubles(table)
+
+
+@register("depth_elbow")
+def q_depth_elbow(spark, sf):
+    train, _ = prepared(spark, sf)
+    return round_doubles(ml.depth_elbow(lambda d: _gbt(maxIter=5, maxDepth=d), [2, 4, 6], train))
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf):
+    train, _ = prepared(spark, sf)
+    curve = ml.learning_curve(ml.logistic(train.count()), train, ["o_orderkey"], [0.25, 0.5, 1.0])
+    return round_doubles(ml.curve_summary(curve))
+
+
+@register("rfecv")
+def q_rfecv(spark, sf):
+    train, _ = prepared(spark, sf)
+    n = train.count()
+    res = ml.rfecv(lambda: ml.logistic(n, max_iter=200), train.drop("features"), FEATS, min_features=2)
+    return res.ranking
+
+
+@register("importance_coef")
+def q_importance_coef(spark, sf):
+    train, _ = prepared(spark, sf)
+    return round_doubles(ml.coef_importance(ml.logistic(train.count()).fit(train), FEATS))
+
+
+@register("importance_gain")
+def q_importance_gain(spark, sf):
+    train, _ = prepared(spark, sf)
+    return round_doubles(ml.gain_importance(_gbt().fit(train), FEATS))
+
+
+@register("importance_weight")
+def q_importance_weight(spark, sf):
+    train, _ = prepared(spark, sf)
+    return ml.split_count_importance(_gbt().fit(train), FEATS)
+
+
+@register("eval_history")
+def q_eval_history(spark, sf):
+    train, test = prepared(spark, sf)
+    m = _gbt().fit(train)
+    return round_doubles(ml.eval_history(m, {"train": train, "test": test}))
+
+
+@register("early_stop_model")
+def q_early_stop_model(spark, sf):
+    train, test = prepared(spark, sf)
+    h = ml.eval_history(_gbt(maxIter=15).fit(train), {"train": train, "test": test}).checkpoint()
+    return round_doubles(mx.early_stop(h, patience=3, metric="error", split="test"))
+
+
+@register("model_overfit")
+def q_model_overfit(spark, sf):
+    train, test = prepared(spark, sf)
+    m = _gbt().fit(train)
+    p = (ml.predictions(m, train, "o_orderkey", "label").withColumn("split", F.lit("train"))
+         .unionByName(ml.predictions(m, test, "o_orderkey", "label").withColumn("split", F.lit("test"))))
+    return round_doubles(mx.overfit_check(p))
+
+
+@register("model_leaderboard")
+def q_model_leaderboard(spark, sf):
+    train, test = prepared(spark, sf)
+    lr = ml.logistic(train.count()).fit(train)
+    gb = _gbt().fit(train)
+    p = (ml.predictions(lr, test, "o_orderkey", "label").withColumn("model", F.lit("logistic"))
+         .unionByName(ml.predictions(gb, test, "o_orderkey", "label").withColumn("model", F.lit("boosted"))))
+    return round_doubles(mx.leaderboard(p))
+
+
+@register("model_fairness_audit")
+def q_model_fairness_audit(spark, sf):
+    train, test = prepared(spark, sf)
+    p = ml.predictions(_gbt().fit(train), test, "o_orderkey", "label", GROUPS).checkpoint()
+    return round_doubles(mx.group_report(p, GROUPS, metrics=["n", "accuracy", "precision", "recall", "f1",
+                                                             "tpr", "fpr", "fnr"]))
+
+
+@register("mitigation_before_after")
+def q_mitigation(spark, sf):
+    """K5/K6 on real models: logistic regression trained on the training
+    part as is vs. after group bootstrap (I5) of the training part only,
+    audited on the same test part."""
+    train, test = prepared(spark, sf)
+    n = train.count()
+    base = ml.predictions(ml.logistic(n).fit(train), test, "o_orderkey", "label", GROUPS).checkpoint()
+    boot = group_bootstrap(train.drop("features"), GROUPS, "label", ["o_orderkey"])
+    boot = ml.assemble(boot, FEATS).checkpoint()
+    post = ml.predictions(ml.logistic(boot.count()).fit(boot), test, "o_orderkey", "label", GROUPS).checkpoint()
+    pre_f = mx.metric_frame(base, GROUPS, ["accuracy"])
+    post_f = mx.metric_frame(post, GROUPS, ["accuracy"])
+    return round_doubles(fx.before_after(pre_f, post_f, GROUPS, "accuracy"))
+
+
+@register("mitigation_bundle")
+def q_mitigation_bundle(spark, sf):
+    train, test = prepared(spark, sf)
+    n = train.count()
+    base = ml.predictions(ml.logistic(n).fit(train), test, "o_orderkey", "label", GROUPS)
+    boot = ml.assemble(group_bootstrap(train.drop("features"), GROUPS, "label", ["o_orderkey"]), FEATS).checkpoint()
+    post = ml.predictions(ml.logistic(boot.count()).fit(boot), test, "o_orderkey", "label", GROUPS)
+    return round_doubles(fx.fairness_bundle(base, GROUPS, "before").unionByName(
+        fx.fairness_bundle(post, GROUPS, "after")))

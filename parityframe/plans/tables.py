@@ -72,3 +72,22 @@ SELECT d.doc_id AS id, d.lang, d.source, l.quality AS y_true,
        CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + {float(CHARS_CUT)}) AS score
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
+
+
+MODEL_FEATURES = ["o_days", "o_totalprice", "c_acctbal", "c_nationkey", "prio_num"]
+
+
+def model_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Modelling table: label = order status 'F'; numeric features; the
+    sensitive groups (segment, priority) are carried but not used as
+    features."""
+    o = read_table(spark, sf, "orders")
+    c = read_table(spark, sf, "customer")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"])
+    return j.select(
+        "o_orderkey", "c_mktsegment", "o_orderpriority",
+        F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")).cast("double").alias("o_days"),
+        F.col("o_totalprice").cast("double"), F.col("c_acctbal").cast("double"),
+        F.col("c_nationkey").cast("double"),
+        F.substring("o_orderpriority", 1, 1).cast("double").alias("prio_num"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"))
