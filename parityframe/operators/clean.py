@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parityframe.operators.profile import numeric_columns
+from parityframe.operators.ranking import add_bucket, quantile_splits
 
 
 @dataclass(frozen=True)
@@ -66,21 +67,15 @@ def _order_stat_refine(df: DataFrame, col: str, ranks: list[int], buckets: int =
     base = df.select(_clean_value(col).alias("v")).where(F.col("v").isNotNull())
     out: dict[int, float] = {}
     for k in sorted(set(ranks)):
-        lo, hi, k_rel = None, None, k        # range (lo, hi]
+        lo, hi, k_rel = None, None, k        # range [lo, hi)
         for _ in range(32):
             sub = base
             if lo is not None:
-                sub = sub.where(F.col("v") > F.lit(lo))
+                sub = sub.where(F.col("v") >= F.lit(lo))
             if hi is not None:
-                sub = sub.where(F.col("v") <= F.lit(hi))
-            probs = [i / buckets for i in range(1, buckets)]
-            splits = sub.agg(F.percentile_approx("v", probs, accuracy).alias("s")).first()["s"] or []
-            splits = sorted(set(float(s) for s in splits))
-            if splits:
-                bk = F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s < F.col("v")))
-            else:
-                bk = F.lit(0)
-            hist = sorted(sub.groupBy(bk.alias("b")).agg(
+                sub = sub.where(F.col("v") < F.lit(hi))
+            splits = quantile_splits(sub, "v", buckets, accuracy)
+            hist = sorted(add_bucket(sub, "v", splits, "b").groupBy("b").agg(
                 F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
             total = sum(r["n"] for r in hist)
             if total <= max_collect:

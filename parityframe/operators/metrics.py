@@ -107,15 +107,8 @@ def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequen
     dist = (pred.groupBy(*by, F.col(score).cast("double").alias("s"))
             .agg(F.count_if(yv == 1).cast("long").alias("pos"),
                  F.count_if(yv != 1).cast("long").alias("neg")))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds_row = pred.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10000).alias("b")).first()
-    bounds = sorted(set(x for x in (bounds_row["b"] or []) if x is not None))
-    # bucket = number of boundaries strictly below s (monotone in s).
-    bucket = F.lit(0)
-    if bounds:
-        arr = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b < F.col("s")))
-    dist = dist.withColumn("bk", bucket)
+    from parityframe.operators.ranking import add_bucket, quantile_splits
+    dist = add_bucket(dist, "s", quantile_splits(pred.select(F.col(score).alias("s")), "s", n_buckets), "bk")
     bucket_tot = dist.groupBy(*by, "bk").agg(F.sum("neg").alias("bneg"))
     w_b = (Window.partitionBy(*by).orderBy("bk") if by else Window.orderBy("bk"))
     offs = bucket_tot.select(*by, "bk", F.coalesce(

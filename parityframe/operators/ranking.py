@@ -58,15 +58,15 @@ def exact_rank(df: DataFrame, partition_cols: Sequence[str], hash_col: str,
     return joined.select(*df.columns, (F.col("__pf_off") + F.col("__pf_local")).alias(rank_col))
 
 
-def ordered_rank(df: DataFrame, partition_cols: Sequence[str], bucket: Column,
+def ordered_rank(df: DataFrame, partition_cols: Sequence[str], bucket_col: str,
                  order_cols: Sequence[str], rank_col: str = "rn") -> DataFrame:
-    """Like :func:`exact_rank` for any order: ``bucket`` must be a BIGINT
-    that is non-decreasing in ``order_cols`` (e.g. the index of an
-    approximate-quantile range of the first order column). The window then
+    """Like :func:`exact_rank` for any order: ``bucket_col`` must hold a
+    number that is non-decreasing in ``order_cols`` (e.g. from
+    :func:`add_quantile_bucket` on the first order column). The window then
     runs inside (partition, bucket) only."""
     part = list(partition_cols)
     bcol = "__pf_bucket"
-    with_b = df.withColumn(bcol, bucket.cast("long"))
+    with_b = df.withColumn(bcol, F.col(bucket_col).cast("long"))
     counts = with_b.groupBy(*part, bcol).agg(F.count(F.lit(1)).alias("__pf_cnt"))
     w_off = (Window.partitionBy(*part).orderBy(bcol) if part else Window.orderBy(bcol))
     offsets = counts.select(*part, bcol, F.coalesce(
@@ -78,14 +78,25 @@ def ordered_rank(df: DataFrame, partition_cols: Sequence[str], bucket: Column,
     return joined.select(*df.columns, (F.col("__pf_off") + F.col("__pf_local")).alias(rank_col))
 
 
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 1024, accuracy: int = 10000) -> Column:
-    """BIGINT bucket of ``col``: the number of approximate-quantile
-    boundaries strictly below the value (one small job; <= n_buckets
-    numbers reach the driver). Non-decreasing in ``col``."""
+def quantile_splits(df: DataFrame, col: str, n_buckets: int = 1024, accuracy: int = 10000) -> list[float]:
+    """Sorted distinct approximate-quantile boundaries of ``col`` (one small
+    job; at most ``n_buckets - 1`` numbers reach the driver)."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     b = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b")).first()["b"] or []
-    bounds = sorted(set(float(x) for x in b if x is not None))
-    if not bounds:
-        return F.lit(0).cast("long")
-    arr = F.array(*[F.lit(x) for x in bounds])
-    return F.size(F.filter(arr, lambda x: x < F.col(col).cast("double"))).cast("long")
+    return sorted(set(float(x) for x in b if x is not None and x == x))
+
+
+def add_bucket(df: DataFrame, col: str, splits: Sequence[float], out_col: str) -> DataFrame:
+    """``out_col`` = index of the range of ``splits`` holding ``col``
+    (binary search in the JVM via ``Bucketizer``; NULL/NaN go to an extra
+    last bucket). Non-decreasing in ``col``."""
+    from pyspark.ml.feature import Bucketizer
+    edges = [float("-inf")] + [s for s in splits if s not in (float("-inf"), float("inf"))] + [float("inf")]
+    tmp = "__pf_bin_in"
+    b = Bucketizer(splits=edges, inputCol=tmp, outputCol=out_col, handleInvalid="keep")
+    out = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
+    return out.drop(tmp).withColumn(out_col, F.col(out_col).cast("long"))
+
+
+def add_quantile_bucket(df: DataFrame, col: str, out_col: str, n_buckets: int = 1024) -> DataFrame:
+    return add_bucket(df, col, quantile_splits(df, col, n_buckets), out_col)

@@ -14,30 +14,64 @@ from pyspark.sql import functions as F
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """absolute Pearson correlation of every pair i<j, pairwise-complete
-    (rows where both are non-NULL), long form ``(col_a, col_b, pos_a, pos_b,
-    r, abs_r)``. Built from ``covar_pop`` and ``stddev_pop`` with
-    ``try_divide``: a constant column gives NULL instead of the ANSI
-    divide-by-zero error of ``corr``. One aggregate for all pairs."""
+    """Pearson correlation of every pair i<j, pairwise-complete (rows
+    where both are non-NULL; NaN counts as missing), long form ``(col_a,
+    col_b, pos_a, pos_b, r, abs_r)``. A constant column gives NULL rather
+    than the ANSI divide-by-zero error of ``corr``.
+
+    Two passes of plain sums (which stay inside whole-stage codegen, unlike
+    dozens of covariance aggregates): pass 1 gets each column's mean and
+    missing count; pass 2 sums shifted values ``x - mean`` and their
+    products, which keeps the moment formulas numerically stable. Columns
+    with missing values use per-pair sums over the rows where both are
+    present.
+    """
     cols = list(cols)
-    aggs, pairs = [], []
-    for i, a in enumerate(cols):
-        for j in range(i + 1, len(cols)):
-            b = cols[j]
-            xa, xb = F.col(a).cast("double"), F.col(b).cast("double")
-            both = xa.isNotNull() & xb.isNotNull()
-            r = F.try_divide(F.covar_pop(xa, xb),
-                             F.stddev_pop(F.when(both, xa)) * F.stddev_pop(F.when(both, xb)))
-            name = f"__r{i}_{j}"
-            aggs.append(r.alias(name))
-            pairs.append((a, b, i, j, name))
-    if not pairs:
+    if len(cols) < 2:
         raise ValueError("need at least two columns")
-    wide = df.agg(*aggs)
-    long = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                 F.col(n).alias("r")) for a, b, i, j, n in pairs])).alias("s")).select("s.*")
-    return long.withColumn("r", F.when(~F.isnan("r"), F.col("r"))).withColumn("abs_r", F.abs("r"))
+    val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    first = df.agg(F.count(F.lit(1)).alias("__n"),
+                   *[F.count(val[c]).alias(f"__c{i}") for i, c in enumerate(cols)],
+                   *[F.avg(val[c]).alias(f"__m{i}") for i, c in enumerate(cols)]).first()
+    n = first["__n"]
+    mean = [first[f"__m{i}"] if first[f"__m{i}"] is not None else 0.0 for i in range(len(cols))]
+    full = [first[f"__c{i}"] == n for i in range(len(cols))]
+    dev = {i: val[c] - F.lit(float(mean[i])) for i, c in enumerate(cols)}
+    aggs, exprs = [], []
+    for i in range(len(cols)):
+        if full[i]:
+            aggs += [F.sum(dev[i]).alias(f"__s{i}"), F.sum(dev[i] * dev[i]).alias(f"__q{i}")]
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            if full[i] and full[j]:
+                aggs.append(F.sum(dev[i] * dev[j]).alias(f"__x{i}_{j}"))
+            else:
+                both = val[cols[i]].isNotNull() & val[cols[j]].isNotNull()
+                di, dj = F.when(both, dev[i]), F.when(both, dev[j])
+                aggs += [F.count_if(both).alias(f"__n{i}_{j}"), F.sum(di).alias(f"__si{i}_{j}"),
+                         F.sum(dj).alias(f"__sj{i}_{j}"), F.sum(di * di).alias(f"__qi{i}_{j}"),
+                         F.sum(dj * dj).alias(f"__qj{i}_{j}"), F.sum(di * dj).alias(f"__x{i}_{j}")]
+    sums = df.agg(*aggs)
+    pairs = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            if full[i] and full[j]:
+                cnt = F.lit(float(n))
+                si, sj, qi, qj = (F.col(f"__s{i}"), F.col(f"__s{j}"), F.col(f"__q{i}"), F.col(f"__q{j}"))
+            else:
+                cnt = F.col(f"__n{i}_{j}").cast("double")
+                si, sj = F.col(f"__si{i}_{j}"), F.col(f"__sj{i}_{j}")
+                qi, qj = F.col(f"__qi{i}_{j}"), F.col(f"__qj{i}_{j}")
+            cov = F.col(f"__x{i}_{j}") - si * sj / cnt
+            vi = qi - si * si / cnt
+            vj = qj - sj * sj / cnt
+            den = F.sqrt(F.greatest(vi, F.lit(0.0)) * F.greatest(vj, F.lit(0.0)))
+            r = F.when(den > 0, cov / den)
+            r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
+            pairs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
+                                  F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), r.alias("r")))
+    long = sums.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
+    return long.withColumn("abs_r", F.abs("r"))
 
 
 def corr_prune(corr: DataFrame, threshold: float = 0.7, protected: Sequence[str] = ()) -> DataFrame:
