@@ -38,6 +38,8 @@ def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols:
     by AQE's skew handling.
     """
     groups, keys = list(groups), list(key_cols)
+    if df.isEmpty():
+        raise ValueError("cannot resample an empty table")
     base = df.dropna(subset=groups)
     counts = base.groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("__npos"),
                                        F.count_if(F.col(label) == 0).alias("__nneg"))

@@ -359,3 +359,14 @@ SELECT ROUND(accuracy_train, 6) AS accuracy_train, ROUND(accuracy_test, 6) AS ac
 FROM w""")
 def q_overfit(spark, sf):
     return round_doubles(mx.overfit_check(_split_pred(spark, sf)))
+
+
+@register("metric_frame_flagged", f"""{OP}, c AS (SELECT {', '.join(GROUPS)}, {counts_sql()} FROM p GROUP BY ALL),
+f AS (SELECT {', '.join(GROUPS)}, CAST(tn + fp + fn + tp AS BIGINT) AS n, {div('2 * tp', '2 * tp + fp + fn', 0.0)} AS f1 FROM c)
+SELECT {', '.join(GROUPS)}, n, ROUND(f1, 6) AS f1, ROUND((SELECT avg(f1) FROM f), 6) AS mean_f1,
+       f1 < (SELECT avg(f1) FROM f) AS below_mean FROM f""")
+def q_metric_frame_flagged(spark, sf):
+    """Metric frame with the mean over groups and a below-mean flag."""
+    from parityframe.plans.flows import flagged_frame
+    fr = mx.metric_frame(orders_pred(spark, sf), GROUPS, ["n", "f1"])
+    return round_doubles(flagged_frame(fr, "f1"))

@@ -264,3 +264,35 @@ def q_encode_all_strings(spark, sf):
     """E2 over every string column chosen by type."""
     c = read_table(spark, sf, "customer")
     return encode.fit_label_encoder(c, profile.columns_of_type(c, ["string"])).mapping
+
+
+# ------------------------------------------------------------ sources/sinks
+def _scratch(spark, name):
+    import os
+    import uuid
+    from parityframe.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("csv_scan", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def q_csv_scan(spark, sf):
+    """A1: a header CSV read back with a declared schema (the table is first
+    written as CSV into the shared scratch folder)."""
+    from parityframe.sources.io import read_csv
+    c = read_table(spark, sf, "customer")
+    path = _scratch(spark, "csv")
+    c.write.mode("overwrite").option("header", True).csv(path)
+    schema = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    return read_csv(spark, path, schema=schema)
+
+
+@register("artifact_roundtrip", """WITH s AS (SELECT lang, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY lang)
+SELECT lang, CAST(n AS BIGINT) AS n, ROUND(mean_chars, 6) AS mean_chars FROM s""")
+def q_artifact_roundtrip(spark, sf):
+    """A4: a result table written as Parquet and read back."""
+    from parityframe.sources.io import write_artifact
+    d = read_table(spark, sf, "documents")
+    t = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"))
+    path = _scratch(spark, "artifact")
+    write_artifact(t, path)
+    return round_doubles(spark.read.parquet(path))
