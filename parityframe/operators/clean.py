@@ -63,12 +63,23 @@ def _clean_value(col: str) -> Column:
 
 def _order_stat_refine(df: DataFrame, col: str, ranks: list[int], buckets: int = 1024,
                        max_collect: int = 200_000, accuracy: int = 100_000) -> dict[int, float]:
-    """Exact 0-based order statistics of ``col`` (NULL/NaN removed)."""
+    """Exact 0-based order statistics of ``col`` (NULL/NaN removed).
+
+    All wanted ranks advance together: ranks whose candidate range is the
+    same share one split job and one histogram job per round; a range is
+    gathered (sorted, at most ``max_collect`` values) only when it is small.
+    """
     base = df.select(_clean_value(col).alias("v")).where(F.col("v").isNotNull())
     out: dict[int, float] = {}
-    for k in sorted(set(ranks)):
-        lo, hi, k_rel = None, None, k        # range [lo, hi)
-        for _ in range(32):
+    pending = {k: (None, None, k) for k in sorted(set(ranks))}     # rank -> (lo, hi, rank in [lo, hi))
+    for _ in range(32):
+        if not pending:
+            return out
+        ranges: dict[tuple, list] = {}
+        for k, (lo, hi, kr) in pending.items():
+            ranges.setdefault((lo, hi), []).append((k, kr))
+        nxt = {}
+        for (lo, hi), items in ranges.items():
             sub = base
             if lo is not None:
                 sub = sub.where(F.col("v") >= F.lit(lo))
@@ -80,25 +91,24 @@ def _order_stat_refine(df: DataFrame, col: str, ranks: list[int], buckets: int =
             total = sum(r["n"] for r in hist)
             if total <= max_collect:
                 vals = [r["v"] for r in sub.orderBy("v").collect()]
-                out[k] = float(vals[k_rel])
-                break
-            acc = 0
-            for r in hist:
-                if acc + r["n"] > k_rel:
-                    k_rel -= acc
-                    if r["mn"] == r["mx"]:
-                        out[k] = float(r["mn"])
-                    else:
-                        b = r["b"]
-                        lo = splits[b - 1] if b > 0 else lo
-                        hi = splits[b] if b < len(splits) else hi
-                    break
-                acc += r["n"]
-            if k in out:
-                break
-        else:
-            raise RuntimeError("quantile refinement did not converge")
-    return out
+                for k, kr in items:
+                    out[k] = float(vals[kr])
+                continue
+            for k, kr in items:
+                acc = 0
+                for r in hist:
+                    if acc + r["n"] > kr:
+                        if r["mn"] == r["mx"]:
+                            out[k] = float(r["mn"])
+                        else:
+                            b = r["b"]
+                            nlo = splits[b - 1] if b > 0 else lo
+                            nhi = splits[b] if b < len(splits) else hi
+                            nxt[k] = (nlo, nhi, kr - acc)
+                        break
+                    acc += r["n"]
+        pending = nxt
+    raise RuntimeError("quantile refinement did not converge")
 
 
 def column_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
