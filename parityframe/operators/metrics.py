@@ -92,23 +92,26 @@ def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred")
 
 # ---------------------------------------------------------------------- G5
 def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequence[str] = (),
-            n_buckets: int = 256) -> DataFrame:
+            n_buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted half (Mann-Whitney), per ``by``.
 
     Scores are first reduced to distinct (by, score) rows with positive and
     negative counts. The running count of negatives below each score is
     needed; a single ordered window over millions of distinct scores would
-    run in one task, so scores are cut into ``n_buckets`` ranges by
-    approximate quantiles (one small job), counted per range, and the
-    window runs inside each (by, range) only. Result stays exact.
+    run in one task, so scores are cut into ranges by approximate quantiles
+    (about a million rows per range, 256 to 65,536 ranges), counted per
+    range, and the window runs inside each (by, range) only. Exact.
     """
     by = list(by)
     yv = F.col(y)
     dist = (pred.groupBy(*by, F.col(score).cast("double").alias("s"))
             .agg(F.count_if(yv == 1).cast("long").alias("pos"),
                  F.count_if(yv != 1).cast("long").alias("neg")))
-    from parityframe.operators.ranking import add_bucket, quantile_splits
-    dist = add_bucket(dist, "s", quantile_splits(pred.select(F.col(score).alias("s")), "s", n_buckets), "bk")
+    from parityframe.operators.ranking import add_bucket, buckets_for, quantile_splits
+    scores = pred.select(F.col(score).cast("double").alias("s"))
+    if n_buckets is None:
+        n_buckets = buckets_for(scores.count())
+    dist = add_bucket(dist, "s", quantile_splits(scores, "s", n_buckets), "bk")
     bucket_tot = dist.groupBy(*by, "bk").agg(F.sum("neg").alias("bneg"))
     w_b = (Window.partitionBy(*by).orderBy("bk") if by else Window.orderBy("bk"))
     offs = bucket_tot.select(*by, "bk", F.coalesce(

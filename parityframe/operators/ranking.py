@@ -78,9 +78,17 @@ def ordered_rank(df: DataFrame, partition_cols: Sequence[str], bucket_col: str,
     return joined.select(*df.columns, (F.col("__pf_off") + F.col("__pf_local")).alias(rank_col))
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int = 1024, accuracy: int = 10000) -> list[float]:
+def buckets_for(n_rows: int, rows_per_bucket: int = 1_000_000, lo: int = 256, hi: int = 65536) -> int:
+    """Number of quantile ranges so that each holds about
+    ``rows_per_bucket`` rows (bounded, so the split list stays small)."""
+    return int(min(hi, max(lo, -(-n_rows // rows_per_bucket))))
+
+
+def quantile_splits(df: DataFrame, col: str, n_buckets: int = 1024, accuracy: int | None = None) -> list[float]:
     """Sorted distinct approximate-quantile boundaries of ``col`` (one small
-    job; at most ``n_buckets - 1`` numbers reach the driver)."""
+    job; at most ``n_buckets - 1`` numbers reach the driver). The sketch
+    accuracy defaults to 8x the bucket count so ranges come out even."""
+    accuracy = accuracy or max(10000, 8 * n_buckets)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     b = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("b")).first()["b"] or []
     return sorted(set(float(x) for x in b if x is not None and x == x))
@@ -98,5 +106,9 @@ def add_bucket(df: DataFrame, col: str, splits: Sequence[float], out_col: str) -
     return out.drop(tmp).withColumn(out_col, F.col(out_col).cast("long"))
 
 
-def add_quantile_bucket(df: DataFrame, col: str, out_col: str, n_buckets: int = 1024) -> DataFrame:
+def add_quantile_bucket(df: DataFrame, col: str, out_col: str, n_buckets: int | None = None) -> DataFrame:
+    """Bucket by approximate quantiles; the bucket count grows with the row
+    count (one count job) unless given."""
+    if n_buckets is None:
+        n_buckets = buckets_for(df.count())
     return add_bucket(df, col, quantile_splits(df, col, n_buckets), out_col)

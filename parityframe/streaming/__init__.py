@@ -1 +1,8 @@
+"""Streaming.
 
+The reference processes one static table per run: it has no streams,
+watermarks, windows over event time or stateful operators, so nothing is
+built here. Every operator in this package is a DataFrame -> DataFrame
+function, so a caller who wants per-micro-batch audits can apply them inside
+``writeStream.foreachBatch``.
+"""
