@@ -19,6 +19,7 @@ from parityframe.functions.hashing import TWO_32, hash32
 from parityframe.operators.joins import keyed_join
 from parityframe.operators.neighbors import knn_same_class
 from parityframe.operators.ranking import exact_rank
+from parityframe.session import checkpoint as _ckpt
 
 
 # ---------------------------------------------------------------- I5, I6
@@ -142,7 +143,7 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], k: int =
         slots = slots.unionByName(s)
     base = keyed_join(slots, ranked.select(label, "__rn", F.col(key).alias("base_key"),
                                            *[F.col(f).alias(f"__b_{f}") for f in feats]), [label, "__rn"])
-    base = base.checkpoint()
+    base = base.transform(_ckpt)
     nbrs = knn_same_class(pts, key, label, feats, k=k, queries=base.select(F.col("base_key").alias(key)))
     nb = nbrs.select(F.col(key).alias("base_key"), F.col("nb_rank").cast("long").alias("__nb"), "nb_key")
     j = keyed_join(base, nb, ["base_key", "__nb"], "left")

@@ -19,6 +19,7 @@ from parityframe.operators import metrics as mx
 from parityframe.operators import models as ml
 from parityframe.operators.rebalance import group_bootstrap, smote
 from parityframe.sources.io import write_artifact
+from parityframe.session import checkpoint as _ckpt
 
 AUDIT = ["n", "accuracy", "precision", "recall", "f1", "tpr", "fpr", "fnr"]
 
@@ -62,7 +63,7 @@ def leaderboard(train: DataFrame, test: DataFrame, id_col: str, label: str, feat
         imp = (ml.coef_importance(m, feats) if hasattr(m, "coefficients") else ml.gain_importance(m, feats))
         imp = imp.withColumn("model", F.lit(name))
         imps = imp if imps is None else imps.unionByName(imp)
-    preds = preds.checkpoint()
+    preds = preds.transform(_ckpt)
     return {"predictions": preds, "leaderboard": mx.leaderboard(preds), "importance": imps}
 
 
@@ -80,10 +81,10 @@ def mitigation(train: DataFrame, test: DataFrame, id_col: str, label: str, featu
         balanced = smote(train, id_col, label, feats).drop("synthetic", "slot", "base_key", "nb_key")
     else:
         raise ValueError("method must be 'bootstrap' or 'smote'")
-    balanced = balanced.checkpoint()
+    balanced = balanced.transform(_ckpt)
     te = ml.assemble(test, feats)
-    pre = ml.predictions(make_estimator().fit(ml.assemble(train, feats)), te, id_col, label, groups).checkpoint()
-    post = ml.predictions(make_estimator().fit(ml.assemble(balanced, feats)), te, id_col, label, groups).checkpoint()
+    pre = ml.predictions(make_estimator().fit(ml.assemble(train, feats)), te, id_col, label, groups).transform(_ckpt)
+    post = ml.predictions(make_estimator().fit(ml.assemble(balanced, feats)), te, id_col, label, groups).transform(_ckpt)
     fa = mx.metric_frame(pre, groups, ["accuracy", "f1"])
     fb = mx.metric_frame(post, groups, ["accuracy", "f1"])
     return {

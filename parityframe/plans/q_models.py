@@ -16,6 +16,7 @@ from parityframe.operators.rebalance import group_bootstrap
 from parityframe.operators.split import fit_minmax, stratified_folds, train_test_split
 from parityframe.plans.catalog import register
 from parityframe.plans.tables import MODEL_FEATURES, model_table
+from parityframe.session import checkpoint as _ckpt
 
 FEATS = [f + "_s" for f in MODEL_FEATURES]
 GROUPS = ["c_mktsegment", "o_orderpriority"]
@@ -25,13 +26,13 @@ def prepared(spark, sf):
     """Split (exact, by key hash), min-max scale fitted on train, stratified
     3 folds on train; both parts checkpointed to cut lineage."""
     t = model_table(spark, sf)
-    s = train_test_split(t, ["o_orderkey"], 0.2).checkpoint()
+    s = train_test_split(t, ["o_orderkey"], 0.2).transform(_ckpt)
     train0 = s.where(F.col("split") == "train")
     mm = fit_minmax(train0, MODEL_FEATURES)
     scaled = mm.apply(s, suffix="_s")
     train = stratified_folds(scaled.where(F.col("split") == "train"), "label", ["o_orderkey"], k=3)
-    train = ml.assemble(train, FEATS).checkpoint()
-    test = ml.assemble(scaled.where(F.col("split") == "test"), FEATS).checkpoint()
+    train = ml.assemble(train, FEATS).transform(_ckpt)
+    test = ml.assemble(scaled.where(F.col("split") == "test"), FEATS).transform(_ckpt)
     return train, test
 
 
@@ -111,7 +112,7 @@ def q_eval_history(spark, sf):
 @register("early_stop_model")
 def q_early_stop_model(spark, sf):
     train, test = prepared(spark, sf)
-    h = ml.eval_history(_gbt(maxIter=15).fit(train), {"train": train, "test": test}).checkpoint()
+    h = ml.eval_history(_gbt(maxIter=15).fit(train), {"train": train, "test": test}).transform(_ckpt)
     return round_doubles(mx.early_stop(h, patience=3, metric="error", split="test"))
 
 
@@ -137,7 +138,7 @@ def q_model_leaderboard(spark, sf):
 @register("model_fairness_audit")
 def q_model_fairness_audit(spark, sf):
     train, test = prepared(spark, sf)
-    p = ml.predictions(_gbt().fit(train), test, "o_orderkey", "label", GROUPS).checkpoint()
+    p = ml.predictions(_gbt().fit(train), test, "o_orderkey", "label", GROUPS).transform(_ckpt)
     return round_doubles(mx.group_report(p, GROUPS, metrics=["n", "accuracy", "precision", "recall", "f1",
                                                              "tpr", "fpr", "fnr"]))
 
@@ -149,10 +150,10 @@ def q_mitigation(spark, sf):
     audited on the same test part."""
     train, test = prepared(spark, sf)
     n = train.count()
-    base = ml.predictions(ml.logistic(n).fit(train), test, "o_orderkey", "label", GROUPS).checkpoint()
+    base = ml.predictions(ml.logistic(n).fit(train), test, "o_orderkey", "label", GROUPS).transform(_ckpt)
     boot = group_bootstrap(train.drop("features"), GROUPS, "label", ["o_orderkey"])
-    boot = ml.assemble(boot, FEATS).checkpoint()
-    post = ml.predictions(ml.logistic(boot.count()).fit(boot), test, "o_orderkey", "label", GROUPS).checkpoint()
+    boot = ml.assemble(boot, FEATS).transform(_ckpt)
+    post = ml.predictions(ml.logistic(boot.count()).fit(boot), test, "o_orderkey", "label", GROUPS).transform(_ckpt)
     pre_f = mx.metric_frame(base, GROUPS, ["accuracy"])
     post_f = mx.metric_frame(post, GROUPS, ["accuracy"])
     return round_doubles(fx.before_after(pre_f, post_f, GROUPS, "accuracy"))
@@ -163,7 +164,7 @@ def q_mitigation_bundle(spark, sf):
     train, test = prepared(spark, sf)
     n = train.count()
     base = ml.predictions(ml.logistic(n).fit(train), test, "o_orderkey", "label", GROUPS)
-    boot = ml.assemble(group_bootstrap(train.drop("features"), GROUPS, "label", ["o_orderkey"]), FEATS).checkpoint()
+    boot = ml.assemble(group_bootstrap(train.drop("features"), GROUPS, "label", ["o_orderkey"]), FEATS).transform(_ckpt)
     post = ml.predictions(ml.logistic(boot.count()).fit(boot), test, "o_orderkey", "label", GROUPS)
     return round_doubles(fx.fairness_bundle(base, GROUPS, "before").unionByName(
         fx.fairness_bundle(post, GROUPS, "after")))

@@ -12,6 +12,7 @@ from parityframe.plans.catalog import register
 from parityframe.plans.sqlkit import hash32_sql
 from parityframe.plans.tables import DOCS_LABELED_SQL, docs_labeled
 from parityframe.sources.io import read_table
+from parityframe.session import checkpoint as _ckpt
 
 H = hash32_sql
 
@@ -50,7 +51,7 @@ SELECT o_orderkey, split, ROUND((o_totalprice - p0) / (p1 - p0), 6) AS o_totalpr
 def q_minmax(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_custkey").withColumn("const", F.lit(7))
     s = sp.train_test_split(o, ["o_orderkey"], 0.2)
-    s = s.checkpoint()
+    s = s.transform(_ckpt)
     mm = sp.fit_minmax(sp.split_where(s, "train"), ["o_totalprice", "o_custkey", "const"])
     out = mm.apply(s, suffix="_s")
     return round_doubles(out.select("o_orderkey", "split", "o_totalprice_s", "o_custkey_s", "const_s"))

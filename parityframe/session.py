@@ -59,3 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def checkpoint(df):
+    """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``),
+    cutting lineage; resolves the folder first so a session created
+    elsewhere works too."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
