@@ -108,3 +108,15 @@ def disadvantaged_groups(frame: DataFrame, groups: Sequence[str], metric: str,
         from parityframe.operators.encode import decode_columns
         out = decode_columns(out, decode, [g for g in groups])
     return out.select(group_label(groups).alias("group"), *groups, metric, "mean_over_groups")
+
+
+def gaps_by_attribute(pred: DataFrame, attributes: Sequence[str], y: str = "y_true", p: str = "y_pred",
+                      empty_rate: float | None = 0.0) -> DataFrame:
+    """K3/K4 per attribute: ``(attribute, parity_difference,
+    odds_difference)`` over the values of each attribute separately (the
+    intersectional form is :func:`parity_difference` / :func:`odds_difference`
+    on all attributes). All attributes in one grouping-sets job."""
+    rates = _attribute_sets(pred, attributes, metric_aggs(["selection_rate", "tpr", "fpr"], y, p))
+    return rates.groupBy("attribute").agg(
+        _gap("selection_rate", None).alias("parity_difference"),
+        F.greatest(_gap("tpr", empty_rate), _gap("fpr", empty_rate)).alias("odds_difference"))

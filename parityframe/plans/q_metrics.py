@@ -370,3 +370,17 @@ def q_metric_frame_flagged(spark, sf):
     from parityframe.plans.flows import flagged_frame
     fr = mx.metric_frame(orders_pred(spark, sf), GROUPS, ["n", "f1"])
     return round_doubles(flagged_frame(fr, "f1"))
+
+
+def _gaps_sql(attrs, base):
+    parts = [f"SELECT '{a}' AS attribute, {counts_sql()} FROM p GROUP BY {a}" for a in attrs]
+    return f"""{base}, c AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT attribute, {div('tp + fp', 'tn + fp + fn + tp', None)} AS sr,
+             COALESCE({div('tp', 'tp + fn', None)}, 0) AS tpr, COALESCE({div('fp', 'fp + tn', None)}, 0) AS fpr FROM c)
+SELECT attribute, ROUND(max(sr) - min(sr), 6) AS parity_difference,
+       ROUND(GREATEST(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) AS odds_difference FROM r GROUP BY attribute"""
+
+
+@register("gaps_by_attribute", _gaps_sql(["lang", "source"], DP))
+def q_gaps_by_attribute(spark, sf):
+    return round_doubles(fx.gaps_by_attribute(docs_pred(spark, sf), ["lang", "source"]))
