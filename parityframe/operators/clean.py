@@ -19,7 +19,10 @@ Quantile methods:
   cut (one job, <= ``buckets`` rows back), and keeps the cut holding the
   wanted rank; values are gathered only once the range has at most
   ``max_collect`` rows. Exact at any size;
-* ``approx`` - ``percentile_approx`` (not equal to the oracle).
+* ``approx`` - ``percentile_approx`` (not equal to the oracle);
+* ``auto``   - (default) one HyperLogLog job counts each column's distinct
+  values; columns above ``AUTO_DISTINCT_LIMIT`` use ``refine``, the rest
+  ``exact``. Both give the same numbers.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from parityframe.operators.profile import numeric_columns
 from parityframe.operators.ranking import add_bucket, quantile_splits
 
+AUTO_DISTINCT_LIMIT = 5_000_000
+
 
 @dataclass(frozen=True)
 class Fence:
@@ -134,12 +139,23 @@ def column_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: st
     raise ValueError("method must be 'exact', 'refine' or 'approx'")
 
 
-def fit_fence(df: DataFrame, col: str, method: str = "exact", **kw) -> Fence:
+def choose_methods(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, str]:
+    """Resolve ``auto`` per column with one approximate-distinct job."""
+    cols = list(dict.fromkeys(columns))
+    if method != "auto":
+        return {c: method for c in cols}
+    row = df.agg(*[F.approx_count_distinct(_clean_value(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return {c: ("refine" if row[f"d{i}"] > AUTO_DISTINCT_LIMIT else "exact") for i, c in enumerate(cols)}
+
+
+def fit_fence(df: DataFrame, col: str, method: str = "auto", **kw) -> Fence:
+    if method == "auto":
+        method = choose_methods(df, [col], method)[col]
     q1, q3 = column_quantiles(df, col, [0.25, 0.75], method, **kw)
     return Fence(col, q1, q3)
 
 
-def iqr_filter(df: DataFrame, col: str, method: str = "exact") -> tuple[DataFrame, Fence]:
+def iqr_filter(df: DataFrame, col: str, method: str = "auto") -> tuple[DataFrame, Fence]:
     """Keep rows inside one column's IQR fence."""
     fence = fit_fence(df, col, method)
     return df.where(fence.predicate()), fence
@@ -160,27 +176,35 @@ def default_iqr_columns(df: DataFrame, id_cols: Sequence[str] = (), label_col: s
     return [c for c in cand if d[c] > 2]
 
 
-def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "exact",
+def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "auto",
                    **kw) -> tuple[DataFrame, list[Fence]]:
     """Fences in order, each fitted on the survivors of the previous
     ones. A repeated column (the reference's second pass) gets a new fence.
     Returns the lazily filtered frame and the fences (one small job each)."""
+    methods = choose_methods(df, columns, method)
     fences: list[Fence] = []
     cur = df
     for c in columns:
-        f = fit_fence(cur, c, method, **kw)
+        f = fit_fence(cur, c, methods[c], **kw)
         fences.append(f)
         cur = cur.where(f.predicate())
     return cur, fences
 
 
-def iqr_one_shot(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Fence]]:
-    """C4: all fences from the same input in one aggregate, one filter.
-    Differs from C2 by design (fences do not see earlier filters)."""
-    aggs = [F.percentile(_clean_value(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
-            for i, c in enumerate(columns)]
-    row = df.agg(*aggs).first()
-    fences = [Fence(c, *(row[f"q{i}"] or [None, None])) for i, c in enumerate(columns)]
+def iqr_one_shot(df: DataFrame, columns: Sequence[str], method: str = "auto") -> tuple[DataFrame, list[Fence]]:
+    """C4: all fences from the same input, one filter. Low-cardinality
+    columns share one aggregate; others use the refine path. Differs from
+    C2 by design (fences do not see earlier filters)."""
+    methods = choose_methods(df, columns, method)
+    exact = [c for c in columns if methods[c] == "exact"]
+    row = df.agg(*[F.percentile(_clean_value(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
+                   for i, c in enumerate(columns) if c in exact]).first() if exact else None
+    fences = []
+    for i, c in enumerate(columns):
+        if c in exact:
+            fences.append(Fence(c, *(row[f"q{i}"] or [None, None])))
+        else:
+            fences.append(fit_fence(df, c, methods[c]))
     pred = F.lit(True)
     for f in fences:
         pred = pred & f.predicate()

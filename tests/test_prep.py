@@ -108,3 +108,14 @@ def test_chi2_and_k_best(spark):
     s = sx.chi2_scores(df, ["x"], "y")
     assert s.first().score == pytest.approx(2.0)
     assert sx.select_k_best(s, 5).count() == 1
+
+
+def test_auto_switches_to_refine(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = col(spark, [float(v) for v in np.round(rng.normal(size=2000) * 10, 3)])
+    want, fw = clean.iqr_sequential(df, ["x", "x"], method="exact")
+    monkeypatch.setattr(clean, "AUTO_DISTINCT_LIMIT", 10)
+    assert clean.choose_methods(df, ["x"], "auto") == {"x": "refine"}
+    got, fg = clean.iqr_sequential(df, ["x", "x"], method="auto", max_collect=100)
+    assert [(f.q1, f.q3) for f in fg] == pytest.approx([(f.q1, f.q3) for f in fw])
+    assert got.count() == want.count()
