@@ -107,11 +107,10 @@ def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequen
     dist = (pred.groupBy(*by, F.col(score).cast("double").alias("s"))
             .agg(F.count_if(yv == 1).cast("long").alias("pos"),
                  F.count_if(yv != 1).cast("long").alias("neg")))
-    from parityframe.operators.ranking import add_bucket, buckets_for, quantile_splits
+    from parityframe.operators.ranking import add_bucket, count_and_splits, quantile_splits
     scores = pred.select(F.col(score).cast("double").alias("s"))
-    if n_buckets is None:
-        n_buckets = buckets_for(scores.count())
-    dist = add_bucket(dist, "s", quantile_splits(scores, "s", n_buckets), "bk")
+    splits = quantile_splits(scores, "s", n_buckets) if n_buckets else count_and_splits(scores, "s")[1]
+    dist = add_bucket(dist, "s", splits, "bk")
     bucket_tot = dist.groupBy(*by, "bk").agg(F.sum("neg").alias("bneg"))
     w_b = (Window.partitionBy(*by).orderBy("bk") if by else Window.orderBy("bk"))
     offs = bucket_tot.select(*by, "bk", F.coalesce(

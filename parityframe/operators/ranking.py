@@ -106,9 +106,22 @@ def add_bucket(df: DataFrame, col: str, splits: Sequence[float], out_col: str) -
     return out.drop(tmp).withColumn(out_col, F.col(out_col).cast("long"))
 
 
+def count_and_splits(df: DataFrame, col: str, base_buckets: int = 256) -> tuple[int, list[float]]:
+    """Row count and quantile splits in one job; a second, finer job runs
+    only when the data needs more than ``base_buckets`` ranges (about a
+    million rows each)."""
+    probs = [i / base_buckets for i in range(1, base_buckets)]
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(F.col(col).cast("double"), probs, max(10000, 8 * base_buckets)).alias("b")).first()
+    n = int(row["n"])
+    want = buckets_for(n)
+    if want > base_buckets:
+        return n, quantile_splits(df, col, want)
+    return n, sorted(set(float(x) for x in (row["b"] or []) if x is not None and x == x))
+
+
 def add_quantile_bucket(df: DataFrame, col: str, out_col: str, n_buckets: int | None = None) -> DataFrame:
     """Bucket by approximate quantiles; the bucket count grows with the row
-    count (one count job) unless given."""
-    if n_buckets is None:
-        n_buckets = buckets_for(df.count())
-    return add_bucket(df, col, quantile_splits(df, col, n_buckets), out_col)
+    count unless given."""
+    splits = quantile_splits(df, col, n_buckets) if n_buckets else count_and_splits(df, col)[1]
+    return add_bucket(df, col, splits, out_col)
