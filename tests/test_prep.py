@@ -119,3 +119,19 @@ def test_auto_switches_to_refine(spark, monkeypatch):
     got, fg = clean.iqr_sequential(df, ["x", "x"], method="auto", max_collect=100)
     assert [v for f in fg for v in (f.q1, f.q3)] == pytest.approx([v for f in fw for v in (f.q1, f.q3)])
     assert got.count() == want.count()
+
+
+def test_clinical_feature_set(spark):
+    from parityframe.functions import clinical
+    cols = sorted({c for _, _, ins in clinical.SOLUTION_FEATURES for c in ins} - {"Country"})
+    rows = [tuple([float(i + j + 1) for j in range(len(cols))] + [c]) for i, c in enumerate(["x", "x", "y"])]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", Country string")
+    out = clinical.apply_feature_set(df, clinical.SOLUTION_FEATURES)
+    names = [n for n, _, _ in clinical.SOLUTION_FEATURES]
+    assert all(n in out.columns for n in names) and len(names) == 17
+    r = {x.Country + str(x.WBC_Count): x for x in out.collect()}
+    wbc = [x.WBC_Count for x in out.collect() if x.Country == "x"]
+    some = next(iter(r.values()))
+    assert some.Hemoglobin_WBC == pytest.approx(some.Hemoglobin_Level / some.WBC_Count)
+    assert sorted(x.Delta_WBC for x in out.collect() if x.Country == "x") == pytest.approx(
+        sorted(w - sum(wbc) / len(wbc) for w in wbc))
