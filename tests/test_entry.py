@@ -61,3 +61,39 @@ def test_fast_oracle(spark):
         drows = cur.fetchall()
         assert sorted(df.columns) == sorted(dcols), name
         assert digest(df.columns, srows) == digest(dcols, drows), name
+
+
+def _plan(spark, df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _single_partition_inputs(plan):
+    lines = [x for x in plan.split("\n") if x.strip()]
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            yield lines[i + 1]
+
+
+@pytest.mark.parametrize("name", ["split_exact", "folds_stratified", "roc_auc", "group_bootstrap",
+                                  "sample_with_replacement", "group_report"])
+def test_no_single_task_over_raw_rows(spark, name):
+    """Every single-partition exchange must sit on an aggregate (a small
+    table), never on raw rows (SURVEY 4.2: H1/H2/G5)."""
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(spark, E.queries()[name](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    for child in _single_partition_inputs(plan):
+        assert "HashAggregate" in child, (name, child)
+
+
+def test_encode_uses_broadcast_join(spark):
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(spark, E.queries()["encode_roundtrip"](spark, SF))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan
