@@ -47,9 +47,17 @@ def logistic(n_rows: int, C: float = 0.01, max_iter: int = 1000, label: str = "l
 
 def boosted(preset: str | None = None, seed: int = 42, label: str = "label", **params) -> GBTClassifier:
     """Gradient-boosted trees; ``preset`` names one of PRESETS,
-    keyword arguments override (``maxIter``, ``maxDepth``, ...)."""
+    keyword arguments override (``maxIter``, ``maxDepth``, ...). Boosting
+    is first-order (no leaf L2 term), so numbers differ from the
+    reference's boosters; roles and presets are the same."""
     p = dict(PRESETS.get(preset, {})) if preset else {}
+    p.setdefault("checkpointInterval", 10)
     p.update(params)
+    # Long tree chains checkpoint their state every ``checkpointInterval``
+    # trees, which needs the shared checkpoint folder on the context.
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ensure_checkpoint_dir(spark)
     return GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **p)
 
 
