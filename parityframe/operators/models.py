@@ -235,40 +235,51 @@ def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str
 
 
 # ------------------------------------------------------------------ N10
-def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15) -> DataFrame:
+def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15,
+                 metrics: Sequence[str] = ("logloss", "auc", "error"),
+                 rounds: Sequence[int] | None = None) -> DataFrame:
     """Per boosting round and split: log loss, error and AUC of the
     staged model (first r trees). Every tree's prediction is added as a
-    column in one map-only pass, staged margins are running weighted sums,
-    and the metrics are one grouped aggregate per split (AUC by the exact
-    bucketed method). Probability = sigmoid(2 * margin), as Spark's GBT."""
+    column in one map-only pass and staged margins are running weighted
+    sums; probability = sigmoid(2 * margin), as in Spark's GBT.
+
+    Log loss and error are one grouped aggregate by round (partial
+    aggregation keeps the shuffle at rounds x partitions rows). Exact AUC
+    needs a (round, score) shuffle of rows x rounds, so it can be left out
+    (``metrics``) or limited to some rounds (``rounds``)."""
     from parityframe.operators.metrics import roc_auc
     trees = model.trees
     weights = list(model.treeWeights)
+    keep_rounds = sorted(set(rounds)) if rounds is not None else list(range(1, len(trees) + 1))
     out = None
     for split, df in parts.items():
-        cur = df.select(F.monotonically_increasing_id().alias("__rid"), F.col(label).cast("int").alias("y_true"),
-                        "features")
-        for t, tree in enumerate(trees):
+        cur = df.select(F.col(label).cast("int").alias("y_true"), "features")
+        for t, tree in enumerate(trees[:max(keep_rounds)]):
             tree = tree.copy()
             tree.setPredictionCol(f"__p{t}")
             cur = tree.transform(cur)
-        staged, acc = [], None
-        for t in range(len(trees)):
+        staged, acc = {}, None
+        for t in range(max(keep_rounds)):
             term = F.col(f"__p{t}") * F.lit(float(weights[t]))
             acc = term if acc is None else acc + term
-            staged.append(acc)
-        long = cur.select("y_true", F.posexplode(F.array(*staged)).alias("pos", "margin"))
-        long = long.select("y_true", (F.col("pos") + 1).alias("round"),
-                           (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("margin")))).alias("score"))
+            if t + 1 in keep_rounds:
+                staged[t + 1] = acc
+        long = cur.select("y_true", F.explode(F.array(*[
+            F.struct(F.lit(r).alias("round"), m.alias("margin")) for r, m in staged.items()])).alias("s"))
+        long = long.select("y_true", "s.round",
+                           (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("s.margin")))).alias("score"))
         pc = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1.0 - eps))
         yv = F.col("y_true").cast("double")
-        m = long.groupBy("round").agg(
-            (-F.avg(yv * F.log(pc) + (F.lit(1.0) - yv) * F.log(F.lit(1.0) - pc))).alias("logloss"),
-            F.avg(((F.col("score") > 0.5).cast("int") != F.col("y_true")).cast("double")).alias("error"))
-        a = roc_auc(long, "y_true", "score", by=["round"]).select("round", "auc")
-        both = m.join(a, "round")
-        h = both.select(F.lit(split).alias("split"), "round", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("logloss", "auc", "error")]
-        )).alias("s")).select("split", "round", "s.metric", "s.value")
+        aggs = {"logloss": (-F.avg(yv * F.log(pc) + (F.lit(1.0) - yv) * F.log(F.lit(1.0) - pc))).alias("logloss"),
+                "error": F.avg(((F.col("score") > 0.5).cast("int") != F.col("y_true")).cast("double")).alias("error")}
+        names = [m for m in metrics if m in aggs]
+        m = long.groupBy("round").agg(*[aggs[n] for n in names]) if names else None
+        if "auc" in metrics:
+            a = roc_auc(long, "y_true", "score", by=["round"]).select("round", "auc")
+            m = a if m is None else m.join(a, "round")
+            names = names + ["auc"]
+        h = m.select(F.lit(split).alias("split"), "round", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("s")
+        ).select("split", "round", "s.metric", "s.value")
         out = h if out is None else out.unionByName(h)
     return out

@@ -112,7 +112,8 @@ def q_eval_history(spark, sf):
 @register("early_stop_model")
 def q_early_stop_model(spark, sf):
     train, test = prepared(spark, sf)
-    h = ml.eval_history(_gbt(maxIter=15).fit(train), {"train": train, "test": test}).transform(_ckpt)
+    h = ml.eval_history(_gbt(maxIter=15).fit(train), {"train": train, "test": test},
+                        metrics=("logloss", "error")).transform(_ckpt)
     return round_doubles(mx.early_stop(h, patience=3, metric="error", split="test"))
 
 
