@@ -384,3 +384,11 @@ SELECT attribute, ROUND(max(sr) - min(sr), 6) AS parity_difference,
 @register("gaps_by_attribute", _gaps_sql(["lang", "source"], DP))
 def q_gaps_by_attribute(spark, sf):
     return round_doubles(fx.gaps_by_attribute(docs_pred(spark, sf), ["lang", "source"]))
+
+
+@register("metric_cube", f"""{DP}, c AS (SELECT lang, source, {counts_sql()} FROM p GROUP BY CUBE (lang, source))
+SELECT lang, source, {metrics_sql(['n', 'accuracy', 'recall'])} FROM c""")
+def q_metric_cube(spark, sf):
+    """G8 with every partial level (per lang, per source, overall)."""
+    return round_doubles(mx.metric_frame(docs_pred(spark, sf), ["lang", "source"], ["n", "accuracy", "recall"],
+                                         levels="cube"))

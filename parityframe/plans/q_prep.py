@@ -296,3 +296,11 @@ def q_artifact_roundtrip(spark, sf):
     path = _scratch(spark, "artifact")
     write_artifact(t, path)
     return round_doubles(spark.read.parquet(path))
+
+
+@register("iqr_approx")
+def q_iqr_approx(spark, sf):
+    """C1 with approximate quantiles (``percentile_approx``): cheaper, but
+    fences can differ slightly from the exact ones, so no oracle."""
+    out, _ = clean.iqr_sequential(read_table(spark, sf, "events"), _SEQ, method="approx")
+    return out.select("event_id", "user_id", "value")
