@@ -92,7 +92,7 @@ def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred")
 
 # ---------------------------------------------------------------------- G5
 def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequence[str] = (),
-            n_buckets: int | None = None) -> DataFrame:
+            n_buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted half (Mann-Whitney), per ``by``.
 
     Scores are first reduced to distinct (by, score) rows with positive and
@@ -104,9 +104,13 @@ def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequen
     """
     by = list(by)
     yv = F.col(y)
+    if weight is None:
+        pos_agg, neg_agg = F.count_if(yv == 1), F.count_if(yv != 1)
+    else:   # rows that already carry counts
+        pos_agg = F.sum(F.when(yv == 1, F.col(weight)).otherwise(F.lit(0)))
+        neg_agg = F.sum(F.when(yv != 1, F.col(weight)).otherwise(F.lit(0)))
     dist = (pred.groupBy(*by, F.col(score).cast("double").alias("s"))
-            .agg(F.count_if(yv == 1).cast("long").alias("pos"),
-                 F.count_if(yv != 1).cast("long").alias("neg")))
+            .agg(pos_agg.cast("long").alias("pos"), neg_agg.cast("long").alias("neg")))
     from parityframe.operators.ranking import add_bucket, count_and_splits, quantile_splits
     scores = pred.select(F.col(score).cast("double").alias("s"))
     splits = quantile_splits(scores, "s", n_buckets) if n_buckets else count_and_splits(scores, "s")[1]

@@ -283,3 +283,96 @@ def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps:
         ).select("split", "round", "s.metric", "s.value")
         out = h if out is None else out.unionByName(h)
     return out
+
+
+def leaf_value_table(model) -> tuple[list, list]:
+    """Per tree, the weighted prediction of each leaf in leaf-index order
+    (the rank of the leaf's node id within its tree), read from the saved
+    model's node table in the shared checkpoint folder. Size: total leaves,
+    known from the model, at most trees x 2^depth."""
+    spark = SparkSession.getActiveSession()
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, f"model-{uuid.uuid4().hex}")
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(os.path.join(path, "data"))
+    leaves = (nodes.where(F.col("nodeData.leftChild") < 0)
+              .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("v"))
+              .orderBy("treeID", "id").collect())            # bounded by model.totalNumNodes
+    weights = list(model.treeWeights)
+    table: list = [[] for _ in weights]
+    for r in leaves:
+        table[r["treeID"]].append(weights[r["treeID"]] * float(r["v"]))
+    return table, weights
+
+
+def eval_history_leaves(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15,
+                        with_auc: bool = True) -> DataFrame:
+    """N10 for long tree chains (hundreds of trees): one transform gives each
+    row's leaf index per tree (``leafCol``); inside each Arrow batch NumPy
+    looks up leaf values, takes the running sum over trees (staged margins)
+    and emits only per-round partial sums (and, for AUC, per-round distinct
+    score counts). No per-tree columns, no rows x trees shuffle for log loss
+    and error. Same output as :func:`eval_history`."""
+    import numpy as np
+    import pandas as pd
+    from parityframe.operators.metrics import roc_auc
+
+    table, _ = leaf_value_table(model)
+    n_trees = len(table)
+    width = max(len(t) for t in table)
+    lut = np.zeros((n_trees, width))
+    for t, vals in enumerate(table):
+        lut[t, :len(vals)] = vals
+
+    def partials(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            leaves = np.stack(pdf["leaves"].to_numpy()).astype(np.int64)          # rows x trees
+            margins = np.cumsum(lut[np.arange(n_trees), leaves], axis=1)         # staged margins
+            y = pdf["y"].to_numpy().astype(float)[:, None]
+            p = 1.0 / (1.0 + np.exp(-2.0 * margins))
+            pc = np.clip(p, eps, 1.0 - eps)
+            ll = -(y * np.log(pc) + (1.0 - y) * np.log(1.0 - pc)).sum(axis=0)
+            err = ((p > 0.5).astype(float) != y).sum(axis=0)
+            out = pd.DataFrame({"round": np.arange(1, n_trees + 1, dtype=np.int32), "kind": "sum",
+                                "score": np.nan, "ll": ll, "err": err,
+                                "n": np.full(n_trees, len(pdf), dtype=np.int64),
+                                "pos": np.zeros(n_trees, dtype=np.int64), "neg": np.zeros(n_trees, dtype=np.int64)})
+            yield out
+            if with_auc:
+                rr = np.repeat(np.arange(1, n_trees + 1, dtype=np.int32)[None, :], len(pdf), axis=0).ravel()
+                sc = pd.DataFrame({"round": rr, "score": p.ravel(), "y": np.repeat(y[:, 0], n_trees)})
+                g = sc.groupby(["round", "score"]).agg(pos=("y", "sum"), n=("y", "size")).reset_index()
+                yield pd.DataFrame({"round": g["round"].astype(np.int32), "kind": "score", "score": g["score"],
+                                    "ll": 0.0, "err": 0.0, "n": g["n"].astype(np.int64),
+                                    "pos": g["pos"].astype(np.int64), "neg": (g["n"] - g["pos"]).astype(np.int64)})
+
+    schema = "round int, kind string, score double, ll double, err double, n long, pos long, neg long"
+    out = None
+    for split, df in parts.items():
+        m = model.copy()
+        m.setLeafCol("__leaves")
+        scored = m.transform(df).select(F.col(label).cast("int").alias("y"),
+                                        vector_to_array("__leaves").alias("leaves"))
+        part = scored.mapInPandas(partials, schema)
+        sums = part.where(F.col("kind") == "sum").groupBy("round").agg(
+            (F.sum("ll") / F.sum("n")).alias("logloss"), (F.sum("err") / F.sum("n")).alias("error"))
+        names = ["logloss", "error"]
+        if with_auc:
+            sc = (part.where(F.col("kind") == "score").groupBy("round", "score")
+                  .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+            # Expand the counts back to a (y_true, score) form for roc_auc via weights.
+            pred = sc.select("round", "score", F.explode(F.array(
+                F.struct(F.lit(1).alias("y_true"), F.col("pos").alias("w")),
+                F.struct(F.lit(0).alias("y_true"), F.col("neg").alias("w")))).alias("s")).where("s.w > 0")
+            pred = pred.select("round", "score", "s.y_true", "s.w")
+            a = roc_auc(pred, "y_true", "score", by=["round"], weight="w").select("round", "auc")
+            sums = sums.join(a, "round")
+            names.append("auc")
+        h = sums.select(F.lit(split).alias("split"), "round", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("s")
+        ).select("split", "round", "s.metric", "s.value")
+        out = h if out is None else out.unionByName(h)
+    return out
+

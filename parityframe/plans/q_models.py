@@ -169,3 +169,12 @@ def q_mitigation_bundle(spark, sf):
     post = ml.predictions(ml.logistic(boot.count()).fit(boot), test, "o_orderkey", "label", GROUPS)
     return round_doubles(fx.fairness_bundle(base, GROUPS, "before").unionByName(
         fx.fairness_bundle(post, GROUPS, "after")))
+
+
+@register("eval_history_leaves")
+def q_eval_history_leaves(spark, sf):
+    """N10 for long tree chains: leaf indices from one transform, staged
+    margins per Arrow batch, per-round partial sums aggregated by Spark."""
+    train, test = prepared(spark, sf)
+    m = _gbt().fit(train)
+    return round_doubles(ml.eval_history_leaves(m, {"train": train, "test": test}))

@@ -47,3 +47,14 @@ def test_history_last_round_matches_model(spark):
     err = np.mean([r.y_true != r.y_pred for r in preds])
     assert last["error"] == pytest.approx(err)
     assert h.select("round").distinct().count() == 4
+
+
+def test_history_leaves_equals_columns(spark):
+    df, _, _ = table(spark, seed=3)
+    d = ml.assemble(df, ["a", "b", "c"])
+    m = ml.boosted(maxIter=6, maxDepth=3).fit(d)
+    a = {(r.round, r.metric): r.value for r in ml.eval_history(m, {"train": d}).collect()}
+    b = {(r.round, r.metric): r.value for r in ml.eval_history_leaves(m, {"train": d}).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-9), k
