@@ -19,59 +19,62 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     col_b, pos_a, pos_b, r, abs_r)``. A constant column gives NULL rather
     than the ANSI divide-by-zero error of ``corr``.
 
-    Two passes of plain sums (which stay inside whole-stage codegen, unlike
-    dozens of covariance aggregates): pass 1 gets each column's mean and
-    missing count; pass 2 sums shifted values ``x - mean`` and their
-    products, which keeps the moment formulas numerically stable. Columns
-    with missing values use per-pair sums over the rows where both are
-    present.
+    Plain sums of shifted values ``x - K`` (K = one observed row, which keeps
+    the moment formulas stable) and their products, in one pass that also
+    counts missing values; plain sums stay inside whole-stage codegen,
+    unlike dozens of covariance aggregates. Only if some column has missing
+    values does a second pass compute per-pair sums over the rows where both
+    values are present.
     """
     cols = list(cols)
     if len(cols) < 2:
         raise ValueError("need at least two columns")
+    p = len(cols)
     val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    first = df.agg(F.count(F.lit(1)).alias("__n"),
-                   *[F.count(val[c]).alias(f"__c{i}") for i, c in enumerate(cols)],
-                   *[F.avg(val[c]).alias(f"__m{i}") for i, c in enumerate(cols)]).first()
-    n = first["__n"]
-    mean = [first[f"__m{i}"] if first[f"__m{i}"] is not None else 0.0 for i in range(len(cols))]
-    full = [first[f"__c{i}"] == n for i in range(len(cols))]
-    dev = {i: val[c] - F.lit(float(mean[i])) for i, c in enumerate(cols)}
-    aggs, exprs = [], []
-    for i in range(len(cols)):
-        if full[i]:
-            aggs += [F.sum(dev[i]).alias(f"__s{i}"), F.sum(dev[i] * dev[i]).alias(f"__q{i}")]
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            if full[i] and full[j]:
-                aggs.append(F.sum(dev[i] * dev[j]).alias(f"__x{i}_{j}"))
-            else:
+    head = df.select(*[val[c].alias(f"__k{i}") for i, c in enumerate(cols)]).dropna().head(1)
+    shift = [float(head[0][f"__k{i}"]) if head else 0.0 for i in range(p)]
+    dev = {i: val[c] - F.lit(shift[i]) for i, c in enumerate(cols)}
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for i in range(p):
+        aggs += [F.count(val[cols[i]]).alias(f"__c{i}"), F.sum(dev[i]).alias(f"__s{i}"),
+                 F.sum(dev[i] * dev[i]).alias(f"__q{i}")]
+    for i in range(p):
+        for j in range(i + 1, p):
+            aggs.append(F.sum(dev[i] * dev[j]).alias(f"__x{i}_{j}"))
+    first = df.agg(*aggs).first()          # one pass: sums and missing counts
+    full = [first[f"__c{i}"] == first["__n"] for i in range(p)]
+    pair_aggs = []
+    for i in range(p):
+        for j in range(i + 1, p):
+            if not (full[i] and full[j]):
                 both = val[cols[i]].isNotNull() & val[cols[j]].isNotNull()
                 di, dj = F.when(both, dev[i]), F.when(both, dev[j])
-                aggs += [F.count_if(both).alias(f"__n{i}_{j}"), F.sum(di).alias(f"__si{i}_{j}"),
-                         F.sum(dj).alias(f"__sj{i}_{j}"), F.sum(di * di).alias(f"__qi{i}_{j}"),
-                         F.sum(dj * dj).alias(f"__qj{i}_{j}"), F.sum(di * dj).alias(f"__x{i}_{j}")]
-    sums = df.agg(*aggs)
-    pairs = []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
+                pair_aggs += [F.count_if(both).alias(f"__n{i}_{j}"), F.sum(di).alias(f"__si{i}_{j}"),
+                              F.sum(dj).alias(f"__sj{i}_{j}"), F.sum(di * di).alias(f"__qi{i}_{j}"),
+                              F.sum(dj * dj).alias(f"__qj{i}_{j}"), F.sum(di * dj).alias(f"__xp{i}_{j}")]
+    spark = df.sparkSession
+    extra = df.agg(*pair_aggs).first().asDict() if pair_aggs else {}
+    base = first.asDict()
+    rows = []
+    for i in range(p):
+        for j in range(i + 1, p):
             if full[i] and full[j]:
-                cnt = F.lit(float(n))
-                si, sj, qi, qj = (F.col(f"__s{i}"), F.col(f"__s{j}"), F.col(f"__q{i}"), F.col(f"__q{j}"))
+                cnt = float(base["__n"])
+                si, sj, qi, qj, x = base[f"__s{i}"], base[f"__s{j}"], base[f"__q{i}"], base[f"__q{j}"], base[f"__x{i}_{j}"]
             else:
-                cnt = F.col(f"__n{i}_{j}").cast("double")
-                si, sj = F.col(f"__si{i}_{j}"), F.col(f"__sj{i}_{j}")
-                qi, qj = F.col(f"__qi{i}_{j}"), F.col(f"__qj{i}_{j}")
-            cov = F.col(f"__x{i}_{j}") - si * sj / cnt
-            vi = qi - si * si / cnt
-            vj = qj - sj * sj / cnt
-            den = F.sqrt(F.greatest(vi, F.lit(0.0)) * F.greatest(vj, F.lit(0.0)))
-            r = F.when(den > 0, cov / den)
-            r = F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0)))
-            pairs.append(F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"),
-                                  F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"), r.alias("r")))
-    long = sums.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
-    return long.withColumn("abs_r", F.abs("r"))
+                cnt = float(extra[f"__n{i}_{j}"] or 0)
+                si, sj = extra[f"__si{i}_{j}"], extra[f"__sj{i}_{j}"]
+                qi, qj, x = extra[f"__qi{i}_{j}"], extra[f"__qj{i}_{j}"], extra[f"__xp{i}_{j}"]
+            r = None
+            if cnt > 0 and None not in (si, sj, qi, qj, x):
+                cov = x - si * sj / cnt
+                vi, vj = max(qi - si * si / cnt, 0.0), max(qj - sj * sj / cnt, 0.0)
+                den = (vi * vj) ** 0.5
+                if den > 0:
+                    r = min(max(cov / den, -1.0), 1.0)
+            rows.append((cols[i], cols[j], i, j, r))
+    out = spark.createDataFrame(rows, "col_a string, col_b string, pos_a int, pos_b int, r double")
+    return out.withColumn("abs_r", F.abs("r"))
 
 
 def corr_prune(corr: DataFrame, threshold: float = 0.7, protected: Sequence[str] = ()) -> DataFrame:

@@ -135,3 +135,17 @@ def test_clinical_feature_set(spark):
     assert some.Hemoglobin_WBC == pytest.approx(some.Hemoglobin_Level / some.WBC_Count)
     assert sorted(x.Delta_WBC for x in out.collect() if x.Country == "x") == pytest.approx(
         sorted(w - sum(wbc) / len(wbc) for w in wbc))
+
+
+def test_corr_pairwise_complete(spark):
+    rows = [(1.0, 2.0, 5.0), (2.0, None, 3.0), (3.0, 6.5, float("nan")), (4.0, 8.0, 1.0), (5.0, 9.0, 0.5)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r.col_a, r.col_b): r.r for r in sx.corr_matrix(df, ["a", "b", "c"]).collect()}
+    arr = np.array([[np.nan if v is None else v for v in r] for r in rows])
+
+    def pair(i, j):
+        m = ~np.isnan(arr[:, i]) & ~np.isnan(arr[:, j])
+        return np.corrcoef(arr[m, i], arr[m, j])[0, 1]
+    assert got[("a", "b")] == pytest.approx(pair(0, 1))
+    assert got[("a", "c")] == pytest.approx(pair(0, 2))
+    assert got[("b", "c")] == pytest.approx(pair(1, 2))
