@@ -225,7 +225,11 @@ def metric_frame(pred: DataFrame, groups: Sequence[str],
     out = gd.agg(*aggs) if aggs else pred.select(*groups).distinct()
     for name, fn in py_metrics.items():
         extra = _python_metric_frame(pred, groups, name, fn, y, p)
-        out = keyed_join(out, extra, groups, "left") if groups else out.join(extra, how="left")
+        if groups:
+            out = keyed_join(out, extra, groups, "left")
+        else:   # one row each: attach on a constant key, not a keyless join
+            out = keyed_join(out.withColumn("__all", F.lit(0)), extra.withColumn("__all", F.lit(0)),
+                             ["__all"], "left").drop("__all")
     if complete and groups:
         out = _complete_cells(pred, out, groups, max_cells)
     return out

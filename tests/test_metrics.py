@@ -108,3 +108,14 @@ def test_complete_cells(spark):
     p = spark.createDataFrame(rows, "a string, b string, y_true int, y_pred int, score double")
     fr = mx.metric_frame(p, ["a", "b"], ["n", "accuracy"], complete=True).collect()
     assert len(fr) == 4 and sum(r["n"] for r in fr) == 2
+
+
+def test_python_metric_no_groups(spark):
+    import numpy as np
+
+    def acc(y, p, sample_weight):
+        return float(np.sum(sample_weight * (y == p)) / np.sum(sample_weight))
+    acc.python = True
+    p = pred(spark, [("a", 1, 1, 0.), ("a", 0, 1, 0.), ("b", 0, 0, 0.), ("b", 1, 1, 0.)])
+    r = mx.metric_frame(p, [], {"n": None, "acc": acc}).collect()
+    assert len(r) == 1 and r[0]["acc"] == pytest.approx(0.75) and r[0]["n"] == 4
