@@ -24,7 +24,7 @@ from parityframe.session import checkpoint as _ckpt
 
 # ---------------------------------------------------------------- I5, I6
 def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols: Sequence[str],
-                    seed: int = 42, tie: str = "bootstrap") -> DataFrame:
+                    seed: int = 42, tie: str = "bootstrap", draw_key: str | None = None) -> DataFrame:
     """Inside each combination of ``groups``, draw the smaller class
     with replacement up to the size of the larger one and keep the larger
     class as is; groups with one class (or NULL keys) are dropped.
@@ -37,6 +37,10 @@ def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols:
     class ranked by (hash, key) within the group. Slots are spread like the
     data; a hot group is split by the rank's hash buckets and the draw join
     by AQE's skew handling.
+
+    ``draw_key``: name of an extra output column holding, for drawn rows,
+    the key of the slot row that drew them (NULL for kept rows), so
+    (key, draw_key) identifies every output row even with repeated draws.
     """
     groups, keys = list(groups), list(key_cols)
     if df.isEmpty():
@@ -58,10 +62,15 @@ def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols:
     large = x.where(F.col("__small").isNull() | ~is_small)
     small = x.where(is_small)
     ranked = exact_rank(small.withColumn("__h", hash32(seed, *keys)), groups, "__h", keys, "__rn")
+    slot_key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     draws = large.where(F.col("__small").isNotNull()).select(
-        *groups, (F.pmod(hash32(f"{seed}|pick", *groups, *keys), F.col("__nsmall")) + 1).alias("__rn"))
+        *groups, (F.pmod(hash32(f"{seed}|pick", *groups, *keys), F.col("__nsmall")) + 1).alias("__rn"),
+        slot_key.alias("__slot_key"))
     drawn = keyed_join(draws, ranked.select(*df.columns, "__rn"), groups + ["__rn"])
-    return large.select(*df.columns).unionByName(drawn.select(*df.columns))
+    if draw_key is None:
+        return large.select(*df.columns).unionByName(drawn.select(*df.columns))
+    return (large.select(*df.columns, F.lit(None).cast("string").alias(draw_key))
+            .unionByName(drawn.select(*df.columns, F.col("__slot_key").alias(draw_key))))
 
 
 def balance_report(before: DataFrame, after: DataFrame, groups: Sequence[str], label: str) -> DataFrame:

@@ -67,21 +67,52 @@ def leaderboard(train: DataFrame, test: DataFrame, id_col: str, label: str, feat
     return {"predictions": preds, "leaderboard": mx.leaderboard(preds), "importance": imps}
 
 
+def _rebalanced(df: DataFrame, id_col: str, label: str, features: list, groups: list, method: str,
+                with_keys: bool = False):
+    """Rebalanced rows; with ``with_keys`` also the columns that identify
+    every output row (drawn copies and synthetic rows included)."""
+    if method == "bootstrap":
+        out = group_bootstrap(df, groups, label, [id_col], draw_key="__draw" if with_keys else None)
+        return (out, [id_col, "__draw"]) if with_keys else out
+    if method == "smote":
+        out = smote(df, id_col, label, features)
+        if with_keys:
+            return out.drop("synthetic", "base_key", "nb_key"), [id_col, label, "slot"]
+        return out.drop("synthetic", "slot", "base_key", "nb_key")
+    raise ValueError("method must be 'bootstrap' or 'smote'")
+
+
+def split_and_rebalance(df: DataFrame, id_col: str, label: str, features: Sequence[str], groups: Sequence[str],
+                        rebalance: str = "train_only", method: str = "bootstrap",
+                        test_frac: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Exact split (H1) and rebalancing (I5 or I3) in either order:
+    ``train_only`` (default) rebalances the training part only;
+    ``before_split`` rebalances the whole table first, as the reference's
+    scripts do, so copies of test rows can reach training. Drawn and
+    synthetic rows are split by their own identifying columns."""
+    from parityframe.operators.split import train_test_split
+    feats, groups = list(features), list(groups)
+    if rebalance == "train_only":
+        s = train_test_split(df, [id_col], test_frac).transform(_ckpt)
+        train = s.where(F.col("split") == "train").drop("split")
+        test = s.where(F.col("split") == "test").drop("split")
+        return _rebalanced(train, id_col, label, feats, groups, method).transform(_ckpt), test
+    if rebalance == "before_split":
+        b, keys = _rebalanced(df, id_col, label, feats, groups, method, with_keys=True)
+        s = train_test_split(b, keys, test_frac).transform(_ckpt)
+        extra = [k for k in keys if k not in df.columns] + ["split"]
+        return s.where(F.col("split") == "train").drop(*extra), s.where(F.col("split") == "test").drop(*extra)
+    raise ValueError("rebalance must be 'train_only' or 'before_split'")
+
+
 def mitigation(train: DataFrame, test: DataFrame, id_col: str, label: str, features: Sequence[str],
-               groups: Sequence[str], make_estimator, rebalance: str = "train_only",
-               method: str = "bootstrap") -> dict[str, DataFrame]:
+               groups: Sequence[str], make_estimator, method: str = "bootstrap") -> dict[str, DataFrame]:
     """Flow 3.3: audit a model before and after rebalancing the training
     part (group bootstrap or SMOTE), on the same test part; pairs groups by
-    key (J5). ``rebalance='train_only'`` is the default; rebalancing before
-    the split is left to the caller."""
+    key (J5). Use :func:`split_and_rebalance` to reproduce the reference's
+    rebalance-before-split order."""
     feats, groups = list(features), list(groups)
-    if method == "bootstrap":
-        balanced = group_bootstrap(train, groups, label, [id_col])
-    elif method == "smote":
-        balanced = smote(train, id_col, label, feats).drop("synthetic", "slot", "base_key", "nb_key")
-    else:
-        raise ValueError("method must be 'bootstrap' or 'smote'")
-    balanced = balanced.transform(_ckpt)
+    balanced = _rebalanced(train, id_col, label, feats, groups, method).transform(_ckpt)
     te = ml.assemble(test, feats)
     pre = ml.predictions(make_estimator().fit(ml.assemble(train, feats)), te, id_col, label, groups).transform(_ckpt)
     post = ml.predictions(make_estimator().fit(ml.assemble(balanced, feats)), te, id_col, label, groups).transform(_ckpt)

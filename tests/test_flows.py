@@ -35,3 +35,14 @@ def test_bootstrap_empty_raises(spark):
     df = spark.createDataFrame([], "id int, g string, y int")
     with pytest.raises(ValueError):
         group_bootstrap(df, ["g"], "y", ["id"])
+
+
+@pytest.mark.parametrize("order", ["train_only", "before_split"])
+def test_split_and_rebalance(spark, order):
+    t = model_table(spark, SF)
+    train, test = flows.split_and_rebalance(t, "o_orderkey", "label", MODEL_FEATURES, ["c_mktsegment"], rebalance=order)
+    n_test, n_train = test.count(), train.count()
+    assert n_test > 0 and n_train > 0
+    for r in train.groupBy("c_mktsegment").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect():
+        if order == "train_only":
+            assert r.p * 2 == r.n            # balanced inside each group
