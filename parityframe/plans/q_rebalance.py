@@ -135,12 +135,13 @@ def q_smote_counts(spark, sf):
 
 
 # ------------------------------------------------------------------ I5-I7
-def _boot_sql(groups: list[str]) -> str:
+def _boot_sql(groups: list[str], src: str | None = None) -> str:
+    src = src or f"SELECT doc_id, lang, source, n_chars, quality, toxic FROM ({DOCS_LABELED_SQL})"
     g = ", ".join(groups)
     on = " AND ".join(f"x.{c} = c.{c}" for c in groups)
     on2 = " AND ".join(f"d.{c} = s.{c}" for c in groups) + " AND d.rn = s.rn"
     nn = " AND ".join(f"{c} IS NOT NULL" for c in groups)
-    return f"""WITH x0 AS (SELECT doc_id, lang, source, n_chars, quality, toxic FROM ({DOCS_LABELED_SQL}) WHERE {nn}),
+    return f"""WITH x0 AS (SELECT * FROM ({src}) WHERE {nn}),
 c AS (SELECT {g}, count_if(quality = 1) AS npos, count_if(quality = 0) AS nneg FROM x0 GROUP BY ALL
       HAVING count_if(quality = 1) > 0 AND count_if(quality = 0) > 0),
 x AS (SELECT x0.*, CASE WHEN c.npos < c.nneg THEN 1 ELSE 0 END AS small,
@@ -186,3 +187,17 @@ SELECT s.slot AS __slot, r.doc_id, r.quality, r.toxic FROM s JOIN n ON true JOIN
 def q_sample_with_replacement(spark, sf):
     lab = read_table(spark, sf, "labels")
     return rb.sample_with_replacement(lab, lab.count(), ["doc_id"])
+
+
+_TRAIN_SQL = f"""SELECT doc_id, lang, source, n_chars, quality, toxic FROM (
+  SELECT *, row_number() OVER (ORDER BY {H(42, 'doc_id')}, doc_id) AS rn, count(*) OVER () AS n
+  FROM ({DOCS_LABELED_SQL})) WHERE rn > CEIL(0.2 * n)"""
+
+
+@register("rebalance_train_only", _boot_sql(["lang"], _TRAIN_SQL))
+def q_rebalance_train_only(spark, sf):
+    """Flow order of 3.3 without the reference's leak: exact split first
+    (H1), then group bootstrap (I5) of the training part only."""
+    from parityframe.plans.flows import split_and_rebalance
+    train, _ = split_and_rebalance(_docs6(spark, sf), "doc_id", "quality", [], ["lang"])
+    return train
