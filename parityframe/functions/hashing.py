@@ -19,13 +19,28 @@ from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
 
+# "md5": portable (equal in Spark and DuckDB; what the oracle checks use).
+# "xxhash64": Spark's native hash on typed values, no string building; still
+# deterministic across clusters, layouts and retries, but not reproducible
+# outside Spark. Choose with :func:`set_hash_method`.
+_METHOD = {"name": "md5"}
+
+
+def set_hash_method(name: str) -> None:
+    if name not in ("md5", "xxhash64"):
+        raise ValueError("hash method must be 'md5' or 'xxhash64'")
+    _METHOD["name"] = name
+
 
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def hash32(seed: int | str, *parts) -> Column:
-    """32-bit unsigned portable hash of ``seed|part1|part2...`` as BIGINT."""
+    """32-bit unsigned hash of ``seed|part1|part2...`` as BIGINT in [0, 2^32)."""
+    if _METHOD["name"] == "xxhash64":
+        h = F.xxhash64(F.lit(str(seed)), *[_as_col(p) for p in parts])
+        return F.pmod(h, F.lit(4294967296)).cast("long")
     cols = [F.lit(str(seed))] + [_as_col(p) for p in parts]
     digest = F.md5(F.concat_ws("|", *cols))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
