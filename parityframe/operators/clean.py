@@ -45,6 +45,7 @@ class Fence:
     column: str
     q1: float | None
     q3: float | None
+    integral: bool = False     # integer column: compare in its own type
 
     @property
     def lower(self) -> float | None:
@@ -57,6 +58,13 @@ class Fence:
     def predicate(self) -> Column:
         if self.q1 is None or self.q3 is None or math.isnan(self.q1) or math.isnan(self.q3):
             return F.lit(False)  # no finite value: the reference keeps nothing
+        if self.integral:
+            # x >= L  <=>  x >= ceil(L) for integers: same rows, and a
+            # predicate on the column's own type reaches the Parquet reader.
+            lo = max(math.ceil(self.lower), -(2 ** 63))
+            hi = min(math.floor(self.upper), 2 ** 63 - 1)
+            c = F.col(f"`{self.column}`")
+            return c.isNotNull() & (c >= F.lit(lo)) & (c <= F.lit(hi))
         c = F.col(f"`{self.column}`").cast("double")
         return c.isNotNull() & ~F.isnan(c) & (c >= F.lit(self.lower)) & (c <= F.lit(self.upper))
 
@@ -152,7 +160,12 @@ def fit_fence(df: DataFrame, col: str, method: str = "auto", **kw) -> Fence:
     if method == "auto":
         method = choose_methods(df, [col], method)[col]
     q1, q3 = column_quantiles(df, col, [0.25, 0.75], method, **kw)
-    return Fence(col, q1, q3)
+    return Fence(col, q1, q3, _is_integral(df, col))
+
+
+def _is_integral(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[col].dataType, T.IntegralType)
 
 
 def iqr_filter(df: DataFrame, col: str, method: str = "auto") -> tuple[DataFrame, Fence]:
@@ -202,7 +215,7 @@ def iqr_one_shot(df: DataFrame, columns: Sequence[str], method: str = "auto") ->
     fences = []
     for i, c in enumerate(columns):
         if c in exact:
-            fences.append(Fence(c, *(row[f"q{i}"] or [None, None])))
+            fences.append(Fence(c, *(row[f"q{i}"] or [None, None]), _is_integral(df, c)))
         else:
             fences.append(fit_fence(df, c, methods[c]))
     pred = F.lit(True)
