@@ -32,7 +32,8 @@ def test_group_report_plan(spark):
 
 FAST = ["confusion", "group_report", "metric_frame", "equalized_odds", "roc_auc", "class_report",
         "iqr_sequential", "feat_ratio", "encode_apply", "corr_matrix", "split_exact", "folds_stratified",
-        "group_bootstrap", "smote", "smote_neighbors_docs", "before_after"]
+        "group_bootstrap", "smote", "smote_neighbors_docs", "before_after", "metric_cube",
+        "gaps_by_attribute", "rebalance_train_only", "metric_frame_flagged", "csv_scan"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data missing")
