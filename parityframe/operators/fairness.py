@@ -98,10 +98,12 @@ def disadvantaged_groups(frame: DataFrame, groups: Sequence[str], metric: str,
     """Groups whose ``metric`` is below the unweighted mean of the metric
     over groups (NULL metrics are skipped in the mean, as pandas does).
 
-    The mean is a scalar subquery evaluated once by Spark; the filter then
-    runs on the group table. ``decode``: an encoder map ``(column, value,
+    The group table is materialized first (it is small), so the mean (a
+    scalar subquery) and the filter do not re-read the prediction rows. ``decode``: an encoder map ``(column, value,
     code)``; group codes are replaced by their values before labelling.
     """
+    from parityframe.session import checkpoint
+    frame = checkpoint(frame)   # small per-group table: the raw rows are read once
     mean = frame.select(F.avg(metric)).scalar()
     out = frame.filter(F.col(metric) < mean).select(*groups, F.col(metric), mean.alias("mean_over_groups"))
     if decode is not None:

@@ -26,7 +26,9 @@ AUDIT = ["n", "accuracy", "precision", "recall", "f1", "tpr", "fpr", "fnr"]
 
 def flagged_frame(frame: DataFrame, metric: str) -> DataFrame:
     """The metric frame with the unweighted mean over groups and a
-    ``below_mean`` flag (scalar subquery, evaluated once)."""
+    ``below_mean`` flag. The small group table is materialized first so the
+    mean (a scalar subquery) does not re-read the prediction rows."""
+    frame = frame.transform(_ckpt)
     mean = frame.select(F.avg(metric)).scalar()
     return frame.select("*", mean.alias(f"mean_{metric}"), (F.col(metric) < mean).alias("below_mean"))
 
