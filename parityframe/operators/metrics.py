@@ -260,8 +260,10 @@ def _complete_cells(pred: DataFrame, frame: DataFrame, groups: list[str], max_ce
 def group_share(df: DataFrame, col: str) -> DataFrame:
     """Share of each value in percent, ``(value, n, pct)``; order by
     ``pct`` descending when presenting."""
-    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.select(F.count(F.lit(1)).alias("t"))
+    from parityframe.session import checkpoint
+    # One scan: the small counts table is materialized and gives the total too.
+    counts = checkpoint(df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.select(F.sum("n"))
     return counts.select("value", "n", (F.col("n") * 100.0 / total.scalar()).alias("pct"))
 
 
