@@ -3,10 +3,20 @@ SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from parityframe.llm.bpe import op5_byte_bpe
+from parityframe.llm.lines import OP3_SQL, op3_line_dedup
+from parityframe.llm.packing import op8_packed_tokens
+from parityframe.llm.piececounts import op4_token_counts
 from parityframe.llm.substrings import op7_substring_dedup
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_packed_tokens": op8_packed_tokens,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op3_line_dedup": OP3_SQL,
+}
