@@ -4,17 +4,23 @@ SQL where SQL can express them."""
 from __future__ import annotations
 
 from parityframe.llm.bpe import op5_byte_bpe
+from parityframe.llm.fingerprints import op10_fingerprints
+from parityframe.llm.licenses import op9_license_scan
 from parityframe.llm.lines import OP3_SQL, op3_line_dedup
 from parityframe.llm.packing import op8_packed_tokens
 from parityframe.llm.piececounts import op4_token_counts
 from parityframe.llm.substrings import op7_substring_dedup
+from parityframe.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_packed_tokens": op8_packed_tokens,
+    "op9_license_scan": op9_license_scan,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE = {
