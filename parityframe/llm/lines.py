@@ -64,8 +64,8 @@ def _count_keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, int] = {}
-            for text in batch.column(0).to_pylist():
-                for digest in set(_digests(text or "", min_chars)):
+            for text in batch.column(0):
+                for digest in set(_digests(text.as_py() or "", min_chars)):
                     seen[digest] = seen.get(digest, 0) + 1
             seen.pop(b"", None)
             keys = _as_keys(list(seen))
@@ -139,7 +139,7 @@ def _cut_batches(column: str, drop_of, min_chars: int, names: list[str]):
     """Replace the text column and add the counts. ``drop_of(batch)`` gives the
     digests to drop for each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = batch.column(column).to_pylist()
             cut = [_cut(t or "", drop, min_chars) for t, drop in zip(texts, drop_of(batch, len(texts)))]
             new = {column: pa.array([c[0] for c in cut], pa.string()), "n_lines": pa.array([c[1] for c in cut], pa.int64()),
@@ -163,9 +163,11 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", min
         keys["a"], keys["b"] = rows["a"].to_numpy(), rows["b"].to_numpy()
         shared = spark.sparkContext.broadcast(keys.tobytes())
 
+        drop: set[bytes] = set()
+
         def drop_of(_, n):
-            blob = shared.value
-            drop = {blob[i:i + 16] for i in range(0, len(blob), 16)}
+            if not drop:
+                drop.update(shared.value[i:i + 16] for i in range(0, len(shared.value), 16))
             return [drop] * n
         return docs.mapInArrow(_cut_batches(text_col, drop_of, min_chars, schema.names), schema)
 

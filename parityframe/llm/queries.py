@@ -4,6 +4,7 @@ SQL where SQL can express them."""
 from __future__ import annotations
 
 from parityframe.llm.bpe import op5_byte_bpe
+from parityframe.llm.decontamination import OP1_SQL, op1_decontamination
 from parityframe.llm.fingerprints import op10_fingerprints
 from parityframe.llm.licenses import op9_license_scan
 from parityframe.llm.lines import OP3_SQL, op3_line_dedup
@@ -13,6 +14,7 @@ from parityframe.llm.substrings import op7_substring_dedup
 from parityframe.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
@@ -24,5 +26,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_decontamination": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
 }
