@@ -160,6 +160,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no window of the benchmark. The keys that
+    go are stored first, so that Spark knows their size when it picks the join."""
+    gone = stored(contamination(docs, benchmark, id_col, text_col).filter("n_hit > 0")
+                  .select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id"))
+                     & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__hash")), "left_anti")
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

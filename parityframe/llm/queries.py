@@ -8,6 +8,7 @@ from parityframe.llm.decontamination import OP1_SQL, op1_decontamination
 from parityframe.llm.fingerprints import op10_fingerprints
 from parityframe.llm.licenses import op9_license_scan
 from parityframe.llm.lines import OP3_SQL, op3_line_dedup
+from parityframe.llm.ngram_join import op2_ngram_jaccard
 from parityframe.llm.packing import op8_packed_tokens
 from parityframe.llm.piececounts import op4_token_counts
 from parityframe.llm.substrings import op7_substring_dedup
@@ -15,6 +16,7 @@ from parityframe.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
