@@ -170,7 +170,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = min(MOST_RANGES, max(LEAST_RANGES, text_bytes(docs, text_col) // RANGE_BYTES))
-    cuts = sorted(set(rows.stat.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)))
+    cuts = sorted(set(rows.stat.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n))) or [0.0]
     # Ranges are numbered from the largest ids on; rows without an id are the last.
     splitter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__id", outputCol="__range", handleInvalid="keep")
     nulls = len(cuts) + 1

@@ -8,10 +8,10 @@ from parityframe.llm.decontamination import OP1_SQL, op1_decontamination
 from parityframe.llm.fingerprints import op10_fingerprints
 from parityframe.llm.licenses import op9_license_scan
 from parityframe.llm.lines import OP3_SQL, op3_line_dedup
-from parityframe.llm.ngram_join import op2_ngram_jaccard
+from parityframe.llm.ngram_join import OP2_SQL, op2_ngram_jaccard
 from parityframe.llm.packing import op8_packed_tokens
 from parityframe.llm.piececounts import op4_token_counts
-from parityframe.llm.substrings import op7_substring_dedup
+from parityframe.llm.substrings import OP7_SQL, op7_substring_dedup
 from parityframe.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -29,5 +29,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontamination": OP1_SQL,
+    "op2_ngram_jaccard": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parityframe.llm import wordhash as wh
-from parityframe.llm.common import (block_count, bucket_cuts, bucket_of, from_planes, planes, read_table,
+from parityframe.llm.common import (block_count, bucket_cuts, from_planes, planes, read_table,
                                     text_blocks, text_bytes)
 
 NO_ID = np.iinfo(np.int64).max
@@ -86,7 +86,7 @@ def _slices(table: pa.Table, length: int, k: int, runs: bool) -> list[_Slice]:
             for a, b, data, offsets in wh.text_slices(table.column("text"))]
 
 
-def _block_anchors(slices, ids_of_runs=None):
+def _block_anchors(slices):
     """Distinct anchor hashes of the block, sorted."""
     if not slices:
         return np.zeros(0, np.uint64)
@@ -277,3 +277,25 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(read_table(spark, sf_dir, "documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed",
                        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+runs AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM w WHERE len(w) >= 13)),
+firsts AS (SELECT k, min(doc_id) AS first FROM runs GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS spot
+  FROM runs JOIN firsts USING (k) WHERE first < doc_id),
+words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS spot FROM w WHERE len(w) > 0),
+kept AS (
+  SELECT doc_id, count(gone.spot) AS n_removed,
+         string_agg(word, ' ' ORDER BY words.spot) FILTER (gone.spot IS NULL) AS t
+  FROM words LEFT JOIN gone USING (doc_id, spot) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
