@@ -3,6 +3,7 @@ the routing of packed keys between blocks and buckets."""
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -19,6 +20,8 @@ from parityframe.session import ensure_checkpoint_dir
 #: small inputs). A block is what one Python call holds.
 BLOCK_BYTES = 4 << 20
 LEAST_BLOCKS = 64
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -26,6 +29,10 @@ def ship(spark: SparkSession) -> None:
     import it, and on a cluster it is not on their path. Once per context."""
     import parityframe
     sc = spark.sparkContext
+    # Texts are long: batches of the default 10,000 rows hold tens of MB, twice
+    # in each of the JVM and the Python worker.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_parityframe_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(parityframe.__file__))
@@ -52,9 +59,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts
     the lineage, survives lost executors, and is computed once."""
-    path = shared_path(df.sparkSession, name)
+    spark, schema = df.sparkSession, df.schema
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: its cleaner
+    does so when the driver's JVM finds that nothing refers to them any more,
+    which else may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:

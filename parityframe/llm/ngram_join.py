@@ -32,8 +32,10 @@ Method
    compared. So no link that could connect anything is missed, and groups of
    thousands of near copies cost about one comparison for each.
 
-The length filter (100 * smaller >= percent * larger) prunes pairs before texts
-are read. Nothing of the size of the input reaches the driver.
+Pairs are pruned before texts are read: by length (100 * smaller >= percent *
+larger) and by 512-bit parity maps of the sets, which differ in no more places
+than the sets do. Near copies with a few edits each, of which hardly two link,
+thus leave about as many pairs as there are links. Nothing of the size of the input reaches the driver.
 
 Defined results: a null text, or one without words, has an empty set, links
 with nothing and is its own component; a null id never names a component
@@ -85,6 +87,25 @@ def set_key(s: np.ndarray) -> int:
     return int(wh.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
+#: Bits of a set's parity map, as this many 64-bit columns.
+_MAP_COLUMNS = 8
+
+
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """For each of 512 places whether an odd number of the set's shingles falls
+    there. Two maps differ in at most as many places as the sets have shingles
+    that the other lacks."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=64 * _MAP_COLUMNS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _maps_allow(n_a, n_b, a: str, b: str, percent: int):
+    """Whether the maps (columns a0.. and b0..) leave room for a link: linked
+    sets differ in at most (100 - p) / (100 + p) of their summed sizes."""
+    differ = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(_MAP_COLUMNS)), F.lit(0))
+    return differ * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
 def lacking(n: int, percent: int) -> int:
     """How many of its n shingles a set can lack in one that it links with."""
     return n - -(-percent * n // 100)
@@ -136,26 +157,38 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+#: Shingles that a task gathers before it counts them.
+_GATHERED = 2_000_000
+
+
 def _describe(shingle: int, percent: int):
     """Rows (block, id, text_hash, node, n), and counts of shingles near the prefixes."""
+    names = ["kind", "block", "id", "text_hash", "node", "n"]
+
+    def counted(near: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, count = np.unique(np.concatenate(near or [np.zeros(0, np.uint64)]), return_counts=True)
+        token, count = token[count > 1], count[count > 1]
+        for at in range(0, len(token), 1 << 16):
+            t, c = token[at:at + (1 << 16)], count[at:at + (1 << 16)]
+            yield pa.record_batch([pa.array(np.full(len(t), _KIND_TOKEN, np.int32)), pa.nulls(len(t), pa.int32()),
+                                   pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()),
+                                   pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "block", "id", "text_hash", "node", "n"]
+        near, held = [], 0
         for batch in batches:
             rows = batch.num_rows
-            node, n, near = np.zeros(rows, np.int64), np.zeros(rows, np.int64), []
+            node, n = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             for i, s in shingle_sets(batch.column(2), shingle):
                 node[i], n[i] = set_key(s), len(s)
-                near.append(s[:2 * (lacking(len(s), percent) + 1)])
+                near.append(s[:2 * (lacking(len(s), percent) + 1)].copy())
+                held += len(near[-1])
             yield pa.record_batch([pa.array(np.full(rows, _KIND_ROW, np.int32)), batch.column(0), batch.column(1),
                                    batch.column(3), pa.array(node), pa.array(n)], names=names)
-            token, count = np.unique(np.concatenate(near or [np.zeros(0, np.uint64)]), return_counts=True)
-            token, count = token[count > 1], count[count > 1]
-            for at in range(0, len(token), 1 << 16):
-                t, c = token[at:at + (1 << 16)], count[at:at + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(t), _KIND_TOKEN, np.int32)),
-                                       pa.nulls(len(t), pa.int32()), pa.nulls(len(t), pa.int64()),
-                                       pa.nulls(len(t), pa.int64()),
-                                       pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=names)
+            if held > _GATHERED:
+                yield from counted(near)
+                near, held = [], 0
+        yield from counted(near)
     return run
 
 
@@ -212,11 +245,13 @@ def _signature_rows(frequent, shingle, percent, n_buckets):
     return run
 
 
-_CANDIDATE = "node long, n int, signatures array<long>, text string"
+_MAP = [f"m{i}" for i in range(_MAP_COLUMNS)]
+_CANDIDATE = "node long, n int, " + ", ".join(f"{m} long" for m in _MAP) + ", signatures array<long>, text string"
 
 
 def _candidate_rows(frequent, shingle, percent, n_buckets):
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("signatures", pa.list_(pa.int64())), ("text", pa.string())])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in _MAP),
+                        ("signatures", pa.list_(pa.int64())), ("text", pa.string())])
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -225,15 +260,18 @@ def _candidate_rows(frequent, shingle, percent, n_buckets):
         sets = _owned_sets(texts, told, shingle)
         each, distinct, count = _all_signatures(sets, hot, percent)
         shared = _read_bits(told, 0, distinct, n_buckets) | (count > 1)
-        nodes, sizes, kept, rows = [], [], [], []
+        nodes, sizes, maps, kept, rows = [], [], [], [], []
         for (node, (row, s)), sig in zip(sets.items(), each):
             sig = sig[shared[np.searchsorted(distinct, sig)]]
             if len(sig):
                 nodes.append(node)
                 sizes.append(len(s))
+                maps.append(parity_map(s))
                 kept.append(sig.view(np.int64))
                 rows.append(row)
-        return pa.table([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(kept, pa.list_(pa.int64())),
+        maps = np.array(maps, dtype=np.int64).reshape(-1, _MAP_COLUMNS)
+        return pa.table([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
+                         *(pa.array(maps[:, i]) for i in range(_MAP_COLUMNS)), pa.array(kept, pa.list_(pa.int64())),
                          texts.column("text").take(pa.array(rows, pa.int64())).combine_chunks()], schema=schema)
     return run
 
@@ -301,20 +339,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = held.join(centres, "signature") \
         .filter((F.col("node") != F.col("a")) & _near_enough(F.col("n"), F.col("n_a"), percent)) \
         .select("a", F.col("node").alias("b")).distinct()
+    maps = candidates.select("node", "n", *_MAP)
+
+    def mapped(side: str) -> DataFrame:
+        return maps.withColumnsRenamed({"node": side, "n": f"n_{side}"} | {m: f"{side}{m[1:]}" for m in _MAP})
+    stars = stars.join(mapped("b"), "b").join(mapped("a"), "a") \
+        .filter(_maps_allow(F.col("n_a"), F.col("n_b"), "a", "b", percent)).select("a", "b")
     links = stored(_verified(stars, candidates, shingle, percent), "similar")
     so_far = components(links)
 
     # What stars leave open: signatures whose sets are in several components.
-    named = candidates.select("node", "n", "signatures").join(so_far, "node", "left") \
-        .select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
+    named = candidates.select("node", "n", *_MAP, "signatures").join(so_far, "node", "left") \
+        .select("node", "n", *_MAP, F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
     several = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                              F.min("node").alias("centre")).filter("low <> high").select("signature", "centre")
     open_ = stored(named.join(several, "signature").filter(F.col("node") != F.col("centre"))
-                   .select("signature", "node", "n", "component"), "open-signatures")
-    other = open_.withColumnsRenamed({"node": "b", "n": "n_b", "component": "component_b"})
+                   .select("signature", "node", "n", "component", *_MAP), "open-signatures")
+    other = open_.withColumnsRenamed({"node": "b", "n": "n_b", "component": "component_b"} | {m: f"b{m[1:]}" for m in _MAP})
     across = open_.join(other, "signature").filter(
         (F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b"))
-        & _near_enough(F.col("n"), F.col("n_b"), percent)).select(F.col("node").alias("a"), "b").distinct()
+        & _near_enough(F.col("n"), F.col("n_b"), percent)
+        & _maps_allow(F.col("n"), F.col("n_b"), "m", "b", percent)).select(F.col("node").alias("a"), "b").distinct()
     more = _verified(across, candidates, shingle, percent)
     whole = components(links.unionByName(more))
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one slice holds, unless a single text is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 #: Bytes that separate words when words are runs of non-space: [\x20\x09-\x0D].
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
