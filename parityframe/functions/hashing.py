@@ -7,7 +7,11 @@ stream depends on partition layout.
 
 Spark:  conv(substr(md5(concat_ws('|', seed, key...)), 1, 8), 16, 10)
 DuckDB: ('0x' || substr(md5(concat_ws('|', seed, key...)), 1, 8))::BIGINT
-Both give an integer in [0, 2^32).
+Both give an integer in [0, 2^32). A NULL key part is hashed as the single
+character U+0000, so that it keeps its place among the parts.
+
+``method='xxhash64'`` takes Spark's native hash of the typed values instead
+(no string building; the same on every cluster layout, not outside Spark).
 """
 
 from __future__ import annotations
@@ -19,49 +23,38 @@ from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
 
-# "md5": portable (equal in Spark and DuckDB; what the oracle checks use).
-# "xxhash64": Spark's native hash on typed values, no string building; still
-# deterministic across clusters, layouts and retries, but not reproducible
-# outside Spark. Choose with :func:`set_hash_method`.
-_METHOD = {"name": "md5"}
-
-
-def set_hash_method(name: str) -> None:
-    if name not in ("md5", "xxhash64"):
-        raise ValueError("hash method must be 'md5' or 'xxhash64'")
-    _METHOD["name"] = name
-
-
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def hash32(seed: int | str, *parts) -> Column:
+def hash32(seed: int | str, *parts, method: str = "md5") -> Column:
     """32-bit unsigned hash of ``seed|part1|part2...`` as BIGINT in [0, 2^32)."""
-    if _METHOD["name"] == "xxhash64":
-        h = F.xxhash64(F.lit(str(seed)), *[_as_col(p) for p in parts])
+    if method == "xxhash64":
+        # The hash skips NULL values, hence the flags.
+        h = F.xxhash64(F.lit(str(seed)), *[x for p in parts for x in (_as_col(p), _as_col(p).isNull())])
         return F.pmod(h, F.lit(4294967296)).cast("long")
-    cols = [F.lit(str(seed))] + [_as_col(p) for p in parts]
+    if method != "md5":
+        raise ValueError("hash method must be 'md5' or 'xxhash64'")
+    cols = [F.lit(str(seed))] + [F.coalesce(_as_col(p).cast("string"), F.lit("\0")) for p in parts]
     digest = F.md5(F.concat_ws("|", *cols))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def uniform(seed: int | str, *parts) -> Column:
+def uniform(seed: int | str, *parts, method: str = "md5") -> Column:
     """Portable uniform draw in [0, 1)."""
-    return hash32(seed, *parts) / F.lit(TWO_32)
+    return hash32(seed, *parts, method=method) / F.lit(TWO_32)
 
 
 def sql_hash32(seed: int | str, *parts: str) -> str:
     """DuckDB text of :func:`hash32` (for oracle SQL)."""
-    inner = ", ".join([f"'{seed}'"] + list(parts))
+    inner = ", ".join([f"'{seed}'"] + [f"coalesce(CAST({p} AS VARCHAR), chr(0))" for p in parts])
     return f"('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::BIGINT"
 
 
 def check_unique_key(df: DataFrame, key_cols: Sequence[str]) -> bool:
-    """True when ``key_cols`` identify each row (one aggregate job)."""
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.count_distinct(*[F.col(c) for c in key_cols]).alias("d")).first()
-    return row["n"] == row["d"]
+    """True when ``key_cols`` identify each row (one job on the keys; NULL is
+    a key value)."""
+    return df.groupBy(*key_cols).count().filter("count > 1").isEmpty()
 
 
 def require_unique_key(df: DataFrame, key_cols: Sequence[str]) -> None:

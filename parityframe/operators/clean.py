@@ -11,18 +11,12 @@ twice per step (2^N scans); instead each fence is one small aggregate job
 whose two numbers are inlined as literals, so the final plan is a single
 scan with one conjunctive filter that Parquet can push down.
 
-Quantile methods:
-* ``exact``  - Spark ``percentile`` (buffers the column's distinct values
-  per task; fine up to ~10^8 distinct values);
-* ``refine`` - exact order statistics by repeated histogram narrowing: each
-  round cuts the candidate range by approximate quantiles, counts rows per
-  cut (one job, <= ``buckets`` rows back), and keeps the cut holding the
-  wanted rank; values are gathered only once the range has at most
-  ``max_collect`` rows. Exact at any size;
-* ``approx`` - ``percentile_approx`` (not equal to the oracle);
-* ``auto``   - (default) one HyperLogLog job counts each column's distinct
-  values; columns above ``AUTO_DISTINCT_LIMIT`` use ``refine``, the rest
-  ``exact``. Both give the same numbers.
+Quantiles are exact by distributed narrowing, the same way at every size:
+each round cuts the range that holds the wanted ranks (by approximate
+quantiles and by equal widths), counts rows per cut in one job, and goes on
+with the cut that holds the rank. A range of at most ``gather`` rows is read
+and sorted instead; that bounds what reaches the driver and changes no value.
+``method='approx'`` takes ``percentile_approx`` (not equal to the oracle).
 """
 
 from __future__ import annotations
@@ -31,13 +25,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parityframe.operators.profile import numeric_columns
 from parityframe.operators.ranking import add_bucket, quantile_splits
 
-AUTO_DISTINCT_LIMIT = 5_000_000
+#: Values that the last step of the narrowing reads at most (8 bytes each).
+GATHER = 200_000
 
 
 @dataclass(frozen=True)
@@ -74,91 +70,70 @@ def _clean_value(col: str) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def _order_stat_refine(df: DataFrame, col: str, ranks: list[int], buckets: int = 1024,
-                       max_collect: int = 200_000, accuracy: int = 100_000) -> dict[int, float]:
-    """Exact 0-based order statistics of ``col`` (NULL/NaN removed).
+def _cuts(sub: DataFrame, lo: float, hi: float, buckets: int) -> list[float]:
+    """Ascending cuts of [lo, hi]: approximate quantiles, equal widths, and the
+    next number after lo, so that every round leaves a smaller range."""
+    step = (hi - lo) / 256
+    even = [lo + step * i for i in range(1, 256)] if math.isfinite(step) else [0.0]
+    cuts = {*quantile_splits(sub, "v", buckets), *even, math.nextafter(lo, math.inf), hi}
+    return sorted(c for c in cuts if lo < c <= hi)
 
-    All wanted ranks advance together: ranks whose candidate range is the
-    same share one split job and one histogram job per round; a range is
-    gathered (sorted, at most ``max_collect`` values) only when it is small.
-    """
+
+def _order_statistics(df: DataFrame, col: str, ranks: Sequence[int], n: int, gather: int,
+                      buckets: int = 1024) -> dict[int, float]:
+    """0-based order statistics of ``col`` (NULL/NaN removed, n values left).
+    Wanted ranks in the same range share its jobs."""
     base = df.select(_clean_value(col).alias("v")).where(F.col("v").isNotNull())
     out: dict[int, float] = {}
-    pending = {k: (None, None, k) for k in sorted(set(ranks))}     # rank -> (lo, hi, rank in [lo, hi))
-    for _ in range(32):
-        if not pending:
-            return out
-        ranges: dict[tuple, list] = {}
-        for k, (lo, hi, kr) in pending.items():
-            ranges.setdefault((lo, hi), []).append((k, kr))
-        nxt = {}
-        for (lo, hi), items in ranges.items():
-            sub = base
-            if lo is not None:
-                sub = sub.where(F.col("v") >= F.lit(lo))
-            if hi is not None:
-                sub = sub.where(F.col("v") < F.lit(hi))
-            splits = quantile_splits(sub, "v", buckets, accuracy)
-            hist = sorted(add_bucket(sub, "v", splits, "b").groupBy("b").agg(
-                F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).collect())
-            total = sum(r["n"] for r in hist)
-            if total <= max_collect:
-                vals = [r["v"] for r in sub.orderBy("v").collect()]
-                for k, kr in items:
-                    out[k] = float(vals[kr])
+    # (lowest, highest value of the range, its rows) -> [(rank, rank in the range)]
+    ranges: dict[tuple, list] = {(None, None, n): [(k, k) for k in sorted(set(ranks))]}
+    while ranges:
+        found: dict[tuple, list] = {}
+        for (lo, hi, rows), items in ranges.items():
+            sub = base if lo is None else base.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
+            if rows <= gather:
+                values = np.sort(sub.toArrow().column("v").to_numpy())
+                out.update({k: float(values[at]) for k, at in items})
                 continue
-            for k, kr in items:
-                acc = 0
-                for r in hist:
-                    if acc + r["n"] > kr:
+            if lo is None:
+                ends = sub.agg(F.min("v"), F.max("v")).first()
+                lo, hi = float(ends[0]), float(ends[1])
+            hist = add_bucket(sub, "v", _cuts(sub, lo, hi, buckets), "b").groupBy("b").agg(
+                F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).orderBy("b").collect()
+            below = 0
+            for r in hist:
+                for k, at in items:
+                    if below <= at < below + r["n"]:
                         if r["mn"] == r["mx"]:
                             out[k] = float(r["mn"])
                         else:
-                            b = r["b"]
-                            nlo = splits[b - 1] if b > 0 else lo
-                            nhi = splits[b] if b < len(splits) else hi
-                            nxt[k] = (nlo, nhi, kr - acc)
-                        break
-                    acc += r["n"]
-        pending = nxt
-    raise RuntimeError("quantile refinement did not converge")
+                            found.setdefault((r["mn"], r["mx"], r["n"]), []).append((k, at - below))
+                below += r["n"]
+        ranges = found
+    return out
 
 
 def column_quantiles(df: DataFrame, col: str, probs: Sequence[float], method: str = "exact",
-                     accuracy: int = 10000, max_collect: int = 200_000) -> list[float | None]:
+                     accuracy: int = 10000, gather: int = GATHER) -> list[float | None]:
     """Linear-interpolated quantiles of one column (NaN treated as NULL)."""
-    if method == "exact":
-        arr = df.agg(F.percentile(_clean_value(col), F.array(*[F.lit(float(q)) for q in probs])).alias("q")).first()["q"]
-        return [None if arr is None else arr[i] for i in range(len(probs))]
     if method == "approx":
         arr = df.agg(F.percentile_approx(_clean_value(col), list(probs), accuracy).alias("q")).first()["q"]
         return [None if arr is None else arr[i] for i in range(len(probs))]
-    if method == "refine":
-        n = df.where(_clean_value(col).isNotNull()).count()
-        if n == 0:
-            return [None] * len(probs)
-        plan = []
-        for q in probs:
-            pos = (n - 1) * float(q)
-            lo = int(math.floor(pos))
-            plan.append((lo, min(lo + 1, n - 1), pos - lo))
-        stats = _order_stat_refine(df, col, [r for p in plan for r in p[:2]], max_collect=max_collect)
-        return [stats[a] + f * (stats[b] - stats[a]) for a, b, f in plan]
-    raise ValueError("method must be 'exact', 'refine' or 'approx'")
-
-
-def choose_methods(df: DataFrame, columns: Sequence[str], method: str) -> dict[str, str]:
-    """Resolve ``auto`` per column with one approximate-distinct job."""
-    cols = list(dict.fromkeys(columns))
-    if method != "auto":
-        return {c: method for c in cols}
-    row = df.agg(*[F.approx_count_distinct(_clean_value(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return {c: ("refine" if row[f"d{i}"] > AUTO_DISTINCT_LIMIT else "exact") for i, c in enumerate(cols)}
-
-
-def fit_fence(df: DataFrame, col: str, method: str = "auto", **kw) -> Fence:
-    if method == "auto":
-        method = choose_methods(df, [col], method)[col]
+    if method != "exact":
+        raise ValueError("method must be 'exact' or 'approx'")
+    n = df.where(_clean_value(col).isNotNull()).count()
+    if n == 0:
+        return [None] * len(probs)
+    plan = []
+    for q in probs:
+        pos = (n - 1) * float(q)
+        lo = int(math.floor(pos))
+        plan.append((lo, min(lo + 1, n - 1), pos - lo))
+    stats = _order_statistics(df, col, [r for p in plan for r in p[:2]], n, gather)
+    return [stats[a] + f * (stats[b] - stats[a]) for a, b, f in plan]
+
+
+def fit_fence(df: DataFrame, col: str, method: str = "exact", **kw) -> Fence:
     q1, q3 = column_quantiles(df, col, [0.25, 0.75], method, **kw)
     return Fence(col, q1, q3, _is_integral(df, col))
 
@@ -168,7 +143,7 @@ def _is_integral(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, T.IntegralType)
 
 
-def iqr_filter(df: DataFrame, col: str, method: str = "auto") -> tuple[DataFrame, Fence]:
+def iqr_filter(df: DataFrame, col: str, method: str = "exact") -> tuple[DataFrame, Fence]:
     """Keep rows inside one column's IQR fence."""
     fence = fit_fence(df, col, method)
     return df.where(fence.predicate()), fence
@@ -189,35 +164,24 @@ def default_iqr_columns(df: DataFrame, id_cols: Sequence[str] = (), label_col: s
     return [c for c in cand if d[c] > 2]
 
 
-def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "auto",
+def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "exact",
                    **kw) -> tuple[DataFrame, list[Fence]]:
     """Fences in order, each fitted on the survivors of the previous
     ones. A repeated column (the reference's second pass) gets a new fence.
     Returns the lazily filtered frame and the fences (one small job each)."""
-    methods = choose_methods(df, columns, method)
     fences: list[Fence] = []
     cur = df
     for c in columns:
-        f = fit_fence(cur, c, methods[c], **kw)
+        f = fit_fence(cur, c, method, **kw)
         fences.append(f)
         cur = cur.where(f.predicate())
     return cur, fences
 
 
-def iqr_one_shot(df: DataFrame, columns: Sequence[str], method: str = "auto") -> tuple[DataFrame, list[Fence]]:
-    """C4: all fences from the same input, one filter. Low-cardinality
-    columns share one aggregate; others use the refine path. Differs from
-    C2 by design (fences do not see earlier filters)."""
-    methods = choose_methods(df, columns, method)
-    exact = [c for c in columns if methods[c] == "exact"]
-    row = df.agg(*[F.percentile(_clean_value(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}")
-                   for i, c in enumerate(columns) if c in exact]).first() if exact else None
-    fences = []
-    for i, c in enumerate(columns):
-        if c in exact:
-            fences.append(Fence(c, *(row[f"q{i}"] or [None, None]), _is_integral(df, c)))
-        else:
-            fences.append(fit_fence(df, c, methods[c]))
+def iqr_one_shot(df: DataFrame, columns: Sequence[str], method: str = "exact") -> tuple[DataFrame, list[Fence]]:
+    """C4: all fences from the same input, one filter. Differs from C2 by
+    design (fences do not see earlier filters)."""
+    fences = [fit_fence(df, c, method) for c in columns]
     pred = F.lit(True)
     for f in fences:
         pred = pred & f.predicate()

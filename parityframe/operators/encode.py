@@ -1,10 +1,13 @@
 """Label encoding with a kept code map.
 
-The fitted state is a small DataFrame ``(column, value, code)``: the sorted
-distinct values of each string column numbered 0..n-1 (code-point order,
-which equals Python's ``sorted``). All columns are fitted in one job via an
-unpivot. The map's size is checked at fit time, so applying it by broadcast
-join is safe; above ``broadcast_limit`` entries a shuffle join is used.
+The fitted state is a DataFrame ``(column, value, code)``: the sorted distinct
+values of each string column numbered 0..n-1 (code-point order, which equals
+Python's ``sorted``). All columns are fitted from one scan via an unpivot: the
+distinct (column, value) pairs are sorted by range partitions and numbered
+within them, plus the rows of the same column in earlier partitions, so no
+task holds a column's whole value list. The map is stored once; applying it
+scans the input once for all columns, and the joins are left to AQE, which
+broadcasts a map by its measured size or splits a hot value.
 """
 
 from __future__ import annotations
@@ -16,11 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parityframe.session import checkpoint as _ckpt
+
 
 @dataclass(frozen=True)
 class LabelEncoding:
     mapping: DataFrame          # (column string, value string, code int)
-    sizes: dict                 # column -> number of classes (checked at fit)
+    sizes: dict                 # column -> number of classes
 
     @property
     def total(self) -> int:
@@ -32,29 +37,30 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def encoder_map(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """E1/E2 map, lazily: ``(column, value, code)`` for every column."""
+    """E1/E2 map: ``(column, value, code)`` for every column."""
     cols = list(columns) if columns is not None else string_columns(df)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("s")
     ).select("s.column", "s.value").where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return long.select("column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
-
-
-def fit_label_encoder(df: DataFrame, columns: Sequence[str] | None = None,
-                      max_classes: int = 1_000_000) -> LabelEncoding:
-    """Fit E1/E2 and check the number of classes per column (one job)."""
+    # Stored, so that counts and rows see the same partitions.
+    ranged = _ckpt(long.repartitionByRange("column", "value").withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("column", "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("column").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("column", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("column", "__part").orderBy("value")
+    numbered = ranged.withColumn("__rn", F.row_number().over(inside)).join(offsets, ["column", "__part"])
+    return numbered.select("column", "value", (F.col("__before") + F.col("__rn") - 1).cast("int").alias("code"))
+
+
+def fit_label_encoder(df: DataFrame, columns: Sequence[str] | None = None) -> LabelEncoding:
+    """Fit E1/E2: the stored map and the number of classes per column."""
     cols = list(columns) if columns is not None else string_columns(df)
-    sizes_row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    sizes = {c: int(sizes_row[c]) for c in cols}
-    too_big = {c: n for c, n in sizes.items() if n > max_classes}
-    if too_big:
-        raise ValueError(f"columns with more than {max_classes} classes: {too_big}")
-    return LabelEncoding(encoder_map(df, cols), sizes)
+    mapping = _ckpt(encoder_map(df, cols))
+    sizes = {r["column"]: int(r["n"]) for r in mapping.groupBy("column").agg(F.count("*").alias("n")).collect()}
+    return LabelEncoding(mapping, {c: sizes.get(c, 0) for c in cols})
 
 
-def apply_label_encoder(df: DataFrame, enc: LabelEncoding, unseen: str = "error",
-                        broadcast_limit: int = 2_000_000) -> DataFrame:
+def apply_label_encoder(df: DataFrame, enc: LabelEncoding, unseen: str = "error") -> DataFrame:
     """E1 transform: replace each fitted column by its integer code.
     ``unseen='error'`` fails on a value absent from the map; ``'null'``
     gives NULL. NULL stays NULL."""
@@ -62,8 +68,6 @@ def apply_label_encoder(df: DataFrame, enc: LabelEncoding, unseen: str = "error"
     for c in enc.sizes:
         m = enc.mapping.where(F.col("column") == c).select(
             F.col("value").alias("__v"), F.col("code").alias("__code"))
-        if enc.sizes[c] <= broadcast_limit:
-            m = F.broadcast(m)
         keep = [x for x in out.columns]
         out = out.join(m, out[c].cast("string") == m["__v"], "left")
         code = F.col("__code")
@@ -77,15 +81,12 @@ def apply_label_encoder(df: DataFrame, enc: LabelEncoding, unseen: str = "error"
     return out
 
 
-def decode_columns(df: DataFrame, mapping: DataFrame, columns: Sequence[str],
-                   broadcast: bool = True) -> DataFrame:
+def decode_columns(df: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace integer codes by their values (NULL for unknown codes)."""
     out = df
     for c in columns:
         m = mapping.where(F.col("column") == c).select(F.col("code").alias("__code"),
                                                        F.col("value").alias("__val"))
-        if broadcast:
-            m = F.broadcast(m)
         keep = out.columns
         out = out.join(m, out[c] == m["__code"], "left").select(
             *[F.col("__val").alias(c) if x == c else F.col(x) for x in keep])

@@ -17,12 +17,12 @@ from parityframe.operators.metrics import _attribute_sets
 
 
 def equalized_odds(pred: DataFrame, attributes: Sequence[str], y: str = "y_true", p: str = "y_pred",
-                   zero_division: float | None = None) -> DataFrame:
+                   zero_division: float | None = None, dropna: bool = True) -> DataFrame:
     """K1: ``(attribute, group_value, n, tpr, fpr, fnr)`` for every value of
     every attribute, one job. A group without positives (or negatives) gets
     NULL rates by default instead of failing."""
     return _attribute_sets(pred, attributes, metric_aggs(["n", "tpr", "fpr", "fnr"], y, p,
-                                                         rate_zero_division=zero_division))
+                                                         rate_zero_division=zero_division), dropna)
 
 
 def selection_rates(pred: DataFrame, groups: Sequence[str], y: str = "y_true",
@@ -57,8 +57,8 @@ def odds_difference(pred: DataFrame, groups: Sequence[str], y: str = "y_true", p
 
 def fairness_bundle(pred: DataFrame, groups: Sequence[str], scenario: str, y: str = "y_true",
                     p: str = "y_pred", empty_rate: float | None = 0.0) -> DataFrame:
-    """K5: long summary ``(scenario, metric, value)``: overall accuracy and
-    F1, demographic parity difference and equalized odds difference, all
+    """K5: long summary ``(scenario, metric, value)``: overall accuracy,
+    precision, recall and F1, demographic parity difference and equalized odds difference, all
     from one per-group aggregate (the overall numbers are sums of the
     per-group counts, so the raw rows are read once)."""
     c = confusion_aggs(y, p)
@@ -66,17 +66,25 @@ def fairness_bundle(pred: DataFrame, groups: Sequence[str], scenario: str, y: st
     m = metrics_from_counts(F.col("tn"), F.col("fp"), F.col("fn"), F.col("tp"), ["selection_rate", "tpr", "fpr"],
                             rate_zero_division=None)
     per = per.select("*", *[v.alias(k) for k, v in m.items()])
-    tot = metrics_from_counts(F.sum("tn"), F.sum("fp"), F.sum("fn"), F.sum("tp"), ["accuracy", "f1"])
+    tot = metrics_from_counts(F.sum("tn"), F.sum("fp"), F.sum("fn"), F.sum("tp"), ["accuracy", "precision", "recall", "f1"])
     summary = per.agg(
-        tot["accuracy"].alias("accuracy"), tot["f1"].alias("f1"),
+        *[tot[m].alias(m) for m in ("accuracy", "precision", "recall", "f1")],
         _gap("selection_rate", None).alias("parity_difference"),
         F.greatest(_gap("tpr", empty_rate), _gap("fpr", empty_rate)).alias("odds_difference"))
-    names = ["accuracy", "f1", "parity_difference", "odds_difference"]
+    names = ["accuracy", "precision", "recall", "f1", "parity_difference", "odds_difference"]
     return summary.select(F.lit(scenario).alias("scenario"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("s")
     ).select("scenario", "s.metric", "s.value")
 
 
+def scenario_groups(pred: DataFrame, groups: Sequence[str], scenario: str, y: str = "y_true",
+                    p: str = "y_pred") -> DataFrame:
+    """K5, per group: ``(scenario, groups..., n, accuracy, recall, precision,
+    f1, selection_rate, tpr, fpr)`` in one aggregate."""
+    m = metric_aggs(["n", "accuracy", "recall", "precision", "f1", "selection_rate", "tpr", "fpr"], y, p)
+    return pred.groupBy(*groups).agg(*m).select(F.lit(scenario).alias("scenario"), "*")
+
+
 def before_after(pre: DataFrame, post: DataFrame, groups: Sequence[str], metric: str) -> DataFrame:
     """K6: pair two per-group metric tables by group key (full outer join,
     NULL-safe), not by position: ``(groups..., before, after, delta)``."""

@@ -1,4 +1,4 @@
-"""Models, search and curves on Spark ML.
+"""Learners, search and curves on Spark ML.
 
 Fits are Spark ML estimators (distributed over the rows); the driver only
 loops over folds, grid points and feature subsets, as CrossValidator does.
@@ -9,28 +9,39 @@ evaluation history per (split, round, metric).
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parityframe.functions.hashing import uniform
 from parityframe.session import ensure_checkpoint_dir
 
-# Fixed hyper-parameter presets of the reference's two boosted models.
+# Fixed hyper-parameter presets of the reference's two boosted learners.
 PRESETS = {
     "boost_a": {"maxIter": 400, "maxDepth": 7, "stepSize": 0.1, "subsamplingRate": 0.8},
     "boost_b": {"maxIter": 1000, "maxDepth": 7, "stepSize": 0.05, "subsamplingRate": 1.0},
+    "boost_a_deep": {"maxIter": 400, "maxDepth": 10, "stepSize": 0.1, "subsamplingRate": 0.8},
+    "boost_b_deep": {"maxIter": 1000, "maxDepth": 10, "stepSize": 0.05, "subsamplingRate": 1.0},
 }
+# The 18-point search of the rebalanced booster, the depths of the
+# elbow, the sizes of the learning curve.
+GRID_18 = {"maxIter": [100, 200, 300], "maxDepth": [4, 6, 8], "stepSize": [0.1, 0.05]}
+ELBOW_DEPTHS = [4, 5, 6, 7, 8, 9, 10]
+CURVE_SIZES = [0.1, 0.325, 0.55, 0.775, 1.0]
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -102,22 +113,41 @@ def split_count_importance(model, features: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ N4
-def grid_search(estimator, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
-                parallelism: int = 2, seed: int = 42):
+def grid_points(grid: dict) -> list[dict]:
+    """Every combination of the grid's values, in the order of its lists."""
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+
+def _parallel(work, items: list, parallelism: int) -> list:
+    """Run independent fits ``parallelism`` at a time, results in order."""
+    with ThreadPool(max(1, min(parallelism, len(items) or 1))) as pool:
+        return pool.map(inheritable_thread_target(work), items, chunksize=1)
+
+
+def _fold_parts(train: DataFrame, fold_col: str) -> dict:
+    """{fold: (n, training rows, held-out rows)}. Sizes come from one count."""
+    sizes = {r[fold_col]: r["count"] for r in train.groupBy(fold_col).count().collect()}
+    total = sum(sizes.values())
+    return {f: (total - n, train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f))
+            for f, n in sorted(sizes.items())}
+
+
+def grid_search(make_estimator, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
+                parallelism: int = 4):
     """K-fold grid search on a fold column (H2), accuracy, refit on all
-    training rows. Returns (best model, table ``(params, mean_accuracy)``)."""
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    maps = builder.build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism, seed=seed)
-    fitted = cv.fit(train)
-    spark = train.sparkSession
-    rows = [(", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a))
-            for m, a in zip(maps, fitted.avgMetrics)]
-    return fitted.bestModel, spark.createDataFrame(rows, "params string, mean_accuracy double")
+    training rows. ``make_estimator(n, **point)`` builds the estimator for a fit
+    on n rows, so that a penalty stated per row follows each fold's size.
+    Returns (best fit, table ``(params, mean_accuracy)``)."""
+    parts, points = _fold_parts(train, fold_col), grid_points(grid)
+
+    def score(job):
+        point, (n, rows, held) = job
+        return _accuracy(make_estimator(n, **point).fit(rows), held, label)
+    scores = _parallel(score, [(p, part) for p in points for part in parts.values()], parallelism)
+    means = [sum(scores[i * len(parts):(i + 1) * len(parts)]) / len(parts) for i in range(len(points))]
+    best = make_estimator(train.count(), **points[max(range(len(points)), key=lambda i: (means[i], -i))]).fit(train)
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(a)) for p, a in zip(points, means)]
+    return best, train.sparkSession.createDataFrame(rows, "params string, mean_accuracy double")
 
 
 def _accuracy(model, df: DataFrame, label: str) -> float:
@@ -126,40 +156,53 @@ def _accuracy(model, df: DataFrame, label: str) -> float:
 
 # ------------------------------------------------------------------ N5
 def depth_elbow(make_estimator, depths: Sequence[int], train: DataFrame, label: str = "label",
-                fold_col: str = "fold") -> DataFrame:
+                fold_col: str = "fold", parallelism: int = 4) -> DataFrame:
     """Grid over tree depth with train and validation accuracy per fold:
     ``(depth, fold, split, accuracy)`` (CrossValidator keeps no train score)."""
-    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
-    rows = []
-    for d in depths:
-        for f in folds:
-            tr = train.where(F.col(fold_col) != f)
-            va = train.where(F.col(fold_col) == f)
-            m = make_estimator(d).fit(tr)
-            rows.append((int(d), int(f), "train", _accuracy(m, tr, label)))
-            rows.append((int(d), int(f), "validation", _accuracy(m, va, label)))
+    parts = _fold_parts(train, fold_col)
+
+    def scores(job):
+        depth, (fold, (_, rows, held)) = job
+        fitted = make_estimator(depth).fit(rows)
+        return [(int(depth), int(fold), "train", _accuracy(fitted, rows, label)),
+                (int(depth), int(fold), "validation", _accuracy(fitted, held, label))]
+    rows = sum(_parallel(scores, [(d, p) for d in depths for p in parts.items()], parallelism), [])
     return train.sparkSession.createDataFrame(rows, "depth int, fold int, split string, accuracy double")
 
 
 # ------------------------------------------------------------------ N12
-def learning_curve(estimator, train: DataFrame, key_cols: Sequence[str], sizes: Sequence[float],
-                   label: str = "label", fold_col: str = "fold", seed: int = 42) -> DataFrame:
+def curve_sizes(train: DataFrame, key_cols: Sequence[str], sizes: Sequence[float], fold_col: str = "fold",
+                seed: int = 42) -> DataFrame:
+    """``(frac, fold, n_train)`` of every point of the learning curve, one job."""
+    u = uniform(f"{seed}|curve", *key_cols)
+    counted = train.groupBy(F.col(fold_col).alias("fold")).agg(
+        *[F.count_if(u <= frac).alias(f"__n{i}") for i, frac in enumerate(sizes)])
+    long = counted.select("fold", F.explode(F.array(*[
+        F.struct(F.lit(float(frac)).alias("frac"), F.col(f"__n{i}").alias("n")) for i, frac in enumerate(sizes)])).alias("s"))
+    everything = Window.partitionBy("frac")
+    return long.select("s.frac", "fold", "s.n").select(
+        "frac", F.col("fold").cast("int").alias("fold"), (F.sum("n").over(everything) - F.col("n")).cast("long").alias("n_train"))
+
+
+def learning_curve(make_estimator, train: DataFrame, key_cols: Sequence[str], sizes: Sequence[float],
+                   label: str = "label", fold_col: str = "fold", seed: int = 42, parallelism: int = 4) -> DataFrame:
     """For each size fraction and fold, fit on the nested hash prefix
     ``u <= frac`` of the training folds; score on it and on the held-out
-    fold. Returns ``(frac, n_train, fold, split, accuracy)``."""
-    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
+    fold. ``make_estimator(n)`` builds the estimator for n rows. Returns
+    ``(frac, n_train, fold, split, accuracy)``; a point without rows has NULL
+    accuracies."""
     t = train.withColumn("__u", uniform(f"{seed}|curve", *key_cols))
-    rows = []
-    for frac in sizes:
-        for f in folds:
-            tr = t.where((F.col(fold_col) != f) & (F.col("__u") <= frac))
-            va = t.where(F.col(fold_col) == f)
-            n = tr.count()
-            if n == 0:
-                continue
-            m = estimator.fit(tr)
-            rows.append((float(frac), int(n), int(f), "train", _accuracy(m, tr, label)))
-            rows.append((float(frac), int(n), int(f), "validation", _accuracy(m, va, label)))
+
+    def scores(r):
+        rows = t.where((F.col(fold_col) != r["fold"]) & (F.col("__u") <= r["frac"]))
+        point = (float(r["frac"]), int(r["n_train"]), int(r["fold"]))
+        if not r["n_train"]:
+            return [(*point, "train", None), (*point, "validation", None)]
+        fitted = make_estimator(r["n_train"]).fit(rows)
+        return [(*point, "train", _accuracy(fitted, rows, label)),
+                (*point, "validation", _accuracy(fitted, t.where(F.col(fold_col) == r["fold"]), label))]
+    points = curve_sizes(train, key_cols, sizes, fold_col, seed).orderBy("frac", "fold").collect()
+    rows = sum(_parallel(scores, points, parallelism), [])
     return train.sparkSession.createDataFrame(
         rows, "frac double, n_train bigint, fold int, split string, accuracy double")
 
@@ -185,25 +228,26 @@ def _importances(model, n: int) -> list[float]:
 
 
 def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str = "label",
-          fold_col: str = "fold", min_features: int = 1, step: int = 1) -> RFECVResult:
+          fold_col: str = "fold", min_features: int = 10, step: int = 1, parallelism: int = 4) -> RFECVResult:
     """recursive feature elimination with cross-validation.
 
     On each fold's training part, features are eliminated ``step`` at a time
     by lowest importance; every subset is scored on the held-out fold. The
     size with the best mean accuracy is chosen (ties: fewer features), then
     elimination on all training rows fixes which features remain.
+    ``make_estimator(n)`` builds the estimator for a fit on n rows; importances
+    are |coefficients| or the trees' gains.
     """
     feats = list(features)
-    folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
-    rows = []
+    min_features = min(min_features, len(feats))
 
-    def path(data: DataFrame, evaluate: DataFrame | None):
-        cur = list(feats)
-        order = []
+    def path(job):
+        n, data, evaluate = job
+        rows, cur, order = [], list(feats), []
         while True:
-            m = make_estimator().fit(assemble(data, cur))
+            m = make_estimator(n).fit(assemble(data, cur))
             if evaluate is not None:
-                rows.append((len(cur), -1, _accuracy(m, assemble(evaluate, cur), label)))
+                rows.append((len(cur), _accuracy(m, assemble(evaluate, cur), label)))
             if len(cur) <= min_features:
                 order.extend(cur[::-1])
                 break
@@ -212,19 +256,18 @@ def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str
             drop = [cur[i] for i in sorted(range(len(cur)), key=lambda i: (imp[i], -i))[:k]]
             order.extend(drop)
             cur = [c for c in cur if c not in drop]
-        return order
+        return rows, order
 
-    for f in folds:
-        start = len(rows)
-        path(train.where(F.col(fold_col) != f), train.where(F.col(fold_col) == f))
-        rows[start:] = [(n, int(f), a) for n, _, a in rows[start:]]
+    parts = _fold_parts(train, fold_col)
+    done = _parallel(path, [*parts.values(), (train.count(), train, None)], parallelism)
+    rows = [(n, int(f), a) for f, (found, _) in zip(parts, done) for n, a in found]
     spark = train.sparkSession
     scores = spark.createDataFrame(rows, "n_features int, fold int, accuracy double")
     means: dict[int, list] = {}
     for n, _, a in rows:
         means.setdefault(n, []).append(a)
     best_n = max(sorted(means), key=lambda n: (sum(means[n]) / len(means[n]), -n))
-    order = path(train, None)          # elimination order on all rows
+    order = done[-1][1]                # elimination order on all rows
     kept = order[::-1][:best_n]
     rank = {}
     for i, ftr in enumerate(order[::-1]):
@@ -235,56 +278,6 @@ def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str
 
 
 # ------------------------------------------------------------------ N10
-def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15,
-                 metrics: Sequence[str] = ("logloss", "auc", "error"),
-                 rounds: Sequence[int] | None = None) -> DataFrame:
-    """Per boosting round and split: log loss, error and AUC of the
-    staged model (first r trees). Every tree's prediction is added as a
-    column in one map-only pass and staged margins are running weighted
-    sums; probability = sigmoid(2 * margin), as in Spark's GBT.
-
-    Log loss and error are one grouped aggregate by round (partial
-    aggregation keeps the shuffle at rounds x partitions rows). Exact AUC
-    needs a (round, score) shuffle of rows x rounds, so it can be left out
-    (``metrics``) or limited to some rounds (``rounds``)."""
-    from parityframe.operators.metrics import roc_auc
-    trees = model.trees
-    weights = list(model.treeWeights)
-    keep_rounds = sorted(set(rounds)) if rounds is not None else list(range(1, len(trees) + 1))
-    out = None
-    for split, df in parts.items():
-        cur = df.select(F.col(label).cast("int").alias("y_true"), "features")
-        for t, tree in enumerate(trees[:max(keep_rounds)]):
-            tree = tree.copy()
-            tree.setPredictionCol(f"__p{t}")
-            cur = tree.transform(cur)
-        staged, acc = {}, None
-        for t in range(max(keep_rounds)):
-            term = F.col(f"__p{t}") * F.lit(float(weights[t]))
-            acc = term if acc is None else acc + term
-            if t + 1 in keep_rounds:
-                staged[t + 1] = acc
-        long = cur.select("y_true", F.explode(F.array(*[
-            F.struct(F.lit(r).alias("round"), m.alias("margin")) for r, m in staged.items()])).alias("s"))
-        long = long.select("y_true", "s.round",
-                           (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * F.col("s.margin")))).alias("score"))
-        pc = F.least(F.greatest(F.col("score"), F.lit(eps)), F.lit(1.0 - eps))
-        yv = F.col("y_true").cast("double")
-        aggs = {"logloss": (-F.avg(yv * F.log(pc) + (F.lit(1.0) - yv) * F.log(F.lit(1.0) - pc))).alias("logloss"),
-                "error": F.avg(((F.col("score") > 0.5).cast("int") != F.col("y_true")).cast("double")).alias("error")}
-        names = [m for m in metrics if m in aggs]
-        m = long.groupBy("round").agg(*[aggs[n] for n in names]) if names else None
-        if "auc" in metrics:
-            a = roc_auc(long, "y_true", "score", by=["round"]).select("round", "auc")
-            m = a if m is None else m.join(a, "round")
-            names = names + ["auc"]
-        h = m.select(F.lit(split).alias("split"), "round", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("s")
-        ).select("split", "round", "s.metric", "s.value")
-        out = h if out is None else out.unionByName(h)
-    return out
-
-
 def leaf_value_table(model) -> tuple[list, list]:
     """Per tree, the weighted prediction of each leaf in leaf-index order
     (the rank of the leaf's node id within its tree), read from the saved
@@ -305,74 +298,80 @@ def leaf_value_table(model) -> tuple[list, list]:
     return table, weights
 
 
-def eval_history_leaves(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15,
-                        with_auc: bool = True) -> DataFrame:
-    """N10 for long tree chains (hundreds of trees): one transform gives each
-    row's leaf index per tree (``leafCol``); inside each Arrow batch NumPy
-    looks up leaf values, takes the running sum over trees (staged margins)
-    and emits only per-round partial sums (and, for AUC, per-round distinct
-    score counts). No per-tree columns, no rows x trees shuffle for log loss
-    and error. Same output as :func:`eval_history`."""
-    import numpy as np
-    import pandas as pd
+#: Rounds whose scores are counted in one job for the AUC.
+AUC_ROUNDS = 20
+
+
+def _staged(lut, leaves, rounds):
+    """Staged probabilities (rows x wanted rounds): running sums of the leaves'
+    weighted values; probability = sigmoid(2 * margin), as in Spark's GBT."""
+    last = max(rounds)
+    margins = np.cumsum(lut[np.arange(last), leaves[:, :last]], axis=1)
+    return 1.0 / (1.0 + np.exp(-2.0 * margins[:, np.asarray(rounds) - 1]))
+
+
+def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15,
+                 metrics: Sequence[str] = ("logloss", "auc", "error"),
+                 rounds: Sequence[int] | None = None) -> DataFrame:
+    """``(split, round, metric, value)``: log loss, error and AUC of the
+    staged booster (first r trees) per split.
+
+    Rows are scored once: one transform gives each row's leaf per tree
+    (``leafCol``), stored as (split, label, leaves). NumPy looks up the leaves'
+    values in Arrow batches and takes running sums. Log loss and error leave a
+    task as one row per round. For the AUC, scores are counted per task and
+    round in blocks of ``AUC_ROUNDS`` rounds, so that no shuffle holds rows x
+    trees at once."""
     from parityframe.operators.metrics import roc_auc
+    from parityframe.session import checkpoint
 
     table, _ = leaf_value_table(model)
-    n_trees = len(table)
-    width = max(len(t) for t in table)
-    lut = np.zeros((n_trees, width))
-    for t, vals in enumerate(table):
-        lut[t, :len(vals)] = vals
-
-    def partials(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            leaves = np.stack(pdf["leaves"].to_numpy()).astype(np.int64)          # rows x trees
-            margins = np.cumsum(lut[np.arange(n_trees), leaves], axis=1)         # staged margins
-            y = pdf["y"].to_numpy().astype(float)[:, None]
-            p = 1.0 / (1.0 + np.exp(-2.0 * margins))
-            pc = np.clip(p, eps, 1.0 - eps)
-            ll = -(y * np.log(pc) + (1.0 - y) * np.log(1.0 - pc)).sum(axis=0)
-            err = ((p > 0.5).astype(float) != y).sum(axis=0)
-            out = pd.DataFrame({"round": np.arange(1, n_trees + 1, dtype=np.int32), "kind": "sum",
-                                "score": np.nan, "ll": ll, "err": err,
-                                "n": np.full(n_trees, len(pdf), dtype=np.int64),
-                                "pos": np.zeros(n_trees, dtype=np.int64), "neg": np.zeros(n_trees, dtype=np.int64)})
-            yield out
-            if with_auc:
-                rr = np.repeat(np.arange(1, n_trees + 1, dtype=np.int32)[None, :], len(pdf), axis=0).ravel()
-                sc = pd.DataFrame({"round": rr, "score": p.ravel(), "y": np.repeat(y[:, 0], n_trees)})
-                g = sc.groupby(["round", "score"]).agg(pos=("y", "sum"), n=("y", "size")).reset_index()
-                yield pd.DataFrame({"round": g["round"].astype(np.int32), "kind": "score", "score": g["score"],
-                                    "ll": 0.0, "err": 0.0, "n": g["n"].astype(np.int64),
-                                    "pos": g["pos"].astype(np.int64), "neg": (g["n"] - g["pos"]).astype(np.int64)})
-
-    schema = "round int, kind string, score double, ll double, err double, n long, pos long, neg long"
-    out = None
+    lut = np.zeros((len(table), max(len(t) for t in table)))
+    for t, values in enumerate(table):
+        lut[t, :len(values)] = values
+    wanted = sorted(set(rounds)) if rounds is not None else list(range(1, len(table) + 1))
+    scorer = model.copy()
+    scorer.setLeafCol("__leaves")
+    scored = None
     for split, df in parts.items():
-        m = model.copy()
-        m.setLeafCol("__leaves")
-        scored = m.transform(df).select(F.col(label).cast("int").alias("y"),
-                                        vector_to_array("__leaves").alias("leaves"))
-        part = scored.mapInPandas(partials, schema)
-        sums = part.where(F.col("kind") == "sum").groupBy("round").agg(
-            (F.sum("ll") / F.sum("n")).alias("logloss"), (F.sum("err") / F.sum("n")).alias("error"))
-        names = ["logloss", "error"]
-        if with_auc:
-            sc = (part.where(F.col("kind") == "score").groupBy("round", "score")
-                  .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-            # Expand the counts back to a (y_true, score) form for roc_auc via weights.
-            pred = sc.select("round", "score", F.explode(F.array(
-                F.struct(F.lit(1).alias("y_true"), F.col("pos").alias("w")),
-                F.struct(F.lit(0).alias("y_true"), F.col("neg").alias("w")))).alias("s")).where("s.w > 0")
-            pred = pred.select("round", "score", "s.y_true", "s.w")
-            a = roc_auc(pred, "y_true", "score", by=["round"], weight="w").select("round", "auc")
-            sums = sums.join(a, "round")
-            names.append("auc")
-        h = sums.select(F.lit(split).alias("split"), "round", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])).alias("s")
-        ).select("split", "round", "s.metric", "s.value")
-        out = h if out is None else out.unionByName(h)
-    return out
-
+        one = scorer.transform(df).select(F.lit(split).alias("split"), F.col(label).cast("int").alias("y"),
+                                          F.transform(vector_to_array("__leaves"), lambda x: x.cast("int")).alias("leaves"))
+        scored = one if scored is None else scored.unionByName(one)
+    scored = checkpoint(scored)
+
+    def sums(batches):
+        total: dict = {}
+        for pdf in batches:
+            for split, g in pdf.groupby("split"):
+                p = _staged(lut, np.stack(g["leaves"].to_numpy()), wanted)
+                y = g["y"].to_numpy().astype(float)[:, None]
+                pc = np.clip(p, eps, 1.0 - eps)
+                new = np.stack([-(y * np.log(pc) + (1.0 - y) * np.log(1.0 - pc)).sum(axis=0),
+                                ((p > 0.5) != (y == 1)).sum(axis=0), np.full(len(wanted), len(g))])
+                total[split] = total.get(split, 0) + new
+        for split, t in total.items():
+            yield pd.DataFrame({"split": split, "round": np.array(wanted, dtype=np.int32), "ll": t[0], "err": t[1], "n": t[2]})
+
+    def counts(block):
+        def run(batches):
+            for pdf in batches:
+                for split, g in pdf.groupby("split"):
+                    p = _staged(lut, np.stack(g["leaves"].to_numpy()), block)
+                    long = pd.DataFrame({"split": split, "round": np.tile(np.array(block, dtype=np.int32), len(g)),
+                                         "score": p.ravel(), "y_true": np.repeat(g["y"].to_numpy(), len(block)), "w": 1})
+                    yield long.groupby(["split", "round", "score", "y_true"], as_index=False)["w"].sum()
+        return run
+
+    out = scored.mapInPandas(sums, "split string, round int, ll double, err double, n double").groupBy("split", "round").agg(
+        (F.sum("ll") / F.sum("n")).alias("logloss"), (F.sum("err") / F.sum("n")).alias("error"))
+    if "auc" in metrics:
+        found = None
+        for at in range(0, len(wanted), AUC_ROUNDS):
+            weighted = scored.mapInPandas(counts(wanted[at:at + AUC_ROUNDS]),
+                                          "split string, round int, score double, y_true int, w long")
+            auc = roc_auc(weighted, "y_true", "score", by=["split", "round"], weight="w").select("split", "round", "auc")
+            found = auc if found is None else found.unionByName(auc)
+        out = out.join(found, ["split", "round"])
+    return out.select("split", "round", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("s")
+    ).select("split", "round", "s.metric", "s.value")

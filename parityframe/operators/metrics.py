@@ -92,7 +92,7 @@ def classification_report(pred: DataFrame, y: str = "y_true", p: str = "y_pred")
 
 # ---------------------------------------------------------------------- G5
 def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequence[str] = (),
-            n_buckets: int | None = None, weight: str | None = None) -> DataFrame:
+            n_buckets: int | None = None, weight: str | None = None, missing: bool = False) -> DataFrame:
     """Exact ROC AUC with ties counted half (Mann-Whitney), per ``by``.
 
     Scores are first reduced to distinct (by, score) rows with positive and
@@ -101,6 +101,9 @@ def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequen
     run in one task, so scores are cut into ranges by approximate quantiles
     (about a million rows per range, 256 to 65,536 ranges), counted per
     range, and the window runs inside each (by, range) only. Exact.
+
+    Rows without a label or with a NULL or NaN score have no place in the
+    order and are left out; ``missing`` adds their number as ``n_missing``.
     """
     by = list(by)
     yv = F.col(y)
@@ -109,11 +112,13 @@ def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequen
     else:   # rows that already carry counts
         pos_agg = F.sum(F.when(yv == 1, F.col(weight)).otherwise(F.lit(0)))
         neg_agg = F.sum(F.when(yv != 1, F.col(weight)).otherwise(F.lit(0)))
-    dist = (pred.groupBy(*by, F.col(score).cast("double").alias("s"))
-            .agg(pos_agg.cast("long").alias("pos"), neg_agg.cast("long").alias("neg")))
     from parityframe.operators.ranking import add_bucket, count_and_splits, quantile_splits
-    scores = pred.select(F.col(score).cast("double").alias("s"))
-    splits = quantile_splits(scores, "s", n_buckets) if n_buckets else count_and_splits(scores, "s")[1]
+    from parityframe.session import checkpoint
+    known = yv.isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
+    # Stored: the ranges and the counts below come from it, the input is run once.
+    dist = checkpoint(pred.filter(known).groupBy(*by, F.col(score).cast("double").alias("s"))
+                      .agg(pos_agg.cast("long").alias("pos"), neg_agg.cast("long").alias("neg")))
+    splits = quantile_splits(dist, "s", n_buckets) if n_buckets else count_and_splits(dist, "s")[1]
     dist = add_bucket(dist, "s", splits, "bk")
     bucket_tot = dist.groupBy(*by, "bk").agg(F.sum("neg").alias("bneg"))
     w_b = (Window.partitionBy(*by).orderBy("bk") if by else Window.orderBy("bk"))
@@ -127,12 +132,20 @@ def roc_auc(pred: DataFrame, y: str = "y_true", score: str = "score", by: Sequen
     den = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     aggs = [F.try_divide(num, den).alias("auc"),
             F.sum("pos").cast("long").alias("n_pos"), F.sum("neg").cast("long").alias("n_neg")]
-    return j.groupBy(*by).agg(*aggs) if by else j.agg(*aggs)
+    out = j.groupBy(*by).agg(*aggs) if by else j.agg(*aggs)
+    if not missing:
+        return out
+    lost = F.count_if(~known).cast("long").alias("n_missing")
+    if by:
+        return keyed_join(pred.groupBy(*by).agg(lost), out, by, "left")
+    one = F.lit(1).alias("__one")
+    return pred.agg(lost).select("*", one).join(out.select("*", one), "__one").drop("__one")
 
 
 # ------------------------------------------------------------------ G7, K1
-def _attribute_sets(pred: DataFrame, attributes: Sequence[str], aggs: list[Column]) -> DataFrame:
-    """One Expand + two-phase aggregate for all attributes at once."""
+def _attribute_sets(pred: DataFrame, attributes: Sequence[str], aggs: list[Column], dropna: bool = True) -> DataFrame:
+    """One Expand + two-phase aggregate for all attributes at once. With
+    ``dropna`` rows without a value of an attribute are no group of it."""
     attrs = list(attributes)
     g = pred.groupingSets([[a] for a in attrs], *attrs).agg(
         *[F.grouping(a).alias(f"__g_{i}") for i, a in enumerate(attrs)], *aggs)
@@ -143,14 +156,15 @@ def _attribute_sets(pred: DataFrame, attributes: Sequence[str], aggs: list[Colum
         attr_name = F.when(active, F.lit(a)).otherwise(attr_name)
         value = F.when(active, F.col(a).cast("string")).otherwise(value)
     agg_names = [c for c in g.columns if c not in attrs and not c.startswith("__g_")]
-    return g.select(attr_name.alias("attribute"), value.alias("group_value"), *agg_names)
+    out = g.select(attr_name.alias("attribute"), value.alias("group_value"), *agg_names)
+    return out.filter(F.col("group_value").isNotNull()) if dropna else out
 
 
 def group_report(pred: DataFrame, attributes: Sequence[str], y: str = "y_true", p: str = "y_pred",
-                 metrics: Sequence[str] = REPORT_METRICS) -> DataFrame:
+                 metrics: Sequence[str] = REPORT_METRICS, dropna: bool = True) -> DataFrame:
     """Per attribute and group value: n, accuracy, precision, recall, F1
     of the positive class. All attributes in one grouping-sets job."""
-    return _attribute_sets(pred, attributes, metric_aggs(list(metrics), y, p))
+    return _attribute_sets(pred, attributes, metric_aggs(list(metrics), y, p), dropna)
 
 
 # ---------------------------------------------------------------- G8, G16
@@ -184,19 +198,18 @@ def _python_metric_frame(pred: DataFrame, groups: list[str], name: str, fn: Call
 def metric_frame(pred: DataFrame, groups: Sequence[str],
                  metrics: Sequence[str] | dict = ("n", "accuracy", "precision", "recall", "f1"),
                  y: str = "y_true", p: str = "y_pred", complete: bool = False,
-                 levels: str = "groups", max_cells: int = 1_000_000,
+                 levels: str = "groups",
                  prf_zero_division: float | None = PRF_ZERO_DIVISION,
                  rate_zero_division: float | None = RATE_ZERO_DIVISION) -> DataFrame:
     """Intersectional metric frame ``(groups..., metrics...)``.
 
     ``metrics``: names of count metrics, or a dict name -> callable. A
     callable taking two Columns returns an aggregate Column (stays in
-    Catalyst); a callable marked ``python=True`` (attribute) or any callable
-    that fails on Columns is run as ``fn(y, p, sample_weight)`` on per-group
-    weighted counts (G16).
+    Catalyst); a callable marked ``python=True`` (attribute) is run as
+    ``fn(y, p, sample_weight)`` on per-group weighted counts (G16).
     ``levels``: 'groups' (plain groupBy), 'rollup' or 'cube' (partial levels,
     totals have NULL keys). ``complete``: include empty combinations of the
-    observed values with NULL metrics (bounded by ``max_cells``).
+    observed values with NULL metrics.
     """
     groups = list(groups)
     named: list[str] = []
@@ -231,24 +244,33 @@ def metric_frame(pred: DataFrame, groups: Sequence[str],
             out = keyed_join(out.withColumn("__all", F.lit(0)), extra.withColumn("__all", F.lit(0)),
                              ["__all"], "left").drop("__all")
     if complete and groups:
-        out = _complete_cells(pred, out, groups, max_cells)
+        out = _complete_cells(pred, out, groups)
     return out
 
 
-def _complete_cells(pred: DataFrame, frame: DataFrame, groups: list[str], max_cells: int) -> DataFrame:
+def _complete_cells(pred: DataFrame, frame: DataFrame, groups: list[str]) -> DataFrame:
     """All combinations of the observed non-NULL values of each group column,
-    plus every observed cell. The number of cells is checked before any
-    value list is gathered; the grid is built by exploding the value sets
-    of one aggregate row, so no join-based Cartesian product is planned."""
-    sizes = pred.agg(*[F.count_distinct(g).alias(g) for g in groups]).first()
+    plus every observed cell. The values of each column are numbered; cell
+    number i of a distributed range then names one value of each column by
+    its digits, which are looked up by equi-joins. Any number of cells works,
+    no value list is gathered and no Cartesian product is planned."""
+    from parityframe.operators.encode import encoder_map
+    from parityframe.session import checkpoint
+    spark = pred.sparkSession
+    codes = checkpoint(encoder_map(pred, groups))
+    sizes = {r["column"]: r["n"] for r in codes.groupBy("column").agg(F.count("*").alias("n")).collect()}
     cells = 1
     for g in groups:
-        cells *= max(1, sizes[g])
-    if cells > max_cells:
-        raise ValueError(f"complete=True would create {cells} cells (> max_cells={max_cells})")
-    grid = pred.agg(*[F.collect_set(g).alias(g) for g in groups])
+        cells *= sizes.get(g, 0)
+    grid = spark.range(cells)
+    step = 1
     for g in groups:
-        grid = grid.withColumn(g, F.explode(g))
+        digit = F.pmod(F.floor(F.col("id") / F.lit(step)).cast("long") if step > 1 else F.col("id"), F.lit(max(1, sizes.get(g, 0))))
+        values = codes.filter(F.col("column") == g).select(
+            F.col("code").cast("long").alias("__digit"), F.col("value").cast(pred.schema[g].dataType).alias(g))
+        grid = grid.withColumn("__digit", digit).join(values, "__digit").drop("__digit")
+        step *= max(1, sizes.get(g, 0))
+    grid = grid.drop("id")
     rest = [c for c in frame.columns if c not in groups]
     joined = keyed_join(frame, grid, groups, "full")
     if "n" in rest:
@@ -257,14 +279,17 @@ def _complete_cells(pred: DataFrame, frame: DataFrame, groups: list[str], max_ce
 
 
 # ---------------------------------------------------------- G10-G12, G14, G15
-def group_share(df: DataFrame, col: str) -> DataFrame:
-    """Share of each value in percent, ``(value, n, pct)``; order by
-    ``pct`` descending when presenting."""
+def group_share(df: DataFrame, col: str, dropna: bool = True, ordered: bool = False) -> DataFrame:
+    """Share of each value in percent, ``(value, n, pct)``. With
+    ``dropna`` rows without a value don't count; ``ordered`` sorts by ``pct``
+    descending, then by value."""
     from parityframe.session import checkpoint
     # One scan: the small counts table is materialized and gives the total too.
-    counts = checkpoint(df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    rows = df.filter(F.col(col).isNotNull()) if dropna else df
+    counts = checkpoint(rows.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n")))
     total = counts.select(F.sum("n"))
-    return counts.select("value", "n", (F.col("n") * 100.0 / total.scalar()).alias("pct"))
+    out = counts.select("value", "n", (F.col("n") * 100.0 / total.scalar()).alias("pct"))
+    return out.orderBy(F.desc("pct"), "value") if ordered else out
 
 
 def group_combinations(df: DataFrame, cols: Sequence[str], dropna: bool = True) -> DataFrame:
@@ -281,12 +306,16 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Quantiles per column, long form ``(column, q, value)``.
-    Exact by default (linear interpolation, NaN treated as NULL)."""
+    Exact by default (linear interpolation, NaN treated as NULL) by
+    distributed narrowing, at any number of distinct values."""
+    if not approx:
+        from parityframe.operators.clean import column_quantiles
+        rows = [(c, float(q), v) for c in cols for q, v in zip(probs, column_quantiles(df, c, probs))]
+        return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
     aggs = []
     for c in cols:
         v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        e = F.percentile_approx(v, list(probs), accuracy) if approx else F.percentile(v, F.array(*[F.lit(q) for q in probs]))
-        aggs.append(e.alias(c))
+        aggs.append(F.percentile_approx(v, list(probs), accuracy).alias(c))
     wide = df.agg(*aggs)
     stacks = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("vals")) for c in cols]
     long = wide.select(F.explode(F.array(*stacks)).alias("s")).select("s.column", F.posexplode("s.vals"))
@@ -295,10 +324,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, min, max)``."""
+    """``(column, min, max)``; NaN is missing."""
     aggs = []
     for c in cols:
-        aggs += [F.min(F.col(c).cast("double")).alias(f"{c}__min"), F.max(F.col(c).cast("double")).alias(f"{c}__max")]
+        v = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max")]
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))

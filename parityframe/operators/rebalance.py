@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parityframe.functions.hashing import TWO_32, hash32
+from parityframe.functions.hashing import TWO_32, hash32, require_unique_key
 from parityframe.operators.joins import keyed_join
 from parityframe.operators.neighbors import knn_same_class
 from parityframe.operators.ranking import exact_rank
@@ -45,7 +45,9 @@ def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols:
     groups, keys = list(groups), list(key_cols)
     if df.isEmpty():
         raise ValueError("cannot resample an empty table")
-    base = df.dropna(subset=groups)
+    require_unique_key(df, keys)
+    # Rows with another or no label have no class to balance.
+    base = df.dropna(subset=groups).filter(F.col(label).isin(0, 1))
     counts = base.groupBy(*groups).agg(F.count_if(F.col(label) == 1).alias("__npos"),
                                        F.count_if(F.col(label) == 0).alias("__nneg"))
     counts = counts.where((F.col("__npos") > 0) & (F.col("__nneg") > 0))
@@ -94,6 +96,7 @@ def sample_with_replacement(df: DataFrame, n: int, key_cols: Sequence[str], seed
     total = df.count()
     if total == 0:
         raise ValueError("cannot sample from an empty table")
+    require_unique_key(df, keys)
     spark = df.sparkSession
     ranked = exact_rank(df.withColumn("__h", hash32(seed, *keys)), [], "__h", keys, "__rn")
     slots = spark.range(1, n + 1).select(F.col("id").alias("__slot"),
@@ -102,6 +105,10 @@ def sample_with_replacement(df: DataFrame, n: int, key_cols: Sequence[str], seed
 
 
 # ---------------------------------------------------------------- I1, I3, I4
+#: Synthetic rows that one expanding row gives at most.
+SLOT_CHUNK = 4096
+
+
 def smote_need(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, need)``; need = majority count - n."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -109,7 +116,7 @@ def smote_need(df: DataFrame, label: str) -> DataFrame:
 
 
 def smote(df: DataFrame, key: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42,
-          integer: str = "truncate", max_classes: int = 10_000) -> DataFrame:
+          integer: str = "truncate") -> DataFrame:
     """SMOTE. For each class below the majority count, ``need``
     synthetic rows ``x + u * (nb - x)`` where the base x, its neighbour nb
     (one of its k nearest same-class points) and u are drawn by portable
@@ -121,35 +128,25 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], k: int =
     Neighbours are searched only for bases that are actually drawn.
     """
     feats = list(features)
-    spark = df.sparkSession
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes")
-    n_max = max(counts.values()) if counts else 0
+    require_unique_key(df, [key])
+    need = smote_need(df, label)
     pts = df.select(key, label, *feats)
     ranked = exact_rank(pts.withColumn("__h", hash32(f"{seed}|rank", key)), [label], "__h", [key], "__rn")
-    slot_parts = []
-    for cls, n in counts.items():
-        need = n_max - n
-        if need <= 0:
-            continue
-        k_eff = min(k, n - 1)
-        s = spark.range(1, need + 1).select(F.lit(cls).cast(df.schema[label].dataType).alias(label),
-                                            F.col("id").alias("slot"))
-        s = s.select(label, "slot",
-                     (F.pmod(hash32(f"{seed}|base", label, "slot"), F.lit(n)) + 1).alias("__rn"),
-                     ((F.pmod(hash32(f"{seed}|nb", label, "slot"), F.lit(max(k_eff, 1))) + 1) if k_eff > 0
-                      else F.lit(None).cast("long")).alias("__nb"),
-                     (hash32(f"{seed}|u", label, "slot") / F.lit(TWO_32)).alias("__u"))
-        slot_parts.append(s)
+    # Slots 1..need of each class: first numbers of chunks, dealt out, then the
+    # chunks, so that no task expands a large class alone.
+    chunks = need.filter("need > 0").select(
+        label, "n", "need", F.explode(F.sequence(F.lit(0), F.col("need") - 1, F.lit(SLOT_CHUNK))).alias("__first"))
+    slots = chunks.repartition(label, "__first").select(
+        label, "n", F.explode(F.sequence(F.col("__first") + 1, F.least(F.col("need"), F.col("__first") + SLOT_CHUNK))).alias("slot"))
+    others = F.least(F.lit(k), F.col("n") - 1)
+    slots = slots.select(label, "slot",
+                         (F.pmod(hash32(f"{seed}|base", label, "slot"), F.col("n")) + 1).alias("__rn"),
+                         F.when(others > 0, F.pmod(hash32(f"{seed}|nb", label, "slot"), F.greatest(others, F.lit(1))) + 1)
+                         .alias("__nb"),
+                         (hash32(f"{seed}|u", label, "slot") / F.lit(TWO_32)).alias("__u"))
     originals = df.withColumns({"synthetic": F.lit(False), "slot": F.lit(None).cast("long"),
                                 "base_key": F.lit(None).cast(df.schema[key].dataType),
                                 "nb_key": F.lit(None).cast(df.schema[key].dataType)})
-    if not slot_parts:
-        return originals
-    slots = slot_parts[0]
-    for s in slot_parts[1:]:
-        slots = slots.unionByName(s)
     base = keyed_join(slots, ranked.select(label, "__rn", F.col(key).alias("base_key"),
                                            *[F.col(f).alias(f"__b_{f}") for f in feats]), [label, "__rn"])
     base = base.transform(_ckpt)

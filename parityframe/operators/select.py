@@ -19,9 +19,9 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     col_b, pos_a, pos_b, r, abs_r)``. A constant column gives NULL rather
     than the ANSI divide-by-zero error of ``corr``.
 
-    Plain sums of shifted values ``x - K`` (K = one observed row, which keeps
-    the moment formulas stable) and their products, in one pass that also
-    counts missing values; plain sums stay inside whole-stage codegen,
+    Plain sums of shifted values ``x - K`` (K = the column's mean, from a first
+    small aggregate, which keeps the moment formulas stable) and their
+    products, in one pass that also counts missing values; plain sums stay inside whole-stage codegen,
     unlike dozens of covariance aggregates. Only if some column has missing
     values does a second pass compute per-pair sums over the rows where both
     values are present.
@@ -31,8 +31,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         raise ValueError("need at least two columns")
     p = len(cols)
     val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    head = df.select(*[val[c].alias(f"__k{i}") for i, c in enumerate(cols)]).dropna().head(1)
-    shift = [float(head[0][f"__k{i}"]) if head else 0.0 for i in range(p)]
+    means = df.agg(*[F.avg(val[c]).alias(f"__k{i}") for i, c in enumerate(cols)]).first()
+    shift = [float(means[f"__k{i}"] or 0.0) for i in range(p)]
     dev = {i: val[c] - F.lit(shift[i]) for i, c in enumerate(cols)}
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i in range(p):
@@ -77,11 +77,20 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.withColumn("abs_r", F.abs("r"))
 
 
-def corr_prune(corr: DataFrame, threshold: float = 0.7, protected: Sequence[str] = ()) -> DataFrame:
+def corr_prune(corr: DataFrame, threshold: float = 0.7, protected: Sequence[str] = (), id_cols: Sequence[str] = (),
+               label: str | None = None, sensitive: Sequence[str] = (), literal: bool = False) -> DataFrame:
     """columns to drop, ``(column, pos)``: a column is dropped when any
     earlier column (dropped or not) has abs r >= threshold with it and it
-    is not protected. A pure filter, no iteration."""
-    hit = corr.where((F.col("abs_r") >= threshold) & ~F.col("col_b").isin(list(protected) or [""]))
+    is not protected. A pure filter, no iteration.
+
+    Ids and the label are left out of the comparison, and sensitive columns
+    are protected, so that the audit keeps them. ``literal=True`` compares
+    every column and protects only ``protected``, as the reference's loop does
+    (it can drop a sensitive column, the label or an id)."""
+    keep = set(protected) | (set() if literal else set(sensitive))
+    out = set() if literal else {*id_cols, *([label] if label else [])}
+    hit = corr.where((F.col("abs_r") >= threshold) & ~F.col("col_b").isin(list(keep) or [""])
+                     & ~F.col("col_a").isin(list(out) or [""]) & ~F.col("col_b").isin(list(out) or [""]))
     return hit.groupBy(F.col("col_b").alias("column"), F.col("pos_b").alias("pos")).agg(
         F.max("abs_r").alias("max_abs_r"))
 
@@ -89,13 +98,20 @@ def corr_prune(corr: DataFrame, threshold: float = 0.7, protected: Sequence[str]
 def chi2_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """chi-square score of each non-negative feature against the class:
     O_c = sum of x in class c, E_c = (n_c / n) * sum of x,
-    score = sum_c (O_c - E_c)^2 / E_c. Output ``(feature, pos, score)``."""
+    score = sum_c (O_c - E_c)^2 / E_c. Output ``(feature, pos, score)``. A
+    negative value makes the query fail."""
     feats = list(features)
+    df = df.withColumns({f: _not_negative(f) for f in feats})
     per = df.groupBy(F.col(label).alias("__cls")).agg(
         F.count(F.lit(1)).alias("__n"), *[F.sum(F.col(f).cast("double")).alias(f"__s{i}") for i, f in enumerate(feats)])
     return _chi2_from_class_sums(per, feats, [])
 
 
+def _not_negative(col: str):
+    x = F.col(col).cast("double")
+    return F.when(x < 0, F.raise_error(F.lit(f"chi2 needs non-negative values; {col} has others"))).otherwise(x)
+
+
 def _chi2_from_class_sums(per: DataFrame, feats: list[str], keys: list[str]) -> DataFrame:
     """Scores from a table (keys..., __cls, __n, __s<i>) of per-class sums."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))

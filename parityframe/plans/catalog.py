@@ -29,5 +29,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from parityframe.plans import (  # noqa: F401
-        q_metrics, q_prep, q_select, q_rebalance, q_models,
+        q_flows, q_metrics, q_prep, q_select, q_rebalance, q_learners,
     )

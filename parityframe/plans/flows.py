@@ -9,21 +9,151 @@ aggregate over them.
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parityframe.functions import clinical
+from parityframe.functions.features import features_of
+from parityframe.operators import clean, encode
 from parityframe.operators import fairness as fx
 from parityframe.operators import metrics as mx
-from parityframe.operators import models as ml
+from parityframe.operators import learners as ml
+from parityframe.operators import select as sx
 from parityframe.operators.rebalance import group_bootstrap, smote
+from parityframe.operators.split import fit_minmax, stratified_folds, train_test_split
 from parityframe.sources.io import write_artifact
 from parityframe.session import checkpoint as _ckpt
 
 AUDIT = ["n", "accuracy", "precision", "recall", "f1", "tpr", "fpr", "fnr"]
 
 
+@dataclass(frozen=True)
+class TableSpec:
+    """What the flows need to know of a raw table."""
+    id_col: str
+    label: str
+    sensitive: list
+    features: list = field(default_factory=list)      # (name, kind, inputs), see functions.clinical
+    second_pass: list = field(default_factory=list)   # measures fenced again
+    protected: list = field(default_factory=list)     # never pruned
+
+
+#: The clinical table of the reference, with the features of its selection scripts.
+CLINICAL = TableSpec(clinical.ID_COL, clinical.LABEL_COL, clinical.SENSITIVE_COLS, clinical.SELECTION_FEATURES,
+                     clinical.SECOND_PASS_COLS, clinical.BASE_FEATURES)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    table: DataFrame
+    features: list          # pruned, in column order
+    mapping: DataFrame      # (column, value, code)
+    fences: list
+    dropped: list
+
+
+def prepare(raw: DataFrame, spec: TableSpec, threshold: float = 0.7) -> Prepared:
+    """The scripts' common block: two passes of IQR fences (C2, C3), encoding
+    with a kept map (E2), derived features (D12), correlation pruning (F2) that
+    leaves ids, label and sensitive columns alone. Each step's table is stored
+    before the next one is fitted on it."""
+    first = clean.default_iqr_columns(raw, [spec.id_col], spec.label)
+    kept, fences = clean.iqr_sequential(raw, first + list(spec.second_pass))
+    kept = kept.transform(_ckpt)
+    coder = encode.fit_label_encoder(kept, [c for c in encode.string_columns(kept) if c != spec.id_col])
+    coded = encode.apply_label_encoder(kept, coder)
+    wide = clinical.apply_feature_set(coded, spec.features).transform(_ckpt)
+    numbers = features_of(wide, [spec.id_col, spec.label])
+    dropped = [r["column"] for r in sx.corr_prune(
+        sx.corr_matrix(wide, numbers), threshold, protected=spec.protected, sensitive=spec.sensitive).orderBy("pos").collect()]
+    table = wide.drop(*dropped)
+    return Prepared(table, features_of(table, [spec.id_col, spec.label]), coder.mapping, fences, dropped)
+
+
+@dataclass(frozen=True)
+class Parts:
+    train: DataFrame        # with a fold column
+    test: DataFrame
+    features: list          # scaled copies
+
+
+def split_and_scale(p: Prepared, spec: TableSpec, rebalance: str | None = None, test_frac: float = 0.2,
+                    folds: int = 5) -> Parts:
+    """Exact split (H1), optional rebalancing of the training part (I3, I5),
+    scaling fitted on the training part (H3), stratified folds (H2)."""
+    s = train_test_split(p.table, [spec.id_col], test_frac).transform(_ckpt)
+    train, test = (s.where(F.col("split") == part).drop("split") for part in ("train", "test"))
+    keys = [spec.id_col]
+    if rebalance:
+        train, keys = _rebalanced(train, spec.id_col, spec.label, p.features, list(spec.sensitive), rebalance, with_keys=True)
+        train = train.transform(_ckpt)
+    scale = fit_minmax(train, p.features)
+    train = stratified_folds(scale.apply(train, "_s"), spec.label, keys, folds).transform(_ckpt)
+    return Parts(train, scale.apply(test, "_s").transform(_ckpt), [f + "_s" for f in p.features])
+
+
+def full_leaderboard(raw: DataFrame, spec: TableSpec, learners: dict[str, Callable], k: int | None = None) -> dict[str, DataFrame]:
+    """Flow 3.1 from the raw table: prepare, split, scale, the k best features
+    by chi2 (F3, F4; all if None), then the leaderboard and importances.
+    ``learners``: name -> make_estimator(n)."""
+    p = prepare(raw, spec)
+    parts = split_and_scale(p, spec)
+    features = parts.features
+    if k and k < len(features):
+        best = sx.select_k_best(sx.chi2_scores(parts.train, features, spec.label), k).orderBy("pos").collect()
+        features = [r["feature"] for r in best]
+    n = parts.train.count()
+    return leaderboard(parts.train, parts.test, spec.id_col, spec.label, features,
+                       {name: make(n) for name, make in learners.items()}, spec.sensitive)
+
+
+def full_audit(raw: DataFrame, spec: TableSpec, make_estimator: Callable) -> dict[str, DataFrame]:
+    """Flow 3.2 from the raw table: one classifier, audited by the sensitive
+    attributes; codes are replaced by their values before the audit."""
+    p = prepare(raw, spec)
+    parts = split_and_scale(p, spec)
+    tr, te = ml.assemble(parts.train, parts.features), ml.assemble(parts.test, parts.features)
+    pred = ml.predictions(make_estimator(tr.count()).fit(tr), te, spec.id_col, spec.label, spec.sensitive)
+    return fairness_audit(encode.decode_columns(pred, p.mapping, spec.sensitive).transform(_ckpt), spec.sensitive)
+
+
+def full_mitigation(raw: DataFrame, spec: TableSpec, make_estimator: Callable, make_booster: Callable,
+                    method: str = "bootstrap", patience: int = 25, sizes: Sequence[float] = tuple(ml.CURVE_SIZES),
+                    depths: Sequence[int] = tuple(ml.ELBOW_DEPTHS)) -> dict[str, DataFrame]:
+    """Flow 3.3 from the raw table: audit before and after rebalancing the
+    training part, then on the rebalanced part the booster's history, early
+    stopping, overfit check, learning curve and depth elbow.
+    ``make_booster(n, **params)``."""
+    p = prepare(raw, spec)
+    before, after = split_and_scale(p, spec), split_and_scale(p, spec, method)
+    out, preds = {}, {}
+    for name, parts in (("before", before), ("after", after)):
+        tr, te = ml.assemble(parts.train, parts.features), ml.assemble(parts.test, parts.features)
+        preds[name] = ml.predictions(make_estimator(tr.count()).fit(tr), te, spec.id_col, spec.label,
+                                     spec.sensitive).transform(_ckpt)
+    for metric in ("accuracy", "recall", "f1"):
+        frames = [mx.metric_frame(preds[n], spec.sensitive, [metric]) for n in ("before", "after")]
+        out[f"before_after_{metric}"] = fx.before_after(*frames, spec.sensitive, metric)
+    out["bundle"] = fx.fairness_bundle(preds["before"], spec.sensitive, "before").unionByName(
+        fx.fairness_bundle(preds["after"], spec.sensitive, "after"))
+    out["bundle_groups"] = fx.scenario_groups(preds["before"], spec.sensitive, "before").unionByName(
+        fx.scenario_groups(preds["after"], spec.sensitive, "after"))
+    tr, te = ml.assemble(after.train, after.features).transform(_ckpt), ml.assemble(after.test, after.features)
+    booster = make_booster(tr.count()).fit(tr)
+    out["history"] = ml.eval_history(booster, {"train": tr, "test": te}, spec.label).transform(_ckpt)
+    out["early_stop"] = mx.early_stop(out["history"], patience, metric="logloss", split="test")
+    scores = [ml.predictions(booster, d, spec.id_col, spec.label).withColumn("split", F.lit(s))
+              for s, d in (("train", tr), ("test", te))]
+    out["overfit"] = mx.overfit_check(scores[0].unionByName(scores[1]))
+    keys = [spec.id_col] + [c for c in ("__draw", "slot") if c in tr.columns]
+    out["curve"] = ml.curve_summary(ml.learning_curve(make_estimator, tr, keys, sizes, spec.label))
+    out["elbow"] = ml.depth_elbow(lambda d: make_booster(0, maxDepth=d), depths, tr, spec.label)
+    return out
+
+
 def flagged_frame(frame: DataFrame, metric: str) -> DataFrame:
     """The metric frame with the unweighted mean over groups and a
     ``below_mean`` flag. The small group table is materialized first so the
@@ -51,14 +181,14 @@ def fairness_audit(pred: DataFrame, attributes: Sequence[str]) -> dict[str, Data
 
 
 def leaderboard(train: DataFrame, test: DataFrame, id_col: str, label: str, features: Sequence[str],
-                models: dict, keep: Sequence[str] = ()) -> dict[str, DataFrame]:
+                learners: dict, keep: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Flow 3.1: fit each named estimator on the assembled training part,
     score the test part once, and report the leaderboard (N13) and
     importances (J1)."""
     feats = list(features)
     tr, te = ml.assemble(train, feats), ml.assemble(test, feats)
     preds, imps = None, None
-    for name, est in models.items():
+    for name, est in learners.items():
         m = est.fit(tr)
         p = ml.predictions(m, te, id_col, label, keep).withColumn("model", F.lit(name))
         preds = p if preds is None else preds.unionByName(p)

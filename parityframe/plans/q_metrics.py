@@ -257,6 +257,8 @@ def q_odds(spark, sf):
 t AS (SELECT {counts_sql()} FROM p)
 SELECT 'baseline' AS scenario, 'accuracy' AS metric, ROUND({div('tp + tn', 'tn + fp + fn + tp', None)}, 6) AS value FROM t
 UNION ALL SELECT 'baseline', 'f1', ROUND({div('2 * tp', '2 * tp + fp + fn', 0.0)}, 6) FROM t
+UNION ALL SELECT 'baseline', 'precision', ROUND({div('tp', 'tp + fp', 0.0)}, 6) FROM t
+UNION ALL SELECT 'baseline', 'recall', ROUND({div('tp', 'tp + fn', 0.0)}, 6) FROM t
 UNION ALL SELECT 'baseline', 'parity_difference', ROUND(max(sr) - min(sr), 6) FROM r
 UNION ALL SELECT 'baseline', 'odds_difference', ROUND(GREATEST(max(tpr) - min(tpr), max(fpr) - min(fpr)), 6) FROM r""")
 def q_bundle(spark, sf):
@@ -281,6 +283,52 @@ def q_before_after(spark, sf):
     return round_doubles(fx.before_after(pre, post, ["lang", "source"], "accuracy"))
 
 
+@register("before_after_recall", f"""{DP},
+pre AS (SELECT lang, {counts_sql()} FROM p WHERE score < 0.7 GROUP BY ALL),
+post AS (SELECT lang, {counts_sql('y_true', 'CAST(score > 0.55 AS INTEGER)')} FROM p WHERE score > 0.3 GROUP BY ALL),
+a AS (SELECT lang, {div('tp', 'tp + fn', 0.0)} AS recall FROM pre),
+b AS (SELECT lang, {div('tp', 'tp + fn', 0.0)} AS recall FROM post)
+SELECT COALESCE(a.lang, b.lang) AS lang, ROUND(a.recall, 6) AS before, ROUND(b.recall, 6) AS after,
+       ROUND(b.recall - a.recall, 6) AS delta FROM a FULL OUTER JOIN b ON a.lang IS NOT DISTINCT FROM b.lang""")
+def q_before_after_recall(spark, sf):
+    p = docs_pred(spark, sf)
+    pre = mx.metric_frame(p.where(F.col("score") < 0.7), ["lang"], ["recall"])
+    post_pred = p.where(F.col("score") > 0.3).withColumn("y_pred", (F.col("score") > 0.55).cast("int"))
+    return round_doubles(fx.before_after(pre, mx.metric_frame(post_pred, ["lang"], ["recall"]), ["lang"], "recall"))
+
+
+@register("fairness_bundle_groups", f"""{DP}, c AS (SELECT lang, source, {counts_sql()} FROM p GROUP BY ALL)
+SELECT 'baseline' AS scenario, lang, source,
+       {metrics_sql(['n', 'accuracy', 'recall', 'precision', 'f1', 'selection_rate', 'tpr', 'fpr'])} FROM c""")
+def q_bundle_groups(spark, sf):
+    return round_doubles(fx.scenario_groups(docs_pred(spark, sf), ["lang", "source"], "baseline"))
+
+
+# Missing scores: the score is NULL for one lang and NaN for the rows of a source.
+_AUC_HOLES = """q AS (SELECT y_true, CASE WHEN lang = 'fr' OR source = 'src1' THEN NULL ELSE score END AS score FROM {src})"""
+
+
+@register("roc_auc_missing", f"""{DP}, {_AUC_HOLES.format(src='p')},
+k AS (SELECT * FROM q WHERE score IS NOT NULL),
+c AS (SELECT score, count_if(y_true = 1) AS pos, count_if(y_true <> 1) AS neg FROM k GROUP BY score),
+w AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+SELECT CAST((SELECT count(*) FROM q WHERE score IS NULL) AS BIGINT) AS n_missing,
+       ROUND(sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg))::DOUBLE, 6) AS auc,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM w""")
+def q_roc_auc_missing(spark, sf):
+    holes = F.when(F.col("lang") == "fr", F.lit(None)).when(F.col("source") == "src1", F.lit(float("nan"))) \
+        .otherwise(F.col("score"))
+    return round_doubles(mx.roc_auc(docs_pred(spark, sf).withColumn("score", holes), missing=True))
+
+
+@register("group_share_missing", """WITH p AS (SELECT CASE WHEN source = 'src1' THEN NULL ELSE lang END AS lang FROM documents)
+SELECT lang AS value, CAST(count(*) AS BIGINT) AS n,
+       ROUND(count(*) * 100.0 / (SELECT count(lang) FROM p), 6) AS pct FROM p WHERE lang IS NOT NULL GROUP BY 1""")
+def q_group_share_missing(spark, sf):
+    d = read_table(spark, sf, "documents").select(F.when(F.col("source") != "src1", F.col("lang")).alias("lang"))
+    return round_doubles(mx.group_share(d, "lang", ordered=True))
+
+
 # -------------------------------------------------------------- N11, N13, N14
 # An evaluation-history table derived from events: one "round" per day; the
 # daily error share and mean value stand in for per-round metrics.

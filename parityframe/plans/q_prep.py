@@ -90,44 +90,46 @@ def q_iqr_sequential(spark, sf):
 
 @register("iqr_sequential_refine", _chain_sql("events", _SEQ, "event_id, user_id, value"))
 def q_iqr_sequential_refine(spark, sf):
-    """C2 with the scalable exact quantile path; ``max_collect`` is set low so
-    the histogram narrowing runs at test scale too."""
-    out, _ = clean.iqr_sequential(read_table(spark, sf, "events"), _SEQ, method="refine", max_collect=500)
+    """C2 with a low ``gather``, so that the histogram narrowing runs at test scale too."""
+    out, _ = clean.iqr_sequential(read_table(spark, sf, "events"), _SEQ, gather=500)
     return out.select("event_id", "user_id", "value")
 
 
 # The reference's literal first pass over every numeric column, then a
 # second pass over named measures with recomputed fences.
-_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-           "l_discount", "l_tax"]
-_SECOND = ["l_quantity", "l_extendedprice"]
+# Events have outliers (value), and a length per event gives a second column.
+_EV_SQL = "(SELECT event_id, user_id, value, value * value AS power FROM events)"
+_EV_NUM = ["event_id", "user_id", "value", "power"]
 
 
-@register("iqr_two_pass", _chain_sql("lineitem", _LI_NUM + _SECOND,
-                                     "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice"))
+def _events_power(spark, sf):
+    return read_table(spark, sf, "events").select("event_id", "user_id", "value", (F.col("value") * F.col("value")).alias("power"))
+
+
+@register("iqr_two_pass", _chain_sql(_EV_SQL, _EV_NUM + ["value", "power"], "event_id, user_id, value"))
 def q_iqr_two_pass(spark, sf):
-    li = read_table(spark, sf, "lineitem")
-    first = clean.default_iqr_columns(li, columns="all")
-    out, _ = clean.iqr_sequential(li, first + _SECOND)
-    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    ev = _events_power(spark, sf)
+    first = clean.default_iqr_columns(ev, columns="all")
+    out, _ = clean.iqr_sequential(ev, first + ["value", "power"])
+    return out.select("event_id", "user_id", "value")
 
 
-_ONE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_ONE = ["user_id", "value", "power"]
 
 
 def _one_shot_sql():
     conds = []
     for c in _ONE:
-        q1 = f"(SELECT quantile_cont({c}, 0.25) FROM lineitem)"
-        q3 = f"(SELECT quantile_cont({c}, 0.75) FROM lineitem)"
+        q1 = f"(SELECT quantile_cont({c}, 0.25) FROM {_EV_SQL})"
+        q3 = f"(SELECT quantile_cont({c}, 0.75) FROM {_EV_SQL})"
         conds.append(f"{c} BETWEEN {q1} - 1.5 * ({q3} - {q1}) AND {q3} + 1.5 * ({q3} - {q1})")
-    return f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem WHERE {' AND '.join(conds)}"
+    return f"SELECT event_id, user_id, value FROM {_EV_SQL} WHERE {' AND '.join(conds)}"
 
 
 @register("iqr_one_shot", _one_shot_sql())
 def q_iqr_one_shot(spark, sf):
-    out, _ = clean.iqr_one_shot(read_table(spark, sf, "lineitem"), _ONE)
-    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    out, _ = clean.iqr_one_shot(_events_power(spark, sf), _ONE)
+    return out.select("event_id", "user_id", "value")
 
 
 @register("iqr_fences", """WITH t0 AS MATERIALIZED (SELECT * FROM events),
@@ -204,6 +206,15 @@ def q_feat_group_delta(spark, sf):
     return round_doubles(fe.group_mean_delta(c, ["c_acctbal"], "c_nationkey").drop("c_acctbal"))
 
 
+@register("delta_missing", """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer)
+SELECT c_custkey, c_nationkey, ROUND(v - avg(v) OVER (PARTITION BY c_nationkey), 6) AS Delta_v FROM c""")
+def q_delta_missing(spark, sf):
+    """A NaN is missing: it gets no delta and leaves its group's mean alone."""
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.when(
+        F.col("c_custkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal")).alias("v"))
+    return round_doubles(fe.group_mean_delta(c, ["v"], "c_nationkey").drop("v"))
+
+
 @register("feat_spec", """SELECT l.l_orderkey, l.l_linenumber, l.l_partkey,
   CAST(l.l_returnflag = 'R' AS INTEGER) + CAST(l.l_linestatus = 'O' AS INTEGER) AS flag_score,
   ROUND(CASE WHEN l.l_extendedprice > -1 THEN ln(1 + l.l_extendedprice) END, 6) AS log_price,

@@ -36,7 +36,8 @@ def q_split_bernoulli(spark, sf):
 
 
 @register("folds_stratified", f"""SELECT doc_id, quality,
-  CAST((row_number() OVER (PARTITION BY quality ORDER BY {H('42|fold', 'doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold
+  CAST((row_number() OVER (PARTITION BY quality ORDER BY {H('42|fold', 'doc_id')}, doc_id) * 5 + count(*) OVER (PARTITION BY quality) - 1)
+    // count(*) OVER (PARTITION BY quality) - 1 AS INTEGER) AS fold
 FROM ({DOCS_LABELED_SQL})""")
 def q_folds(spark, sf):
     d = docs_labeled(spark, sf).select("doc_id", "quality")
@@ -57,6 +58,17 @@ def q_minmax(spark, sf):
     return round_doubles(out.select("o_orderkey", "split", "o_totalprice_s", "o_custkey_s", "const_s"))
 
 
+@register("minmax_missing", """WITH v AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events),
+b AS (SELECT min(value) AS lo, max(value) AS hi FROM v)
+SELECT event_id, ROUND((value - lo) / (hi - lo), 6) AS value_s FROM v, b""")
+def q_minmax_missing(spark, sf):
+    """Every seventh value NULL or NaN: neither may become a bound."""
+    gap = F.when(F.col("event_id") % 14 == 0, F.lit(None)).when(F.col("event_id") % 7 == 0, F.lit(float("nan")))
+    e = read_table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, gap)
+                                               .otherwise(F.col("value")).alias("value"))
+    return round_doubles(sp.fit_minmax(e, ["value"]).apply(e, suffix="_s").select("event_id", "value_s"))
+
+
 # ------------------------------------------------------------------ I1-I4
 @register("smote_need", """SELECT label, CAST(count(*) AS BIGINT) AS n,
   CAST(max(count(*)) OVER () - count(*) AS BIGINT) AS need FROM embeddings GROUP BY label""")
@@ -162,6 +174,17 @@ def q_group_bootstrap(spark, sf):
     return rb.group_bootstrap(_docs6(spark, sf), ["lang"], "quality", ["doc_id"])
 
 
+_THIRD = f"""SELECT doc_id, lang, source, n_chars, quality, toxic FROM (SELECT * EXCLUDE (quality),
+  CASE WHEN doc_id % 9 = 0 THEN 2 ELSE quality END AS quality FROM ({DOCS_LABELED_SQL}))"""
+
+
+@register("bootstrap_extra_label", _boot_sql(["lang"], _THIRD + " WHERE quality < 2"))
+def q_bootstrap_extra_label(spark, sf):
+    """Rows of a third label belong to neither class and go."""
+    d = _docs6(spark, sf).withColumn("quality", F.when(F.col("doc_id") % 9 == 0, F.lit(2)).otherwise(F.col("quality")))
+    return rb.group_bootstrap(d, ["lang"], "quality", ["doc_id"])
+
+
 @register("group_bootstrap_2attr", _boot_sql(["lang", "source"]))
 def q_group_bootstrap2(spark, sf):
     return rb.group_bootstrap(_docs6(spark, sf), ["lang", "source"], "quality", ["doc_id"])

@@ -48,8 +48,27 @@ def q_corr_matrix(spark, sf):
 SELECT col_b AS "column", pos_b AS pos, max(abs_r) AS max_abs_r FROM c
 WHERE abs_r >= 0.7 AND col_b NOT IN ('l_quantity', 'l_extendedprice') GROUP BY ALL""")
 def q_corr_prune(spark, sf):
-    c = round_doubles(sx.corr_matrix(_li_orders(spark, sf), _CORR_COLS))
-    return sx.corr_prune(c, 0.7, protected=["l_quantity", "l_extendedprice"])
+    c = sx.corr_matrix(_li_orders(spark, sf), _CORR_COLS)
+    return round_doubles(sx.corr_prune(c, 0.7, protected=["l_quantity", "l_extendedprice"]))
+
+
+def _prune_sql(extra):
+    return f"""WITH c AS ({_corr_sql()}) SELECT col_b AS "column", pos_b AS pos, max(abs_r) AS max_abs_r FROM c
+WHERE abs_r >= 0.7 {extra} GROUP BY ALL"""
+
+
+@register("corr_prune_literal", _prune_sql(""))
+def q_corr_prune_literal(spark, sf):
+    """The reference's loop to the letter: every column can go."""
+    c = sx.corr_matrix(_li_orders(spark, sf), _CORR_COLS)
+    return round_doubles(sx.corr_prune(c, 0.7, id_cols=["l_quantity"], sensitive=["price_copy"], literal=True))
+
+
+@register("corr_prune_guarded", _prune_sql("AND col_b <> 'l_extendedprice' AND 'l_quantity' NOT IN (col_a, col_b)"))
+def q_corr_prune_guarded(spark, sf):
+    """Ids and label out of the comparison, sensitive columns protected."""
+    c = sx.corr_matrix(_li_orders(spark, sf), _CORR_COLS)
+    return round_doubles(sx.corr_prune(c, 0.7, id_cols=["l_quantity"], label="y", sensitive=["l_extendedprice"]))
 
 
 _CHI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -92,7 +111,8 @@ def _docs_folds(spark, sf):
 
 
 _FOLDS_SQL = f"""SELECT *, CAST(lang = 'en' AS INTEGER) AS is_en,
-  CAST((row_number() OVER (PARTITION BY quality ORDER BY {hash32_sql('42|fold', 'doc_id')}, doc_id) - 1) % 5 AS INTEGER) AS fold
+  CAST((row_number() OVER (PARTITION BY quality ORDER BY {hash32_sql('42|fold', 'doc_id')}, doc_id) * 5 + count(*) OVER (PARTITION BY quality) - 1)
+    // count(*) OVER (PARTITION BY quality) - 1 AS INTEGER) AS fold
 FROM ({DOCS_LABELED_SQL})"""
 
 

@@ -42,5 +42,5 @@ def metrics_sql(names: list[str], rnd: int | None = 6) -> str:
 
 
 def hash32_sql(seed, *parts: str) -> str:
-    inner = ", ".join([f"'{seed}'"] + list(parts))
+    inner = ", ".join([f"'{seed}'"] + [f"coalesce(CAST({p} AS VARCHAR), chr(0))" for p in parts])
     return f"('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::BIGINT"

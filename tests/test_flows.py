@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from parityframe.operators import models as ml
+from parityframe.operators import learners as ml
 from parityframe.operators.rebalance import group_bootstrap
 from parityframe.plans import flows
 from parityframe.plans.tables import MODEL_FEATURES, model_table, orders_pred

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parityframe.operators import models as ml
+from parityframe.operators import learners as ml
 
 
 def table(spark, n=400, seed=0):
@@ -49,12 +49,41 @@ def test_history_last_round_matches_model(spark):
     assert h.select("round").distinct().count() == 4
 
 
-def test_history_leaves_equals_columns(spark):
-    df, _, _ = table(spark, seed=3)
+def test_history_equals_staged_predictions(spark, monkeypatch):
+    df, _, y = table(spark, seed=3)
     d = ml.assemble(df, ["a", "b", "c"])
     m = ml.boosted(maxIter=6, maxDepth=3).fit(d)
-    a = {(r.round, r.metric): r.value for r in ml.eval_history(m, {"train": d}).collect()}
-    b = {(r.round, r.metric): r.value for r in ml.eval_history_leaves(m, {"train": d}).collect()}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == pytest.approx(b[k], abs=1e-9), k
+    monkeypatch.setattr(ml, "AUC_ROUNDS", 4)
+    got = {(r.round, r.metric): r.value for r in ml.eval_history(m, {"train": d}).collect()}
+    staged = np.zeros(len(y))
+    for i, (tree, weight) in enumerate(zip(m.trees, m.treeWeights)):
+        staged += weight * np.array([r.prediction for r in tree.transform(d).orderBy("id").collect()])
+        p = 1 / (1 + np.exp(-2 * staged))
+        pairs = (p[y == 1][:, None] > p[y == 0]).mean() + 0.5 * (p[y == 1][:, None] == p[y == 0]).mean()
+        assert got[i + 1, "auc"] == pytest.approx(pairs)
+        assert got[i + 1, "error"] == pytest.approx(np.mean((p > 0.5) != (y == 1)))
+        assert got[i + 1, "logloss"] == pytest.approx(-np.mean(np.log(np.where(y == 1, p, 1 - p))))
+
+
+def test_penalty_follows_each_fit(spark):
+    df, _, _ = table(spark, seed=4)
+    from parityframe.operators.split import stratified_folds
+    d = ml.assemble(stratified_folds(df, "label", ["id"], k=4), ["a", "b", "c"])
+    seen = []
+
+    def make(n, **kw):
+        seen.append((n, ml.logistic(n, **kw).getRegParam()))
+        return ml.logistic(n, max_iter=5, **kw)
+    ml.learning_curve(make, d, ["id"], [0.25, 1.0])
+    ml.grid_search(make, {"C": [0.01]}, d)
+    assert len(seen) == 2 * 4 + 4 + 1 and seen[-1][0] == 400 and all(299 <= n <= 301 for n, _ in seen[-5:-1])
+    assert all(reg == pytest.approx(1 / (0.01 * n)) for n, reg in seen)
+
+
+def test_empty_curve_point_stays(spark):
+    df, _, _ = table(spark, n=20)
+    d = ml.assemble(df.withColumn("fold", F.col("id") % 2), ["a", "b", "c"])
+    rows = ml.learning_curve(ml.logistic, d, ["id"], [0.0]).collect()
+    assert len(rows) == 4 and all(r.n_train == 0 and r.accuracy is None for r in rows)
+
+

@@ -110,13 +110,11 @@ def test_chi2_and_k_best(spark):
     assert sx.select_k_best(s, 5).count() == 1
 
 
-def test_auto_switches_to_refine(spark, monkeypatch):
+def test_narrowing_equals_gathering(spark):
     rng = np.random.default_rng(3)
     df = col(spark, [float(v) for v in np.round(rng.normal(size=2000) * 10, 3)])
-    want, fw = clean.iqr_sequential(df, ["x", "x"], method="exact")
-    monkeypatch.setattr(clean, "AUTO_DISTINCT_LIMIT", 10)
-    assert clean.choose_methods(df, ["x"], "auto") == {"x": "refine"}
-    got, fg = clean.iqr_sequential(df, ["x", "x"], method="auto", max_collect=100)
+    want, fw = clean.iqr_sequential(df, ["x", "x"])
+    got, fg = clean.iqr_sequential(df, ["x", "x"], gather=20)
     assert [v for f in fg for v in (f.q1, f.q3)] == pytest.approx([v for f in fw for v in (f.q1, f.q3)])
     assert got.count() == want.count()
 

@@ -115,12 +115,8 @@ def test_smote_balances(spark):
 
 def test_xxhash_mode_exact_split(spark):
     from parityframe.functions import hashing
-    hashing.set_hash_method("xxhash64")
-    try:
-        df = spark.range(1000).withColumnRenamed("id", "k")
-        s = sp.train_test_split(df, ["k"], 0.2)
-        assert s.where("split = 'test'").count() == 200
-        hs = [r.h for r in df.select(hashing.hash32(1, "k").alias("h")).collect()]
-        assert min(hs) >= 0 and max(hs) < 2 ** 32
-    finally:
-        hashing.set_hash_method("md5")
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    s = sp.train_test_split(df, ["k"], 0.2, hash_method="xxhash64")
+    assert s.where("split = 'test'").count() == 200
+    hs = [r.h for r in df.select(hashing.hash32(1, "k", method="xxhash64").alias("h")).collect()]
+    assert min(hs) >= 0 and max(hs) < 2 ** 32
