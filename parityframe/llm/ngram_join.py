@@ -26,8 +26,8 @@ Method
    another set has (packed routing, as in substring dedup; a signature that
    thousands hold is one entry per block). Sets with such signatures are
    written to the shared folder with their texts; the rest are done.
-5. *Verification.* First every set is compared with the smallest set of each
-   of its signatures, a star and not all pairs. Signatures whose sets are now in
+5. *Verification.* First every set is compared with one set for each of its
+   signatures, the one that shares most of its own: a star and not all pairs. Signatures whose sets are now in
    one component are done. For the others the pairs across components are
    compared. So no link that could connect anything is missed, and groups of
    thousands of near copies cost about one comparison for each.
@@ -246,12 +246,12 @@ def _signature_rows(frequent, shingle, percent, n_buckets):
 
 
 _MAP = [f"m{i}" for i in range(_MAP_COLUMNS)]
-_CANDIDATE = "node long, n int, " + ", ".join(f"{m} long" for m in _MAP) + ", signatures array<long>, text string"
+_CANDIDATE = "node long, n int, " + ", ".join(f"{m} long" for m in _MAP) + ", shared double, signatures array<long>, text string"
 
 
 def _candidate_rows(frequent, shingle, percent, n_buckets):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in _MAP),
-                        ("signatures", pa.list_(pa.int64())), ("text", pa.string())])
+                        ("shared", pa.float64()), ("signatures", pa.list_(pa.int64())), ("text", pa.string())])
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -260,10 +260,11 @@ def _candidate_rows(frequent, shingle, percent, n_buckets):
         sets = _owned_sets(texts, told, shingle)
         each, distinct, count = _all_signatures(sets, hot, percent)
         shared = _read_bits(told, 0, distinct, n_buckets) | (count > 1)
-        nodes, sizes, maps, kept, rows = [], [], [], [], []
+        nodes, sizes, maps, share, kept, rows = [], [], [], [], [], []
         for (node, (row, s)), sig in zip(sets.items(), each):
-            sig = sig[shared[np.searchsorted(distinct, sig)]]
+            every, sig = len(sig), sig[shared[np.searchsorted(distinct, sig)]]
             if len(sig):
+                share.append(len(sig) / every)
                 nodes.append(node)
                 sizes.append(len(s))
                 maps.append(parity_map(s))
@@ -271,7 +272,7 @@ def _candidate_rows(frequent, shingle, percent, n_buckets):
                 rows.append(row)
         maps = np.array(maps, dtype=np.int64).reshape(-1, _MAP_COLUMNS)
         return pa.table([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
-                         *(pa.array(maps[:, i]) for i in range(_MAP_COLUMNS)), pa.array(kept, pa.list_(pa.int64())),
+                         *(pa.array(maps[:, i]) for i in range(_MAP_COLUMNS)), pa.array(share, pa.float64()), pa.array(kept, pa.list_(pa.int64())),
                          texts.column("text").take(pa.array(rows, pa.int64())).combine_chunks()], schema=schema)
     return run
 
@@ -332,9 +333,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     candidates = stored(by_block.cogroup(told.groupBy("block")).applyInArrow(
         _candidate_rows(frequent, shingle, percent, n), _CANDIDATE), "candidates")
 
-    # Stars: each set against the smallest one of its signatures.
-    held = candidates.select("node", "n", F.explode("signatures").alias("signature"))
-    centres = held.groupBy("signature").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("sets")) \
+    # Stars: each set against the centre of its signatures, the set that shares
+    # most of its own. Of copies with edits that is the text they come from.
+    centre = F.max(F.struct("shared", "node", "n"))
+    held = candidates.select("node", "n", "shared", F.explode("signatures").alias("signature"))
+    centres = held.groupBy("signature").agg(centre.alias("c"), F.count("*").alias("sets")) \
         .filter("sets > 1").select("signature", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"))
     stars = held.join(centres, "signature") \
         .filter((F.col("node") != F.col("a")) & _near_enough(F.col("n"), F.col("n_a"), percent)) \
@@ -349,12 +352,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so_far = components(links)
 
     # What stars leave open: signatures whose sets are in several components.
-    named = candidates.select("node", "n", *_MAP, "signatures").join(so_far, "node", "left") \
-        .select("node", "n", *_MAP, F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
+    named = candidates.select("node", "n", "shared", "signatures").join(so_far, "node", "left") \
+        .select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
     several = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                             F.min("node").alias("centre")).filter("low <> high").select("signature", "centre")
+                                             centre.alias("c")).filter("low <> high").select("signature", F.col("c.node").alias("centre"))
     open_ = stored(named.join(several, "signature").filter(F.col("node") != F.col("centre"))
-                   .select("signature", "node", "n", "component", *_MAP), "open-signatures")
+                   .select("signature", "node", "component"), "open-signatures")
+    open_ = open_.join(maps, "node")
     other = open_.withColumnsRenamed({"node": "b", "n": "n_b", "component": "component_b"} | {m: f"b{m[1:]}" for m in _MAP})
     across = open_.join(other, "signature").filter(
         (F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b"))
