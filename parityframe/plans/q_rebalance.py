@@ -103,10 +103,28 @@ _DOC_D2 = ("(CAST(a.n_chars AS DOUBLE) - CAST(b.n_chars AS DOUBLE)) * (CAST(a.n_
 SELECT qk AS doc_id, lbl AS quality, CAST(nb_rank AS INTEGER) AS nb_rank, pk AS nb_key, ROUND(sqrt(d2), 6) AS dist
 FROM r WHERE nb_rank <= 5""")
 def q_smote_neighbors_docs(spark, sf):
-    """Low-dimensional case: several cells per class, so the verification
-    and widening rounds are exercised."""
+    """Low-dimensional case with small cells, so that both rounds matter."""
     d = docs_labeled(spark, sf)
-    return round_doubles(knn_same_class(d, "doc_id", "quality", ["n_chars", "toxic"], k=5, block=16))
+    return round_doubles(knn_same_class(d, "doc_id", "quality", ["n_chars", "toxic"], k=5, cell_rows=16))
+
+
+_FLAGS = {"f_a": "c_custkey % 2", "f_b": "c_custkey % 3", "f_c": "c_custkey % 5", "f_d": "c_custkey % 7",
+          "f_e": "c_nationkey % 2", "f_f": "c_nationkey % 3", "f_g": "CAST(c_mktsegment = 'BUILDING' AS INTEGER)",
+          "f_h": "CAST(c_mktsegment = 'MACHINERY' AS INTEGER)", "f_i": "CAST(c_acctbal < 0 AS INTEGER)",
+          "f_j": "CAST(floor(c_acctbal / 1000) AS INTEGER)", "f_k": "CAST(floor(c_acctbal / 5000) AS INTEGER)"}
+_FLAGS_SQL = ("SELECT c_custkey, c_nationkey % 4 AS cls, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FLAGS.items())
+              + " FROM customer")
+_FLAGS_D2 = " + ".join(f"(a.{n} - b.{n}) * (a.{n} - b.{n})" for n in _FLAGS)
+
+
+@register("smote_neighbors_flags", f"""WITH {_knn_sql(_FLAGS_SQL, 'c_custkey', 'cls', _FLAGS_D2)}
+SELECT qk AS c_custkey, lbl AS cls, CAST(nb_rank AS INTEGER) AS nb_rank, pk AS nb_key, ROUND(sqrt(d2), 6) AS dist
+FROM r WHERE nb_rank <= 5""")
+def q_smote_neighbors_flags(spark, sf):
+    """Eleven flags and codes: equal vectors, many ties."""
+    c = read_table(spark, sf, "customer").selectExpr(
+        "c_custkey", "c_nationkey % 4 AS cls", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FLAGS.items()])
+    return round_doubles(knn_same_class(c, "c_custkey", "cls", list(_FLAGS), k=5, cell_rows=32))
 
 
 _SMOTE_SQL = f"""WITH pts AS (SELECT doc_id, quality, n_chars, toxic FROM ({DOCS_LABELED_SQL})),

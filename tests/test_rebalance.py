@@ -94,12 +94,60 @@ def test_knn_exact(spark, dim, block):
     pts = [(i, int(i % 3), [float(x) for x in np.round(rng.normal(size=dim), 3)]) for i in range(150)]
     df = spark.createDataFrame(pts, "k long, lab int, v array<double>")
     got = {}
-    for r in knn_same_class(df, "k", "lab", "v", k=4, block=block).collect():
+    for r in knn_same_class(df, "k", "lab", "v", k=4, cell_rows=block).collect():
         got.setdefault(r.k, []).append((r.nb_rank, r.nb_key))
     want = brute_knn(pts, 4)
     assert {k: [b for _, b in sorted(v)] for k, v in got.items()} == want
 
 
+def test_knn_with_equal_vectors_and_few_rows(spark):
+    pts = [(i, int(i < 40), [float(i % 3 == 0), float(i % 2)]) for i in range(60)] + [(99, 7, [0.0, 0.0])]
+    df = spark.createDataFrame(pts, "k long, lab int, v array<double>")
+    got = {}
+    for r in knn_same_class(df, "k", "lab", "v", k=4, cell_rows=2).collect():
+        got.setdefault(r.k, []).append((r.nb_rank, r.nb_key))
+    assert {k: [b for _, b in sorted(v)] for k, v in got.items()} == {k: v for k, v in brute_knn(pts, 4).items() if v}
+    with pytest.raises(ValueError):
+        knn_same_class(df.unionByName(df.limit(1)), "k", "lab", "v")
+
+
+def test_knn_pairs_do_not_follow_the_class(spark):
+    """Eleven features, two one-hot groups (5 and 4 flags) and two measures:
+    four times the points must not mean twice the compared pairs for each."""
+    from parityframe.operators.neighbors import recall
+    rng = np.random.default_rng(0)
+
+    def per_point(n):
+        v = np.c_[np.eye(5)[rng.integers(0, 5, n)], np.eye(4)[rng.integers(0, 4, n)], rng.normal(size=(n, 2)).round(2)]
+        df = spark.createDataFrame([(i, 0, row) for i, row in enumerate(v.tolist())], "k long, lab int, v array<double>")
+        pairs = []
+        rows = knn_same_class(df, "k", "lab", "v", k=5, cell_rows=32, pair_counts=pairs).count()
+        assert rows == 5 * n
+        return pairs[0] / n, df
+    small, _ = per_point(1000)
+    large, df = per_point(4000)
+    assert large < 2 * small
+    assert recall(df, "k", "lab", "v", probe=8, sample=200) > 0.5
+
+
+def test_duplicate_keys_raise(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0), (2, 0, 3.0)], "id long, y int, a double")
+    for call in (lambda: rb.smote(df, "id", "y", ["a"]), lambda: sp.train_test_split(df, ["id"]),
+                 lambda: sp.stratified_folds(df, "y", ["id"]), lambda: rb.sample_with_replacement(df, 3, ["id"]),
+                 lambda: rb.group_bootstrap(df.withColumn("g", F.lit("x")), ["g"], "y", ["id"])):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_split_and_folds_move_no_rows(spark):
+    """No exchange over raw rows: only counts are shuffled."""
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 2).alias("y"), F.lit("text").alias("wide"))
+    for out in (sp.train_test_split(df, ["k"]), sp.stratified_folds(df, "y", ["k"])):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    sizes = sp.stratified_folds(df, "y", ["k"]).groupBy("y", "fold").count().collect()
+    assert len(sizes) == 10 and all(r["count"] == 50 for r in sizes)
+
+
 def test_smote_balances(spark):
     rows = [(i, int(i < 12), float(i % 7), int(i % 5)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, y int, a double, b int")
