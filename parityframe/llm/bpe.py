@@ -95,41 +95,53 @@ def read_ranks(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _added(schema: T.StructType, name: str) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema] + [T.StructField(name, T.BinaryType())])
-
-
-def _mapped(docs: DataFrame, source: str, target: str, ranks, pattern: str, method: str, missing) -> DataFrame:
-    docs = docs.drop(target)
+def _mapped(docs: DataFrame, source: str, ranks, pattern: str, targets: list[str], work, missing) -> DataFrame:
+    """``docs`` plus binary columns: work(codec, value) gives one value for each
+    of ``targets``."""
+    docs = docs.drop(*targets)
     ship(docs.sparkSession)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]
+                          + [T.StructField(t, T.BinaryType()) for t in targets])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = getattr(codec(ranks.value, pattern), method)
+        own = codec(ranks.value, pattern)
         for batch in batches:
             # A few hundred rows at a time: what is made is a few times the input.
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                made = [work(missing if x.as_py() is None else x.as_py()) for x in part.column(source)]
-                yield pa.record_batch([*part.columns, pa.array(made, pa.binary())], names=[*part.schema.names, target])
-    return docs.mapInArrow(run, _added(docs.schema, target))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made = [work(own, missing if x.as_py() is None else x.as_py()) for x in part.column(source)]
+                yield pa.record_batch([*part.columns, *(pa.array([m[i] for m in made], pa.binary()) for i in range(len(targets)))],
+                                      names=schema.names)
+    return docs.mapInArrow(run, schema)
 
 
 def encode_text(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` plus the packed token ids of each text."""
-    return _mapped(docs, text_col, ids_col, read_ranks(docs.sparkSession, rank_path), pattern, "encode", "")
+    return _mapped(docs, text_col, read_ranks(docs.sparkSession, rank_path), pattern, [ids_col],
+                   lambda c, text: (c.encode(text),), "")
 
 
 def decode_ids(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` plus the bytes that each row's ids stand for."""
-    return _mapped(docs, ids_col, bytes_col, read_ranks(docs.sparkSession, rank_path), pattern, "decode", b"")
+    return _mapped(docs, ids_col, read_ranks(docs.sparkSession, rank_path), pattern, [bytes_col],
+                   lambda c, ids: (c.decode(ids),), b"")
+
+
+def encode_and_decode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids",
+                      bytes_col: str = "decoded") -> DataFrame:
+    """Both in one pass, so that a task needs one Python worker, not two."""
+    def both(c: Codec, text: str) -> tuple[bytes, bytes]:
+        ids = c.encode(text)
+        return ids, c.decode(ids)
+    return _mapped(docs, text_col, read_ranks(docs.sparkSession, rank_path), pattern, [ids_col, bytes_col], both, "")
 
 
 def coded(docs: DataFrame) -> DataFrame:
     """Digest columns of a table with doc_id and text: encoded, then decoded."""
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    both = decode_ids(encode_text(docs.select("doc_id", "text"), path, pattern).drop("text"), path, pattern)
+    both = encode_and_decode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
