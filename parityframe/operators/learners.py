@@ -120,8 +120,9 @@ def grid_points(grid: dict) -> list[dict]:
 
 def _parallel(work, items: list, parallelism: int) -> list:
     """Run independent fits ``parallelism`` at a time, results in order."""
+    wrapped = inheritable_thread_target(SparkSession.getActiveSession())(work)
     with ThreadPool(max(1, min(parallelism, len(items) or 1))) as pool:
-        return pool.map(inheritable_thread_target(work), items, chunksize=1)
+        return pool.map(wrapped, items, chunksize=1)
 
 
 def _fold_parts(train: DataFrame, fold_col: str) -> dict:

@@ -38,12 +38,12 @@ def test_null_and_nan(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_refine_equals_exact(spark, seed):
+def test_quantiles_at_any_size(spark, seed):
     rng = np.random.default_rng(seed)
     vals = [float(v) for v in np.round(rng.lognormal(size=3000), 2)]
     df = col(spark, vals)
-    a = clean.column_quantiles(df, "x", [.25, .5, .75], "exact")
-    b = clean.column_quantiles(df, "x", [.25, .5, .75], "refine", max_collect=100)
+    a = clean.column_quantiles(df, "x", [.25, .5, .75])
+    b = clean.column_quantiles(df, "x", [.25, .5, .75], gather=1)
     assert a == pytest.approx(b, abs=1e-12)
     assert a == pytest.approx(list(np.quantile(vals, [.25, .5, .75])))
 
