@@ -62,6 +62,8 @@ _LANE = wh.lane(21, wh.SPACES, lower=True)
 _KIND_ROW, _KIND_TOKEN = 0, 1
 #: A shingle in more documents than this can be a frequent one.
 FREQUENT_FROM = 32
+#: Nodes (8 bytes each) that are broadcast at most; beyond it they are joined.
+BROADCAST_NODES = 1 << 20
 #: Size levels: a step is a little more than the largest ratio of linked sizes.
 _LEVEL_SLACK = 0.99
 
@@ -299,9 +301,15 @@ def _similar(shingle: int, percent: int):
 
 
 def _verified(pairs: DataFrame, candidates: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Both joins are on a key that is unique in
-    ``candidates``, so a set in thousands of pairs can be split by Spark."""
-    texts = candidates.select("node", "text")
+    """The pairs (a, b) that link. Texts that no pair needs stay where they are:
+    the needed nodes are broadcast if their counted number allows it. Both
+    joins are on a key that is unique in ``candidates``, so a set in thousands
+    of pairs can be split by Spark."""
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    if needed.count() <= BROADCAST_NODES:
+        needed = F.broadcast(needed)
+    texts = candidates.select("node", "text").join(needed, "node", "left_semi")
     with_b = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
     both = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, percent), "a long, b long")
