@@ -7,11 +7,15 @@ features); ranking and pruning then run on that small table.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parityframe.session import checkpoint
+
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair i<j, pairwise-complete (rows
@@ -19,62 +23,46 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     col_b, pos_a, pos_b, r, abs_r)``. A constant column gives NULL rather
     than the ANSI divide-by-zero error of ``corr``.
 
-    Plain sums of shifted values ``x - K`` (K = the column's mean, from a first
-    small aggregate, which keeps the moment formulas stable) and their
-    products, in one pass that also counts missing values; plain sums stay inside whole-stage codegen,
-    unlike dozens of covariance aggregates. Only if some column has missing
-    values does a second pass compute per-pair sums over the rows where both
-    values are present.
+    One pass of products of whole column blocks: each task multiplies its Arrow
+    batches (values shifted by the column's mean from a first small aggregate,
+    which keeps the moment formulas stable, and presence masks) and adds up
+    p x p matrices, so a hundred columns are no wider a plan than two. A task
+    leaves p^2 / 2 rows, which are summed by pair.
     """
     cols = list(cols)
     if len(cols) < 2:
         raise ValueError("need at least two columns")
     p = len(cols)
-    val = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    means = df.agg(*[F.avg(val[c]).alias(f"__k{i}") for i, c in enumerate(cols)]).first()
-    shift = [float(means[f"__k{i}"] or 0.0) for i in range(p)]
-    dev = {i: val[c] - F.lit(shift[i]) for i, c in enumerate(cols)}
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    for i in range(p):
-        aggs += [F.count(val[cols[i]]).alias(f"__c{i}"), F.sum(dev[i]).alias(f"__s{i}"),
-                 F.sum(dev[i] * dev[i]).alias(f"__q{i}")]
-    for i in range(p):
-        for j in range(i + 1, p):
-            aggs.append(F.sum(dev[i] * dev[j]).alias(f"__x{i}_{j}"))
-    first = df.agg(*aggs).first()          # one pass: sums and missing counts
-    full = [first[f"__c{i}"] == first["__n"] for i in range(p)]
-    pair_aggs = []
-    for i in range(p):
-        for j in range(i + 1, p):
-            if not (full[i] and full[j]):
-                both = val[cols[i]].isNotNull() & val[cols[j]].isNotNull()
-                di, dj = F.when(both, dev[i]), F.when(both, dev[j])
-                pair_aggs += [F.count_if(both).alias(f"__n{i}_{j}"), F.sum(di).alias(f"__si{i}_{j}"),
-                              F.sum(dj).alias(f"__sj{i}_{j}"), F.sum(di * di).alias(f"__qi{i}_{j}"),
-                              F.sum(dj * dj).alias(f"__qj{i}_{j}"), F.sum(di * dj).alias(f"__xp{i}_{j}")]
-    spark = df.sparkSession
-    extra = df.agg(*pair_aggs).first().asDict() if pair_aggs else {}
-    base = first.asDict()
-    rows = []
-    for i in range(p):
-        for j in range(i + 1, p):
-            if full[i] and full[j]:
-                cnt = float(base["__n"])
-                si, sj, qi, qj, x = base[f"__s{i}"], base[f"__s{j}"], base[f"__q{i}"], base[f"__q{j}"], base[f"__x{i}_{j}"]
-            else:
-                cnt = float(extra[f"__n{i}_{j}"] or 0)
-                si, sj = extra[f"__si{i}_{j}"], extra[f"__sj{i}_{j}"]
-                qi, qj, x = extra[f"__qi{i}_{j}"], extra[f"__qj{i}_{j}"], extra[f"__xp{i}_{j}"]
-            r = None
-            if cnt > 0 and None not in (si, sj, qi, qj, x):
-                cov = x - si * sj / cnt
-                vi, vj = max(qi - si * si / cnt, 0.0), max(qj - sj * sj / cnt, 0.0)
-                den = (vi * vj) ** 0.5
-                if den > 0:
-                    r = min(max(cov / den, -1.0), 1.0)
-            rows.append((cols[i], cols[j], i, j, r))
-    out = spark.createDataFrame(rows, "col_a string, col_b string, pos_a int, pos_b int, r double")
-    return out.withColumn("abs_r", F.abs("r"))
+    values = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(cols)])
+    facts = values.agg(*[f(f"x{i}").alias(f"{f.__name__}{i}") for i in range(p) for f in (F.avg, F.min, F.max)]).first()
+    # A constant is shifted by itself, so that its deviations are exactly 0.
+    shift = np.array([float((facts[f"min{i}"] if facts[f"min{i}"] == facts[f"max{i}"] else facts[f"avg{i}"]) or 0.0)
+                      for i in range(p)])
+    first, second = np.triu_indices(p, 1)
+    names = ["i", "j", "n", "si", "sj", "qi", "qj", "x"]
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = s = q = x = 0
+        for batch in batches:
+            raw = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            there = ~np.isnan(raw)
+            here, dev = there.astype(float), np.where(there, raw - shift, 0.0)
+            n, s, q, x = n + here.T @ here, s + dev.T @ here, q + (dev * dev).T @ here, x + dev.T @ dev
+        if not isinstance(n, int):
+            # s[i, j] sums column i where j is present.
+            cells = [first.astype(np.int32), second.astype(np.int32), *(m[first, second] for m in (n, s, s.T, q, q.T, x))]
+            yield pa.record_batch([pa.array(c) for c in cells], names=names)
+    sums = values.mapInArrow(products, "i int, j int, " + ", ".join(f"{c} double" for c in names[2:])).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in names[2:]])
+    cov = F.col("x") - F.try_divide(F.col("si") * F.col("sj"), F.col("n"))
+    spread = [F.greatest(F.col(q) - F.try_divide(F.col(t) * F.col(t), F.col("n")), F.lit(0.0)) for t, q in (("si", "qi"), ("sj", "qj"))]
+    quotient = F.try_divide(cov, F.sqrt(spread[0] * spread[1]))
+    r = F.when(quotient.isNotNull(), F.least(F.greatest(quotient, F.lit(-1.0)), F.lit(1.0)))
+    pairs = df.sparkSession.createDataFrame([(cols[i], cols[j], int(i), int(j)) for i, j in zip(first, second)],
+                                            "col_a string, col_b string, pos_a int, pos_b int")
+    out = pairs.join(sums, (F.col("pos_a") == F.col("i")) & (F.col("pos_b") == F.col("j")), "left").select(
+        "col_a", "col_b", "pos_a", "pos_b", r.alias("r"))
+    return checkpoint(out.withColumn("abs_r", F.abs("r")))
 
 
 def corr_prune(corr: DataFrame, threshold: float = 0.7, protected: Sequence[str] = (), id_cols: Sequence[str] = (),

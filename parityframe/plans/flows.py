@@ -12,7 +12,7 @@ import os
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parityframe.functions import clinical
@@ -167,16 +167,21 @@ def fairness_audit(pred: DataFrame, attributes: Sequence[str]) -> dict[str, Data
     """Flow 3.2 on a prediction table: per-attribute report and rates (J2),
     intersectional frame (J3), below-mean groups (J4), group shares."""
     attrs = list(attributes)
-    frame = mx.metric_frame(pred, attrs, ["n", "accuracy", "f1"])
+    # Two passes over the predictions; everything else comes from these tables.
+    frame = mx.metric_frame(pred, attrs, ["n", "accuracy", "f1"]).transform(_ckpt)
+    report = mx.group_report(pred, attrs, metrics=AUDIT).transform(_ckpt)
     out = {
-        "group_report": mx.group_report(pred, attrs, metrics=AUDIT),
+        "group_report": report,
         "metric_frame": frame,
         "flagged_f1": flagged_frame(frame, "f1"),
         "flagged_accuracy": flagged_frame(frame, "accuracy"),
         "bundle": fx.fairness_bundle(pred, attrs, "audit"),
     }
+    whole = Window.partitionBy("attribute")
+    shares = report.select("attribute", F.col("group_value").alias("value"), "n",
+                           (F.col("n") * 100.0 / F.sum("n").over(whole)).alias("pct"))
     for a in attrs:
-        out[f"share_{a}"] = mx.group_share(pred, a)
+        out[f"share_{a}"] = shares.filter(F.col("attribute") == a).drop("attribute").orderBy(F.desc("pct"), "value")
     return out
 
 
