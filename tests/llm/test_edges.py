@@ -219,3 +219,34 @@ def test_line_runs_in_batches(spark):
     for bound in (0, 100):
         cut = {r.doc_id: r.text for r in drop_lines(docs, runs.frequent(), broadcast_keys=bound).collect()}
         assert cut == {i: f"only {i}" if i % 7 < 5 else f"row {i % 7}\nonly {i}" for i in range(40)}
+
+
+def test_near_copies_of_one_text(spark, monkeypatch):
+    """A text, its copies with edits at random places, a passage that other
+    texts share, short texts: components as plain comparison finds them, with
+    most shingles frequent and without the broadcast."""
+    from parityframe.llm import ngram_join as nj
+    from tests.llm import plain
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for i in range(120):
+        words = list(base)
+        for at in rng.integers(0, len(words), rng.integers(0, 7)):
+            words[at] = f"edit{i}x{at}"
+        texts[i] = " ".join(words)
+    for i in range(120, 170):
+        texts[i] = " ".join(base[:40] + [f"own{i}w{j}" for j in range(rng.integers(1, 60))])
+    for i in range(170, 220):
+        texts[i] = " ".join(f"s{j}" for j in rng.integers(0, 4, rng.integers(1, 9)))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = plain.components(texts)
+    assert len(set(want.values())) > 20
+    for least, nodes in ((32, 1 << 20), (1, 0)):
+        monkeypatch.setattr(nj, "FREQUENT_FROM", least)
+        monkeypatch.setattr(nj, "BROADCAST_NODES", nodes)
+        got = nj.near_duplicates(docs)
+        assert {r.id: r.component_id for r in got.collect()} == want
+    twice = docs.unionByName(docs.filter("doc_id < 30"))
+    kept = nj.one_of_each(twice, nj.near_duplicates(twice))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
