@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parityframe.functions.hashing import uniform
-from parityframe.session import ensure_checkpoint_dir
+from parityframe.session import checkpoint, delete_path, ensure_checkpoint_dir
 
 # Fixed hyper-parameter presets of the reference's two boosted learners.
 PRESETS = {
@@ -108,8 +108,10 @@ def split_count_importance(model, features: Sequence[str]) -> DataFrame:
     counts = (nodes.where(F.col("nodeData.leftChild") >= 0)
               .groupBy(F.col("nodeData.split.featureIndex").alias("idx")).agg(F.count(F.lit(1)).alias("n")))
     names = spark.createDataFrame(list(enumerate(features)), "idx int, feature string")
-    return names.join(counts, "idx", "left").select(
-        "feature", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("importance"))
+    out = checkpoint(names.join(counts, "idx", "left").select(
+        "feature", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("importance")))
+    delete_path(spark, path)
+    return out
 
 
 # ------------------------------------------------------------------ N4
@@ -292,6 +294,7 @@ def leaf_value_table(model) -> tuple[list, list]:
     leaves = (nodes.where(F.col("nodeData.leftChild") < 0)
               .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("v"))
               .orderBy("treeID", "id").collect())            # bounded by model.totalNumNodes
+    delete_path(spark, path)
     weights = list(model.treeWeights)
     table: list = [[] for _ in weights]
     for r in leaves:
@@ -324,7 +327,6 @@ def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps:
     round in blocks of ``AUC_ROUNDS`` rounds, so that no shuffle holds rows x
     trees at once."""
     from parityframe.operators.metrics import roc_auc
-    from parityframe.session import checkpoint
 
     table, _ = leaf_value_table(model)
     lut = np.zeros((len(table), max(len(t) for t in table)))

@@ -22,6 +22,10 @@ from parityframe.operators.ranking import exact_rank
 from parityframe.session import checkpoint as _ckpt
 
 
+#: Slots that one row expands to, or is joined to on average, at most.
+SLOT_CHUNK = 4096
+
+
 # ---------------------------------------------------------------- I5, I6
 def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols: Sequence[str],
                     seed: int = 42, tie: str = "bootstrap", draw_key: str | None = None) -> DataFrame:
@@ -35,8 +39,8 @@ def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols:
     Each row of the larger class is one draw slot: its pick is
     ``pmod(hash(seed, group, row key), n_small) + 1``, joined to the small
     class ranked by (hash, key) within the group. Slots are spread like the
-    data; a hot group is split by the rank's hash buckets and the draw join
-    by AQE's skew handling.
+    data; a hot group is split by the rank's hash buckets, and rows that are
+    drawn very often are joined in copies.
 
     ``draw_key``: name of an extra output column holding, for drawn rows,
     the key of the slot row that drew them (NULL for kept rows), so
@@ -59,16 +63,21 @@ def group_bootstrap(df: DataFrame, groups: Sequence[str], label: str, key_cols:
     else:
         raise ValueError("tie must be 'bootstrap' or 'keep'")
     counts = counts.withColumn("__nsmall", F.when(F.col("__small") == 1, F.col("__npos")).otherwise(F.col("__nneg")))
+    # A few rows that are drawn very often are joined in copies, one for each
+    # SLOT_CHUNK draws that a row gets on average.
+    counts = counts.withColumn("__copies", F.ceil(
+        (F.col("__npos") + F.col("__nneg") - F.col("__nsmall")) / (F.col("__nsmall") * SLOT_CHUNK)).cast("int"))
     x = keyed_join(base, counts, groups)
     is_small = F.col(label) == F.col("__small")
     large = x.where(F.col("__small").isNull() | ~is_small)
     small = x.where(is_small)
-    ranked = exact_rank(small.withColumn("__h", hash32(seed, *keys)), groups, "__h", keys, "__rn")
+    ranked = exact_rank(small.withColumn("__h", hash32(seed, *keys)), groups, "__h", keys, "__rn") \
+        .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
     slot_key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     draws = large.where(F.col("__small").isNotNull()).select(
         *groups, (F.pmod(hash32(f"{seed}|pick", *groups, *keys), F.col("__nsmall")) + 1).alias("__rn"),
-        slot_key.alias("__slot_key"))
-    drawn = keyed_join(draws, ranked.select(*df.columns, "__rn"), groups + ["__rn"])
+        F.pmod(F.xxhash64(*keys), F.col("__copies")).cast("int").alias("__copy"), slot_key.alias("__slot_key"))
+    drawn = keyed_join(draws, ranked.select(*df.columns, "__rn", "__copy"), groups + ["__rn", "__copy"])
     if draw_key is None:
         return large.select(*df.columns).unionByName(drawn.select(*df.columns))
     return (large.select(*df.columns, F.lit(None).cast("string").alias(draw_key))
@@ -105,10 +114,6 @@ def sample_with_replacement(df: DataFrame, n: int, key_cols: Sequence[str], seed
 
 
 # ---------------------------------------------------------------- I1, I3, I4
-#: Synthetic rows that one expanding row gives at most.
-SLOT_CHUNK = 4096
-
-
 def smote_need(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, need)``; need = majority count - n."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

@@ -63,6 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours from whatever store it is in."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpoint(df):
     """Reliable checkpoint into the shared folder (``spark.checkpoint.dir``),
     cutting lineage; resolves the folder first so a session created

@@ -148,6 +148,13 @@ def test_split_and_folds_move_no_rows(spark):
     assert len(sizes) == 10 and all(r["count"] == 50 for r in sizes)
 
 
+def test_bootstrap_of_few_rows_joins_copies(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "g", int(i < 2)) for i in range(200)], "id long, g string, y int")
+    want = sorted(map(tuple, rb.group_bootstrap(df, ["g"], "y", ["id"]).collect()))
+    monkeypatch.setattr(rb, "SLOT_CHUNK", 10)
+    assert sorted(map(tuple, rb.group_bootstrap(df, ["g"], "y", ["id"]).collect())) == want
+
+
 def test_smote_balances(spark):
     rows = [(i, int(i < 12), float(i % 7), int(i % 5)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, y int, a double, b int")
