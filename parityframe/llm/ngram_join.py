@@ -27,15 +27,17 @@ Method
    thousands hold is one entry per block). Sets with such signatures are
    written to the shared folder with their texts; the rest are done.
 5. *Verification.* First every set is compared with one set for each of its
-   signatures, the one that shares most of its own: a star and not all pairs. Signatures whose sets are now in
-   one component are done. For the others the pairs across components are
-   compared. So no link that could connect anything is missed, and groups of
-   thousands of near copies cost about one comparison for each.
+   signatures, the one that shares most of its own: a star and not all pairs.
+   Signatures whose sets are now in one component are done. For the others sets
+   are compared across components: first each set with the nearest one (by
+   the maps below) of each other component, in a share of the signatures, then
+   all pairs that are left. So no link that could connect anything is missed,
+   and groups of thousands of near copies cost few comparisons for each.
 
 Pairs are pruned before texts are read: by length (100 * smaller >= percent *
 larger) and by 512-bit parity maps of the sets, which differ in no more places
 than the sets do. Near copies with a few edits each, of which hardly two link,
-thus leave about as many pairs as there are links. Nothing of the size of the input reaches the driver.
+thus leave few pairs. Nothing of the size of the input reaches the driver.
 
 Defined results: a null text, or one without words, has an empty set, links
 with nothing and is its own component; a null id never names a component
@@ -49,7 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parityframe.llm import wordhash as wh
@@ -62,6 +64,8 @@ _LANE = wh.lane(21, wh.SPACES, lower=True)
 _KIND_ROW, _KIND_TOKEN = 0, 1
 #: A shingle in more documents than this can be a frequent one.
 FREQUENT_FROM = 32
+#: One of so many open signatures is looked at first.
+FIRST_SHARE = 16
 #: Nodes (8 bytes each) that are broadcast at most; beyond it they are joined.
 BROADCAST_NODES = 1 << 20
 #: Size levels: a step is a little more than the largest ratio of linked sizes.
@@ -101,11 +105,14 @@ def parity_map(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _differ(a: str, b: str):
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(_MAP_COLUMNS)), F.lit(0))
+
+
 def _maps_allow(n_a, n_b, a: str, b: str, percent: int):
     """Whether the maps (columns a0.. and b0..) leave room for a link: linked
     sets differ in at most (100 - p) / (100 + p) of their summed sizes."""
-    differ = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(_MAP_COLUMNS)), F.lit(0))
-    return differ * (100 + percent) <= (n_a + n_b) * (100 - percent)
+    return _differ(a, b) * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
 def lacking(n: int, percent: int) -> int:
@@ -319,6 +326,32 @@ def _near_enough(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
+def _open_rows(candidates: DataFrame, so_far: DataFrame, centre, maps: DataFrame) -> DataFrame:
+    """(signature, before, node, n, component, map) of the sets that have a
+    signature with sets of several components, without its centre, which is
+    compared with all of them already. ``before`` is the set's open signature
+    before this one."""
+    named = candidates.select("node", "n", "shared", "signatures").join(so_far, "node", "left") \
+        .select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
+    several = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                             centre.alias("c")).filter("low <> high").select("signature", F.col("c.node").alias("centre"))
+    found = stored(named.join(several, "signature").filter(F.col("node") != F.col("centre"))
+                   .select("signature", "node", "component"), "open-signatures")
+    in_order = Window.partitionBy("node").orderBy("signature")
+    return found.withColumn("before", F.lag("signature").over(in_order)).join(maps, "node")
+
+
+def _across(here: DataFrame, percent: int, also=None) -> DataFrame:
+    """(a, b, component of a, differ) of sets of different components that
+    share a signature and whose sizes and maps allow a link."""
+    other = here.withColumnsRenamed({"node": "b", "n": "n_b", "component": "component_b", "before": "before_b"}
+                                    | {m: f"b{m[1:]}" for m in _MAP})
+    meet = (F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b")) \
+        & _near_enough(F.col("n"), F.col("n_b"), percent) & _maps_allow(F.col("n"), F.col("n_b"), "m", "b", percent)
+    return here.join(other, "signature").filter(meet if also is None else meet & also).select(
+        F.col("node").alias("a"), "b", "component", _differ("m", "b").alias("differ"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     percent: int = 85, most_frequent: int = 500_000) -> DataFrame:
     """(id, text_hash, n_shingles, component_id) of every row of ``docs``."""
@@ -360,19 +393,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so_far = components(links)
 
     # What stars leave open: signatures whose sets are in several components.
-    named = candidates.select("node", "n", "shared", "signatures").join(so_far, "node", "left") \
-        .select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
-    several = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                             centre.alias("c")).filter("low <> high").select("signature", F.col("c.node").alias("centre"))
-    open_ = stored(named.join(several, "signature").filter(F.col("node") != F.col("centre"))
-                   .select("signature", "node", "component"), "open-signatures")
-    open_ = open_.join(maps, "node")
-    other = open_.withColumnsRenamed({"node": "b", "n": "n_b", "component": "component_b"} | {m: f"b{m[1:]}" for m in _MAP})
-    across = open_.join(other, "signature").filter(
-        (F.col("node") < F.col("b")) & (F.col("component") != F.col("component_b"))
-        & _near_enough(F.col("n"), F.col("n_b"), percent)
-        & _maps_allow(F.col("n"), F.col("n_b"), "m", "b", percent)).select(F.col("node").alias("a"), "b").distinct()
-    more = _verified(across, candidates, shingle, percent)
+    # First a share of these signatures, and for each set and other component
+    # only the set whose map is nearest; most of what links is one then.
+    here = _open_rows(candidates, so_far, centre, maps).filter(F.pmod(F.col("signature"), F.lit(FIRST_SHARE)) == 0)
+    nearest = _across(here, percent).groupBy("b", "component").agg(F.min_by("a", "differ").alias("a")).select("a", "b")
+    links = links.unionByName(stored(_verified(nearest, candidates, shingle, percent), "similar"))
+    # Then every pair that is left. Sets that share a signature and also the
+    # one before it in both lists have met there.
+    here = _open_rows(candidates, components(links), centre, maps)
+    rest = _across(here, percent, (F.col("before") != F.col("before_b")) | F.col("before").isNull() | F.col("before_b").isNull())
+    more = _verified(rest.select("a", "b").distinct(), candidates, shingle, percent)
     whole = components(links.unionByName(more))
 
     # The smallest id of each component, then of each row.
