@@ -11,6 +11,7 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,3 +119,60 @@ def bucket_cuts(sorted_hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray,
         return b, np.zeros(1, np.int64)
     begin = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     return b[begin], np.r_[begin, len(b)]
+
+
+PACKED = "block int, bucket int, packed binary"
+PACKED_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
+BITS = "block int, kind int, bucket int, bits binary"
+BITS_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
+
+
+def shared_hashes(table: pa.Table) -> pa.Table:
+    """One bucket: for every block a bit per packed 48-bit hash, set if another
+    block has it."""
+    parts = []
+    for blob in table.column("packed").to_pylist():
+        six = np.frombuffer(blob, np.uint8).reshape(6, -1).T
+        full = np.zeros((len(six), 8), np.uint8)
+        full[:, :6] = six
+        parts.append(full.view(np.uint64).ravel())
+    everything = np.concatenate(parts)
+    order = np.argsort(everything, kind="stable")
+    s = everything[order]
+    same = np.zeros(len(s), dtype=bool)
+    same[1:] = s[1:] == s[:-1]
+    same[:-1] |= same[1:]
+    shared = np.empty(len(s), dtype=bool)
+    shared[order] = same
+    return bit_rows(table, 0, shared, [len(p) for p in parts])
+
+
+def bit_rows(table, kind, flags, lengths):
+    ends = np.cumsum(lengths)
+    rows = [np.packbits(flags[e - n:e]).tobytes() for e, n in zip(ends, lengths)]
+    return pa.table([table.column("block").combine_chunks(), pa.array([kind] * len(rows), pa.int32()),
+                     table.column("bucket").combine_chunks(), pa.array(rows, pa.binary())], schema=BITS_ARROW)
+
+
+def read_bits(bits: pa.Table, kind: int, sorted_hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The flags of a block's sorted hashes, from what the buckets answered."""
+    flags = np.zeros(len(sorted_hashes), dtype=bool)
+    buckets, cuts = bucket_cuts(sorted_hashes, n_buckets)
+    where = {int(b): (cuts[i], cuts[i + 1]) for i, b in enumerate(buckets)}
+    for got, bucket, blob in zip(bits.column("kind").to_pylist(), bits.column("bucket").to_pylist(),
+                                 bits.column("bits").to_pylist()):
+        if got == kind:
+            a, b = where[bucket]
+            flags[a:b] = np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a).view(bool)
+    return flags
+
+
+def packed_hashes(block: int, sorted_hashes: np.ndarray, n_buckets: int) -> pa.Table:
+    """Rows of PACKED: a block's distinct hashes by bucket. The bucket gives the
+    upper bits; 48 lower ones tell hashes apart well enough, since a chance
+    match only adds something to compare."""
+    buckets, cuts = bucket_cuts(sorted_hashes, n_buckets)
+    low = sorted_hashes.view(np.uint8).reshape(-1, 8)[:, :6]
+    rows = [low[a:b].T.tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+    return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array(buckets), pa.array(rows, pa.binary())],
+                    schema=PACKED_ARROW)

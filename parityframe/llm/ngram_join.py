@@ -55,9 +55,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parityframe.llm import wordhash as wh
-from parityframe.llm.common import block_count, bucket_cuts, read_table, ship, stored, text_blocks, text_bytes
+from parityframe.llm.common import (BITS, PACKED, PACKED_ARROW, block_count, packed_hashes, read_bits, read_table, shared_hashes,
+                                    ship, stored, text_blocks, text_bytes)
 from parityframe.llm.components import components
-from parityframe.llm.substrings import _BITS, _BITS_ARROW, _PACKED, _PACKED_ARROW, _read_bits, _shared_anchors
 
 _IS_WORD = wh.word_table(wh.SPACES)
 _LANE = wh.lane(21, wh.SPACES, lower=True)
@@ -218,7 +218,7 @@ def _frequent(described: DataFrame, most: int) -> np.ndarray:
     return np.sort(np.ascontiguousarray(tokens).view(np.uint64))
 
 
-_TOLD = _BITS + ", node long"
+_TOLD = BITS + ", node long"
 
 
 def _owned_sets(texts: pa.Table, told: pa.Table, shingle: int) -> dict[int, tuple[int, np.ndarray]]:
@@ -243,14 +243,10 @@ def _all_signatures(sets, frequent, percent):
 def _signature_rows(frequent, shingle, percent, n_buckets):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _PACKED_ARROW.empty_table()
+            return PACKED_ARROW.empty_table()
         hot = np.frombuffer(frequent.value, np.uint64)
         _, distinct, _ = _all_signatures(_owned_sets(texts, told, shingle), hot, percent)
-        buckets, cuts = bucket_cuts(distinct, n_buckets)
-        low = distinct.view(np.uint8).reshape(-1, 8)[:, :6]
-        rows = [low[a:b].T.tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table([pa.array([texts.column("block")[0].as_py()] * len(rows), pa.int32()), pa.array(buckets),
-                         pa.array(rows, pa.binary())], schema=_PACKED_ARROW)
+        return packed_hashes(texts.column("block")[0].as_py(), distinct, n_buckets)
     return run
 
 
@@ -268,7 +264,7 @@ def _candidate_rows(frequent, shingle, percent, n_buckets):
         hot = np.frombuffer(frequent.value, np.uint64)
         sets = _owned_sets(texts, told, shingle)
         each, distinct, count = _all_signatures(sets, hot, percent)
-        shared = _read_bits(told, 0, distinct, n_buckets) | (count > 1)
+        shared = read_bits(told, 0, distinct, n_buckets) | (count > 1)
         nodes, sizes, maps, share, kept, rows = [], [], [], [], [], []
         for (node, (row, s)), sig in zip(sets.items(), each):
             every, sig = len(sig), sig[shared[np.searchsorted(distinct, sig)]]
@@ -368,8 +364,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Candidates, with one exchange of the texts.
     owners = nodes.select("block", F.lit(-1).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("bits"), "node")
     by_block = texts.groupBy("block")
-    packed = by_block.cogroup(owners.groupBy("block")).applyInArrow(_signature_rows(frequent, shingle, percent, n), _PACKED)
-    bits = packed.groupBy("bucket").applyInArrow(_shared_anchors, _BITS).withColumn("node", F.lit(None).cast("long"))
+    packed = by_block.cogroup(owners.groupBy("block")).applyInArrow(_signature_rows(frequent, shingle, percent, n), PACKED)
+    bits = packed.groupBy("bucket").applyInArrow(shared_hashes, BITS).withColumn("node", F.lit(None).cast("long"))
     told = owners.unionByName(bits)
     candidates = stored(by_block.cogroup(told.groupBy("block")).applyInArrow(
         _candidate_rows(frequent, shingle, percent, n), _CANDIDATE), "candidates")

@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parityframe.llm import wordhash as wh
-from parityframe.llm.common import (block_count, bucket_cuts, from_planes, planes, read_table,
-                                    text_blocks, text_bytes)
+from parityframe.llm.common import (BITS, PACKED, PACKED_ARROW, bit_rows, block_count, bucket_cuts, from_planes,
+                                    packed_hashes, planes, read_bits, read_table, shared_hashes, text_blocks, text_bytes)
 
 NO_ID = np.iinfo(np.int64).max
 _IS_WORD = wh.word_table(wh.SPACES)
@@ -93,71 +93,20 @@ def _block_anchors(slices):
     return np.unique(np.concatenate([s.grams[np.unique(s.run_anchor)] for s in slices]))
 
 
-_PACKED = "block int, bucket int, packed binary"
-_PACKED_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
-_BITS = "block int, kind int, bucket int, bits binary"
-_BITS_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
-
-
 def _anchor_rows(length, k, n_buckets):
     def run(table: pa.Table) -> pa.Table:
         anchors = _block_anchors(_slices(table, length, k, runs=False))
-        buckets, cuts = bucket_cuts(anchors, n_buckets)
-        # The bucket gives the upper bits; 48 lower ones tell anchors apart well
-        # enough: a chance match only adds runs to compare.
-        low = anchors.view(np.uint8).reshape(-1, 8)[:, :6]
-        rows = [low[a:b].T.tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table([pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), pa.array(buckets),
-                         pa.array(rows, pa.binary())], schema=_PACKED_ARROW)
+        return packed_hashes(table.column("block")[0].as_py(), anchors, n_buckets)
     return run
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """One bucket: for every block a bit per anchor, set if another block has it."""
-    parts = []
-    for blob in table.column("packed").to_pylist():
-        six = np.frombuffer(blob, np.uint8).reshape(6, -1).T
-        full = np.zeros((len(six), 8), np.uint8)
-        full[:, :6] = six
-        parts.append(full.view(np.uint64).ravel())
-    everything = np.concatenate(parts)
-    order = np.argsort(everything, kind="stable")
-    s = everything[order]
-    same = np.zeros(len(s), dtype=bool)
-    same[1:] = s[1:] == s[:-1]
-    same[:-1] |= same[1:]
-    shared = np.empty(len(s), dtype=bool)
-    shared[order] = same
-    return _bit_rows(table, 0, shared, [len(p) for p in parts])
-
-
-def _bit_rows(table, kind, flags, lengths):
-    ends = np.cumsum(lengths)
-    rows = [np.packbits(flags[e - n:e]).tobytes() for e, n in zip(ends, lengths)]
-    return pa.table([table.column("block").combine_chunks(), pa.array([kind] * len(rows), pa.int32()),
-                     table.column("bucket").combine_chunks(), pa.array(rows, pa.binary())], schema=_BITS_ARROW)
-
-
-def _read_bits(bits: pa.Table, kind: int, sorted_hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The flags of a block's sorted hashes, from what the buckets answered."""
-    flags = np.zeros(len(sorted_hashes), dtype=bool)
-    buckets, cuts = bucket_cuts(sorted_hashes, n_buckets)
-    where = {int(b): (cuts[i], cuts[i + 1]) for i, b in enumerate(buckets)}
-    for got, bucket, blob in zip(bits.column("kind").to_pylist(), bits.column("bucket").to_pylist(),
-                                 bits.column("bits").to_pylist()):
-        if got == kind:
-            a, b = where[bucket]
-            flags[a:b] = np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a).view(bool)
-    return flags
-
-
 class _Candidates:
     """The runs of a block whose anchor is shared, and their distinct hashes
     with the smallest id in the block. ``group`` maps runs to the latter."""
 
     def __init__(self, slices, bits, n_buckets):
         anchors = _block_anchors(slices)
-        shared = _read_bits(bits, 0, anchors, n_buckets)
+        shared = read_bits(bits, 0, anchors, n_buckets)
         # Within a block an anchor of two texts is shared as well; keeping all
         # anchors that occur twice covers that.
         places = [np.unique(s.run_anchor) for s in slices]
@@ -183,12 +132,12 @@ class _Candidates:
 def _run_rows(length, k, n_buckets):
     def run(texts: pa.Table, bits: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return _PACKED_ARROW.empty_table()
+            return PACKED_ARROW.empty_table()
         c = _Candidates(_slices(texts, length, k, runs=True), bits, n_buckets)
         buckets, cuts = bucket_cuts(c.a, n_buckets)
         rows = [planes(c.a[i:j]) + planes(c.b[i:j]) + planes(c.least[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
         return pa.table([pa.array([texts.column("block")[0].as_py()] * len(rows), pa.int32()), pa.array(buckets),
-                         pa.array(rows, pa.binary())], schema=_PACKED_ARROW)
+                         pa.array(rows, pa.binary())], schema=PACKED_ARROW)
     return run
 
 
@@ -210,7 +159,7 @@ def _smaller_elsewhere(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(new)
     smaller = np.empty(len(a), dtype=bool)
     smaller[order] = s[first][np.cumsum(new) - 1] < s
-    return _bit_rows(table, 1, smaller, lengths)
+    return bit_rows(table, 1, smaller, lengths)
 
 
 _KEPT = "id long, n_words long, n_removed long, kept_text string"
@@ -220,7 +169,7 @@ def _cut_rows(length, k, n_buckets):
     def run(texts: pa.Table, bits: pa.Table) -> pa.Table:
         slices = _slices(texts, length, k, runs=True) if texts.num_rows else []
         c = _Candidates(slices, bits, n_buckets)
-        elsewhere = _read_bits(bits, 1, c.a, n_buckets)
+        elsewhere = read_bits(bits, 1, c.a, n_buckets)
         remove = (c.least[c.group] < c.ids) | elsewhere[c.group]
         at, words, removed, kept = 0, [], [], []
         for s, picked in zip(slices, c.picked):
@@ -266,10 +215,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of at least ``length`` words that a smaller id has too are removed."""
     n = block_count(text_bytes(docs, text_col))
     texts = text_blocks(docs, id_col, text_col, n).groupBy("block")
-    anchors = texts.applyInArrow(_anchor_rows(length, k, n), _PACKED)
-    shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, _BITS)
-    runs = texts.cogroup(shared.groupBy("block")).applyInArrow(_run_rows(length, k, n), _PACKED)
-    smaller = runs.groupBy("bucket").applyInArrow(_smaller_elsewhere, _BITS)
+    anchors = texts.applyInArrow(_anchor_rows(length, k, n), PACKED)
+    shared = anchors.groupBy("bucket").applyInArrow(shared_hashes, BITS)
+    runs = texts.cogroup(shared.groupBy("block")).applyInArrow(_run_rows(length, k, n), PACKED)
+    smaller = runs.groupBy("bucket").applyInArrow(_smaller_elsewhere, BITS)
     return texts.cogroup(shared.unionByName(smaller).groupBy("block")).applyInArrow(_cut_rows(length, k, n), _KEPT)
 
 

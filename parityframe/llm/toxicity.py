@@ -98,7 +98,7 @@ def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(p), pa.array(counts[0][p]), pa.array(counts[1][p])], names=["place", "u", "p"])
 
 
-def _unlabelled_counts(places: np.ndarray):
+def _kept_columns(places: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1)
@@ -187,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     places = np.sort(np.array([r[0] for r in best], dtype=np.int64))
     if not len(places):
         return nothing
-    lists = sample.mapInArrow(_unlabelled_counts(places), "toxic int, columns array<int>").toArrow()
+    lists = sample.mapInArrow(_kept_columns(places), "toxic int, columns array<int>").toArrow()
     toxic = lists.column("toxic").to_numpy().astype(bool)
     columns = lists.column("columns").combine_chunks()
     lengths = np.diff(columns.offsets.to_numpy())
