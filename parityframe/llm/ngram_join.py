@@ -322,13 +322,14 @@ def _near_enough(x, y, percent: int):
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _open_rows(candidates: DataFrame, so_far: DataFrame, centre, maps: DataFrame) -> DataFrame:
+def _open_rows(candidates: DataFrame, so_far: DataFrame, centre, maps: DataFrame, share: int = 1) -> DataFrame:
     """(signature, before, node, n, component, map) of the sets that have a
     signature with sets of several components, without its centre, which is
     compared with all of them already. ``before`` is the set's open signature
-    before this one."""
+    before this one. Of the signatures one in ``share`` is looked at."""
+    looked_at = F.filter("signatures", lambda x: F.pmod(x, F.lit(share)) == 0) if share > 1 else F.col("signatures")
     named = candidates.select("node", "n", "shared", "signatures").join(so_far, "node", "left") \
-        .select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.explode("signatures").alias("signature"))
+        .select("node", "n", "shared", F.coalesce("component", "node").alias("component"), F.explode(looked_at).alias("signature"))
     several = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                              centre.alias("c")).filter("low <> high").select("signature", F.col("c.node").alias("centre"))
     found = stored(named.join(several, "signature").filter(F.col("node") != F.col("centre"))
@@ -391,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What stars leave open: signatures whose sets are in several components.
     # First a share of these signatures, and for each set and other component
     # only the set whose map is nearest; most of what links is one then.
-    here = _open_rows(candidates, so_far, centre, maps).filter(F.pmod(F.col("signature"), F.lit(FIRST_SHARE)) == 0)
+    here = _open_rows(candidates, so_far, centre, maps, FIRST_SHARE)
     nearest = _across(here, percent).groupBy("b", "component").agg(F.min_by("a", "differ").alias("a")).select("a", "b")
     links = links.unionByName(stored(_verified(nearest, candidates, shingle, percent), "similar"))
     # Then every pair that is left. Sets that share a signature and also the
