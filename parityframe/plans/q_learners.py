@@ -10,8 +10,6 @@ the preset."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from parityframe.functions.hashing import sql_hash32
@@ -150,7 +148,7 @@ def q_rfecv(spark, sf):
 def q_rfecv_trees(spark, sf):
     """The same by the trees' gains, as most of the reference's runs."""
     train, _ = prepared(spark, sf)
-    return _rfecv_table(ml.rfecv(partial(_gbt, maxDepth=4), train.drop("features"), FEATS, min_features=2))
+    return _rfecv_table(ml.rfecv(_gbt, train.drop("features"), FEATS, min_features=2))
 
 
 def _rfecv_table(res):
@@ -197,7 +195,7 @@ def q_eval_history_chosen(spark, sf):
 @register("early_stop_model")
 def q_early_stop_model(spark, sf):
     train, test = prepared(spark, sf)
-    h = ml.eval_history(_gbt(maxIter=3 * TREES, maxDepth=4).fit(train), {"train": train, "test": test},
+    h = ml.eval_history(_gbt(maxIter=ml.PRESETS["boost_a"]["maxIter"]).fit(train), {"train": train, "test": test},
                         metrics=("logloss", "error")).transform(_ckpt)
     return round_doubles(mx.early_stop(h, patience=PATIENCE, metric="error", split="test"))
 
