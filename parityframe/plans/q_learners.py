@@ -3,10 +3,8 @@ fit, so these have no SQL oracle (rows-only check); the metric layer they feed
 is oracle-checked separately, and what SQL can say about a fit is
 (``learning_curve_sizes``, ``grid_fold_sizes``, ``logistic_gradient``).
 
-Folds, sizes, depths, grid, penalty and patience are the reference's. The one
-stated parameter that is smaller is the number of trees, ``TREES`` (the presets
-have 400 and 1000, which take hours a query here); the operators' default is
-the preset."""
+Folds, sizes, depths, rounds, grid, penalty and patience are the reference's:
+boosted fits are of the first preset, 400 rounds of depth 7."""
 
 from __future__ import annotations
 
@@ -26,8 +24,8 @@ from parityframe.session import checkpoint as _ckpt
 FEATS = [f + "_s" for f in MODEL_FEATURES]
 GROUPS = ["c_mktsegment", "o_orderpriority"]
 FOLDS = 5
-#: Boosting rounds of the queries here.
-TREES = 10
+#: Boosting rounds of the first preset.
+TREES = ml.PRESETS["boost_a"]["maxIter"]
 PATIENCE = 25
 
 
@@ -46,8 +44,8 @@ def prepared(spark, sf):
 
 
 def _gbt(n=None, **kw):
-    """The first boosted preset with TREES rounds (a penalty doesn't depend on n)."""
-    return ml.boosted("boost_a", **({"maxIter": TREES} | kw))
+    """The first boosted preset (a penalty doesn't depend on n)."""
+    return ml.boosted("boost_a", **kw)
 
 
 @register("logreg_scores")
@@ -66,10 +64,9 @@ def q_gbt_scores(spark, sf):
 
 @register("grid_search")
 def q_grid_search(spark, sf):
-    """The 18 points, with 2, 4 and 6 trees for the 100, 200 and 300."""
+    """The 18 points."""
     train, _ = prepared(spark, sf)
-    scaled = ml.GRID_18 | {"maxIter": [n // 50 for n in ml.GRID_18["maxIter"]]}
-    _, table = ml.grid_search(_gbt, scaled, train)
+    _, table = ml.grid_search(_gbt, ml.GRID_18, train)
     return round_doubles(table)
 
 
@@ -84,7 +81,7 @@ def q_grid_search_logistic(spark, sf):
 @register("depth_elbow")
 def q_depth_elbow(spark, sf):
     train, _ = prepared(spark, sf)
-    return round_doubles(ml.depth_elbow(lambda d: _gbt(maxIter=TREES // 2, maxDepth=d), ml.ELBOW_DEPTHS, train))
+    return round_doubles(ml.depth_elbow(lambda d: _gbt(maxDepth=d), ml.ELBOW_DEPTHS, train))
 
 
 @register("learning_curve")
@@ -195,7 +192,7 @@ def q_eval_history_chosen(spark, sf):
 @register("early_stop_model")
 def q_early_stop_model(spark, sf):
     train, test = prepared(spark, sf)
-    h = ml.eval_history(_gbt(maxIter=ml.PRESETS["boost_a"]["maxIter"]).fit(train), {"train": train, "test": test},
+    h = ml.eval_history(_gbt().fit(train), {"train": train, "test": test},
                         metrics=("logloss", "error")).transform(_ckpt)
     return round_doubles(mx.early_stop(h, patience=PATIENCE, metric="error", split="test"))
 

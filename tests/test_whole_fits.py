@@ -7,6 +7,7 @@ import pytest
 from parityframe.operators import learners as ml
 from parityframe.plans import flows, q_flows
 from parityframe.plans import q_learners as ql
+from parityframe.plans.catalog import QUERIES
 
 PRESET = ml.PRESETS["boost_a"]
 
@@ -59,3 +60,17 @@ def test_early_stop_and_elimination_have_the_depth(asked, monkeypatch):
     assert asked(ql.q_early_stop_model, None, None) == PRESET
     call = _call(monkeypatch, ml, "rfecv", ql.q_rfecv_trees)
     assert asked(call.args[0], 0)["maxDepth"] == PRESET["maxDepth"]
+
+
+@pytest.mark.parametrize("name", ["gbt_scores", "importance_gain", "importance_weight", "eval_history", "eval_history_chosen",
+                                  "early_stop_model", "model_overfit", "model_leaderboard", "model_fairness_audit"])
+def test_single_fits_are_whole(asked, name):
+    assert asked(QUERIES[name], None, None) == PRESET
+
+
+def test_grid_elbow_and_elimination_are_whole(asked, monkeypatch):
+    make, grid, _ = _call(monkeypatch, ml, "grid_search", ql.q_grid_search).args
+    assert grid == ml.GRID_18 and asked(make, 0, maxIter=300, maxDepth=8) == PRESET | {"maxIter": 300, "maxDepth": 8}
+    make, depths, _ = _call(monkeypatch, ml, "depth_elbow", ql.q_depth_elbow).args
+    assert depths == ml.ELBOW_DEPTHS and asked(make, 9) == PRESET | {"maxDepth": 9}
+    assert asked(_call(monkeypatch, ml, "rfecv", ql.q_rfecv_trees).args[0], 0) == PRESET
