@@ -17,27 +17,39 @@ each piece), ``position_resets`` (where position ids start again from 0),
 ``doc_ids`` and ``doc_offsets`` (which document a piece is of, and at which of
 its ids the piece starts). (shard, row) numbers the matrix rows.
 
+``write_packed`` writes the rows to files: each task those of its own shard,
+into the shared folder or a given one, which all executors must reach. A shard
+has three files of little-endian 32-bit numbers, named by the manifest: ``ids``
+(the matrix, row after row), ``cu_seqlens`` and ``position_resets`` (the rows'
+lists one after the other; 0 occurs only as the first of a row).
+
 Defined results: a null or empty text has no ids and so no piece; a null id
 packs like any other; repeated rows are packed each.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from parityframe.llm.bpe import codec, read_ranks
-from parityframe.llm.common import read_table, ship
+from parityframe.llm.common import read_table, shared_path, ship, stored
 
 ROW = "shard int, row long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, " \
       "doc_ids array<long>, doc_offsets array<long>"
 _ROW_ARROW = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int32()),
                         ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())),
                         ("doc_ids", pa.list_(pa.int64())), ("doc_offsets", pa.list_(pa.int64()))])
+#: Files of a shard, and their manifest.
+FILES = ("ids", "cu_seqlens", "position_resets")
+MANIFEST = "shard int, n_rows long, length int, n_tokens long, n_pieces long, " + ", ".join(f"{f} string" for f in FILES)
 
 
 class FreeRows:
@@ -140,6 +152,41 @@ def pack_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str =
     return docs.select(docs[id_col].cast("long"), text_col).mapInArrow(run, ROW)
 
 
+def write_packed(packed: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the rows of ``pack_documents``; the manifest: for each shard with
+    rows its numbers of rows, ids a row, ids used and pieces, and its files'
+    paths. A repeated task writes new files, and the manifest names those of
+    the attempt that counts."""
+    target = folder or shared_path(packed.sparkSession, "packed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(target)
+        shard, name = TaskContext.get().partitionId(), uuid.uuid4().hex
+        paths = [f"{base.rstrip('/')}/shard-{shard:06d}-{name}.{f}" for f in FILES]
+        rows = length = tokens = pieces = 0
+        with ExitStack() as opened:
+            files: list = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if not files:
+                    store.create_dir(base, recursive=True)
+                    files = [opened.enter_context(store.open_output_stream(p)) for p in paths]
+                ids, ends, resets = (batch.column(f) for f in FILES)
+                for row in ids:
+                    files[0].write(row.as_buffer())
+                files[1].write(ends.flatten().to_numpy().astype("<i4").tobytes())
+                files[2].write(resets.flatten().to_numpy().astype("<i4").tobytes())
+                rows, length = rows + batch.num_rows, len(ids[0].as_buffer()) // 4
+                tokens += sum(batch.column("n_tokens").to_pylist())
+                pieces += len(resets.flatten())
+        if rows:
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([rows]), pa.array([length], pa.int32()), pa.array([tokens]),
+                                   pa.array([pieces]), *[pa.array([p]) for p in paths]],
+                                  names=["shard", "n_rows", "length", "n_tokens", "n_pieces", *FILES])
+    return stored(packed.select("n_tokens", *FILES).mapInArrow(run, MANIFEST), "packed-manifest")
+
+
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return pack_documents(read_table(spark, sf_dir, "documents"),
