@@ -13,15 +13,21 @@ Where a step takes it below, the step unlearns that part instead.
 Features are words (lower-cased A-Z) and their first four and five code
 points, hashed to 2**20 places; present or not, so that length counts for
 little. Kept are the ``n_features`` places that tell P from U best and occur
-in ``least_positives`` toxic examples. Featurising and scoring run in Arrow
-tasks without an object per word; fitting is full-batch Adam in numpy on the
-driver, on samples bounded by ``max_positives`` and ``max_unlabelled`` rows
-(expected sizes, drawn by a hash of the id) and on the kept places alone.
+in ``least_positives`` toxic examples, by counts over all documents and the
+toxic examples. Featurising and scoring run in Arrow tasks without an object
+per word; fitting is full-batch Adam in numpy on the driver, on samples of
+about ``max_positives`` and ``max_unlabelled`` rows and on the kept places
+alone. Rows are drawn by a hash of id and text; of repeated rows as many as
+their share gives, as one row with a weight, so that no id can make a sample
+larger. Only the toxic ids themselves are drawn by a hash of the id, where
+there are more than ``max_positives``.
 
 Defined results: null and empty texts have no features and get the bias's
-score; rows with a null id are scored and never learned from; without any
-toxic example every score is 0; repeated rows count each. Columns of the
-input named like the added ones are replaced.
+score; rows with a null id are scored and never learned from; with fewer
+toxic examples than ``least_positives`` (5), or without a place that tells
+them apart, nothing is fitted: every score is 0 and nothing is predicted
+toxic; repeated rows count each. Columns of the input named like the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -101,12 +107,11 @@ def _count_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _kept_columns(places: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1)
             for a, b, data, offsets in wh.text_slices(batch.column(0)):
                 text, column = _kept(_features(data, offsets), places)
                 lists = np.split(column, np.searchsorted(text, np.arange(1, b - a)))
-                yield pa.record_batch([toxic.slice(a, b - a), pa.array(lists, pa.list_(pa.int32()))],
-                                      names=["toxic", "columns"])
+                yield pa.record_batch([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(lists, pa.list_(pa.int32()))],
+                                      names=["toxic", "drawn", "row", "columns"])
     return run
 
 
@@ -121,10 +126,12 @@ def _kept(features, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def nnpu_fit(rows: np.ndarray, columns: np.ndarray, toxic: np.ndarray, n_columns: int, prior: float,
-             steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+             steps: int = 400, rate: float = 0.05, l2: float = 1e-4, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Adam on the non-negative risk. (rows, columns) are the ones of a 0/1
-    matrix, ``toxic`` marks the rows of P; the other rows are U."""
-    n_p, n_u = int(toxic.sum()), int((~toxic).sum())
+    matrix, ``toxic`` marks the rows of P; the other rows are U. A row counts
+    ``times`` (once by default)."""
+    times = np.ones(len(toxic)) if times is None else times
+    share_p, share_u = times[toxic] / times[toxic].sum(), times[~toxic] / times[~toxic].sum()
     w = np.zeros(n_columns + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -132,14 +139,14 @@ def nnpu_fit(rows: np.ndarray, columns: np.ndarray, toxic: np.ndarray, n_columns
         z = w[-1] + np.bincount(rows, weights=w[columns], minlength=len(toxic))
         up = 1 / (1 + np.exp(-np.clip(z, -30, 30)))  # slope of loss(-z); of loss(z) it is up - 1
         loss_minus = np.logaddexp(0, z)
-        rest = loss_minus[~toxic].mean() - prior * loss_minus[toxic].mean()
+        rest = share_u @ loss_minus[~toxic] - prior * (share_p @ loss_minus[toxic])
         slope = np.empty_like(z)
         if rest >= 0:
-            slope[toxic] = prior * (up[toxic] - 1 - up[toxic]) / n_p
-            slope[~toxic] = up[~toxic] / n_u
+            slope[toxic] = prior * (up[toxic] - 1 - up[toxic]) * share_p
+            slope[~toxic] = up[~toxic] * share_u
         else:
-            slope[toxic] = prior * up[toxic] / n_p
-            slope[~toxic] = -up[~toxic] / n_u
+            slope[toxic] = prior * up[toxic] * share_p
+            slope[~toxic] = -up[~toxic] * share_u
         grad = np.append(np.bincount(columns, weights=slope[rows], minlength=n_columns), slope.sum())
         grad[:-1] += l2 * w[:-1]
         first = 0.9 * first + 0.1 * grad
@@ -154,6 +161,20 @@ def _sampled(docs: DataFrame, id_col: str, n: int, bound: int) -> DataFrame:
     return docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
 
 
+def _drawn(texts: DataFrame, id_col: str, bound: int) -> DataFrame:
+    """(text, drawn, row) of about ``bound`` rows, all if there are no more:
+    ``drawn`` of the equal rows whose hash of id and text is ``row``. Each group
+    of n equal rows gets n * bound / all, rounded up or down by its hash. Only
+    hashes are shuffled, and the drawn texts."""
+    row = F.xxhash64(id_col, "text").alias("row")
+    counts = stored(texts.groupBy(row).agg(F.count("*").alias("n")), "row-counts")
+    share = min(1.0, bound / max(1, counts.agg(F.sum("n")).first()[0] or 0))
+    chance = F.pmod(F.xxhash64(F.col("row"), F.lit("drawn")), F.lit(1 << 30)) / (1 << 30)
+    drawn = counts.select("row", F.floor(F.col("n") * share + chance).alias("drawn")).filter("drawn > 0")
+    # At most about ``bound`` hashes.
+    return texts.select(row, "text").join(F.broadcast(drawn), "row").dropDuplicates(["row"]).select("text", "drawn", "row")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", max_positives: int = 20_000, max_unlabelled: int = 30_000,
                  n_features: int = 2048, least_positives: int = 5, least_sigmas: float = 4.5) -> PuClassifier:
@@ -170,10 +191,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # At most about max_positives ids, so that the texts need not be shuffled.
     confirmed = _sampled(marks.filter("__toxic = 1"), id_col, share[1], max_positives).select(id_col)
     positives = texts.join(F.broadcast(confirmed), id_col, "left_semi")
-    unlabelled = _sampled(texts, id_col, docs.count(), max_unlabelled)  # its toxic share is what the prior is for
-    sample = positives.select("text", F.lit(1).alias("toxic")).unionByName(
-        unlabelled.select("text", F.lit(0).alias("toxic")))
-    counted = stored(sample.mapInArrow(_count_places, "place long, u long, p long").groupBy("place").agg(
+    # All texts are the unlabelled ones: their toxic share is what the prior is for.
+    everything = positives.select("text", F.lit(1).alias("toxic")).unionByName(texts.select("text", F.lit(0).alias("toxic")))
+    counted = stored(everything.mapInArrow(_count_places, "place long, u long, p long").groupBy("place").agg(
         F.sum("u").alias("u"), F.sum("p").alias("p")), "feature-counts")
     sizes = counted.filter("place = -1").first()
     if not sizes or not sizes["p"] or not sizes["u"]:
@@ -187,12 +207,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     places = np.sort(np.array([r[0] for r in best], dtype=np.int64))
     if not len(places):
         return nothing
-    lists = sample.mapInArrow(_kept_columns(places), "toxic int, columns array<int>").toArrow()
+    sample = _drawn(positives, id_col, max_positives).select("text", F.lit(1).alias("toxic"), "drawn", "row").unionByName(
+        _drawn(texts, id_col, max_unlabelled).select("text", F.lit(0).alias("toxic"), "drawn", "row"))
+    lists = sample.mapInArrow(_kept_columns(places), "toxic int, drawn long, row long, columns array<int>").toArrow() \
+        .sort_by([("toxic", "descending"), ("row", "ascending")])  # sums in one order, whatever the tasks'
     toxic = lists.column("toxic").to_numpy().astype(bool)
     columns = lists.column("columns").combine_chunks()
     lengths = np.diff(columns.offsets.to_numpy())
     weights, bias = nnpu_fit(np.repeat(np.arange(len(toxic)), lengths), columns.flatten().to_numpy().astype(np.int64),
-                             toxic, len(places), prior)
+                             toxic, len(places), prior, times=lists.column("drawn").to_numpy().astype(float))
     return PuClassifier(places, weights, bias)
 
 
