@@ -7,8 +7,8 @@ costs one stage at most.
 
 1. toxicity: documents that the classifier predicts toxic go (operator 6);
 2. line dedup: lines of 10 or more documents are cut, n_chars follows (3);
-3. n-gram Jaccard join: of each component the document of the smallest id
-   stays, of repeated rows one (2); a stage's word shingles have five words and
+3. n-gram Jaccard join: of each component one document stays, that of the
+   smallest id, of repeated rows one (2); a stage's word shingles have five words and
    link from 80 percent on, op2's contract (four, 85) is its query's;
 4. benchmark decontamination: documents with a benchmark window go (1);
 5. byte-level BPE: the ids' and decoded bytes' digests (5).

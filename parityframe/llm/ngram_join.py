@@ -351,7 +351,9 @@ def _across(here: DataFrame, percent: int, also=None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     percent: int = 85, most_frequent: int = 500_000) -> DataFrame:
-    """(id, text_hash, n_shingles, component_id) of every row of ``docs``."""
+    """(id, text_hash, n_shingles, component_id, stands) of every row of ``docs``;
+    ``stands`` marks the one document of each component that stands for it: that
+    of the smallest id, null last, then of the smallest text_hash."""
     spark = docs.sparkSession
     ship(spark)
     n = block_count(text_bytes(docs, text_col))
@@ -360,7 +362,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _describe(shingle, percent), "kind int, block int, id long, text_hash long, node long, n long"), "shingle-sets")
     rows = described.filter((F.col("kind") == _KIND_ROW) & (F.col("n") > 0))
     frequent = spark.sparkContext.broadcast(_frequent(described, most_frequent).tobytes())
-    nodes = rows.groupBy("node").agg(F.min("block").alias("block"), F.min("id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "text_hash")).alias("first")
+    nodes = rows.groupBy("node").agg(F.min("block").alias("block"), F.min("id").alias("id"), first)
 
     # Candidates, with one exchange of the texts.
     owners = nodes.select("block", F.lit(-1).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("bits"), "node")
@@ -403,25 +406,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = components(links.unionByName(more))
 
     # The smallest id of each component, then of each row.
-    labelled = nodes.join(whole, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = labelled.select("node", "component").join(least, "component").select("node", "component_id")
-    linked = rows.join(of_node, "node").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id")
+    labelled = nodes.join(whole, "node", "left").select("node", "id", "first", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"), F.min("first").alias("first"))
+    of_node = labelled.select("node", "component").join(least, "component").select("node", "component_id", "first")
+    stands = F.col("id").eqNullSafe(F.col("first.id")) & F.col("text_hash").eqNullSafe(F.col("first.text_hash"))
+    linked = rows.join(of_node, "node").select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", stands.alias("stands"))
     empty = described.filter((F.col("kind") == _KIND_ROW) & (F.col("n") == 0)) \
-        .select("id", "text_hash", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        .select("id", "text_hash", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("stands"))
     return linked.unionByName(empty)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component in ``found`` (what
-    near_duplicates gave); of repeated rows one. What goes is stored first, so
-    that Spark knows its size when it picks the join."""
-    keys = found.groupBy("id", "text_hash").agg(F.count("*").alias("rows"), F.first("component_id").alias("component_id"))
-    keys = stored(keys.filter((F.col("rows") > 1) | ~F.col("id").eqNullSafe(F.col("component_id"))), "duplicates") \
+    """The rows of ``docs`` that stand for their component in ``found`` (what
+    near_duplicates gave), also where ids are null or repeated; of repeated rows
+    one. What goes is stored first, so that Spark knows its size when it picks
+    the join."""
+    keys = found.groupBy("id", "text_hash").agg(F.count("*").alias("rows"), F.first("stands").alias("stands"))
+    keys = stored(keys.filter((F.col("rows") > 1) | ~F.col("stands")), "duplicates") \
         .withColumnsRenamed({"id": "__id", "text_hash": "__hash"})
     same = docs[id_col].eqNullSafe(F.col("__id")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("__hash"))
     kept = docs.join(keys, same, "left_anti")
-    repeated = keys.filter(F.col("__id").eqNullSafe(F.col("component_id")))
+    repeated = keys.filter("stands")
     if repeated.isEmpty():
         return kept
     return kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -45,3 +45,17 @@ def test_stage_against_plain_comparison(spark):
     want = sorted(i for i, r in root.items() if i == r)
     assert 10 < len(want) < 150
     assert _stay(spark, list(texts.items())) == want
+
+
+def test_one_document_of_each_component(spark):
+    """Also where all ids of a component are null, or several texts have one id."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(words + [x]) for x in ("a", "b", "c"))
+    rows = [(None, a), (None, b), (None, b), (None, "other text without an id at all"), (None, None), (None, None)]
+    rows += [(7, a.replace("w", "v")), (7, b.replace("w", "v")), (8, c.replace("w", "v")), (7, "a text of its own under the same id")]
+    rows += [(None, a.replace("w", "u")), (9, b.replace("w", "u")), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted((i, (t or "")[:2]) for i, t in kept if i) == [(7, "a "), (7, "v0"), (9, ""), (9, "u0")]
+    assert sorted((t or "")[:2] for i, t in kept if not i) == ["", "ot", "w0"]
+    assert (9, b.replace("w", "u")) in kept
