@@ -74,3 +74,7 @@ def test_grid_elbow_and_elimination_are_whole(asked, monkeypatch):
     make, depths, _ = _call(monkeypatch, ml, "depth_elbow", ql.q_depth_elbow).args
     assert depths == ml.ELBOW_DEPTHS and asked(make, 9) == PRESET | {"maxDepth": 9}
     assert asked(_call(monkeypatch, ml, "rfecv", ql.q_rfecv_trees).args[0], 0) == PRESET
+
+
+def test_eval_history_has_both_names():
+    assert QUERIES["eval_history_leaves"] is QUERIES["eval_history"]
