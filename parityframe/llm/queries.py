@@ -13,6 +13,7 @@ from parityframe.llm.packing import op8_packed_tokens
 from parityframe.llm.piececounts import op4_token_counts
 from parityframe.llm.substrings import OP7_SQL, op7_substring_dedup
 from parityframe.llm.toxicity import op6_toxicity
+from parityframe.llm.urlfilter import OP11_SQL, op11_url_filter
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_packed_tokens": op8_packed_tokens,
     "op9_license_scan": op9_license_scan,
     "op10_fingerprints": op10_fingerprints,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLE = {
@@ -32,4 +34,5 @@ ORACLE = {
     "op2_ngram_jaccard": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op11_url_filter": OP11_SQL,
 }

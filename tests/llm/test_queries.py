@@ -25,7 +25,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     cursor = con.execute(queries.ORACLE[name])
     columns = [c[0] for c in cursor.description]
