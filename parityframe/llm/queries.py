@@ -11,6 +11,7 @@ from parityframe.llm.lines import OP3_SQL, op3_line_dedup
 from parityframe.llm.ngram_join import OP2_SQL, op2_ngram_jaccard
 from parityframe.llm.packing import op8_packed_tokens
 from parityframe.llm.piececounts import op4_token_counts
+from parityframe.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from parityframe.llm.substrings import OP7_SQL, op7_substring_dedup
 from parityframe.llm.toxicity import op6_toxicity
 from parityframe.llm.urlfilter import OP11_SQL, op11_url_filter
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_fingerprints": op10_fingerprints,
     "op11_url_filter": op11_url_filter,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE = {
@@ -35,4 +37,5 @@ ORACLE = {
     "op3_line_dedup": OP3_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op11_url_filter": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
