@@ -12,6 +12,7 @@ from parityframe.llm.ngram_join import OP2_SQL, op2_ngram_jaccard
 from parityframe.llm.packing import op8_packed_tokens
 from parityframe.llm.piececounts import op4_token_counts
 from parityframe.llm.prefix_trie import OP12_SQL, op12_prefix_trie
+from parityframe.llm.repair import op13_structure_repair
 from parityframe.llm.substrings import OP7_SQL, op7_substring_dedup
 from parityframe.llm.toxicity import op6_toxicity
 from parityframe.llm.urlfilter import OP11_SQL, op11_url_filter
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_url_filter": op11_url_filter,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 ORACLE = {
