@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parityframe.operators.profile import numeric_columns
+from parityframe.operators.quantile import all_quantiles
 from parityframe.operators.ranking import add_bucket, quantile_splits
 
 #: Values that the last step of the narrowing reads at most (8 bytes each).
@@ -180,8 +181,12 @@ def iqr_sequential(df: DataFrame, columns: Sequence[str], method: str = "exact",
 
 def iqr_one_shot(df: DataFrame, columns: Sequence[str], method: str = "exact") -> tuple[DataFrame, list[Fence]]:
     """C4: all fences from the same input, one filter. Differs from C2 by
-    design (fences do not see earlier filters)."""
-    fences = [fit_fence(df, c, method) for c in columns]
+    design (fences do not see earlier filters). Exact fences of all columns
+    are fitted together, in a fixed number of jobs."""
+    if method == "exact":
+        fences = [Fence(c, q1, q3, _is_integral(df, c)) for c, (q1, q3) in zip(columns, all_quantiles(df, columns, [0.25, 0.75]))]
+    else:
+        fences = [fit_fence(df, c, method) for c in columns]
     pred = F.lit(True)
     for f in fences:
         pred = pred & f.predicate()

@@ -1,8 +1,9 @@
 """Learners, search and curves on Spark ML.
 
-Fits are Spark ML estimators (distributed over the rows); the driver only
-loops over folds, grid points and feature subsets, as CrossValidator does.
-Every result is a table: prediction tables ``(id, groups..., y_true,
+Logistic fits are Spark ML estimators (distributed over the rows); the driver only
+loops over folds, grid points and feature subsets, as CrossValidator does. Boosted
+fits are those of :mod:`parityframe.operators.boosting`, where a whole search is one set
+of fits. Every result is a table: prediction tables ``(id, groups..., y_true,
 y_pred, score)``, scores per (param, fold, split), importances per feature,
 evaluation history per (split, round, metric).
 """
@@ -16,26 +17,28 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parityframe.functions.hashing import uniform
-from parityframe.session import checkpoint, delete_path, ensure_checkpoint_dir
+from parityframe.operators import boosting
+from parityframe.operators.boosting import Booster, history_table, scored_at  # noqa: F401
+from parityframe.session import checkpoint, ensure_checkpoint_dir
 
-# Fixed hyper-parameter presets of the reference's two boosted learners.
+# Hyper-parameter presets of the reference's boosted learners.
 PRESETS = {
     "boost_a": {"maxIter": 400, "maxDepth": 7, "stepSize": 0.1, "subsamplingRate": 0.8},
     "boost_b": {"maxIter": 1000, "maxDepth": 7, "stepSize": 0.05, "subsamplingRate": 1.0},
     "boost_a_deep": {"maxIter": 400, "maxDepth": 10, "stepSize": 0.1, "subsamplingRate": 0.8},
     "boost_b_deep": {"maxIter": 1000, "maxDepth": 10, "stepSize": 0.05, "subsamplingRate": 1.0},
+    # Of the recursive elimination in the flows.
+    "boost_selector": {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3, "subsamplingRate": 1.0},
 }
 # The 18-point search of the rebalanced booster, the depths of the
 # elbow, the sizes of the learning curve.
@@ -56,20 +59,12 @@ def logistic(n_rows: int, C: float = 0.01, max_iter: int = 1000, label: str = "l
                               elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-8)
 
 
-def boosted(preset: str | None = None, seed: int = 42, label: str = "label", **params) -> GBTClassifier:
+def boosted(preset: str | None = None, seed: int = 42, label: str = "label", **params) -> Booster:
     """Gradient-boosted trees; ``preset`` names one of PRESETS,
-    keyword arguments override (``maxIter``, ``maxDepth``, ...). Boosting
-    is first-order (no leaf L2 term), so numbers differ from the
-    reference's boosters; roles and presets are the same."""
-    p = dict(PRESETS.get(preset, {})) if preset else {}
-    p.setdefault("checkpointInterval", 10)
-    p.update(params)
-    # Long tree chains checkpoint their state every ``checkpointInterval``
-    # trees, which needs the shared checkpoint folder on the context.
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        ensure_checkpoint_dir(spark)
-    return GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **p)
+    keyword arguments override (``maxIter``, ``maxDepth``, ...). Second-order
+    leaves with an L2 term; symmetric trees are not reproduced. The fit does not
+    depend on how the rows are dealt."""
+    return Booster(**{**(PRESETS[preset] if preset else {}), "seed": seed, "labelCol": label, **params})
 
 
 def predictions(model: Model, df: DataFrame, id_col: str, label: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -98,20 +93,9 @@ def gain_importance(model, features: Sequence[str]) -> DataFrame:
 
 def split_count_importance(model, features: Sequence[str]) -> DataFrame:
     """``(feature, importance)`` = number of internal nodes splitting on
-    the feature (0 when unused), read from the saved model's node table in
-    the shared checkpoint folder."""
+    the feature (0 when unused)."""
     spark = SparkSession.getActiveSession()
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, f"model-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
-    counts = (nodes.where(F.col("nodeData.leftChild") >= 0)
-              .groupBy(F.col("nodeData.split.featureIndex").alias("idx")).agg(F.count(F.lit(1)).alias("n")))
-    names = spark.createDataFrame(list(enumerate(features)), "idx int, feature string")
-    out = checkpoint(names.join(counts, "idx", "left").select(
-        "feature", F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("importance")))
-    delete_path(spark, path)
-    return out
+    return spark.createDataFrame([(f, float(n)) for f, n in zip(features, model.split_counts())], "feature string, importance double")
 
 
 # ------------------------------------------------------------------ N4
@@ -120,7 +104,7 @@ def grid_points(grid: dict) -> list[dict]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
-def _parallel(work, items: list, parallelism: int) -> list:
+def parallel(work, items: list, parallelism: int) -> list:
     """Run independent fits ``parallelism`` at a time, results in order."""
     wrapped = inheritable_thread_target(SparkSession.getActiveSession())(work)
     with ThreadPool(max(1, min(parallelism, len(items) or 1))) as pool:
@@ -135,21 +119,43 @@ def _fold_parts(train: DataFrame, fold_col: str) -> dict:
             for f, n in sorted(sizes.items())}
 
 
+def grid_scores(make_estimator, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
+                parallelism: int = 4) -> list[tuple[dict, float]]:
+    """(point, mean held-out accuracy) of every point of a grid, see :func:`grid_search`."""
+    points, parts = grid_points(grid), _fold_parts(train, fold_col)
+    jobs = [(make_estimator(part[0], **p), f) for p in points for f, part in parts.items()]
+    if jobs and isinstance(jobs[0][0], Booster):
+        made = [e for e, _ in jobs[::len(parts)]]
+        fits = boosting.fit_folds(made, train, list(parts), fold_col)
+        scores = [scored_at(fits[i, f, None], "test") for i in range(len(made)) for f in parts]
+    else:
+        def score(job):
+            _, rows, held = parts[job[1]]
+            return _accuracy(job[0].fit(rows), held, label)
+        scores = parallel(score, jobs, parallelism)
+    return [(p, sum(scores[i * len(parts):(i + 1) * len(parts)]) / len(parts)) for i, p in enumerate(points)]
+
+
+def _first_best(scores: list) -> dict:
+    return max(enumerate(scores), key=lambda s: (s[1][1], -s[0]))[1][0]
+
+
+def best_point(make_estimator, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold") -> dict:
+    """The grid's best point; of equals the first."""
+    return _first_best(grid_scores(make_estimator, grid, train, label, fold_col))
+
+
 def grid_search(make_estimator, grid: dict, train: DataFrame, label: str = "label", fold_col: str = "fold",
                 parallelism: int = 4):
     """K-fold grid search on a fold column (H2), accuracy, refit on all
     training rows. ``make_estimator(n, **point)`` builds the estimator for a fit
-    on n rows, so that a penalty stated per row follows each fold's size.
+    on n rows, so that a penalty stated per row follows each fold's size. Boosted
+    points that differ in rounds alone are read off one fit of the most rounds, and
+    all folds and points advance as one set.
     Returns (best fit, table ``(params, mean_accuracy)``)."""
-    parts, points = _fold_parts(train, fold_col), grid_points(grid)
-
-    def score(job):
-        point, (n, rows, held) = job
-        return _accuracy(make_estimator(n, **point).fit(rows), held, label)
-    scores = _parallel(score, [(p, part) for p in points for part in parts.values()], parallelism)
-    means = [sum(scores[i * len(parts):(i + 1) * len(parts)]) / len(parts) for i in range(len(points))]
-    best = make_estimator(train.count(), **points[max(range(len(points)), key=lambda i: (means[i], -i))]).fit(train)
-    rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(a)) for p, a in zip(points, means)]
+    scores = grid_scores(make_estimator, grid, train, label, fold_col, parallelism)
+    best = make_estimator(train.count(), **_first_best(scores)).fit(train)
+    rows = [(", ".join(f"{k}={v}" for k, v in sorted(p.items())), float(a)) for p, a in scores]
     return best, train.sparkSession.createDataFrame(rows, "params string, mean_accuracy double")
 
 
@@ -163,13 +169,18 @@ def depth_elbow(make_estimator, depths: Sequence[int], train: DataFrame, label:
     """Grid over tree depth with train and validation accuracy per fold:
     ``(depth, fold, split, accuracy)`` (CrossValidator keeps no train score)."""
     parts = _fold_parts(train, fold_col)
-
-    def scores(job):
-        depth, (fold, (_, rows, held)) = job
-        fitted = make_estimator(depth).fit(rows)
-        return [(int(depth), int(fold), "train", _accuracy(fitted, rows, label)),
-                (int(depth), int(fold), "validation", _accuracy(fitted, held, label))]
-    rows = sum(_parallel(scores, [(d, p) for d in depths for p in parts.items()], parallelism), [])
+    made = [make_estimator(d) for d in depths]
+    if made and isinstance(made[0], Booster):
+        fits = boosting.fit_folds(made, train, list(parts), fold_col)
+        rows = [(int(d), int(f), name, scored_at(fits[i, f, None], split)) for i, d in enumerate(depths) for f in parts
+                for name, split in (("train", "train"), ("validation", "test"))]
+    else:
+        def scores(job):
+            (depth, estimator), (fold, (_, rows, held)) = job
+            fitted = estimator.fit(rows)
+            return [(int(depth), int(fold), "train", _accuracy(fitted, rows, label)),
+                    (int(depth), int(fold), "validation", _accuracy(fitted, held, label))]
+        rows = sum(parallel(scores, [(m, p) for m in zip(depths, made) for p in parts.items()], parallelism), [])
     return train.sparkSession.createDataFrame(rows, "depth int, fold int, split string, accuracy double")
 
 
@@ -187,27 +198,47 @@ def curve_sizes(train: DataFrame, key_cols: Sequence[str], sizes: Sequence[float
         "frac", F.col("fold").cast("int").alias("fold"), (F.sum("n").over(everything) - F.col("n")).cast("long").alias("n_train"))
 
 
+def by_curve_draw(train: DataFrame, key_cols: Sequence[str], seed: int = 42) -> DataFrame:
+    """``train`` with the curve's draw ``__u``, stored in its order: a prefix
+    ``__u <= frac`` is a scan that skips by the files' minima and maxima."""
+    t = train.withColumn("__u", uniform(f"{seed}|curve", *key_cols))
+    path = os.path.join(ensure_checkpoint_dir(train.sparkSession), f"curve-{uuid.uuid4().hex}")
+    t.repartitionByRange("__u").sortWithinPartitions("__u").write.parquet(path)
+    return train.sparkSession.read.parquet(path)
+
+
 def learning_curve(make_estimator, train: DataFrame, key_cols: Sequence[str], sizes: Sequence[float],
                    label: str = "label", fold_col: str = "fold", seed: int = 42, parallelism: int = 4) -> DataFrame:
     """For each size fraction and fold, fit on the nested hash prefix
     ``u <= frac`` of the training folds; score on it and on the held-out
-    fold. ``make_estimator(n)`` builds the estimator for n rows. Returns
+    fold. ``make_estimator(n)`` builds the estimator for n rows; boosted fits
+    of all points advance as one set. Returns
     ``(frac, n_train, fold, split, accuracy)``; a point without rows has NULL
     accuracies."""
-    t = train.withColumn("__u", uniform(f"{seed}|curve", *key_cols))
+    points = curve_sizes(train, key_cols, sizes, fold_col, seed).orderBy("frac", "fold").collect()
+    schema = "frac double, n_train bigint, fold int, split string, accuracy double"
+    made = {i: make_estimator(r["n_train"]) for i, r in enumerate(points) if r["n_train"]}
+    first = next(iter(made.values()), None)
+    if isinstance(first, Booster):
+        folds = sorted({r["fold"] for r in points})
+        fits = boosting.fit_folds([first], train, folds, fold_col, [float(s) for s in sizes], uniform(f"{seed}|curve", *key_cols))
+        rows = [(float(r["frac"]), int(r["n_train"]), int(r["fold"]), name,
+                 scored_at(fits[0, r["fold"], float(r["frac"])], split) if r["n_train"] else None)
+                for r in points for name, split in (("train", "train"), ("validation", "test"))]
+        return train.sparkSession.createDataFrame(rows, schema)
+    t = by_curve_draw(train, key_cols, seed)
 
-    def scores(r):
+    def scores(job):
+        i, r = job
         rows = t.where((F.col(fold_col) != r["fold"]) & (F.col("__u") <= r["frac"]))
         point = (float(r["frac"]), int(r["n_train"]), int(r["fold"]))
-        if not r["n_train"]:
+        if i not in made:
             return [(*point, "train", None), (*point, "validation", None)]
-        fitted = make_estimator(r["n_train"]).fit(rows)
+        fitted = made[i].fit(rows)
         return [(*point, "train", _accuracy(fitted, rows, label)),
                 (*point, "validation", _accuracy(fitted, t.where(F.col(fold_col) == r["fold"]), label))]
-    points = curve_sizes(train, key_cols, sizes, fold_col, seed).orderBy("frac", "fold").collect()
-    rows = sum(_parallel(scores, points, parallelism), [])
-    return train.sparkSession.createDataFrame(
-        rows, "frac double, n_train bigint, fold int, split string, accuracy double")
+    rows = sum(parallel(scores, list(enumerate(points)), parallelism), [])
+    return train.sparkSession.createDataFrame(rows, schema)
 
 
 def curve_summary(curve: DataFrame) -> DataFrame:
@@ -222,6 +253,16 @@ class RFECVResult:
     scores: DataFrame     # (n_features, fold, accuracy)
     ranking: DataFrame    # (feature, rank, support)
     selected: list
+    #: Features, first eliminated to last, on all rows; mean accuracy by size.
+    order: list
+    means: dict
+
+    def at_floor(self, min_features: int) -> list:
+        """Features kept if no fewer than ``min_features`` may remain: the elimination
+        is the same, only fewer sizes compete."""
+        sizes = [n for n in self.means if n >= min(min_features, max(self.means))]
+        n = max(sorted(sizes), key=lambda n: (self.means[n], -n))
+        return self.order[::-1][:n]
 
 
 def _importances(model, n: int) -> list[float]:
@@ -230,6 +271,22 @@ def _importances(model, n: int) -> list[float]:
     return [float(v) for v in model.featureImportances.toArray()][:n]
 
 
+def _subset_fits(made: dict, data: DataFrame, parts: dict, subsets: dict, binning, label: str, fold_col: str, parallelism: int) -> dict:
+    """{fold: (held-out accuracy or None, importance by place)} of one level: each
+    fold (None: all rows) fitted on its own subset of the assembled vector."""
+    if binning is not None:
+        fits = boosting.fit_folds([made[None]], data, list(subsets), fold_col, subsets=subsets, binning=binning)
+        return {f: (scored_at(m, "test") if f is not None else None, dict(enumerate(m.featureImportances))) for (_, f, _), m in fits.items()}
+
+    def one(fold):
+        _, rows, held = parts[fold]
+        slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=list(subsets[fold]))
+        m = made[fold].fit(slicer.transform(rows))
+        score = None if held is None else _accuracy(m, slicer.transform(held), label)
+        return score, dict(zip(subsets[fold], _importances(m, len(subsets[fold]))))
+    return dict(zip(subsets, parallel(one, list(subsets), parallelism)))
+
+
 def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str = "label",
           fold_col: str = "fold", min_features: int = 10, step: int = 1, parallelism: int = 4) -> RFECVResult:
     """recursive feature elimination with cross-validation.
@@ -240,141 +297,78 @@ def rfecv(make_estimator, train: DataFrame, features: Sequence[str], label: str
     elimination on all training rows fixes which features remain.
     ``make_estimator(n)`` builds the estimator for a fit on n rows; importances
     are |coefficients| or the trees' gains.
+
+    The features are assembled once; subsets are slices of that vector. All folds and
+    the elimination on all rows take a level together, each (fold, subset) is
+    fitted once, and boosted levels are one set of fits.
     """
     feats = list(features)
     min_features = min(min_features, len(feats))
-
-    def path(job):
-        n, data, evaluate = job
-        rows, cur, order = [], list(feats), []
-        while True:
-            m = make_estimator(n).fit(assemble(data, cur))
-            if evaluate is not None:
-                rows.append((len(cur), _accuracy(m, assemble(evaluate, cur), label)))
-            if len(cur) <= min_features:
-                order.extend(cur[::-1])
-                break
-            imp = _importances(m, len(cur))
-            k = min(step, len(cur) - min_features)
-            drop = [cur[i] for i in sorted(range(len(cur)), key=lambda i: (imp[i], -i))[:k]]
-            order.extend(drop)
-            cur = [c for c in cur if c not in drop]
-        return rows, order
-
     parts = _fold_parts(train, fold_col)
-    done = _parallel(path, [*parts.values(), (train.count(), train, None)], parallelism)
-    rows = [(n, int(f), a) for f, (found, _) in zip(parts, done) for n, a in found]
+    made = {f: make_estimator(n) for f, (n, _, _) in parts.items()} | {None: make_estimator(train.count())}
+    booster = isinstance(made[None], Booster)
+    data = assemble(train.drop("features"), feats, "features" if booster else "__all")
+    binning = made[None].binning(data) if booster else None
+    folds = list(parts)
+    parts = {f: (n, data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f)) for f, (n, _, _) in parts.items()}
+    parts[None] = (None, data, None)
+    current = {f: tuple(range(len(feats))) for f in parts}
+    order: dict = {f: [] for f in parts}
+    rows = []
+    while True:
+        level = _subset_fits(made, data, parts, current, binning, label, fold_col, parallelism)
+        rows += [(len(current[f]), int(f), level[f][0]) for f in folds]
+        size = len(current[None])
+        k = min(step, size - min_features)
+        if not k:
+            break
+        for f, (_, importance) in level.items():
+            drop = sorted(current[f], key=lambda i: (importance[i], -i))[:k]
+            order[f] += drop
+            current[f] = tuple(i for i in current[f] if i not in drop)
     spark = train.sparkSession
     scores = spark.createDataFrame(rows, "n_features int, fold int, accuracy double")
-    means: dict[int, list] = {}
+    found: dict[int, list] = {}
     for n, _, a in rows:
-        means.setdefault(n, []).append(a)
-    best_n = max(sorted(means), key=lambda n: (sum(means[n]) / len(means[n]), -n))
-    order = done[-1][1]                # elimination order on all rows
-    kept = order[::-1][:best_n]
-    rank = {}
-    for i, ftr in enumerate(order[::-1]):
-        rank[ftr] = 1 if ftr in kept else i - best_n + 2
+        found.setdefault(n, []).append(a)
+    means = {n: sum(a) / len(a) for n, a in found.items()}
+    names = [feats[i] for i in [*order[None], *current[None][::-1]]]     # elimination order on all rows
+    best_n = max(sorted(means), key=lambda n: (means[n], -n))
+    kept = names[::-1][:best_n]
+    rank = {ftr: 1 if ftr in kept else i - best_n + 2 for i, ftr in enumerate(names[::-1])}
     ranking = spark.createDataFrame([(ftr, int(rank[ftr]), ftr in kept) for ftr in feats],
                                     "feature string, rank int, support boolean")
-    return RFECVResult(scores, ranking, [c for c in feats if c in kept])
+    return RFECVResult(scores, ranking, [c for c in feats if c in kept], names, means)
 
 
 # ------------------------------------------------------------------ N10
-def leaf_value_table(model) -> tuple[list, list]:
-    """Per tree, the weighted prediction of each leaf in leaf-index order
-    (the rank of the leaf's node id within its tree), read from the saved
-    model's node table in the shared checkpoint folder. Size: total leaves,
-    known from the model, at most trees x 2^depth."""
-    spark = SparkSession.getActiveSession()
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, f"model-{uuid.uuid4().hex}")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(os.path.join(path, "data"))
-    leaves = (nodes.where(F.col("nodeData.leftChild") < 0)
-              .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("v"))
-              .orderBy("treeID", "id").collect())            # bounded by model.totalNumNodes
-    delete_path(spark, path)
-    weights = list(model.treeWeights)
-    table: list = [[] for _ in weights]
-    for r in leaves:
-        table[r["treeID"]].append(weights[r["treeID"]] * float(r["v"]))
-    return table, weights
-
-
-#: Rounds whose scores are counted in one job for the AUC.
+#: Rounds whose scores a task hands on together.
 AUC_ROUNDS = 20
 
 
-def _staged(lut, leaves, rounds):
-    """Staged probabilities (rows x wanted rounds): running sums of the leaves'
-    weighted values; probability = sigmoid(2 * margin), as in Spark's GBT."""
-    last = max(rounds)
-    margins = np.cumsum(lut[np.arange(last), leaves[:, :last]], axis=1)
-    return 1.0 / (1.0 + np.exp(-2.0 * margins[:, np.asarray(rounds) - 1]))
-
-
 def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps: float = 1e-15,
                  metrics: Sequence[str] = ("logloss", "auc", "error"),
                  rounds: Sequence[int] | None = None) -> DataFrame:
     """``(split, round, metric, value)``: log loss, error and AUC of the
     staged booster (first r trees) per split.
 
-    Rows are scored once: one transform gives each row's leaf per tree
-    (``leafCol``), stored as (split, label, leaves). NumPy looks up the leaves'
-    values in Arrow batches and takes running sums. Log loss and error leave a
-    task as one row per round. For the AUC, scores are counted per task and
-    round in blocks of ``AUC_ROUNDS`` rounds, so that no shuffle holds rows x
-    trees at once."""
-    from parityframe.operators.metrics import roc_auc
-
-    table, _ = leaf_value_table(model)
-    lut = np.zeros((len(table), max(len(t) for t in table)))
-    for t, values in enumerate(table):
-        lut[t, :len(values)] = values
-    wanted = sorted(set(rounds)) if rounds is not None else list(range(1, len(table) + 1))
-    scorer = model.copy()
-    scorer.setLeafCol("__leaves")
-    scored = None
-    for split, df in parts.items():
-        one = scorer.transform(df).select(F.lit(split).alias("split"), F.col(label).cast("int").alias("y"),
-                                          F.transform(vector_to_array("__leaves"), lambda x: x.cast("int")).alias("leaves"))
-        scored = one if scored is None else scored.unionByName(one)
-    scored = checkpoint(scored)
-
-    def sums(batches):
-        total: dict = {}
-        for pdf in batches:
-            for split, g in pdf.groupby("split"):
-                p = _staged(lut, np.stack(g["leaves"].to_numpy()), wanted)
-                y = g["y"].to_numpy().astype(float)[:, None]
-                pc = np.clip(p, eps, 1.0 - eps)
-                new = np.stack([-(y * np.log(pc) + (1.0 - y) * np.log(1.0 - pc)).sum(axis=0),
-                                ((p > 0.5) != (y == 1)).sum(axis=0), np.full(len(wanted), len(g))])
-                total[split] = total.get(split, 0) + new
-        for split, t in total.items():
-            yield pd.DataFrame({"split": split, "round": np.array(wanted, dtype=np.int32), "ll": t[0], "err": t[1], "n": t[2]})
-
-    def counts(block):
-        def run(batches):
-            for pdf in batches:
-                for split, g in pdf.groupby("split"):
-                    p = _staged(lut, np.stack(g["leaves"].to_numpy()), block)
-                    long = pd.DataFrame({"split": split, "round": np.tile(np.array(block, dtype=np.int32), len(g)),
-                                         "score": p.ravel(), "y_true": np.repeat(g["y"].to_numpy(), len(block)), "w": 1})
-                    yield long.groupby(["split", "round", "score", "y_true"], as_index=False)["w"].sum()
-        return run
-
-    out = scored.mapInPandas(sums, "split string, round int, ll double, err double, n double").groupBy("split", "round").agg(
-        (F.sum("ll") / F.sum("n")).alias("logloss"), (F.sum("err") / F.sum("n")).alias("error"))
-    if "auc" in metrics:
-        found = None
-        for at in range(0, len(wanted), AUC_ROUNDS):
-            weighted = scored.mapInPandas(counts(wanted[at:at + AUC_ROUNDS]),
-                                          "split string, round int, score double, y_true int, w long")
-            auc = roc_auc(weighted, "y_true", "score", by=["split", "round"], weight="w").select("split", "round", "auc")
-            found = auc if found is None else found.unionByName(auc)
-        out = out.join(found, ["split", "round"])
-    return out.select("split", "round", F.explode(F.array(*[
+    Rows are scored once: a task carries each row's running margin from tree to tree.
+    The staged scores are sorted by (split, round, score) in one shuffle of composite
+    ranges for all AUCs together; each task sums its stretch, and the AUC joins the
+    stretches by the negatives before them. Log loss and error come from the same
+    sums; without the AUC nothing but these is shuffled."""
+    names = list(parts)
+    wanted = sorted(set(rounds)) if rounds is not None else list(range(1, model.rounds + 1))
+    staged = boosting.staged_scores(model, [parts[n] for n in names], label, wanted, AUC_ROUNDS)
+    sums = checkpoint(boosting.staged_sums(staged, eps, "auc" in metrics))
+    before = Window.partitionBy("split", "round").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = sums.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0)))
+    n = F.sum("pos") + F.sum("neg")
+    out = stretches.groupBy("split", "round").agg(
+        (F.sum("ll") / n).alias("logloss"), (F.sum("err") / n).alias("error"),
+        F.try_divide(F.sum(F.col("num") + F.col("pos") * F.col("below")),
+                     F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
+    split = F.element_at(F.array(*[F.lit(x) for x in names]), F.col("split") + 1)
+    return out.select(split.alias("split"), "round", F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("s")
     ).select("split", "round", "s.metric", "s.value")

@@ -306,11 +306,11 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75),
               approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Quantiles per column, long form ``(column, q, value)``.
-    Exact by default (linear interpolation, NaN treated as NULL) by
-    distributed narrowing, at any number of distinct values."""
+    Exact by default (linear interpolation, NaN treated as NULL): all columns
+    together in a fixed number of counting jobs, at any number of distinct values."""
     if not approx:
-        from parityframe.operators.clean import column_quantiles
-        rows = [(c, float(q), v) for c in cols for q, v in zip(probs, column_quantiles(df, c, probs))]
+        from parityframe.operators.quantile import all_quantiles
+        rows = [(c, float(q), v) for c, line in zip(cols, all_quantiles(df, cols, probs)) for q, v in zip(probs, line)]
         return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
     aggs = []
     for c in cols:

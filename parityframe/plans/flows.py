@@ -73,67 +73,143 @@ def prepare(raw: DataFrame, spec: TableSpec, threshold: float = 0.7) -> Prepared
     return Prepared(table, features_of(table, [spec.id_col, spec.label]), coder.mapping, fences, dropped)
 
 
+class Stages:
+    """The stored tables and fits of one flow by name. Branches ask for the stages
+    that they share; each is made once."""
+
+    def __init__(self):
+        self.made: dict = {}
+
+    def get(self, name, build: Callable):
+        if name not in self.made:
+            out = build()
+            self.made[name] = out.transform(_ckpt) if isinstance(out, DataFrame) else out
+        return self.made[name]
+
+
 @dataclass(frozen=True)
 class Parts:
     train: DataFrame        # with a fold column
     test: DataFrame
     features: list          # scaled copies
+    keys: list              # what identifies a training row
 
 
 def split_and_scale(p: Prepared, spec: TableSpec, rebalance: str | None = None, test_frac: float = 0.2,
-                    folds: int = 5) -> Parts:
-    """Exact split (H1), optional rebalancing of the training part (I3, I5),
+                    folds: int = 5, order: str = "train_only") -> Parts:
+    """Exact split (H1), optional rebalancing (I3, I5, or I5 then I3) of the training
+    part or, with ``order='before_split'`` as the reference has it, of the whole table,
     scaling fitted on the training part (H3), stratified folds (H2)."""
-    s = train_test_split(p.table, [spec.id_col], test_frac).transform(_ckpt)
+    if order not in ("train_only", "before_split"):
+        raise ValueError("order must be 'train_only' or 'before_split'")
+    table, keys = p.table, [spec.id_col]
+
+    def balanced(df):
+        out, own = _rebalanced(df, spec.id_col, spec.label, p.features, list(spec.sensitive), rebalance, with_keys=True)
+        return out.transform(_ckpt), own
+    if rebalance and order == "before_split":
+        table, keys = balanced(table)
+    s = train_test_split(table, keys, test_frac).transform(_ckpt)
     train, test = (s.where(F.col("split") == part).drop("split") for part in ("train", "test"))
-    keys = [spec.id_col]
-    if rebalance:
-        train, keys = _rebalanced(train, spec.id_col, spec.label, p.features, list(spec.sensitive), rebalance, with_keys=True)
-        train = train.transform(_ckpt)
+    if rebalance and order == "train_only":
+        train, keys = balanced(train)
     scale = fit_minmax(train, p.features)
     train = stratified_folds(scale.apply(train, "_s"), spec.label, keys, folds).transform(_ckpt)
-    return Parts(train, scale.apply(test, "_s").transform(_ckpt), [f + "_s" for f in p.features])
+    return Parts(train, scale.apply(test, "_s").transform(_ckpt), [f + "_s" for f in p.features], keys)
 
 
-def full_leaderboard(raw: DataFrame, spec: TableSpec, learners: dict[str, Callable], k: int | None = None) -> dict[str, DataFrame]:
-    """Flow 3.1 from the raw table: prepare, split, scale, the k best features
-    by chi2 (F3, F4; all if None), then the leaderboard and importances.
-    ``learners``: name -> make_estimator(n)."""
-    p = prepare(raw, spec)
-    parts = split_and_scale(p, spec)
+def selected_features(parts: Parts, spec: TableSpec, how: str, k: int | None = None, selector: Callable | None = None,
+                      min_features: int = 10) -> list:
+    """``k_best``: the k best by chi2 (F3, F4; all if None); ``rfecv``: what recursive
+    elimination by ``selector(n)`` keeps (F5)."""
     features = parts.features
-    if k and k < len(features):
+    if how == "k_best":
+        if not k or k >= len(features):
+            return features
         best = sx.select_k_best(sx.chi2_scores(parts.train, features, spec.label), k).orderBy("pos").collect()
-        features = [r["feature"] for r in best]
-    n = parts.train.count()
-    return leaderboard(parts.train, parts.test, spec.id_col, spec.label, features,
-                       {name: make(n) for name, make in learners.items()}, spec.sensitive)
+        return [r["feature"] for r in best]
+    if how != "rfecv":
+        raise ValueError("how must be 'k_best' or 'rfecv'")
+    return ml.rfecv(selector, parts.train, features, spec.label, min_features=min_features).selected
+
+
+def full_leaderboard(raw: DataFrame, spec: TableSpec, learners: dict[str, Callable], k: int | None = None,
+                     selectors: Sequence[str] = ("k_best",), selector: Callable | None = None, min_features: int = 10,
+                     rebalance: str | None = None, order: str = "before_split", stages: Stages | None = None) -> dict[str, DataFrame]:
+    """Flow 3.1 from the raw table: prepare, rebalance (``rebalance='smote'`` before the
+    split as the reference does, or only the training part), split, scale, then
+    for every selector x learner a fit, its test scores and importances: the
+    leaderboard. Branches share their stages. ``learners``: name -> make_estimator(n);
+    with several selectors the models are called learner+selector."""
+    st = stages or Stages()
+    p = st.get("prepared", lambda: prepare(raw, spec))
+    parts = st.get("parts", lambda: split_and_scale(p, spec, rebalance, order=order))
+    n = st.get("rows", parts.train.count)
+    chosen = {how: st.get(how, lambda: selected_features(parts, spec, how, k, selector, min_features)) for how in selectors}
+    jobs = [(how, name) for how in selectors for name in learners]
+
+    def fitted(job):
+        how, name = job
+        return st.get(f"{name}+{how}", lambda: learners[name](n).fit(ml.assemble(parts.train, chosen[how])))
+    models = {f"{name}+{how}" if len(selectors) > 1 else name: (m, chosen[how])
+              for (how, name), m in zip(jobs, ml.parallel(fitted, jobs, 4))}
+    return st.get("reports", lambda: _reports(models, parts.test, spec.id_col, spec.label, spec.sensitive))
+
+
+def _reports(models: dict, test: DataFrame, id_col: str, label: str, keep: Sequence[str]) -> dict[str, DataFrame]:
+    """Predictions, leaderboard (N13) and importances (J1) of {name: (model, features)}."""
+    preds, imps = None, None
+    for name, (m, feats) in models.items():
+        p = ml.predictions(m, ml.assemble(test, feats), id_col, label, keep).withColumn("model", F.lit(name))
+        preds = p if preds is None else preds.unionByName(p)
+        imp = (ml.coef_importance(m, feats) if hasattr(m, "coefficients") else ml.gain_importance(m, feats))
+        imp = imp.withColumn("model", F.lit(name))
+        imps = imp if imps is None else imps.unionByName(imp)
+    preds = preds.transform(_ckpt)
+    return {"predictions": preds, "leaderboard": mx.leaderboard(preds), "importance": imps}
+
+
+def _tuned(parts: Parts, features: list, spec: TableSpec, make_estimator: Callable, grid: dict | None):
+    """The fit on all training rows, of the grid's best point if there is one."""
+    tr = ml.assemble(parts.train, features)
+    if grid:
+        return ml.grid_search(make_estimator, grid, tr, spec.label)[0]
+    return make_estimator(tr.count()).fit(tr)
 
 
-def full_audit(raw: DataFrame, spec: TableSpec, make_estimator: Callable) -> dict[str, DataFrame]:
-    """Flow 3.2 from the raw table: one classifier, audited by the sensitive
+def full_audit(raw: DataFrame, spec: TableSpec, make_estimator: Callable, grid: dict | None = None,
+               selector: Callable | None = None, min_features: int = 10) -> dict[str, DataFrame]:
+    """Flow 3.2 from the raw table: recursive elimination by ``selector(n)`` if given, one
+    classifier (the best of ``grid`` if given), audited by the sensitive
     attributes; codes are replaced by their values before the audit."""
     p = prepare(raw, spec)
     parts = split_and_scale(p, spec)
-    tr, te = ml.assemble(parts.train, parts.features), ml.assemble(parts.test, parts.features)
-    pred = ml.predictions(make_estimator(tr.count()).fit(tr), te, spec.id_col, spec.label, spec.sensitive)
+    features = selected_features(parts, spec, "rfecv", None, selector, min_features) if selector else parts.features
+    model = _tuned(parts, features, spec, make_estimator, grid)
+    pred = ml.predictions(model, ml.assemble(parts.test, features), spec.id_col, spec.label, spec.sensitive)
     return fairness_audit(encode.decode_columns(pred, p.mapping, spec.sensitive).transform(_ckpt), spec.sensitive)
 
 
 def full_mitigation(raw: DataFrame, spec: TableSpec, make_estimator: Callable, make_booster: Callable,
-                    method: str = "bootstrap", patience: int = 25, sizes: Sequence[float] = tuple(ml.CURVE_SIZES),
-                    depths: Sequence[int] = tuple(ml.ELBOW_DEPTHS)) -> dict[str, DataFrame]:
+                    method: str = "bootstrap+smote", patience: int = 25, sizes: Sequence[float] = tuple(ml.CURVE_SIZES),
+                    depths: Sequence[int] = tuple(ml.ELBOW_DEPTHS), grid: dict | None = None,
+                    selector: Callable | None = None, min_features: int = 20, stages: Stages | None = None) -> dict[str, DataFrame]:
     """Flow 3.3 from the raw table: audit before and after rebalancing the
-    training part, then on the rebalanced part the booster's history, early
-    stopping, overfit check, learning curve and depth elbow.
-    ``make_booster(n, **params)``."""
-    p = prepare(raw, spec)
-    before, after = split_and_scale(p, spec), split_and_scale(p, spec, method)
-    out, preds = {}, {}
-    for name, parts in (("before", before), ("after", after)):
-        tr, te = ml.assemble(parts.train, parts.features), ml.assemble(parts.test, parts.features)
-        preds[name] = ml.predictions(make_estimator(tr.count()).fit(tr), te, spec.id_col, spec.label,
-                                     spec.sensitive).transform(_ckpt)
+    training part (I5, then I3), each on the features that ``selector(n)`` keeps. On the
+    rebalanced part the booster (the best of ``grid``) is fitted until its test
+    ``error`` has not improved for ``patience`` rounds: history, early stop, overfit check;
+    learning curves of both learners. The depth elbow is drawn on the training part
+    before rebalancing, as the reference has it. ``make_booster(n, **params)``."""
+    st = stages or Stages()
+    p = st.get("prepared", lambda: prepare(raw, spec))
+    out, preds, parts, features = {}, {}, {}, {}
+    for name, how in (("before", None), ("after", method)):
+        parts[name] = st.get(f"parts {name}", lambda: split_and_scale(p, spec, how))
+        features[name] = st.get(f"features {name}", lambda: selected_features(
+            parts[name], spec, "rfecv", None, selector, min_features) if selector else parts[name].features)
+        tr, te = (ml.assemble(d, features[name]) for d in (parts[name].train, parts[name].test))
+        model = st.get(f"model {name}", lambda: make_estimator(tr.count()).fit(tr))
+        preds[name] = st.get(f"predictions {name}", lambda: ml.predictions(model, te, spec.id_col, spec.label, spec.sensitive))
     for metric in ("accuracy", "recall", "f1"):
         frames = [mx.metric_frame(preds[n], spec.sensitive, [metric]) for n in ("before", "after")]
         out[f"before_after_{metric}"] = fx.before_after(*frames, spec.sensitive, metric)
@@ -141,16 +217,20 @@ def full_mitigation(raw: DataFrame, spec: TableSpec, make_estimator: Callable, m
         fx.fairness_bundle(preds["after"], spec.sensitive, "after"))
     out["bundle_groups"] = fx.scenario_groups(preds["before"], spec.sensitive, "before").unionByName(
         fx.scenario_groups(preds["after"], spec.sensitive, "after"))
-    tr, te = ml.assemble(after.train, after.features).transform(_ckpt), ml.assemble(after.test, after.features)
-    booster = make_booster(tr.count()).fit(tr)
-    out["history"] = ml.eval_history(booster, {"train": tr, "test": te}, spec.label).transform(_ckpt)
-    out["early_stop"] = mx.early_stop(out["history"], patience, metric="logloss", split="test")
+    tr = st.get("rows after", lambda: ml.assemble(parts["after"].train, features["after"]))
+    te = ml.assemble(parts["after"].test, features["after"])
+    tuned = st.get("grid", lambda: ml.best_point(make_booster, grid, tr, spec.label)) if grid else {}
+    booster = st.get("booster", lambda: make_booster(tr.count(), **tuned).fit(tr, te, patience, "error"))
+    out["history"] = st.get("history", lambda: ml.eval_history(booster, {"train": tr, "test": te}, spec.label))
+    out["early_stop"] = mx.early_stop(out["history"], patience, metric="error", split="test")
     scores = [ml.predictions(booster, d, spec.id_col, spec.label).withColumn("split", F.lit(s))
               for s, d in (("train", tr), ("test", te))]
     out["overfit"] = mx.overfit_check(scores[0].unionByName(scores[1]))
-    keys = [spec.id_col] + [c for c in ("__draw", "slot") if c in tr.columns]
-    out["curve"] = ml.curve_summary(ml.learning_curve(make_estimator, tr, keys, sizes, spec.label))
-    out["elbow"] = ml.depth_elbow(lambda d: make_booster(0, maxDepth=d), depths, tr, spec.label)
+    curves = [ml.curve_summary(ml.learning_curve(make, tr, parts["after"].keys, sizes, spec.label)).withColumn("model", F.lit(name))
+              for name, make in (("logistic", make_estimator), ("boosted", lambda n: make_booster(n, **tuned)))]
+    out["curve"] = curves[0].unionByName(curves[1])
+    plain = ml.assemble(parts["before"].train, features["before"])
+    out["elbow"] = ml.depth_elbow(lambda d: make_booster(0, maxDepth=d), depths, plain, spec.label)
     return out
 
 
@@ -191,17 +271,8 @@ def leaderboard(train: DataFrame, test: DataFrame, id_col: str, label: str, feat
     score the test part once, and report the leaderboard (N13) and
     importances (J1)."""
     feats = list(features)
-    tr, te = ml.assemble(train, feats), ml.assemble(test, feats)
-    preds, imps = None, None
-    for name, est in learners.items():
-        m = est.fit(tr)
-        p = ml.predictions(m, te, id_col, label, keep).withColumn("model", F.lit(name))
-        preds = p if preds is None else preds.unionByName(p)
-        imp = (ml.coef_importance(m, feats) if hasattr(m, "coefficients") else ml.gain_importance(m, feats))
-        imp = imp.withColumn("model", F.lit(name))
-        imps = imp if imps is None else imps.unionByName(imp)
-    preds = preds.transform(_ckpt)
-    return {"predictions": preds, "leaderboard": mx.leaderboard(preds), "importance": imps}
+    tr = ml.assemble(train, feats)
+    return _reports({name: (est.fit(tr), feats) for name, est in learners.items()}, test, id_col, label, keep)
 
 
 def _rebalanced(df: DataFrame, id_col: str, label: str, features: list, groups: list, method: str,
@@ -216,7 +287,13 @@ def _rebalanced(df: DataFrame, id_col: str, label: str, features: list, groups:
         if with_keys:
             return out.drop("synthetic", "base_key", "nb_key"), [id_col, label, "slot"]
         return out.drop("synthetic", "slot", "base_key", "nb_key")
-    raise ValueError("method must be 'bootstrap' or 'smote'")
+    if method == "bootstrap+smote":
+        drawn = group_bootstrap(df, groups, label, [id_col], draw_key="__draw")
+        # A drawn copy is a point of its own, named after its id and its draw.
+        one = drawn.withColumn("__row", F.concat_ws("#", F.col(id_col).cast("string"), F.coalesce("__draw", F.lit("")))).drop("__draw")
+        out = smote(one.transform(_ckpt), "__row", label, features).drop("synthetic", "base_key", "nb_key")
+        return (out, ["__row", label, "slot"]) if with_keys else out.drop("__row", "slot")
+    raise ValueError("method must be 'bootstrap', 'smote' or 'bootstrap+smote'")
 
 
 def split_and_rebalance(df: DataFrame, id_col: str, label: str, features: Sequence[str], groups: Sequence[str],

@@ -4,7 +4,7 @@ is oracle-checked separately, and what SQL can say about a fit is
 (``learning_curve_sizes``, ``grid_fold_sizes``, ``logistic_gradient``).
 
 Folds, sizes, depths, rounds, grid, penalty and patience are the reference's:
-boosted fits are of the first preset, 400 rounds of depth 7."""
+boosted fits are of the first preset, 400 rounds of depth 7, unless a query says so."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from parityframe.operators import metrics as mx
 from parityframe.operators.rebalance import group_bootstrap
 from parityframe.operators.split import fit_minmax, stratified_folds, train_test_split
 from parityframe.plans.catalog import register
-from parityframe.plans.tables import MODEL_FEATURES, model_table
+from parityframe.plans.tables import MODEL_FEATURES, WIDE_FEATURES, model_table, wide_table
 from parityframe.session import checkpoint as _ckpt
 
 FEATS = [f + "_s" for f in MODEL_FEATURES]
@@ -27,19 +27,25 @@ FOLDS = 5
 #: Boosting rounds of the first preset.
 TREES = ml.PRESETS["boost_a"]["maxIter"]
 PATIENCE = 25
+#: Least numbers of features in the reference's eliminations.
+RFECV_FLOORS = [10, 20, 21]
 
 
 def prepared(spark, sf):
     """Split (exact, by key hash), min-max scale fitted on train, stratified
     folds on train; both parts checkpointed to cut lineage."""
-    t = model_table(spark, sf)
+    return _prepared(model_table(spark, sf), MODEL_FEATURES)
+
+
+def _prepared(t, features):
     s = train_test_split(t, ["o_orderkey"], 0.2).transform(_ckpt)
     train0 = s.where(F.col("split") == "train")
-    mm = fit_minmax(train0, MODEL_FEATURES)
+    mm = fit_minmax(train0, features)
     scaled = mm.apply(s, suffix="_s")
     train = stratified_folds(scaled.where(F.col("split") == "train"), "label", ["o_orderkey"], k=FOLDS)
-    train = ml.assemble(train, FEATS).transform(_ckpt)
-    test = ml.assemble(scaled.where(F.col("split") == "test"), FEATS).transform(_ckpt)
+    feats = [f + "_s" for f in features]
+    train = ml.assemble(train, feats).transform(_ckpt)
+    test = ml.assemble(scaled.where(F.col("split") == "test"), feats).transform(_ckpt)
     return train, test
 
 
@@ -62,6 +68,23 @@ def q_gbt_scores(spark, sf):
     return round_doubles(ml.predictions(m, test, "o_orderkey", "label", GROUPS))
 
 
+@register("gbt_scores_b")
+def q_gbt_scores_b(spark, sf):
+    """The second boosted preset, 1000 rounds."""
+    train, test = prepared(spark, sf)
+    return round_doubles(ml.predictions(ml.boosted("boost_b").fit(train), test, "o_orderkey", "label", GROUPS))
+
+
+@register("gbt_deep_leaderboard")
+def q_gbt_deep_leaderboard(spark, sf):
+    """Both presets at depth 10."""
+    train, test = prepared(spark, sf)
+    names = ["boost_a_deep", "boost_b_deep"]
+    models = ml.parallel(lambda name: ml.boosted(name).fit(train), names, 2)
+    a, b = (ml.predictions(m, test, "o_orderkey", "label").withColumn("model", F.lit(name)) for name, m in zip(names, models))
+    return round_doubles(mx.leaderboard(a.unionByName(b)))
+
+
 @register("grid_search")
 def q_grid_search(spark, sf):
     """The 18 points."""
@@ -90,6 +113,13 @@ def q_learning_curve(spark, sf):
     return round_doubles(ml.curve_summary(ml.learning_curve(ml.logistic, train, ["o_orderkey"], ml.CURVE_SIZES)))
 
 
+@register("learning_curve_boosted")
+def q_learning_curve_boosted(spark, sf):
+    """The curve of the first boosted preset: 25 fits as one set."""
+    train, _ = prepared(spark, sf)
+    return round_doubles(ml.curve_summary(ml.learning_curve(_gbt, train, ["o_orderkey"], ml.CURVE_SIZES)))
+
+
 _TRAIN_SQL = f"""
 base AS (SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS label
   FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -148,6 +178,20 @@ def q_rfecv_trees(spark, sf):
     return _rfecv_table(ml.rfecv(_gbt, train.drop("features"), FEATS, min_features=2))
 
 
+@register("rfecv_wide")
+def q_rfecv_wide(spark, sf):
+    """26 features down to the reference's floors 10, 20 and 21, by the flows' booster:
+    (floor, n_features, feature, accuracy); one elimination serves the three."""
+    train, _ = _prepared(wide_table(spark, sf), WIDE_FEATURES)
+    feats = [f + "_s" for f in WIDE_FEATURES]
+    res = ml.rfecv(lambda n: ml.boosted("boost_selector"), train.drop("features"), feats, min_features=min(RFECV_FLOORS))
+    rows = []
+    for floor in RFECV_FLOORS:
+        kept = res.at_floor(floor)
+        rows += [(floor, len(kept), f, res.means[len(kept)]) for f in kept]
+    return round_doubles(spark.createDataFrame(rows, "floor int, n_features int, feature string, accuracy double"))
+
+
 def _rfecv_table(res):
     scores = res.scores.select("n_features", "fold", "accuracy", F.lit(None).cast("string").alias("feature"),
                                F.lit(None).cast("int").alias("rank"))
@@ -192,10 +236,10 @@ def q_eval_history_chosen(spark, sf):
 
 @register("early_stop_model")
 def q_early_stop_model(spark, sf):
+    """The fit itself stops; its history is what it summed by then."""
     train, test = prepared(spark, sf)
-    h = ml.eval_history(_gbt().fit(train), {"train": train, "test": test},
-                        metrics=("logloss", "error")).transform(_ckpt)
-    return round_doubles(mx.early_stop(h, patience=PATIENCE, metric="error", split="test"))
+    fitted = _gbt().fit(train, test, PATIENCE, "error")
+    return round_doubles(mx.early_stop(ml.history_table(fitted, spark), patience=PATIENCE, metric="error", split="test"))
 
 
 @register("model_overfit")

@@ -91,3 +91,17 @@ def model_table(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_nationkey").cast("double"),
         F.substring("o_orderpriority", 1, 1).cast("double").alias("prio_num"),
         (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+
+
+#: Measures of an order's lines and what is taken of each.
+LINE_MEASURES = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+LINE_STATS = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "dev": F.stddev_pop}
+WIDE_FEATURES = MODEL_FEATURES + ["n_lines"] + [f"{m}_{s}" for m in LINE_MEASURES for s in LINE_STATS]
+
+
+def wide_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The modelling table with 21 measures of each order's lines: 26 features."""
+    lines = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n_lines"),
+        *[stat(F.col(c).cast("double")).alias(f"{m}_{s}") for m, c in LINE_MEASURES.items() for s, stat in LINE_STATS.items()])
+    return model_table(spark, sf).join(lines, "o_orderkey")
