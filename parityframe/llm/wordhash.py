@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 1 << 19
@@ -41,6 +42,11 @@ def lane(seed: int, separators: tuple[int, ...], lower: bool) -> Lane:
     return Lane(table, base, pow(base, -1, 1 << 64))
 
 
+#: Longer words are hashed by xxhash: modulo 2**64 a polynomial in any odd base
+#: has long words (of some thousand letters) that are equal in every lane.
+LONG_WORD = 32
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -123,7 +129,14 @@ def word_hashes(words: Words, ln: Lane) -> np.ndarray:
     np.cumsum(ln.table[words.data] * powers(ln.base, n), out=sums[1:])
     h = sums[words.ends] - sums[words.starts]
     h *= powers(ln.inverse, n)[words.starts]
-    h += (words.ends - words.starts).astype(np.uint64)
+    lengths = words.ends - words.starts
+    h += lengths.astype(np.uint64)
+    long = np.flatnonzero(lengths > LONG_WORD)
+    if len(long):
+        lower, seed = ln.table[65] == ln.table[97], ln.base >> 1
+        for i in long:
+            word = words.data[words.starts[i]:words.ends[i]].tobytes()
+            h[i] = xxhash.xxh64_intdigest(word.translate(_LOWER) if lower else word, seed)
     return mix(h)
 
 
@@ -146,27 +159,6 @@ def room(first: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(first[1:], counts) - np.arange(n)
 
 
-def winnow(grams: np.ndarray, left: np.ndarray, k: int, window: int) -> np.ndarray:
-    """Places of the smallest k-gram hash (the last of equals) of every
-    ``window`` consecutive k-grams of a text. ``left`` is what room() gives.
-    Any ``window + k - 1`` consecutive words hold a chosen gram, and equal
-    stretches of that length hold the same one."""
-    n = len(grams) - (window + k - 2)
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    best = grams[:n].copy()
-    place = np.arange(n)
-    for d in range(1, window):
-        other = grams[d:d + n]
-        smaller = other <= best
-        np.copyto(best, other, where=smaller)
-        place[smaller] = np.flatnonzero(smaller) + d
-    place = place[left[:n] >= window + k - 1]
-    chosen = np.zeros(len(grams), dtype=bool)
-    chosen[place] = True
-    return np.flatnonzero(chosen)
-
-
 def word_table(separators: tuple[int, ...]) -> np.ndarray:
     """is_word for find_words: every byte but the separators."""
     table = np.ones(256, dtype=bool)
