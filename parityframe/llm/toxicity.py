@@ -12,9 +12,13 @@ Where a step takes it below, the step unlearns that part instead.
 
 Features are words (lower-cased A-Z) and their first four and five code
 points, hashed to 2**20 places; present or not, so that length counts for
-little. Kept are the ``n_features`` places that tell P from U best and occur
+little. Beginnings that two and that three words of the text share are features of
+their own: one word of a stem proves less than several. Kept are the ``n_features`` places that tell P from U best and occur
 in ``least_positives`` toxic examples, by counts over all documents and the
-toxic examples. Featurising and scoring run in Arrow tasks without an object
+toxic examples. A place must be so frequent in P that chance would bring none of
+all the places tried there but with probability ``most_chance`` (the Chernoff bound of
+the binomial tail, times the places): a word of a few documents that happen to be in
+P is no evidence. Featurising and scoring run in Arrow tasks without an object
 per word; fitting is full-batch Adam in numpy on the driver, on samples of
 about ``max_positives`` and ``max_unlabelled`` rows and on the kept places
 alone. Rows are drawn by a hash of id and text; of repeated rows as many as
@@ -48,8 +52,10 @@ PLACES = 1 << 20
 _SEPARATORS = tuple(b for b in range(0x80) if not chr(b).isalnum())
 _IS_WORD = wh.word_table(_SEPARATORS)
 _LANE = wh.lane(61, _SEPARATORS, lower=True)
-#: Code points of the word beginnings that are features.
+#: Code points of the word beginnings that are features, and how often they must
+#: occur for a further one.
 BEGINNINGS = (4, 5)
+REPEATS = (2, 3)
 
 
 class PuClassifier(NamedTuple):
@@ -60,7 +66,7 @@ class PuClassifier(NamedTuple):
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hashed place) of every word and word beginning."""
+    """(text number, hashed place) of every word, word beginning and repeated one."""
     w = wh.find_words(data, offsets, _IS_WORD)
     n = len(data)
     if not len(w.starts):
@@ -77,7 +83,15 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         ends = np.minimum(leads[lead + size], w.ends) if size else w.ends
         h = wh.mix((sums[ends] - sums[w.starts]) * unshift + np.uint64(kind))
         found.append((h >> np.uint64(44)).astype(np.int64))
-    return np.tile(text, len(found)), np.concatenate(found)
+    begun = np.concatenate([text * PLACES + f for f in found[1:]])
+    key, times = np.unique(begun, return_counts=True)
+    texts, places = [np.tile(text, len(found))], found
+    for least in REPEATS:
+        often = key[times >= least]
+        texts.append(often // PLACES)
+        h = wh.mix((often % PLACES).astype(np.uint64) + np.uint64(least << 20))
+        places.append((h >> np.uint64(44)).astype(np.int64))
+    return np.concatenate(texts), np.concatenate(places)
 
 
 def _pairs(texts: np.ndarray, columns: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +191,8 @@ def _drawn(texts: DataFrame, id_col: str, bound: int) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "toxic", max_positives: int = 20_000, max_unlabelled: int = 30_000,
-                 n_features: int = 2048, least_positives: int = 5, least_sigmas: float = 4.5) -> PuClassifier:
+                 n_features: int = 2048, least_positives: int = 5, least_sigmas: float = 4.5,
+                 most_chance: float = 0.01) -> PuClassifier:
     """Fit on the toxic rows of ``labels`` (id, 0/1) and on the other rows of
     ``docs``; the prior is the toxic share of ``labels``."""
     ship(docs.sparkSession)
@@ -201,8 +216,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share_p = (F.col("p") + 0.5) / (sizes["p"] + 1.0)
     share_u = (F.col("u") + 0.5) / (sizes["u"] + 1.0)
     sigmas = (share_p - share_u) / F.sqrt(share_u * (1 - share_u) / sizes["p"])
-    best = counted.filter((F.col("place") >= 0) & (F.col("p") >= least_positives) & (F.col("u") < sizes["u"])
-                          & (sigmas >= least_sigmas)) \
+    tried = counted.filter((F.col("place") >= 0) & (F.col("p") >= least_positives) & (F.col("u") < sizes["u"]))
+    # -log of the bound on the chance of p of P's texts where all have the share u.
+    p, q = F.col("p") / sizes["p"], F.col("u") / sizes["u"]
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0)
+    unlikely = F.when(p > q, sizes["p"] * (p * F.log(p / q) + rest)).otherwise(0.0)
+    best = tried.filter((sigmas >= least_sigmas) & (unlikely >= float(np.log(max(1, tried.count()) / most_chance)))) \
         .orderBy((share_p * F.log(share_p / share_u)).desc(), "place").limit(n_features).select("place").collect()
     places = np.sort(np.array([r[0] for r in best], dtype=np.int64))
     if not len(places):
