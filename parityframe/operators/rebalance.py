@@ -121,7 +121,7 @@ def smote_need(df: DataFrame, label: str) -> DataFrame:
 
 
 def smote(df: DataFrame, key: str, label: str, features: Sequence[str], k: int = 5, seed: int = 42,
-          integer: str = "truncate") -> DataFrame:
+          integer: str = "truncate", probe: int | None = None) -> DataFrame:
     """SMOTE. For each class below the majority count, ``need``
     synthetic rows ``x + u * (nb - x)`` where the base x, its neighbour nb
     (one of its k nearest same-class points) and u are drawn by portable
@@ -131,6 +131,9 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], k: int =
     Integer features of synthetic rows are truncated back to their type
     (``integer='truncate'``) or copied from the base row (``'base'``).
     Neighbours are searched only for bases that are actually drawn.
+    ``probe`` searches that many nearest cells only (approximate: measure it with
+    ``neighbors.recall``); a neighbour that it misses is replaced by a farther
+    one of the same class, never by none while the cells hold k.
     """
     feats = list(features)
     require_unique_key(df, [key])
@@ -155,7 +158,7 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], k: int =
     base = keyed_join(slots, ranked.select(label, "__rn", F.col(key).alias("base_key"),
                                            *[F.col(f).alias(f"__b_{f}") for f in feats]), [label, "__rn"])
     base = base.transform(_ckpt)
-    nbrs = knn_same_class(pts, key, label, feats, k=k, queries=base.select(F.col("base_key").alias(key)))
+    nbrs = knn_same_class(pts, key, label, feats, k=k, queries=base.select(F.col("base_key").alias(key)), probe=probe)
     nb = nbrs.select(F.col(key).alias("base_key"), F.col("nb_rank").cast("long").alias("__nb"), "nb_key")
     j = keyed_join(base, nb, ["base_key", "__nb"], "left")
     nb_feats = pts.select(F.col(key).alias("nb_key"), *[F.col(f).alias(f"__n_{f}") for f in feats])

@@ -168,6 +168,20 @@ def test_smote_balances(spark):
         assert isinstance(r.b, int)
 
 
+def test_smote_by_the_nearest_cells(spark):
+    """A dozen independent features: what the search of a few cells finds is measured,
+    and the class is balanced all the same."""
+    from parityframe.operators.neighbors import recall
+    rng = np.random.default_rng(2)
+    names = [f"f{i}" for i in range(12)]
+    rows = [(i, int(i < 400), *map(float, v)) for i, v in enumerate(rng.random((1000, 12)))]
+    df = spark.createDataFrame(rows, "id long, y int, " + ", ".join(f"{n} double" for n in names))
+    assert recall(df, "id", "y", names, probe=12, sample=150, cell_rows=32) >= 0.9
+    out = rb.smote(df, "id", "y", names, k=5, probe=2)
+    assert {r["count"] for r in out.groupBy("y").count().collect()} == {600}
+    assert out.where("synthetic AND nb_key IS NULL").isEmpty()
+
+
 def test_xxhash_mode_exact_split(spark):
     from parityframe.functions import hashing
     df = spark.range(1000).withColumnRenamed("id", "k")
