@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -152,39 +151,58 @@ def pack_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str =
     return docs.select(docs[id_col].cast("long"), text_col).mapInArrow(run, ROW)
 
 
+class _ShardFiles:
+    """The open files of one shard, and what they hold so far."""
+
+    def __init__(self, store, base: str, shard: int):
+        self.shard, name = shard, uuid.uuid4().hex
+        self.paths = [f"{base.rstrip('/')}/shard-{shard:06d}-{name}.{f}" for f in FILES]
+        self.files = [store.open_output_stream(p) for p in self.paths]
+        self.rows = self.length = self.tokens = self.pieces = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        ids, ends, resets = (batch.column(f) for f in FILES)
+        for row in ids:
+            self.files[0].write(row.as_buffer())
+        self.files[1].write(ends.flatten().to_numpy().astype("<i4").tobytes())
+        self.files[2].write(resets.flatten().to_numpy().astype("<i4").tobytes())
+        self.rows, self.length = self.rows + batch.num_rows, len(ids[0].as_buffer()) // 4
+        self.tokens += sum(batch.column("n_tokens").to_pylist())
+        self.pieces += len(resets.flatten())
+
+    def closed(self) -> pa.RecordBatch:
+        for f in self.files:
+            f.close()
+        return pa.record_batch([pa.array([self.shard], pa.int32()), pa.array([self.rows]), pa.array([self.length], pa.int32()),
+                                pa.array([self.tokens]), pa.array([self.pieces]), *[pa.array([p]) for p in self.paths]],
+                               names=["shard", "n_rows", "length", "n_tokens", "n_pieces", *FILES])
+
+
 def write_packed(packed: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the rows of ``pack_documents``; the manifest: for each shard with
-    rows its numbers of rows, ids a row, ids used and pieces, and its files'
-    paths. A repeated task writes new files, and the manifest names those of
-    the attempt that counts."""
+    """Write the rows of ``pack_documents``, also of a stored copy of them; the
+    manifest: for each shard with rows its numbers of rows, ids a row, ids used and
+    pieces, and its files' paths. Rows are dealt by their own shard, in order. A
+    repeated task writes new files, and the manifest names those of the attempt
+    that counts."""
     target = folder or shared_path(packed.sparkSession, "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(target)
-        shard, name = TaskContext.get().partitionId(), uuid.uuid4().hex
-        paths = [f"{base.rstrip('/')}/shard-{shard:06d}-{name}.{f}" for f in FILES]
-        rows = length = tokens = pieces = 0
-        with ExitStack() as opened:
-            files: list = []
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                if not files:
+        current = None
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            edges = np.flatnonzero(np.r_[True, np.diff(shards) != 0, True]) if len(shards) else []
+            for at, to in zip(edges[:-1], edges[1:]):
+                if current is None or current.shard != shards[at]:
+                    if current:
+                        yield current.closed()
                     store.create_dir(base, recursive=True)
-                    files = [opened.enter_context(store.open_output_stream(p)) for p in paths]
-                ids, ends, resets = (batch.column(f) for f in FILES)
-                for row in ids:
-                    files[0].write(row.as_buffer())
-                files[1].write(ends.flatten().to_numpy().astype("<i4").tobytes())
-                files[2].write(resets.flatten().to_numpy().astype("<i4").tobytes())
-                rows, length = rows + batch.num_rows, len(ids[0].as_buffer()) // 4
-                tokens += sum(batch.column("n_tokens").to_pylist())
-                pieces += len(resets.flatten())
-        if rows:
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([rows]), pa.array([length], pa.int32()), pa.array([tokens]),
-                                   pa.array([pieces]), *[pa.array([p]) for p in paths]],
-                                  names=["shard", "n_rows", "length", "n_tokens", "n_pieces", *FILES])
-    return stored(packed.select("n_tokens", *FILES).mapInArrow(run, MANIFEST), "packed-manifest")
+                    current = _ShardFiles(store, base, int(shards[at]))
+                current.add(batch.slice(at, to - at))
+        if current:
+            yield current.closed()
+    dealt = packed.select("shard", "row", "n_tokens", *FILES).repartition("shard").sortWithinPartitions("shard", "row")
+    return stored(dealt.mapInArrow(run, MANIFEST), "packed-manifest")
 
 
 def op8_packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers as P
 from pyspark.sql import functions as F
 
+from parityframe.llm.common import stored
 from parityframe.llm.packing import pack_documents, write_packed
 
 
@@ -14,8 +15,9 @@ def test_files_hold_the_rows(spark, tmp_path):
     rows = {}
     for r in packed.orderBy("shard", "row").collect():
         rows.setdefault(r.shard, []).append(r)
-    for folder in (str(tmp_path / "made"), None):
-        manifest = write_packed(packed, folder).collect()
+    again = stored(packed, "again").repartition(5)       # tasks that are not the shards
+    for folder, table in ((str(tmp_path / "made"), packed), (None, packed), (None, again)):
+        manifest = write_packed(table, folder).collect()
         assert sorted(m.shard for m in manifest) == sorted(rows) and len(rows) > 1
         for m in manifest:
             want = rows[m.shard]
