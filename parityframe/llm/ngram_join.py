@@ -51,6 +51,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -251,12 +252,12 @@ def _signature_rows(frequent, shingle, percent, n_buckets):
 
 
 _MAP = [f"m{i}" for i in range(_MAP_COLUMNS)]
-_CANDIDATE = "node long, n int, " + ", ".join(f"{m} long" for m in _MAP) + ", shared double, signatures array<long>, text string"
+_CANDIDATE = "node long, n int, " + ", ".join(f"{m} long" for m in _MAP) + ", shared double, signatures array<long>, text binary"
 
 
 def _candidate_rows(frequent, shingle, percent, n_buckets):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), *((m, pa.int64()) for m in _MAP),
-                        ("shared", pa.float64()), ("signatures", pa.list_(pa.int64())), ("text", pa.string())])
+                        ("shared", pa.float64()), ("signatures", pa.list_(pa.int64())), ("text", pa.binary())])
 
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
@@ -276,18 +277,22 @@ def _candidate_rows(frequent, shingle, percent, n_buckets):
                 kept.append(sig.view(np.int64))
                 rows.append(row)
         maps = np.array(maps, dtype=np.int64).reshape(-1, _MAP_COLUMNS)
+        # Verification shuffles texts; a shuffle's own compression is the weaker one.
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        texts = [squeeze((t.as_py() or "").encode()) for t in texts.column("text").take(pa.array(rows, pa.int64()))]
         return pa.table([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
                          *(pa.array(maps[:, i]) for i in range(_MAP_COLUMNS)), pa.array(share, pa.float64()), pa.array(kept, pa.list_(pa.int64())),
-                         texts.column("text").take(pa.array(rows, pa.int64())).combine_chunks()], schema=schema)
+                         pa.array(texts, pa.binary())], schema=schema)
     return run
 
 
 def _similar(shingle: int, percent: int):
-    """Pairs (a, b, text_a, text_b) to links (a, b)."""
+    """Pairs (a, b, text_a, text_b) to links (a, b); texts are compressed."""
     def sets_of(keys, texts):
         """Each key's set, once."""
         _, first = np.unique(keys, return_index=True)
-        found = dict(shingle_sets(texts.take(pa.array(first)), shingle))
+        whole = zstandard.ZstdDecompressor().decompress
+        found = dict(shingle_sets(pa.array([whole(t.as_py()).decode() for t in texts.take(pa.array(first))], pa.string()), shingle))
         return {int(keys[at]): found[i] for i, at in enumerate(first)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
