@@ -13,11 +13,11 @@ def without_frequent_lines(docs, least):
     return {i: "\n".join(x for x in (t or "").split("\n") if not key(x) or seen[key(x)] < least) for i, t in docs.items()}
 
 
-def components(docs):
+def components(docs, shingle=4, percent=85):
     sets = {}
     for i, t in docs.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
-        sets[i] = {tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
+        sets[i] = {tuple(w[k:k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
     parent = {i: i for i in docs}
 
     def root(i):
@@ -26,7 +26,7 @@ def components(docs):
         return i
     for i in docs:
         for j in docs:
-            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: root(i) for i in docs}
