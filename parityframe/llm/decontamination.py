@@ -78,8 +78,14 @@ def _prints(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _item_prints(items: DataFrame, length: int) -> DataFrame:
-    return _prints(items, length).select("print", "item_id", F.col("words").alias("item_words"),
-                                         F.explode(_places(F.col("hashes"), F.col("print"))).alias("q"))
+    """(print, item_id, item_words, q): the item's words around the run, as far as
+    windows that hold it reach, and the run's place in them. What a row carries
+    does not grow with its item."""
+    _, window = _shape(length)
+    at = _prints(items, length).select("print", "item_id", "words", F.explode(_places(F.col("hashes"), F.col("print"))).alias("at"))
+    at = at.withColumn("low", F.greatest(F.lit(0), F.col("at") - (window - 1)))
+    return at.select("print", "item_id", F.slice("words", F.col("low") + 1, F.col("at") + length - F.col("low")).alias("item_words"),
+                     (F.col("at") - F.col("low")).alias("q"))
 
 
 def _starts(length: int) -> Column:
@@ -101,6 +107,15 @@ def _starts(length: int) -> Column:
 _HIT = ("id", "text_hash", "n_words", "item_id", "start", "length")
 
 
+#: Bytes of the items' words that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def _may_broadcast(item_prints: DataFrame, rows: int) -> bool:
+    size = item_prints.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.array_join("item_words", " "))).alias("b")).first()
+    return size["n"] <= rows and (size["b"] or 0) <= BROADCAST_BYTES
+
+
 def _hits(docs: DataFrame, items: DataFrame, length: int, broadcast_rows: int) -> DataFrame:
     """_HIT columns of every window of ``items`` (item_id, words) that a
     document holds, and a row without item for every document."""
@@ -108,7 +123,7 @@ def _hits(docs: DataFrame, items: DataFrame, length: int, broadcast_rows: int) -
     doc_words = docs.withColumn("words", split_words(F.col("text"))).drop("text")
     n_words = F.size("words").cast("long").alias("n_words")
     nothing = F.array(F.lit(None).cast("int"))
-    if item_prints.count() <= broadcast_rows:
+    if _may_broadcast(item_prints, broadcast_rows):
         k, window = _shape(length)
         prints = doc_words.withColumn("hashes", run_hashes(F.col("words"), k)).withColumn(
             "print", F.explode(F.array_append(winnowed(F.col("hashes"), window), F.lit(None).cast("long"))))
