@@ -7,12 +7,15 @@ hold are frequent; their lines are dropped from every document.
 Method
 ------
 ``LineRuns`` keeps, in the shared folder, runs of (128-bit key hash, number of
-documents), sorted by the hash. ``add`` takes a batch of documents: its keys,
-counted map-side, merge-anti-join the run of frequent keys, and what is left
-becomes a run of level 0. When a level holds ``fan`` runs they are merged into
-one run of the next level; keys that reach ``min_docs`` there move to the
-frequent run. ``frequent`` merges what is left. So a key is written about once
-per level, and a batch never rewrites the whole store.
+documents). A run is bucketed by the hash and sorted by it within a bucket, all
+runs into the same ``buckets`` hash ranges, so runs meet bucket by bucket in
+merge joins that neither shuffle nor sort what is stored. ``add`` takes a batch
+of documents: its keys, counted in the tasks and dealt to the buckets,
+merge-anti-join the runs of frequent keys, and what is left becomes a run of
+level 0. When a level holds ``fan`` runs they are merged, two at a time, into one
+run of the next level; keys that reach ``min_docs`` there are frequent from then
+on. ``frequent`` merges what is left. So a key is written about once per level,
+and a batch only shuffles its own keys.
 
 ``drop_lines`` then cuts the lines. The frequent keys go to the tasks as a
 sorted array if their counted number is at most ``broadcast_keys`` (16 bytes
@@ -27,7 +30,9 @@ added one is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parityframe.llm.common import read_table, ship, stored
+from parityframe.llm.common import free_shuffles, read_table, shared_path, ship
 
 _KEY = np.dtype([("a", "<i8"), ("b", "<i8")])
+#: Distinct keys that a task counts before it passes them on.
+HELD_KEYS = 1 << 17
 
 
 def line_key(line: bytes) -> bytes:
@@ -60,46 +67,65 @@ def _as_keys(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), dtype=_KEY)
 
 
+def _counts(seen: dict[bytes, int]) -> pa.RecordBatch:
+    keys = _as_keys(list(seen))
+    return pa.record_batch([pa.array(keys["a"]), pa.array(keys["b"]), pa.array(seen.values(), pa.int64())],
+                           names=["a", "b", "docs"])
+
+
 def _count_keys(min_chars: int):
+    """Keys and documents of a task's rows; a key comes once for every
+    HELD_KEYS distinct ones, so a hot line is a few rows a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
-            seen: dict[bytes, int] = {}
             for text in batch.column(0):
                 for digest in set(_digests(text.as_py() or "", min_chars)):
                     seen[digest] = seen.get(digest, 0) + 1
-            seen.pop(b"", None)
-            keys = _as_keys(list(seen))
-            yield pa.record_batch([pa.array(keys["a"]), pa.array(keys["b"]), pa.array(seen.values(), pa.int64())],
-                                  names=["a", "b", "docs"])
+                if len(seen) > HELD_KEYS:
+                    seen.pop(b"", None)
+                    yield _counts(seen)
+                    seen = {}
+        seen.pop(b"", None)
+        yield _counts(seen)
     return run
 
 
 class LineRuns:
-    """The levelled store. Runs are Parquet tables in the shared folder."""
+    """The levelled store. Runs are bucketed, sorted Parquet tables in the
+    shared folder; ``buckets`` is the session's number of shuffle partitions
+    unless given."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, min_chars: int = 1, fan: int = 2):
+    def __init__(self, spark: SparkSession, min_docs: int, min_chars: int = 1, fan: int = 2, buckets: int | None = None):
         self.spark, self.min_docs, self.min_chars, self.fan = spark, min_docs, min_chars, fan
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
         self.done: list[DataFrame] = []  # runs of frequent keys
 
-    def _run(self, keys: DataFrame) -> DataFrame:
-        merged = keys.groupBy("a", "b").agg(F.sum("docs").alias("docs"))
-        return stored(merged.sortWithinPartitions("a", "b"), "line-run")
-
-    def _frequent(self) -> DataFrame | None:
-        out = None
+    def _write(self, make: Callable[[], DataFrame]) -> DataFrame:
+        """Write what ``make`` gives, in bucket order, as a new run."""
+        with _stored_order(self.spark):
+            name = f"line_run_{uuid.uuid4().hex}"
+            make().write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "a", "b") \
+                .sortBy("a", "b").option("path", shared_path(self.spark, "line-run")).saveAsTable(name)
+            run = self.spark.table(name)
+            # The frame knows files and buckets by now; the catalog need not.
+            self.spark.sql(f"DROP TABLE {name}")
+        free_shuffles(self.spark)
+        return run
+
+    def new_keys(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(a, b, docs) of a batch's keys that are not known to be frequent."""
+        keys = docs.select(text_col).mapInArrow(_count_keys(self.min_chars), "a long, b long, docs long")
+        keys = keys.repartition(self.buckets, "a", "b").groupBy("a", "b").agg(F.sum("docs").alias("docs"))
         for run in self.done:
-            out = run if out is None else out.unionByName(run)
-        return out
+            keys = keys.join(run.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        return keys
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
         """Count a new batch and put it on level 0, compacting full levels."""
         ship(self.spark)
-        keys = docs.select(text_col).mapInArrow(_count_keys(self.min_chars), "a long, b long, docs long")
-        known = self._frequent()
-        if known is not None:
-            keys = keys.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        self.levels[0].append(self._run(keys))
+        self.levels[0].append(self._write(lambda: self.new_keys(docs, text_col)))
         level = 0
         while len(self.levels[level]) >= self.fan:
             merged = self._merge(self.levels[level])
@@ -110,10 +136,9 @@ class LineRuns:
             self.levels[level].append(merged)
 
     def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        union = runs[0]
+        merged = runs[0]
         for run in runs[1:]:
-            union = union.unionByName(run)
-        merged = self._run(union)
+            merged = self._write(lambda left=merged, right=run: merged_pair(left, right))
         self.done.append(merged.filter(F.col("docs") >= self.min_docs))
         return merged.filter(F.col("docs") < self.min_docs)
 
@@ -123,12 +148,36 @@ class LineRuns:
         runs = [run for level in self.levels for run in level]
         if runs:
             self.levels = [[], [self._merge(runs)]]
-        out = self._frequent()
-        if out is None:
+        if not self.done:
             return self.spark.createDataFrame([], "a long, b long")
+        out = self.done[0]
+        for run in self.done[1:]:
+            out = out.unionByName(run)
         return out.select("a", "b")
 
 
+def merged_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two runs as one: a full merge join, documents added."""
+    left, right = left.alias("l"), right.alias("r").hint("merge")
+    same = (F.col("l.a") == F.col("r.a")) & (F.col("l.b") == F.col("r.b"))
+    docs = F.coalesce("l.docs", F.lit(0)) + F.coalesce("r.docs", F.lit(0))
+    return left.join(right, same, "full").select(F.coalesce("l.a", "r.a").alias("a"), F.coalesce("l.b", "r.b").alias("b"),
+                                                 docs.alias("docs"))
+
+
+@contextmanager
+def _stored_order(spark: SparkSession) -> Iterator[None]:
+    """Scans of sorted buckets keep their order; the session's setting
+    returns afterwards."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _cut(text: str, drop: set[bytes], min_chars: int) -> tuple[str, int, int]:
     lines = text.split("\n")
     kept = [line for line, d in zip(lines, _digests(text, min_chars)) if d not in drop]

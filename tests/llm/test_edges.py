@@ -230,6 +230,31 @@ def test_line_runs_in_batches(spark):
         assert cut == {i: f"only {i}" if i % 7 < 5 else f"row {i % 7}\nonly {i}" for i in range(40)}
 
 
+def test_stored_line_runs_are_merged_as_they_lie(spark):
+    """Old runs meet new keys and each other without being shuffled or sorted,
+    whatever the session's setting, which stays as it was."""
+    from parityframe.llm.lines import LineRuns, _stored_order, merged_pair
+    setting = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    docs = spark.createDataFrame([(i, f"same\nrow {i % 7}\nonly {i}") for i in range(40)], "doc_id long, text string")
+    runs = LineRuns(spark, min_docs=6, fan=2, buckets=3)
+    for i in range(3):
+        runs.add(docs.filter(F.col("doc_id") % 3 == i))
+    assert spark.conf.get(setting) == "false"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+    def steps(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [plan.count(s) for s in ("Exchange hash", "Sort [", "SortMergeJoin")]
+    with _stored_order(spark):
+        assert steps(merged_pair(runs.levels[0][0], runs.levels[1][0])) == [0, 0, 1]
+        # One exchange and one sort: the new batch's own keys.
+        assert steps(runs.new_keys(docs)) == [1, 1, 1]
+    whole = {(r.a, r.b) for r in runs.frequent().collect()}
+    one = LineRuns(spark, min_docs=6, fan=3, buckets=5)
+    one.add(docs)
+    assert {(r.a, r.b) for r in one.frequent().collect()} == whole and len(whole) == 1 + 5
+
+
 def test_near_copies_of_one_text(spark, monkeypatch):
     """A text, its copies with edits at random places, a passage that other
     texts share, short texts: components as plain comparison finds them, with
