@@ -106,7 +106,8 @@ class LineRuns:
         """Write what ``make`` gives, in bucket order, as a new run."""
         with _stored_order(self.spark):
             name = f"line_run_{uuid.uuid4().hex}"
-            make().write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "a", "b") \
+            # Hashes don't compress.
+            make().write.format("parquet").option("compression", "none").bucketBy(self.buckets, "a", "b") \
                 .sortBy("a", "b").option("path", shared_path(self.spark, "line-run")).saveAsTable(name)
             run = self.spark.table(name)
             # The frame knows files and buckets by now; the catalog need not.
@@ -167,15 +168,17 @@ def merged_pair(left: DataFrame, right: DataFrame) -> DataFrame:
 
 @contextmanager
 def _stored_order(spark: SparkSession) -> Iterator[None]:
-    """Scans of sorted buckets keep their order; the session's setting
-    returns afterwards."""
-    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    """Scans of sorted buckets keep their order, and sorted rows are summed as
+    they come, without a hash map; the session's settings return afterwards."""
+    names = ("spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.execution.replaceHashWithSortAgg")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "true")
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
 def _cut(text: str, drop: set[bytes], min_chars: int) -> tuple[str, int, int]:
