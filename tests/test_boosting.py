@@ -280,3 +280,13 @@ def test_mitigation_flow_as_the_reference(spark, monkeypatch):
     assert json.dumps(sorted(out)) == json.dumps(sorted([
         "before_after_accuracy", "before_after_recall", "before_after_f1", "bundle", "bundle_groups", "history", "early_stop", "overfit",
         "curve", "elbow"]))
+
+
+def test_a_batch_of_one_score_before_the_tail(spark):
+    # A constant model: all rows of the batch merge into one.
+    d, _, _ = table(spark, n=60, seed=15)
+    m = ml.boosted(maxIter=2, maxDepth=1, minHessian=1e9).fit(d)
+    sums = bo.staged_sums(bo.staged_scores(m, [d], "label", [2], ml.AUC_ROUNDS), 1e-15, True).collect()
+    assert sum(r.pos + r.neg for r in sums) == 60
+    got = {(r["round"], r.metric): r.value for r in ml.eval_history(m, {"all": d}, rounds=[2]).collect()}
+    assert got[2, "auc"] == 0.5 and len(got) == 3
