@@ -2,6 +2,7 @@
 prefixes and early stops against separate fits."""
 
 import json
+import pickle
 
 import numpy as np
 import pytest
@@ -282,6 +283,31 @@ def test_mitigation_flow_as_the_reference(spark, monkeypatch):
         "curve", "elbow"]))
 
 
+def test_the_larger_sibling_is_what_its_parent_has_beyond_the_other(spark, monkeypatch):
+    d, _, _ = table(spark, n=400, seed=13)
+    est = ml.boosted(maxIter=3, maxDepth=5, subsamplingRate=0.7)
+    asked = []
+    seen = bo.RoundRows.histogram
+
+    def histogram(view, tree, nodes):
+        asked.append((len(nodes), len(tree.feature)))
+        return seen(view, tree, nodes)
+    monkeypatch.setattr(bo.RoundRows, "histogram", histogram)
+    block = pickle.loads(bo._blocks(est.rows(d, fold_col="fold"), est.binning(d), [est.spec()], 1).map(pickle.dumps).collect()[0])
+    assert block.y.dtype == np.uint8 and block.fold.dtype == np.int16 and not len(block.share)
+    bo._grown_alone([block], est.spec(), bo.BINS + 1)
+    # Of the pairs that the first split and later ones make, one node each is summed.
+    assert [n for n, nodes in asked if nodes in (1, 3)] == [1, 1] * 3
+
+
+def test_scores_only_where_asked(spark):
+    d, _, _ = table(spark, seed=14)
+    fits = bo.fit_folds([ml.boosted(maxIter=n, maxDepth=2) for n in (2, 5)], d, [0, None])
+    assert {h[0] for h in fits[1, 0, None].history} == {2, 5} and {h[0] for h in fits[0, 0, None].history} == {2}
+    whole = bo.fit_set(ml.boosted().rows(d, fold_col="fold"), ml.boosted().binning(d), [ml.boosted(maxIter=5, maxDepth=2).spec(fold=0)])[0]
+    assert bo.scored_at(fits[1, 0, None], "test") == bo.scored_at(whole, "test")
+
+
 def test_a_batch_of_one_score_before_the_tail(spark):
     # A constant model: all rows of the batch merge into one.
     d, _, _ = table(spark, n=60, seed=15)
@@ -290,3 +316,16 @@ def test_a_batch_of_one_score_before_the_tail(spark):
     assert sum(r.pos + r.neg for r in sums) == 60
     got = {(r["round"], r.metric): r.value for r in ml.eval_history(m, {"all": d}, rounds=[2]).collect()}
     assert got[2, "auc"] == 0.5 and len(got) == 3
+
+
+def test_history_by_rounds_and_by_ranges(spark, monkeypatch):
+    d, _, _ = table(spark, n=300, seed=16)
+    m = ml.boosted(maxIter=9, maxDepth=2).fit(d)
+    parts = {"a": d.where("id % 3 > 0").repartition(4), "b": d.where("id % 3 = 0"), "none": d.limit(0)}
+    rounds = [1, 4, 9, 12]
+
+    def history():
+        return {(r.split, r["round"], r.metric): r.value for r in ml.eval_history(m, parts, rounds=rounds).collect()}
+    by_round = history()
+    monkeypatch.setattr(bo, "HISTORY_ROWS", 0)
+    assert len(by_round) == 18 and by_round == pytest.approx(history())
