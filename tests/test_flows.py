@@ -46,3 +46,13 @@ def test_split_and_rebalance(spark, order):
     for r in train.groupBy("c_mktsegment").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect():
         if order == "train_only":
             assert r.p * 2 == r.n            # balanced inside each group
+
+
+def test_the_raw_tables_joins_run_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 11), "ab"[i % 2], i % 2) for i in range(60)], "id long, x double, y double, g string, label int")
+    raw = rows.select("id", "x", "g", "label").join(rows.select("id", "y"), "id")
+    seen, fences = [], flows.clean.iqr_sequential
+    monkeypatch.setattr(flows.clean, "iqr_sequential", lambda df, *a: seen.append(df) or fences(df, *a))
+    p = flows.prepare(raw, flows.TableSpec("id", "label", ["g"]))
+    assert p.table.count() == 60 and "Join" in raw._jdf.queryExecution().toString()
+    assert "Join" not in seen[0]._jdf.queryExecution().toString()
