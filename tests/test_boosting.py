@@ -329,3 +329,64 @@ def test_history_by_rounds_and_by_ranges(spark, monkeypatch):
     by_round = history()
     monkeypatch.setattr(bo, "HISTORY_ROWS", 0)
     assert len(by_round) == 18 and by_round == pytest.approx(history())
+
+
+def coded_block(n=5000, features=5, seed=3, top=33):
+    rng = np.random.default_rng(seed)
+    codes = rng.integers(0, top, (features, n)).astype(np.uint8)
+    y = (codes[0] / top + (codes[1] > top // 3) * codes[2] / top + 0.3 * rng.normal(size=n) > 0.7).astype(np.uint8)
+    return bo.Block(codes, y, (np.arange(n) % 5).astype(np.int16), rng.integers(0, 1 << 63, n).astype(np.uint64), rng.random(n), np.zeros((1, n)))
+
+
+@pytest.mark.parametrize("top,depth", [(33, 7), (33, 10), (200, 7), (2, 3)])
+def test_leaves_read_from_tables_are_those_of_the_descent(monkeypatch, top, depth):
+    monkeypatch.setattr(bo, "LOOKUP_ROWS", 700)
+    block = coded_block(top=top)
+    g = bo._grown_alone([block], bo.Fit(3, depth, 0.3, min_hessian=0.1), top)
+    rows = bo.Lookup(block.codes, top)
+    trees = [*g.trees, bo.Tree.stump()]
+    assert max(len(t.feature) for t in trees) > 8 or top == 2
+    for tree in trees:
+        assert (rows.leaf_of(tree) == tree.leaf_of(block.codes)).all()
+    margins = sum(0.3 * t.value[t.leaf_of(block.codes)] for t in g.trees)
+    assert np.allclose(block.margins[0], margins)
+
+
+@pytest.mark.parametrize("pair_rows", [0, 1 << 40])
+@pytest.mark.parametrize("features", [None, (0, 3, 4), (2,)])
+def test_sums_of_pairs_and_of_single_features(monkeypatch, pair_rows, features):
+    monkeypatch.setattr(bo, "PAIR_ROWS", pair_rows)
+    block, fit = coded_block(n=900), bo.Fit(1, 2, 0.1, subsample=0.7, fold=1, features=features)
+    tree = bo.Tree.stump()
+    children = tree.split(np.array([0]), 3, 16, 1.0, 0.0, 0.0)
+    used = range(5) if features is None else features
+    rows = block.drawn(fit, 4, block.trains(fit))
+    whole = bo.RoundRows(block, 0, fit, 4, 33).histogram(tree, children)
+    shared = bo.RoundRows(block, 0, fit, 4, 33, alone=False)
+    assert shared.codes is None and (shared.of(block.codes).histogram(tree, children) == whole).all()
+    assert whole.shape == (2, len(used), 33, 2)
+    for at, side in enumerate((block.codes[3, rows] <= 16, block.codes[3, rows] > 16)):
+        for j, f in enumerate(used):
+            for code in range(33):
+                here = rows[side & (block.codes[f, rows] == code)]
+                assert whole[at, j, code].tolist() == [((0.5 - block.y[here]) * bo.SCALE).sum(), len(here) * bo.SCALE / 4]
+
+
+def test_a_fit_holds_the_rows_that_it_asks_for_near_each_other():
+    blocks = [coded_block(n=400, seed=s) for s in (1, 2)]
+    fit = bo.Fit(6, 4, 0.3, subsample=0.8, fold=2, share=0.3)
+    one = bo._joined(blocks, fit)
+    asked = sum(int((b.trains(fit) | b.held(fit)).sum()) for b in blocks)
+    assert len(one.y) == asked < 800 and one.codes.flags.c_contiguous and one.margins.shape == (1, asked)
+    assert (np.diff((one.codes[0] >> 5).astype(int)) >= 0).all()
+    alone, apart = bo._grown_alone([one], fit, 33), bo._grown_alone(blocks, fit, 33)
+    assert alone.history == apart.history
+    assert all((getattr(a, k) == getattr(b, k)).all() for a, b in zip(alone.trees, apart.trees) for k in ("feature", "cut", "value", "gain"))
+
+
+def test_labels_beyond_one_keep_their_weights():
+    block = coded_block(n=300)
+    block.y = block.y * 1000.0
+    view = bo.RoundRows(block, 0, bo.Fit(1, 1, 0.1), 0, 33)
+    sums = view.histogram(bo.Tree.stump(), np.array([0]))
+    assert sums[0, 0, :, 0].sum() == ((0.5 - block.y) * bo.SCALE).sum()
