@@ -390,3 +390,27 @@ def test_labels_beyond_one_keep_their_weights():
     view = bo.RoundRows(block, 0, bo.Fit(1, 1, 0.1), 0, 33)
     sums = view.histogram(bo.Tree.stump(), np.array([0]))
     assert sums[0, 0, :, 0].sum() == ((0.5 - block.y) * bo.SCALE).sum()
+
+
+def test_features_of_few_codes_are_summed_together():
+    codes = np.random.default_rng(3).integers(0, [[33], [33], [33], [26], [6]], (5, 4000)).astype(np.uint8)
+    columns = bo.Columns(codes, (0, 1, 2, 3, 4))
+    assert [g for g, _ in columns.groups(bo.GROUP_BINS)] == [[0, 1, 4], [2, 3]]
+    assert [g for g, _ in columns.groups(33 * 33)] == [[0, 1], [2, 3], [4]]
+    for group, numbers in columns.groups(bo.GROUP_BINS):
+        rows = np.ravel_multi_index(codes[group], [columns.sizes[f] for f in group])
+        assert (numbers == rows).all()
+
+
+@pytest.mark.parametrize("step,depth", [(64, 3), (1000, 5), (1 << 15, 5)])
+def test_rows_parted_where_they_are(monkeypatch, step, depth):
+    monkeypatch.setattr(bo, "STEP_ROWS", step)
+    block, fit = coded_block(n=1500), bo.Fit(2, depth, 0.3, subsample=0.6, fold=1, min_hessian=0.1)
+    tree = bo._grown_alone([coded_block(n=1500)], fit, 33).trees[0]
+    view = bo.RoundRows(block, 0, fit, 0, 33, columns=bo.Columns(block.codes, None))
+    drawn = block.drawn(fit, 0, block.trains(fit))
+    view.advance(tree, block.margins[0], 0.3, bo.Lookup(block.codes, 33))
+    leaf = tree.leaf_of(block.codes)
+    assert sorted(view.order.tolist()) == drawn.tolist() and len(view.held) > 2
+    assert all((np.sort(view.order[a:b]) == drawn[leaf[drawn] == node]).all() for node, (a, b) in view.held.items())
+    assert (block.margins[0] == 0.3 * tree.value[leaf]).all()
