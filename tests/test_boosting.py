@@ -3,6 +3,7 @@ prefixes and early stops against separate fits."""
 
 import json
 import pickle
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -414,3 +415,13 @@ def test_rows_parted_where_they_are(monkeypatch, step, depth):
     assert sorted(view.order.tolist()) == drawn.tolist() and len(view.held) > 2
     assert all((np.sort(view.order[a:b]) == drawn[leaf[drawn] == node]).all() for node, (a, b) in view.held.items())
     assert (block.margins[0] == 0.3 * tree.value[leaf]).all()
+
+
+def test_a_fit_scores_the_rounds_that_its_booster_names(spark):
+    d, _, _ = table(spark, seed=15)
+    est = ml.boosted(maxIter=4, maxDepth=2)
+    unread = replace(est, scored=()).fit(d)
+    assert same(unread, est.fit(d)) and not unread.history
+    # An early stop needs all of them; a search those that it ranks by.
+    assert {h[0] for h in replace(est, scored=()).fit(d, d, patience=9).history} == {1, 2, 3, 4}
+    assert bo.fit_folds([replace(est, scored=())], d, [0])[0, 0, None].history[-1][0] == 4
