@@ -87,3 +87,19 @@ def test_empty_curve_point_stays(spark):
     assert len(rows) == 4 and all(r.n_train == 0 and r.accuracy is None for r in rows)
 
 
+def test_fits_of_a_size_are_scored_in_one_pass(spark, monkeypatch):
+    df, _, _ = table(spark, n=200, seed=6)
+    d = ml.assemble(df.withColumn("fold", (F.col("id") % 3).cast("int")), ["a", "b", "c"])
+    passes, seen = [], ml._accuracies
+    monkeypatch.setattr(ml, "_accuracies", lambda df, label, asked: passes.append(len(asked)) or seen(df, label, asked))
+    got = {(r.frac, r.fold, r.split): r.accuracy for r in ml.learning_curve(ml.logistic, d, ["id"], [0.5, 1.0]).collect()}
+    assert sorted(passes) == [3, 3]
+    t = ml.by_curve_draw(d, ["id"])
+    for frac in (0.5, 1.0):
+        for fold in range(3):
+            rows, held = t.where((F.col("fold") != fold) & (F.col("__u") <= frac)), t.where(F.col("fold") == fold)
+            m = ml.logistic(rows.count()).fit(rows)
+            for split, part in (("train", rows), ("validation", held)):
+                y = np.array([(r.prediction, r.label) for r in m.transform(part).collect()])
+                assert got[frac, fold, split] == np.mean(y[:, 0] == y[:, 1])
+    assert np.isnan(ml._accuracy(m, d.where("id < 0"), "label"))
