@@ -111,6 +111,28 @@ def test_knn_with_equal_vectors_and_few_rows(spark):
         knn_same_class(df.unionByName(df.limit(1)), "k", "lab", "v")
 
 
+def test_knn_sends_a_query_once_to_a_group_of_cells(spark, monkeypatch):
+    """Many cells to search, some larger than a group, values shared by more rows than k."""
+    from parityframe.operators import neighbors as nn
+    for name, value in (("PART_ROWS", 16), ("GROUP_ROWS", 24), ("PAIRS", 64)):
+        monkeypatch.setattr(nn, name, value)
+    plans, seen = [], nn._searched
+    monkeypatch.setattr(nn, "_searched", lambda plan, *a: plans.append(plan) or seen(plan, *a))
+    rng = np.random.default_rng(5)
+    vectors = np.round(rng.normal(size=(90, 8)), 2)
+    pts = [(i, i % 2, vectors[i % 90].tolist()) for i in range(120)] + [(200 + i, 1, vectors[1].tolist()) for i in range(9)]
+    df = spark.createDataFrame(pts, "k long, lab int, v array<double>")
+    got = {}
+    for r in knn_same_class(df, "k", "lab", "v", k=4, cell_rows=3).collect():
+        got.setdefault(r.k, []).append((r.nb_rank, r.nb_key, r.dist))
+    assert {k: [b for _, b, _ in sorted(v)] for k, v in got.items()} == brute_knn(pts, 4)
+    where = {k: np.array(v) for k, _, v in pts}
+    assert all(d == pytest.approx(np.linalg.norm(where[k] - where[b])) for k, v in got.items() for _, b, d in v)
+    assert len(plans) == 2
+    rows = plans[1].collect()
+    assert len({(r.c, r.id, r.g) for r in rows}) == len(rows) and sum(len(r.cells) for r in rows) > 3 * len(rows)
+
+
 def test_knn_pairs_do_not_follow_the_class(spark):
     """Eleven features, two one-hot groups (5 and 4 flags) and two measures:
     four times the points must not mean twice the compared pairs for each."""
