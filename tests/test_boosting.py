@@ -425,3 +425,19 @@ def test_a_fit_scores_the_rounds_that_its_booster_names(spark):
     # An early stop needs all of them; a search those that it ranks by.
     assert {h[0] for h in replace(est, scored=()).fit(d, d, patience=9).history} == {1, 2, 3, 4}
     assert bo.fit_folds([replace(est, scored=())], d, [0])[0, 0, None].history[-1][0] == 4
+
+
+def test_dear_fits_are_dealt_out_first():
+    fits = [bo.Fit(10, 4, 0.1, share=s) for s in (0.1, 1.0, 0.5)] + [bo.Fit(10, 4, 0.1), bo.Fit(10, 3, 0.1)]
+    assert sorted(range(5), key=lambda i: -fits[i].cost()) == [1, 3, 4, 2, 0]
+
+
+def test_a_grid_finds_its_bins_once(spark, monkeypatch):
+    d, _, _ = table(spark, seed=4)
+    d = d.withColumn("fold", F.col("fold") % 2)
+    make = lambda n, **p: ml.boosted(maxDepth=2, **p)      # noqa: E731
+    alone = make(0, maxIter=3).fit(d)
+    binned, seen = [], bo.fit_binning
+    monkeypatch.setattr(bo, "fit_binning", lambda *a: binned.append(1) or seen(*a))
+    best, _ = ml.grid_search(make, {"maxIter": [3]}, d)
+    assert len(binned) == 1 and same(best, alone)
