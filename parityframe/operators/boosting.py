@@ -938,13 +938,19 @@ def staged_scores(model: BoostedModel, parts: Sequence[DataFrame], label: str, r
     return whole.mapInArrow(run, STAGED)
 
 
-#: Rows up to which a history broadcasts the codes and deals its rounds to tasks.
-HISTORY_ROWS = 1 << 21
+#: Rows, and bytes of their codes and labels, up to which a history broadcasts the codes and
+#: deals its rounds to tasks; rows of a round's order that are summed at a time.
+HISTORY_ROWS, HISTORY_BYTES, HISTORY_STEP = 1 << 24, 128 << 20, 1 << 18
+
+
+def history_by_rounds(rows: int, n_features: int) -> bool:
+    """Whether each task of a history can hold all rows' codes; else scores are shuffled."""
+    return rows <= HISTORY_ROWS and rows * (n_features + 1) <= HISTORY_BYTES
 
 
 def staged_sums_small(model: BoostedModel, parts: Sequence[DataFrame], label: str, rounds: Sequence[int], eps: float) -> DataFrame:
-    """SUMS of a table of ``HISTORY_ROWS`` at most (counted by the caller): each task has
-    a stretch of the rounds and sorts all scores of a round itself, so none is shuffled."""
+    """SUMS of a table that :func:`history_by_rounds` allows (counted by the caller): each task
+    has a stretch of the rounds and sorts all scores of a round itself, so none is shuffled."""
     spark = parts[0].sparkSession
     ship(spark)
     x = vector_to_array(model.features_col)
@@ -973,13 +979,9 @@ def staged_sums_small(model: BoostedModel, parts: Sequence[DataFrame], label: st
                 codes, y = codes.take(near, axis=1), y.take(near)
                 margins, coded = np.zeros(len(y)), Lookup(codes, model.binning.bins())
                 for number, tree in enumerate(model.list_of_trees[:mine[-1]], 1):
-                    margins += model.rate * tree.value.take(coded.leaf_of(tree))
+                    margins += (model.rate * tree.value).take(coded.leaf_of(tree))
                     if number in mine:
-                        order = np.argsort(margins)
-                        score, pos = margins[order], y[order].astype(np.int64)
-                        new = np.flatnonzero(np.r_[True, np.diff(score) != 0])
-                        neg = np.add.reduceat(1 - pos, new)
-                        found.append(_run_sums(split, number, score[new], np.add.reduceat(pos, new), neg, 0, eps))
+                        found.append((split, number, *_round_sums(margins, y, eps)))
         if found:
             split, number, *sums = zip(*found)
             yield pa.record_batch([pa.array(split, pa.int32()), pa.array(number, pa.int32()), pa.array([0] * len(split), pa.int32()),
@@ -988,6 +990,23 @@ def staged_sums_small(model: BoostedModel, parts: Sequence[DataFrame], label: st
     return spark.range(0, tasks, 1, tasks).mapInArrow(run, SUMS)
 
 
+def _round_sums(margins: np.ndarray, y: np.ndarray, eps: float) -> list:
+    """Sums of all scores of a round, stretch by stretch of their order: no other array is as
+    long as the table. Equal scores stay in one stretch."""
+    order = np.argsort(margins)
+    score, label = margins.take(order), y.take(order)
+    del order
+    sums, start = [0, 0, 0.0, 0.0, 0.0], 0
+    while start < len(score):
+        end = min(start + HISTORY_STEP, len(score))
+        end += int(np.searchsorted(score[end:], score[end - 1], "right"))
+        some, pos = score[start:end], label[start:end].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, np.diff(some) != 0])
+        run = _run_sums(0, 0, some[new], np.add.reduceat(pos, new), np.add.reduceat(1 - pos, new), sums[1], eps)
+        sums, start = [a + b for a, b in zip(sums, run[2:])], end
+    return sums
+
+
 def _run_sums(split, rnd, score, pos, neg, below, eps) -> tuple:
     """Sums of one (split, round) over merged, ascending scores; ``below``: negatives
     that this task has seen under them."""

@@ -389,7 +389,7 @@ def eval_history(model, parts: dict[str, DataFrame], label: str = "label", eps:
     names = list(parts)
     wanted = sorted(set(rounds)) if rounds is not None else list(range(1, model.rounds + 1))
     tables = [parts[n] for n in names]
-    if sum(t.count() for t in tables) <= boosting.HISTORY_ROWS:
+    if boosting.history_by_rounds(sum(t.count() for t in tables), model.n_features):
         sums = checkpoint(boosting.staged_sums_small(model, tables, label, wanted, eps))
     else:
         staged = boosting.staged_scores(model, tables, label, wanted, AUC_ROUNDS)

@@ -4,6 +4,7 @@ prefixes and early stops against separate fits."""
 import json
 import pickle
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -441,3 +442,23 @@ def test_a_grid_finds_its_bins_once(spark, monkeypatch):
     monkeypatch.setattr(bo, "fit_binning", lambda *a: binned.append(1) or seen(*a))
     best, _ = ml.grid_search(make, {"maxIter": [3]}, d)
     assert len(binned) == 1 and same(best, alone)
+
+
+def test_a_history_by_rounds_holds_little_beside_the_scores(monkeypatch):
+    rng = np.random.default_rng(4)
+    margins, y = np.round(rng.normal(size=5000), 1), rng.integers(0, 2, 5000).astype(np.uint8)
+    whole = bo._round_sums(margins, y, 1e-15)
+    # Stretches are cut where scores differ, however many are equal.
+    monkeypatch.setattr(bo, "HISTORY_STEP", 7)
+    parts = bo._round_sums(margins, y, 1e-15)
+    assert parts[:3] == whole[:3] and parts == pytest.approx(whole)
+    less = sum(float((margins[y == 0] < m).sum() + 0.5 * (margins[y == 0] == m).sum()) for m in margins[y == 1])
+    assert parts[2] == less and parts[:2] == [int(y.sum()), int((1 - y).sum())]
+
+
+def test_a_history_of_some_million_rows_shuffles_no_scores(spark, monkeypatch):
+    d, _, _ = table(spark, n=60, seed=17)
+    m = ml.boosted(maxIter=2, maxDepth=1).fit(d)
+    assert bo.history_by_rounds(9_000_000, 5) and not bo.history_by_rounds(9_000_000, 26) and not bo.history_by_rounds(1 << 25, 1)
+    monkeypatch.setattr(bo, "staged_scores", None)
+    ml.eval_history(m, {"all": SimpleNamespace(count=lambda: 9_000_000, select=d.select, sparkSession=spark)}).collect()
