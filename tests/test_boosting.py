@@ -462,3 +462,61 @@ def test_a_history_of_some_million_rows_shuffles_no_scores(spark, monkeypatch):
     assert bo.history_by_rounds(9_000_000, 5) and not bo.history_by_rounds(9_000_000, 26) and not bo.history_by_rounds(1 << 25, 1)
     monkeypatch.setattr(bo, "staged_scores", None)
     ml.eval_history(m, {"all": SimpleNamespace(count=lambda: 9_000_000, select=d.select, sparkSession=spark)}).collect()
+
+
+def test_parts_lost_on_the_way_are_made_again(spark, monkeypatch):
+    d, _, _ = table(spark, n=200, seed=18)
+    est = ml.boosted(maxIter=5, maxDepth=3, subsamplingRate=0.7)
+    fits = [est.spec(fold=f, features=x, rounds=r) for f, x, r in ((0, None, 5), (2, (0, 1), 3))]
+    rows, binning = est.rows(d, fold_col="fold"), est.binning(d)
+    seen, made = bo.Parts.sums, bo.Parts._make
+    jobs, again = [], []
+
+    def sums(parts, todos, so_far):
+        jobs.append(parts.job)
+        if parts.places is not None and len(jobs) % 2:
+            name = parts.name
+
+            def lose(part):
+                with bo.Kept(name, part, fits, 33) as kept:
+                    # A task that was cut off, or an executor that went away.
+                    kept.dump(None, "done") if part % 2 else kept.drop()
+            parts.places.foreach(lose)
+        return seen(parts, todos, so_far)
+    monkeypatch.setattr(bo, "TASK_ROWS", 50)
+    monkeypatch.setattr(bo, "CHECKPOINT_ROUNDS", 2)
+    monkeypatch.setattr(bo.Parts, "sums", sums)
+    monkeypatch.setattr(bo.Parts, "_make", lambda parts, *so_far: again.append(parts.job) or made(parts, *so_far))
+    lost, whole = (bo.fit_set(rows, binning, fits, small_bytes=n) for n in (0, 1 << 30))
+    assert len(again) > 5 and len({*again}) < len(jobs)
+    assert all(same(a, b) and a.history == b.history for a, b in zip(lost, whole))
+
+
+def test_a_part_keeps_a_round_between_its_jobs(monkeypatch, tmp_path):
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    block, fit = coded_block(n=900), bo.Fit(2, 3, 0.3, subsample=0.7, fold=1, features=(0, 2, 3))
+    want = bo._grown_alone([bo._joined([coded_block(n=900)], fit)], fit, 33)
+    g, job, fresh = bo._Growing(fit), 0, None
+    with bo.Kept("a", 0, [fit], 33) as kept:
+        kept.make([block.part(0, 300), block.part(300, 900)], {0: []}, {}, 1)
+    while g.open():
+        g.start()
+        level, todo = 0, bo.Todo(fresh, fresh is not None, g.rounds, g.tree, g.asked)
+        while todo:
+            job += 1
+            outs = []
+            for _ in range(2):      # another attempt gets the same sums and changes nothing
+                with bo.Kept("a", 0, [fit], 33) as kept:
+                    outs.append(kept.run(job, {0: todo}))
+            assert (outs[0]["hist", 0] == outs[1]["hist", 0]).all()
+            if todo.scores:
+                g.scored(outs[0]["scores", 0])
+            g.grow(outs[0]["hist", 0], level)
+            level, todo = level + 1, bo.Todo(tree=g.tree, nodes=g.asked) if len(g.asked) else None
+        fresh = g.tree
+        g.add_tree()
+    with bo.Kept("a", 0, [fit], 33) as kept:
+        g.scored(kept.run(job + 1, {0: bo.Todo(fresh, True)})["scores", 0])
+        assert kept.run(job + 3, {}) is None
+    assert all((getattr(a, k) == getattr(b, k)).all() for a, b in zip(g.trees, want.trees) for k in ("feature", "cut", "value", "gain"))
+    assert g.history == want.history and len(g.trees) == 2
